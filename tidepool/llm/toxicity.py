@@ -20,12 +20,14 @@ TARGETS = "you your yours youre he him his she her they them their this that the
 NEGATIONS = "not no never neither nor none cannot isnt arent wasnt dont doesnt didnt wont without hardly".split()
 REPORTS = "said says say told tells wrote writes quoted quotes called calls claimed claims reported reports according alleged asked".split()
 
-#: Labelled rows that the lexicon is learned from at the most, those with the smallest hashes;
-#: learned terms at the most; contexts a term needs; z-score it needs.
-LEARN_ROWS, LEARN_TERMS, LEARN_CONTEXTS, LEARN_Z = 8000, 200, 5, 3.5
-#: Clause kinds that the grammar tells apart; a feature is how many clauses of that kind, up to LEVELS.
-CLAUSES = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "threat_negated", "threat_reported")
-LEVELS = 2
+#: Labelled rows that markers are learned from at the most, those with the smallest hashes; markers
+#: kept at the most; what a marker needs: toxic documents, and standard errors by contexts and documents.
+LEARN_ROWS, LEARN_TERMS, LEARN_DOCS, LEARN_Z, LEARN_DOCS_Z = 4000, 100, 3, 5.0, 2.5
+#: Lengths of word beginnings that may be markers, besides whole words.
+STEMS = range(4, 9)
+#: Kinds of matches that the grammar tells apart; features are whether a document has 1, 2 .. LEVELS.
+KINDS = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "threat_negated", "threat_reported", "marker")
+LEVELS = 3
 #: Words before which a target or a negation still counts.
 REACH = 4
 
@@ -58,11 +60,20 @@ class Transducer:
         return out, total
 
 
-def _lexical(insults: dict[str, float]) -> Transducer:
-    """Words to (class, weight): insults and threats with weights, targets, negations, reports."""
+def _lexical(markers: dict[str, float]) -> Transducer:
+    """Words to (class, weight): insults, threats, targets, negations, reports, learned markers."""
     classes = {w: ("report", 0.0) for w in REPORTS} | {w: ("negation", 0.0) for w in NEGATIONS} | {w: ("target", 0.0) for w in TARGETS}
-    classes |= {w: ("threat", 1.0) for w in THREATS} | {w: ("insult", v) for w, v in insults.items()}
-    return Transducer(None, lambda state, word: (None, classes.get(word, ("word", 0.0)), 0.0))
+    classes |= {w: ("threat", 1.0) for w in THREATS} | {w: ("insult", 1.0) for w in INSULTS}
+    words = {w: v for w, v in markers.items() if not w.endswith("*")}
+    stems = {w[:-1]: v for w, v in markers.items() if w.endswith("*")}
+
+    def step(state, word):
+        if word in classes:
+            return None, classes[word], 0.0
+        weight = max([words.get(word, 0.0), *(stems.get(word[:k], 0.0) for k in STEMS if k < len(word))])
+        return None, ("marker", weight) if weight else ("word", 0.0), weight
+
+    return Transducer(None, step)
 
 
 def _reporting() -> Transducer:
@@ -98,56 +109,58 @@ def _targeting() -> Transducer:
             return REACH, symbol, 0.0
         if left and kind in ("insult", "threat"):
             return left - 1, (f"{kind}_target", weight * 1.5), weight * 1.5
-        return max(0, left - 1), symbol, weight
+        return max(0, left - 1), symbol, 0.0 if kind == "marker" else weight
 
     return Transducer(0, step)
 
 
-def grammar(insults: dict[str, float]) -> Transducer:
-    return reduce(lambda a, b: a >> b, (_lexical(insults), _reporting(), _negating(), _targeting()))
+def grammar(markers: dict[str, float]) -> Transducer:
+    return reduce(lambda a, b: a >> b, (_lexical(markers), _reporting(), _negating(), _targeting()))
 
 
 class Matcher:
     """Finds clauses that hold a trigger and runs the grammar over each."""
 
-    def __init__(self, insults: dict[str, float]):
-        self.rules = grammar(insults)
+    def __init__(self, markers: dict[str, float]):
+        self.rules = grammar(markers)
         self.words = ahocorasick.Automaton()
-        for w in {*insults, *THREATS}:
-            self.words.add_word(w, w)
+        for w in {*INSULTS, *THREATS, *markers}:
+            self.words.add_word(w.rstrip("*"), w)
         self.words.make_automaton()
 
-    def clauses(self, text: str) -> list[tuple[str, float, str]]:
-        """(kind, weight, clause) of the clauses in which the grammar matches."""
+    def clauses(self, text: str) -> list[tuple[list[str], float, str]]:
+        """(kinds, weight, clause) of the clauses in which the grammar matches."""
         low, found, done = text.lower(), [], 0
+        inner = lambda c: c.isalnum() or c == "_"
         for end, word in self.words.iter(low):
-            start = end + 1 - len(word)
-            if start < done or (start and (low[start - 1].isalnum() or low[start - 1] == "_")) or (end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_")):
+            stem = word.endswith("*")
+            start = end + 1 - len(word) + stem
+            if start < done or (start and inner(low[start - 1])) or (end + 1 < len(low) and inner(low[end + 1])) != stem:
                 continue
             a = start
             while a and not CLAUSE.match(low[a - 1]):
                 a -= 1
             stop = CLAUSE.search(low, end + 1)
             done = stop.start() if stop else len(low)
-            clause = low[a:done]
+            clause = low[max(a, 0) : done]
             out, weight = self.rules.run(WORD.findall(clause))
-            kinds = [k for k, _ in out if k in CLAUSES]
+            kinds = [k for k, _ in out if k in KINDS]
             if kinds:
-                best = max(kinds, key=lambda k: (k.endswith("target"), k in ("insult", "threat"), k))
-                found.append((best, weight, clause))
+                found.append((kinds, weight, clause))
         return found
 
 
-def _match_batches(insults: dict[str, float]):
+def _match_batches(markers: dict[str, float]):
     def run(batches):
-        matcher = Matcher(insults)
+        matcher = Matcher(markers)
         for batch in batches:
             counts, weights, worst = [], [], []
             for t in batch.column("_text"):
                 found = matcher.clauses(t.as_py())
-                n = [0] * len(CLAUSES)
-                for kind, _, _ in found:
-                    n[CLAUSES.index(kind)] += 1
+                n = [0] * len(KINDS)
+                for kinds, _, _ in found:
+                    for kind in kinds:
+                        n[KINDS.index(kind)] += 1
                 counts.append(n)
                 weights.append(sum(w for _, w, _ in found))
                 worst.append(max(found, key=lambda x: x[1])[2] if found else None)
@@ -162,30 +175,40 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
-    """The grammar's insult words with weights: the seeds, and terms that labelled rows give away.
+def learn_markers(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
+    """Words and word beginnings ("stem*") that labelled rows give away as toxic, with weights.
 
-    A term counts once for each (word before, term, word after), so copies of one text don't make
-    its words suspicious. Its log odds between toxic and clean contexts must be LEARN_Z standard
-    errors above the average. Reads LEARN_ROWS labelled rows at the most and keeps LEARN_TERMS terms.
+    A term counts once for each (word, word before, word after), and that context for the first
+    document it is in, so copies of one text don't make its words suspicious. Its log odds between
+    toxic and clean rows must be LEARN_Z standard errors above the average by contexts, and
+    LEARN_DOCS_Z by documents. Of terms that begin alike the clearest stays. Reads LEARN_ROWS
+    labelled rows at the most and keeps LEARN_TERMS terms.
     """
-    chosen = labels.orderBy(F.xxhash64("doc_id")).limit(LEARN_ROWS)
+    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "doc_id")
     words = F.filter(F.split(F.lower("_text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    triples = F.transform(words, lambda w, i: F.struct(F.get(words, i - 1).alias("a"), w.alias("w"), F.get(words, i + 1).alias("b")))
-    seen = rows.select("toxic", F.explode(F.array_distinct(triples)).alias("t")).select("toxic", F.col("t.w").alias("w"), F.xxhash64("t.a", "t.b").alias("c")).distinct()
-    terms = seen.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    terms = terms.cache()
-    totals = terms.agg(F.sum("t"), F.sum("c")).first()
+    triples = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.xxhash64(w, F.get(words, i - 1), F.get(words, i + 1)).alias("c")))
+    seen = rows.select("toxic", "doc_id", F.explode(F.array_distinct(triples)).alias("t")).select("toxic", "doc_id", "t.*")
+    seen = seen.filter(F.char_length("w") > 2).groupBy("w", "c").agg(F.min(F.struct("doc_id", "toxic")).alias("d"))
+    stems = [F.when(F.char_length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in STEMS]
+    terms = seen.select(F.explode(F.array(F.col("w"), *stems)).alias("term"), F.col("d.toxic").alias("toxic"), F.col("d.doc_id").alias("doc_id")).dropna()
+    terms = terms.groupBy("term", "doc_id", "toxic").agg(F.count("*").alias("n")).groupBy("term")
+    side = lambda t, x: F.sum(F.when(F.col("toxic") == t, x).otherwise(0))
+    terms = terms.agg(side(1, F.col("n")).alias("t"), side(0, F.col("n")).alias("c"), side(1, F.lit(1)).alias("td"), side(0, F.lit(1)).alias("cd"))
+    totals = seen.agg(F.sum("d.toxic"), F.sum(1 - F.col("d.toxic")), F.count_distinct(F.when(F.col("d.toxic") == 1, F.col("d.doc_id"))), F.count_distinct(F.when(F.col("d.toxic") == 0, F.col("d.doc_id")))).first()
     if not totals[0] or not totals[1]:
-        terms.unpersist()
-        return {w: 1.0 for w in INSULTS}
-    odds = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) - float(np.log(totals[0] / totals[1]))
-    z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    top = terms.filter(F.col("t") >= LEARN_CONTEXTS).select("w", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEARN_Z).orderBy(F.desc("z"), "w").limit(LEARN_TERMS).collect()
-    terms.unpersist()
-    known = {*THREATS, *TARGETS, *NEGATIONS, *REPORTS}
-    return {w: 1.0 for w in INSULTS} | {r.w: min(2.0, max(0.5, r.odds / 3)) for r in top if r.w not in known and len(r.w) > 2}
+        return {}
+    odds = lambda t, c, base: F.log((F.col(t) + 0.5) / (F.col(c) + 0.5)) - float(np.log(base))
+    error = lambda t, c: F.sqrt(1 / (F.col(t) + 0.5) + 1 / (F.col(c) + 0.5))
+    by_context, by_doc = odds("t", "c", totals[0] / totals[1]), odds("td", "cd", totals[2] / totals[3])
+    terms = terms.filter(F.col("td") >= LEARN_DOCS).select("term", by_context.alias("odds"), (by_context / error("t", "c")).alias("z"), (by_doc / error("td", "cd")).alias("zd"))
+    top = terms.filter((F.col("z") >= LEARN_Z) & (F.col("zd") >= LEARN_DOCS_Z)).orderBy(F.desc("z"), "term").limit(20 * LEARN_TERMS).collect()
+    known, found = {*INSULTS, *THREATS, *TARGETS, *NEGATIONS, *REPORTS}, {}
+    for r in top:
+        plain = r.term.rstrip("*")
+        if not any(w.startswith(plain) for w in known) and not any(plain.startswith(f.rstrip("*")) or f.startswith(plain) for f in found):
+            found[r.term] = float(min(2.0, max(0.5, r.odds / 3)))
+    return dict(list(found.items())[:LEARN_TERMS])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -202,12 +225,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, counts (clauses by kind), weight (of
+    """One row per document: doc_id, held_out, score, predicted, counts (matches by KINDS), weight (of
     the grammar) and clause (the worst one).
 
-    Labels are learned from rows whose crc32(id as text) mod 5 isn't 0, in two places: the lexicon
-    (learn_insults) and the calibration, a logistic regression over clause counts. Counts stop at
-    LEVELS, so the calibration fits on a histogram of at most (LEVELS + 1) ** 8 bins over all such rows.
+    Labels are learned from rows whose crc32(id as text) mod 5 isn't 0, in two places: the markers
+    (learn_markers) and the calibration, a logistic regression over the counts. Counts stop at
+    LEVELS, so the calibration fits on a histogram over all such rows that doesn't grow with them.
 
     Null texts are empty and score like texts without a match; null ids count as empty text in the
     hash (held out) and never have a label; null labels are none; of several labels for one id the
@@ -216,17 +239,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     bounded_batches(docs.sparkSession)
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     named = named.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    insults = learn_insults(docs, named, id_col, text_col)
+    markers = learn_markers(docs, named, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text"))
-    rows = rows.mapInArrow(_match_batches(insults), "doc_id bigint, counts array<int>, weight double, clause string")
+    rows = rows.mapInArrow(_match_batches(markers), "doc_id bigint, counts array<int>, weight double, clause string")
     rows = materialize(rows, "toxicity-clauses")
 
-    level = [F.least(F.get("counts", F.lit(i)), F.lit(LEVELS)) for i in range(len(CLAUSES))]
+    level = [F.least(F.get("counts", F.lit(i)), F.lit(LEVELS)) for i in range(len(KINDS))]
     bins = rows.withColumn("_x", F.array(*level)).join(named, "doc_id").groupBy("_x", "toxic").count().collect()
-    prior = [([LEVELS if i == j else 0 for i in range(len(CLAUSES))], float("negated" not in c and "reported" not in c), 1.0) for j, c in enumerate(CLAUSES)]
-    fitted = prior + [([0] * len(CLAUSES), 0.0, 1.0)] + [(r[0], float(r[1]), float(r[2])) for r in bins]
-    w = fit_logistic(np.array([f[0] for f in fitted], float), np.array([f[1] for f in fitted]), np.array([f[2] for f in fitted]))
-    logit = sum((F.lit(float(v)) * x for v, x in zip(w, level)), F.lit(float(w[-1])))
-    score = 1 / (1 + F.exp(-logit))
-    out = rows.withColumn("score", score)
+    prior = [([0] * len(KINDS), 0.0, 1.0)]
+    for j, k in enumerate(KINDS):
+        mild = "negated" in k or "reported" in k
+        prior += [([n if i == j else 0 for i in range(len(KINDS))], float(not mild and (n > 1 or k != "marker")), 0.5) for n in range(1, LEVELS + 1)]
+    fitted = prior + [(r[0], float(r[1]), float(r[2])) for r in bins]
+    steps = np.array([[[x > j for j in range(LEVELS)] for x in f[0]] for f in fitted], float).reshape(len(fitted), -1)
+    w = fit_logistic(steps, np.array([f[1] for f in fitted]), np.array([f[2] for f in fitted]))
+    logit = F.lit(float(w[-1]))
+    for i, x in enumerate(level):
+        logit += F.element_at(F.array(*[F.lit(float(v)) for v in np.concatenate([[0.0], np.cumsum(w[i * LEVELS : (i + 1) * LEVELS])])]), x + 1)
+    out = rows.withColumn("score", 1 / (1 + F.exp(-logit)))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "counts", "weight", "clause")
