@@ -175,6 +175,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _context_batches(batches):
+    """Each (word, neighbours) of each labelled text, once a text."""
+    for batch in batches:
+        for toxic, doc_id, text in zip(batch.column("toxic"), batch.column("doc_id"), batch.column("_text")):
+            words = ["", *WORD.findall(text.as_py().lower()), ""]
+            seen = sorted({(w, f"{a} {b}") for a, w, b in zip(words, words[1:], words[2:]) if len(w) > 2})
+            cols = [pa.array([toxic.as_py()] * len(seen), pa.int32()), pa.array([doc_id.as_py()] * len(seen), pa.int64()), pa.array([w for w, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["toxic", "doc_id", "w", "c"])
+
+
 def learn_markers(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
     """Words and word beginnings ("stem*") that labelled rows give away as toxic, with weights.
 
@@ -186,10 +196,8 @@ def learn_markers(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "doc_id")
-    words = F.filter(F.split(F.lower("_text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    triples = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.xxhash64(w, F.get(words, i - 1), F.get(words, i + 1)).alias("c")))
-    seen = rows.select("toxic", "doc_id", F.explode(F.array_distinct(triples)).alias("t")).select("toxic", "doc_id", "t.*")
-    seen = seen.filter(F.char_length("w") > 2).groupBy("w", "c").agg(F.min(F.struct("doc_id", "toxic")).alias("d"))
+    seen = rows.select("toxic", "doc_id", "_text").mapInArrow(_context_batches, "toxic int, doc_id bigint, w string, c string")
+    seen = seen.groupBy("w", "c").agg(F.min(F.struct("doc_id", "toxic")).alias("d"))
     stems = [F.when(F.char_length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in STEMS]
     terms = seen.select(F.explode(F.array(F.col("w"), *stems)).alias("term"), F.col("d.toxic").alias("toxic"), F.col("d.doc_id").alias("doc_id")).dropna()
     terms = terms.groupBy("term", "doc_id", "toxic").agg(F.count("*").alias("n")).groupBy("term")
