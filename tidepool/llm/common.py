@@ -69,12 +69,48 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed message."""
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
+    """Arrays as one compressed message; bytes of equal weight lie together, so leading zeros vanish."""
+    planes = [(a.dtype.str, a.shape, np.ascontiguousarray(a).reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()) for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes, 5))
 
 
-def unpack(message: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(message))
+def unpack(message: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, shape, data in pickle.loads(zstandard.ZstdDecompressor().decompress(message)):
+        kind = np.dtype(kind)
+        planes = np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind).reshape(shape))
+    return out
+
+
+def deltas(sorted_keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as steps, which compress better; np.cumsum undoes it."""
+    return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit numbers."""
+    x = np.asarray(x, np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def key_bits(total: int) -> int:
+    """Bits of a hash key under which a corpus of so many bytes has few collisions."""
+    return min(64, max(24, int(total).bit_length()) + 16)
+
+
+def part_edges(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where each of the parts, even ranges of the key space, begins in ascending keys; parts + 1 places."""
+    starts = np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]]).astype(np.int64)
+
+
+def binary_rows(rows: list[tuple], *names: str) -> pa.Table:
+    """Rows of ints that end in a message, as Spark wants them."""
+    kinds = [pa.int32()] * (len(names) - 1) + [pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
 
 
 def messages(table: pa.Table, column: str = "payload") -> list[bytes]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import exact_dedup, mixing, secrets, toxicity
+from tidepool.llm import exact_dedup, mixing, near_dedup, secrets, toxicity
 from tidepool.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,4 +30,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_toxicity, op7_source_mixing, op8_exact_dedup)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_toxicity, op7_source_mixing, op8_exact_dedup, op9_near_dedup)}
