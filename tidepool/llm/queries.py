@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import exact_dedup, mixing, near_dedup, secrets, toxicity
+from tidepool.llm import exact_dedup, mixing, near_dedup, secrets, sentence_pieces, suffix_dedup, toxicity
 from tidepool.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -22,6 +26,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
@@ -34,4 +42,4 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_toxicity, op7_source_mixing, op8_exact_dedup, op9_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op5_toxicity, op6_sentence_pieces, op7_source_mixing, op8_exact_dedup, op9_near_dedup)}
