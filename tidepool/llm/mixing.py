@@ -38,7 +38,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS
     return rows.select("_skey", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, weights=WEIGHTS, share=SHARE, epochs=EPOCHS) -> DataFrame:
+def mix_plan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1,
+    weights=WEIGHTS, share=SHARE, epochs=EPOCHS, hashed: bool = False,
+) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
     Each document gets a hash-random key; the key space of a source is cut into even ranges, so a
@@ -49,7 +52,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Null texts have size 0, null sources form the last source, null ids hash as empty; equal keys
     are ordered by id, then size, and rows equal in both are interchangeable. The plan depends on
-    neither layout nor partitions. An empty table gives an empty result.
+    neither layout nor partitions. An empty table gives an empty result. With hashed, _hash (xxhash64 of
+    the text) comes along.
     """
     ranges = max(1, min(KEY_RANGES, shuffle_partitions(docs.sparkSession)))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -58,6 +62,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("_skey"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
         key.alias("_key"),
+        F.xxhash64(text_of(text_col)).alias("_hash"),
     )
     rows = rows.withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("long") * ranges / KEY_RANGES).cast("int"))
     rows = materialize(rows, "mix-rows")
@@ -73,4 +78,30 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     whole = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     left = goal - whole * F.col("source_size") - F.col("_offset") - F.col("_before")
     taken = whole * F.col("size") + F.least("size", F.greatest(F.lit(0).cast("long"), left))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *["_hash"] * hashed)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The mix itself, with all columns: a row for each whole time that the plan takes a document, and one
+    with its first words (and their number of characters, if there is such a column) where it is cut.
+
+    Documents without words have nothing to take. Rows that agree in id and text share their takes.
+    """
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    plan = mix_plan(docs, id_col, text_col, hashed=True, **options)
+    plan = plan.select(key("doc_id").alias("_id"), "_hash", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    plan = plan.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.desc("_taken")))).filter("_taken > 0")
+    rows = docs.withColumn("_id", key(id_col)).withColumn("_hash", F.xxhash64(text_of(text_col)))
+    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_hash")))
+    rows = rows.join(plan, ["_id", "_hash", "_rank"])
+    times, rest = F.floor(F.col("_taken") / F.col("_size")), (F.col("_taken") % F.col("_size"))
+    whole = F.array_repeat(F.lit(0).cast("long"), times.cast("int"))
+    rows = rows.withColumn("_cut", F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    #: Pieces that end with a word each; white space goes with the word behind it.
+    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    first = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_cut"), F.lit(1)).cast("int")), "")
+    rows = rows.withColumn(text_col, F.when(F.col("_cut") > 0, first).otherwise(F.col(text_col)))
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        rows = rows.withColumn(chars_col, F.when(F.col("_cut") > 0, F.char_length(text_col).cast(kind)).otherwise(F.col(chars_col)))
+    return rows.select(*docs.columns)

@@ -232,7 +232,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, counts (matches by KINDS), weight (of
     the grammar) and clause (the worst one).
 
@@ -242,14 +242,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Null texts are empty and score like texts without a match; null ids count as empty text in the
     hash (held out) and never have a label; null labels are none; of several labels for one id the
-    highest counts; repeated rows give repeated rows. Without labels a match scores above 0.5.
+    highest counts; repeated rows give repeated rows. Without labels a match scores above 0.5. With
+    hashed, _hash (xxhash64 of the text) comes along.
     """
     bounded_batches(docs.sparkSession)
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     named = named.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     markers = learn_markers(docs, named, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text"))
-    rows = rows.mapInArrow(_match_batches(markers), "doc_id bigint, counts array<int>, weight double, clause string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("_hash"), text_of(text_col).alias("_text"))
+    rows = rows.mapInArrow(_match_batches(markers), "doc_id bigint, _hash bigint, counts array<int>, weight double, clause string")
     rows = materialize(rows, "toxicity-clauses")
 
     level = [F.least(F.get("counts", F.lit(i)), F.lit(LEVELS)) for i in range(len(KINDS))]
@@ -265,4 +266,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     for i, x in enumerate(level):
         logit += F.element_at(F.array(*[F.lit(float(v)) for v in np.concatenate([[0.0], np.cumsum(w[i * LEVELS : (i + 1) * LEVELS])])]), x + 1)
     out = rows.withColumn("score", 1 / (1 + F.exp(-logit)))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "counts", "weight", "clause")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "counts", "weight", "clause", *["_hash"] * hashed)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that score_toxicity() doesn't predict to be toxic."""
+    key = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("none"))
+    out = score_toxicity(docs, labels, id_col, text_col, hashed=True).filter("predicted = 1")
+    out = out.select(key(F.col("doc_id")).alias("_out_id"), F.col("_hash").alias("_out_hash")).distinct()
+    return docs.join(out, (key(F.col(id_col)) == F.col("_out_id")) & (F.xxhash64(text_of(text_col)) == F.col("_out_hash")), "left_anti")
