@@ -19,7 +19,7 @@ SAMPLES, BANDS, BAND_ROWS = 96, 16, 3
 #: large group of copies doesn't make the words it has in common worthless.
 IDF_SHARE = 0.25
 #: Members of a block when the rest of a group is compared; pairs of one center that one salt takes.
-CHUNK, SALT_PAIRS = 1000, 4096
+CHUNK, SALT_PAIRS = 250, 4096
 #: Bytes that are hashed at a time.
 SLICE = 1 << 20
 BASE = 0x5851F42D4C957F2D

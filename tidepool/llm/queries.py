@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import exact_dedup, mixing, near_dedup, secrets, sentence_pieces, suffix_dedup, toxicity
+from tidepool.llm import exact_dedup, mixing, near_dedup, nearest, secrets, sentence_pieces, suffix_dedup, toxicity
 from tidepool.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -42,4 +42,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op5_toxicity, op6_sentence_pieces, op7_source_mixing, op8_exact_dedup, op9_near_dedup)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op5_toxicity, op6_sentence_pieces, op7_source_mixing, op8_exact_dedup, op9_near_dedup, op10_nearest)}
