@@ -13,7 +13,7 @@ NEIGHBOURS, QUERY_STEP = 20, 20
 #: Projections, the share of them in which a candidate must collide, growth of the windows at each
 #: rehashing, and candidates for which a block's search goes on: a share of its vectors, a least number.
 #: Measured recall at these: 0.95 and more on directions without any clusters, the hardest case.
-PROJECTIONS, COLLISIONS, GROWTH, SHARE, LEAST = 48, 0.5, 1.08, 0.45, 200
+PROJECTIONS, COLLISIONS, GROWTH, SHARE, LEAST = 32, 0.5, 1.1, 0.7, 200
 #: Vectors and queries that a task holds at a time.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 4096
 
@@ -32,6 +32,7 @@ class Index:
         values = vectors @ self.lines[:-1] + rest[:, None] * self.lines[-1]
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(values.T, self.order, 1)
+        self.inverse = np.argsort(self.order, axis=1)
         self.width = max(float(values.std()), 1e-12)
 
     def windows(self, middle: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +41,11 @@ class Index:
         right = np.stack([np.searchsorted(v, x + half, "right") for v, x in zip(self.values, middle.T)], 1)
         return left, right
 
+    def _first_window(self, middle: np.ndarray, enough: int, need: int) -> float:
+        """The window that lets the first queries collide enough on average: where rehashing may begin."""
+        far = [np.partition(np.abs(self.values[:, :, None] - m[:, None, None])[np.arange(len(self.values))[:, None], self.inverse, 0], need - 1, axis=0)[need - 1] for m in middle]
+        return float(np.mean([np.partition(f, enough - 1)[enough - 1] for f in far])) if far else self.width
+
     def search(self, queries: np.ndarray, wanted: int, collisions: float = COLLISIONS, growth: float = GROWTH, share: float = SHARE, least: int = LEAST):
         """(query, places of verified vectors, their inner products), as queries finish.
 
@@ -50,7 +56,7 @@ class Index:
         enough = min(n, max(least + wanted, int(share * n) + wanted))
         need = max(1, int(np.ceil(collisions * m)))
         middle = queries @ self.lines[:-1]
-        active, half = np.arange(len(queries)), self.width * 0.6
+        active, half = np.arange(len(queries)), self._first_window(middle[:8], enough, need)
         low, high = self.windows(middle, 0.0)
         high = low.copy()
         counts = {}
