@@ -1,6 +1,14 @@
 """DuckDB SQL for the queries that SQL expresses over whole tables."""
 
 ORACLES = {
+    "op3_warc": r"""
+with d as (
+  select page_id, strlen(coalesce(html, ''))::bigint as n, sha256(coalesce(html, '')) as sha from pages),
+m as (select *, min(page_id) over (partition by sha) as first from d)
+select page_id, n as payload_bytes, sha as payload_digest,
+  case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> first then first end as refers_to, true as verified
+from m""",
     "op7_source_mixing": r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
