@@ -43,6 +43,7 @@ def found(df):
 
 def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 777)
+    monkeypatch.setattr(suffix_dedup, "REFINE", 999)
     rows = corpus(1)
     assert found(suffix_dedup.remove_repeats(documents(spark, rows))) == brute(rows)
 

@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import binary_rows, deltas, in_blocks, key_bits, messages, pack, part_edges, text_of, unpack, utf8
+from tidepool.llm.common import binary_rows, deltas, in_blocks, key_bits, messages, mix64, pack, part_edges, text_of, unpack, utf8
 
 #: Bytes that count as a repeat, and bytes of the q-grams that name the first buckets.
 LENGTH, GRAM = 50, 16
 #: Window starts that are looked at together; their places fit in PLACE_BITS.
 CHUNK, PLACE_BITS = 1 << 19, 20
+#: Bytes of shared runs that a task refines together, in whole buckets.
+REFINE = 1 << 20
 #: Null ids come after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -24,10 +26,12 @@ def _eights(data: np.ndarray, n: int) -> np.ndarray:
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     n = len(data) - GRAM + 1
-    eight = _eights(data, n + 8)
-    low, high = eight[:n] * np.uint64(0x9E3779B97F4A7C15), eight[8:]
-    x = (high ^ (high >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + (low ^ (low >> np.uint64(32)))
-    x ^= x >> np.uint64(31)
+    eight = _eights(data, len(data) - 7)
+    x = np.full(n, 0xC2B2AE3D27D4EB4F, np.uint64)
+    for at in (*range(0, GRAM - 8, 8), GRAM - 8):
+        x ^= eight[at : at + n]
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
@@ -61,7 +65,8 @@ def buckets(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
         start = np.flatnonzero(np.diff(gram, prepend=-2) != 0)
         windows, at = np.diff(np.append(start, len(gram))), gram[start]
         inside = at >= 0
-        found.append((start[inside] + a, windows[inside], h[at[inside]]))
+        #: The least of many hashes is small; scrambled again it spreads evenly.
+        found.append((start[inside] + a, windows[inside], mix64(h[at[inside]])))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -205,17 +210,27 @@ def _settle(length: int):
         several = order[same[:-1] | same[1:]]
         size, begin = sizes[first_of], (ends - sizes)[first_of]
         windows_at, window_low = np.full(len(number), -1, np.int64), np.zeros(0, np.int64)
-        if len(several):
-            count = size[several]
+        #: Whole buckets of about REFINE bytes at a time.
+        place = np.cumsum(size[several])
+        new = np.concatenate([[True], grams[first_of[several]][1:] != grams[first_of[several]][:-1]]) if len(several) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        cut = head[np.concatenate([[True], np.diff((place - size[several])[head] // REFINE) > 0])] if len(head) else head
+        lows, done = [window_low], 0
+        for a, b in zip(cut, np.append(cut[1:], len(several))):
+            own = several[a:b]
+            count = size[own]
             shift = np.cumsum(count) - count
-            joined = raw[np.repeat(begin[several] - shift, count) + np.arange(int(count.sum()))]
+            joined = raw[np.repeat(begin[own] - shift, count) + np.arange(int(count.sum()))]
             windows = count - length + 1
             at = np.cumsum(windows) - windows
             starts = np.repeat(shift - at, windows) + np.arange(int(windows.sum()))
             group = refine(joined, starts, length)
             least = np.full(int(group.max()) + 1, LAST)
-            np.minimum.at(least, group, np.repeat(low[several], windows))
-            window_low, windows_at[several] = least[group], at
+            np.minimum.at(least, group, np.repeat(low[own], windows))
+            windows_at[own] = at + done
+            lows.append(least[group])
+            done += len(group)
+        window_low = np.concatenate(lows)
         rows, at = [], 0
         for block, (g, own, _, _) in zip(table.column("_from").to_pylist(), found):
             k = number_of[at : at + len(g)]
