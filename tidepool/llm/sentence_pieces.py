@@ -133,16 +133,22 @@ def _bound(keys: np.ndarray, suffixes: np.ndarray, wanted: np.ndarray, after: bo
 
 
 def edges(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, piece) of every piece's occurrences in coded text, by start and length."""
+    """(start, length, piece) of every piece's occurrences in coded text, piece by piece."""
     padded = np.concatenate([codes, np.zeros(PER_KEY, np.uint16)])
     keys = _joined(np.lib.stride_tricks.sliding_window_view(padded, PER_KEY)[: len(codes)])[:, 0]
     suffixes = suffix_array(keys, model.keys)
     first, last = _bound(keys, suffixes, model.low, False), _bound(keys, suffixes, model.high, True)
     count = last - first
-    which = np.repeat(np.arange(len(count)), count)
+    which = np.repeat(np.arange(len(count), dtype=np.int32), count)
     start = suffixes[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]]
-    order = np.argsort(start * (model.longest + 1) + model.lengths[which])
-    return start[order], model.lengths[which][order], model.ids[which][order]
+    return start, model.lengths[which], model.ids[which]
+
+
+def by_place(model: Model, found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """The edges sorted by position and length: a row for each of n places with its piece of each length, or -1."""
+    table = np.full((n, model.longest), -1, np.int32)
+    table[found[0], found[1] - 1] = found[2]
+    return table
 
 
 def _relax_merges(model: Model, table: np.ndarray, start: np.ndarray, end: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +233,9 @@ def _relax_paths(model: Model, found, start: np.ndarray, first: np.ndarray, last
     return a[order], b[order]
 
 
-#: Distinct segments that an encoder remembers from one batch to the next.
-REMEMBERED = 400_000
+#: Distinct segments that an encoder remembers from one batch to the next, and characters of new ones
+#: that one suffix array indexes.
+REMEMBERED, INDEXED = 500_000, 1 << 20
 
 
 class Encoder:
@@ -256,8 +263,7 @@ class Encoder:
         codes = model.codes[points]
         codes[last] = 0
         found = edges(model, codes)
-        table = np.full((len(codes), model.longest), -1, np.int32)
-        table[found[0], found[1] - 1] = found[2]
+        table = by_place(model, found, len(codes))
         start = np.delete(np.arange(len(codes)), last)
         if model.type == BPE:
             start, end = _relax_merges(model, table, start, start + 1, np.repeat(np.arange(len(segments)), lengths))
@@ -287,16 +293,20 @@ class Encoder:
             counts.append(len(own))
         fresh = len(known) + 1 - len(self.offsets)
         if fresh:
-            ids, offsets = self.encode_segments(list(islice(known, len(known) - fresh, None)))
-            self.offsets = np.concatenate([self.offsets, offsets[1:] + len(self.ids)])
-            self.ids = np.concatenate([self.ids, ids])
+            segments = list(islice(known, len(known) - fresh, None))
+            slot = np.cumsum([len(s) + 1 for s in segments]) // INDEXED
+            cuts = np.flatnonzero(np.diff(slot, prepend=-1, append=-1))
+            done = [self.encode_segments(segments[a:b]) for a, b in zip(cuts, cuts[1:])]
+            sizes = np.concatenate([np.diff(self.offsets), *[np.diff(o) for _, o in done]])
+            self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, *[i for i, _ in done]])
         which = np.concatenate([np.zeros(0, np.int64), *numbers])
         size = np.diff(self.offsets)[which]
         ends = np.cumsum(size)
         out = self.ids[np.arange(int(size.sum())) + np.repeat(self.offsets[which] - ends + size, size)]
         return out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         text = b"".join([self.model.raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
@@ -322,7 +332,9 @@ def _decode_batches(data: bytes):
     def run(batches):
         encoder = Encoder(Model(data))
         for batch in batches:
-            texts = [encoder.decode(x) for x in batch.column("_ids").to_pylist()]
+            lists = batch.column("_ids")
+            ids, ends = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
+            texts = [encoder.decode(ids[a:b]) for a, b in zip(ends, ends[1:])]
             keep = [c for c in batch.schema.names if c != "_ids"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "decoded"])
 
