@@ -72,3 +72,14 @@ def test_refined_buckets_are_equal_strings():
     raw = text.tobytes()
     names = {}
     assert all(names.setdefault(raw[p : p + 50], g) == g for p, g in zip(starts, group)) and len(names) == len(set(group))
+
+
+def test_buckets_do_not_depend_on_the_order_of_documents(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
+    texts = [(t or "").encode() for _, t in corpus(4)]
+
+    def runs(texts):
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        return sorted((g, data[a : a + n + 49].tobytes()) for a, n, g in zip(*suffix_dedup.buckets(data, ends)))
+
+    assert runs(texts) == runs(texts[::-1])

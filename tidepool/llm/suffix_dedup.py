@@ -66,10 +66,13 @@ def buckets(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
         windows, at = np.diff(np.append(start, len(gram))), gram[start]
         inside = at >= 0
         #: The least of many hashes is small; scrambled again it spreads evenly.
-        found.append((start[inside] + a, windows[inside], mix64(h[at[inside]])))
+        found.append((start[inside] + a, windows[inside], mix64(h[at[inside]]), at[inside] + a))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found))
+    start, windows, h, at = (np.concatenate(x) for x in zip(*found))
+    #: A run goes on in the next chunk, so that runs don't depend on where documents lie in their block.
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + windows[:-1])])) if len(at) else np.zeros(0, np.int64)
+    return start[first], (np.add.reduceat(windows, first) if len(first) else windows), h[first]
 
 
 def refine(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
