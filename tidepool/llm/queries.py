@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import exact_dedup, mixing, near_dedup, nearest, secrets, sentence_pieces, suffix_dedup, toxicity, warc
+from tidepool.llm import context_mixing, exact_dedup, mixing, near_dedup, nearest, secrets, sentence_pieces, suffix_dedup, toxicity, warc
 from tidepool.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,6 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,4 +54,4 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_warc, op5_toxicity, op6_sentence_pieces, op7_source_mixing, op8_exact_dedup, op9_near_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_warc, op4_context_mixing, op5_toxicity, op6_sentence_pieces, op7_source_mixing, op8_exact_dedup, op9_near_dedup, op10_nearest)}
