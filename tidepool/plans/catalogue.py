@@ -1,35 +1,15 @@
-"""Registry of the library's own queries and their DuckDB oracles."""
+"""All queries of the library, without those of the llm subpackage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tidepool.plans import changes, content, usage, versions, web  # noqa: F401  they register their queries
+from tidepool.plans.registry import ORACLES, QUERIES
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, read through Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with the SQL that must return the same rows."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages per host."""
-    return (
-        table(spark, sf_dir, "pages")
-        .groupBy(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"))
-        .agg(F.count("*").alias("n_pages"))
-    )
+    """Pages by canonical URL with their site, type, title and number of duplicates."""
+    return web.url_duplicate_groups(spark, sf_dir)
