@@ -12,7 +12,7 @@ from tidepool.llm.common import binary_rows, deltas, in_blocks, key_bits, messag
 #: Bytes that count as a repeat, and bytes of the q-grams that name the first buckets.
 LENGTH, GRAM = 50, 16
 #: Window starts that are looked at together; their places fit in PLACE_BITS.
-CHUNK, PLACE_BITS = 1 << 19, 20
+CHUNK, PLACE_BITS = 1 << 16, 20
 #: Bytes of shared runs that a task refines together, in whole buckets.
 REFINE = 1 << 20
 #: Null ids come after all others.
