@@ -21,8 +21,9 @@ BASES = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 END = 255
 #: Learning rate, n-grams of one step, steps after which the rate halves; intervals of the refinement.
 RATE, STEP, HALVING, CELLS = 0.4, 2048, 200, 24
-#: Bytes whose n-grams are counted at a time.
-SLICE = 4 << 20
+#: Bytes of a block of documents, and of those whose n-grams are counted at a time.
+BLOCK = 8 << 20
+SLICE = 2 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -67,7 +68,7 @@ def grams(data: np.ndarray, offsets: np.ndarray):
         for k in range(wide):
             own[begin[:-1] + k] = False
         numbers, distinct = pd.factorize(gram[own[wide:]])
-        yield first, np.concatenate([[0], np.cumsum(lengths + 1)]), numbers, distinct
+        yield first, np.concatenate([[0], np.cumsum(lengths + 1)]), numbers.astype(np.int32), distinct
         first = last
 
 
@@ -281,19 +282,24 @@ def _score_block(table, weights: np.ndarray, refined: np.ndarray, parts: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         data, offsets = utf8(docs)
         raw = data.tobytes()
-        texts = [_words(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-        known = {}
+        ends, known = list(zip(offsets.tolist(), offsets[1:].tolist())), {}
+        for a, b in ends:
+            known.update(dict.fromkeys(_words(raw[a:b])))
         answers = {p: unpack(x)[0] for p, x in zip(replies.column("_part").to_pylist(), messages(replies))}
-        for p, words in enumerate(_by_part({w for t in texts for w in t}, parts)):
+        for p, words in enumerate(_by_part(known, parts)):
             known.update(zip(words, answers[p].tolist() if words else ()))
-        counts = [np.array([known[w] for w in t], np.int64) for t in texts]
+        tokens, seen, logs = (np.zeros(len(ends), kind) for kind in (np.int64, np.int64, float))
+        for k, (a, b) in enumerate(ends):
+            counts = np.array([known[w] for w in _words(raw[a:b])], np.int64)
+            tokens[k], seen[k], logs[k] = len(counts), (counts > 0).sum(), np.log10(counts + 1.0).sum()
+        del known
         #: Each distinct n-gram of the block is scored once.
         found = list(grams(data, offsets))
         distinct = np.unique(np.concatenate([np.zeros(0, np.int64), *[d for _, _, _, d in found]]))
-        value, score = Mixer(table.value, weights, refined).log10(distinct), np.zeros(len(texts))
+        value, score = Mixer(table.value, weights, refined).log10(distinct), np.zeros(len(ends))
         for first, begin, numbers, own in found:
             score[first : first + len(begin) - 1] = np.add.reduceat(value[np.searchsorted(distinct, own)][numbers], begin[:-1])
-        columns = [docs.column("doc_id"), docs.column("_train"), pa.array([len(c) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64()), pa.array([float(np.log10(c + 1.0).sum()) for c in counts], pa.float64()), pa.array(score, pa.float64()), pa.array(np.diff(offsets), pa.int64())]
+        columns = [docs.column("doc_id"), docs.column("_train"), pa.array(tokens), pa.array(seen), pa.array(logs), pa.array(score), pa.array(np.diff(offsets), pa.int64())]
         return pa.table(columns, ["doc_id", "_train", "n_tokens", "n_known", "_sum", "score", "n_bytes"])
 
     return run
@@ -317,7 +323,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     once a block. Weights are averaged over parts, so they depend on the number of blocks a little.
     """
     spark = docs.sparkSession
-    rows, n = in_blocks(docs, id_col, text_col)
+    rows, n = in_blocks(docs, id_col, text_col, BLOCK)
     blocks = rows.select("_block", "doc_id", (~held_out(F.col("doc_id"))).alias("_train"), "text").repartition(n, "_block")
     asked = blocks.groupBy("_block").applyInArrow(_count_block(n), ASKED)
     told = materialize(asked.groupBy("_kind", "_part").applyInArrow(_sum_part, TOLD), "lm-counts")
