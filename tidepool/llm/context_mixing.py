@@ -22,7 +22,7 @@ END = 255
 #: Learning rate, n-grams of one step, steps after which the rate halves; intervals of the refinement.
 RATE, STEP, HALVING, CELLS = 0.4, 2048, 200, 24
 #: Bytes of a block of documents, and of those whose n-grams are counted at a time.
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 SLICE = 2 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -192,8 +192,9 @@ def _count_block(parts: int):
         own = table.filter(pa.array(train))
         found = [(d, np.bincount(n, minlength=len(d))) for _, _, n, d in grams(*utf8(own))] if own.num_rows else []
         if found:
-            gram, number = np.unique(np.concatenate([d for d, _ in found]), return_inverse=True)
-            count = np.bincount(number, np.concatenate([c for _, c in found])).astype(np.int64)
+            number, gram = pd.factorize(np.concatenate([d for d, _ in found]))
+            count, order = np.bincount(number, np.concatenate([c for _, c in found])).astype(np.int64), np.argsort(gram)
+            gram, count = gram[order], count[order]
             part = mix64(gram) % np.uint64(parts)
             for p in range(parts):
                 mine = part == p
@@ -295,10 +296,11 @@ def _score_block(table, weights: np.ndarray, refined: np.ndarray, parts: int):
         del known
         #: Each distinct n-gram of the block is scored once.
         found = list(grams(data, offsets))
-        distinct = np.unique(np.concatenate([np.zeros(0, np.int64), *[d for _, _, _, d in found]]))
-        value, score = Mixer(table.value, weights, refined).log10(distinct), np.zeros(len(ends))
+        number, distinct = pd.factorize(np.concatenate([np.zeros(0, np.int64), *[d for _, _, _, d in found]]))
+        value, score, at = Mixer(table.value, weights, refined).log10(distinct)[number], np.zeros(len(ends)), 0
         for first, begin, numbers, own in found:
-            score[first : first + len(begin) - 1] = np.add.reduceat(value[np.searchsorted(distinct, own)][numbers], begin[:-1])
+            score[first : first + len(begin) - 1] = np.add.reduceat(value[at : at + len(own)][numbers], begin[:-1])
+            at += len(own)
         columns = [docs.column("doc_id"), docs.column("_train"), pa.array(tokens), pa.array(seen), pa.array(logs), pa.array(score), pa.array(np.diff(offsets), pa.int64())]
         return pa.table(columns, ["doc_id", "_train", "n_tokens", "n_known", "_sum", "score", "n_bytes"])
 
