@@ -145,3 +145,67 @@ def blocks(found: DataFrame, id_col: str = "page_id", most: int = 160) -> DataFr
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(id_col).orderBy("ord"))).filter(F.col("_n") <= most)
     block = F.concat(F.col(id_col).cast("string"), F.lit(":"), F.substring(F.sha1(F.concat(F.col("ord").cast("string"), F.lit(":"), T.segment_key(F.col("text")))), 1, 12))
     return rows.select(id_col, "ord", block.alias("block_id"), "tag", "path", "role", "confidence", T.truncated(F.col("text")).alias("text"))
+
+
+BLOCK_TAGS = frozenset("section article nav footer header aside table div form dialog tr".split())
+HEADINGS = frozenset("h1 h2 h3 h4".split())
+INLINE = frozenset("b i em strong span br a small sup".split())
+
+
+def parse_blocks(markup: str) -> list[tuple]:
+    """(ord, tag, path, classes, heading, lines, buttons) of a page's blocks: sectioning elements that hold
+    text, innermost ones and those with a heading of their own."""
+    tree = _Tree()
+    tree.feed(markup)
+    tree.close()
+    nodes, paths, inside, below = tree.nodes, [], {}, {}
+    for n in nodes:
+        below.setdefault(n["parent"], set()).add(n["tag"])
+    squeeze = lambda parts: re.sub(r"\s+", " ", "".join(parts)).strip()
+    for i, n in enumerate(nodes):
+        paths.append((paths[n["parent"]] + ">" if n["parent"] >= 0 else "") + n["tag"])
+        up = n["parent"]
+        while up >= 0 and nodes[up]["tag"] not in BLOCK_TAGS:
+            up = nodes[up]["parent"]
+        n["block"] = up
+        if n["tag"] in BLOCK_TAGS:
+            inside[i] = {"heading": None, "lines": [], "buttons": [], "blocks": 0}
+        if up >= 0:
+            text, own = squeeze(n["all"]), inside[up]
+            own["blocks"] += n["tag"] in BLOCK_TAGS
+            if n["tag"] in HEADINGS and own["heading"] is None:
+                own["heading"] = text
+            if n["tag"] in ("a", "button") and text:
+                own["buttons"].append(text)
+            if text and n["tag"] not in BLOCK_TAGS and below.get(i, set()) <= INLINE:
+                if nodes[n["parent"]]["tag"] not in ("p", "li", "a", "button", *HEADINGS):
+                    own["lines"].append(text)
+    out = []
+    for i, own in inside.items():
+        lines = own["lines"] or ([squeeze(nodes[i]["all"])] if not own["blocks"] else [])
+        lines = [x for x in lines if x]
+        if lines:
+            out.append((i, nodes[i]["tag"], paths[i], nodes[i]["attrs"].get("class", ""), own["heading"] or "", lines, own["buttons"]))
+    return out
+
+
+def _block_batches(batches):
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+    names = ["ord", "tag", "path", "classes", "heading", "lines", "buttons"]
+    for batch in batches:
+        found = [parse_blocks(x.as_py() or "") for x in batch.column("_html")]
+        index = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+        keep = [c for c in batch.schema.names if c != "_html"]
+        cols = [pa.array([r[k] for rows in found for r in rows], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], *cols], [*keep, *names])
+
+
+def evidence_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
+    """Blocks of pages with heading, lines, button texts, role and an id that follows from place and content."""
+    keep = [id_col, *(carry or [])]
+    rows = pages.select(*keep, F.col(html_col).alias("_html"))
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    rows = rows.mapInArrow(_block_batches, f"{kept}, ord int, tag string, path string, classes string, heading string, lines array<string>, buttons array<string>")
+    body = F.array_join("lines", "\n")
+    block = F.concat(F.col(id_col).cast("string"), F.lit(":"), F.substring(F.sha1(F.concat(F.col("ord").cast("string"), F.lit(":"), T.segment_key(body))), 1, 12))
+    return rows.withColumns({"block_id": block, "text": body, "role": block_role(F.col("path"), F.col("classes"), body)})
