@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepool.functions import money
-from tidepool.operators import scoring, versions
+from tidepool.operators import recommend, scoring, versions
 from tidepool.plans.registry import query, table
 
 ORDER_PRICES = "p as (select o_custkey as page_id, o_orderkey as snapshot_id, o_orderdate as created_at, min(l_extendedprice) as lowest, max(l_extendedprice) as highest from orders join lineitem on l_orderkey = o_orderkey group by 1, 2, 3)"
@@ -175,3 +175,23 @@ def currency_amounts(spark, sf_dir):
 def price_contexts(spark, sf_dir):
     """What the amounts of the same sentences are about."""
     return spark.createDataFrame(list(enumerate(PRICE_TEXTS)), "text_id int, text string").select("text_id", money.price_context(F.col("text")).alias("context"))
+
+
+@query(
+    f"with f as (select s_nationkey as user_id, l_suppkey as entity_id, p_type as field, p_brand as value, {CONF} as score from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey where p_size <= 2), "
+    "g as (select user_id, field, count(distinct entity_id) as supporters, count(distinct lower(trim(value))) as signals, avg(score) as mean from f where score >= 0.55 group by 1, 2), "
+    "n as (select *, case when mean >= 0.9 then 1 when mean >= 0.75 then 2 when mean >= 0.6 then 3 else 4 end as needed from g), "
+    "k as (select user_id, field, supporters, signals, needed, least(96, floor(round(48 + least(supporters, 4) * 9 + mean * 20, 6) + 0.5))::int as confidence from n where supporters >= needed and field <> 'PROMO'), "
+    "s as (select *, round(least(0.94, 0.54 + signals * 0.12 + supporters * 0.06), 4) as novelty, least(100, floor(0.86::double * 0.62::double * (confidence / 100.0::double) / 0.7::double * 100 + 0.5))::int as priority from k), "
+    "r as (select *, row_number() over (partition by user_id order by novelty desc, priority desc, confidence desc, field) as rank from s) "
+    "select user_id, field, supporters, confidence, novelty, priority, rank::int as rank, case when confidence >= 90 then 'highlight' when confidence >= 75 then 'normal' else 'collapsed' end as visibility from r where rank <= 3"
+)
+def recommended_gaps(spark, sf_dir):
+    """What a nation's suppliers agree on and the nation's own facts (here PROMO everywhere) don't have."""
+    parts = table(spark, sf_dir, "part").filter("p_size <= 2").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("field"), F.col("p_brand").alias("value"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("user_id"))
+    facts = _facts(spark, sf_dir).join(parts, "l_partkey").join(suppliers, "l_suppkey")
+    others = facts.select("user_id", F.col("l_suppkey").alias("entity_id"), "field", "value", F.col("confidence").alias("score"))
+    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("user_id"), F.lit("PROMO").alias("field"), F.lit(0.9).alias("score"))
+    rows = recommend.ranked(recommend.supported_gaps(own, others))
+    return rows.select("user_id", "field", "supporters", "confidence", "novelty", "priority", "rank", "visibility")
