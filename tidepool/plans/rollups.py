@@ -11,8 +11,8 @@ from tidepool.plans.web import URL_PARTS
 
 
 @query(
-    "with f as (select l_suppkey, l_shipmode_ as v, min(l_linenumber * 100000000 + l_orderkey) as at, max(l_quantity) as s, count(*) as n from (select *, l_returnflag || l_linestatus as l_shipmode_ from lineitem) group by 1, 2) "
-    "select l_suppkey as entity_id, array_to_string(list_slice(list(v order by at, v), 1, 3), ',') as first_values, max(s) as best, sum(n)::bigint as facts from f group by 1"
+    "with f as (select l_suppkey, l_shipmode_ as v, min(l_linenumber * 100000000 + l_orderkey) as pos, max(l_quantity) as s, count(*) as n from (select *, l_returnflag || l_linestatus as l_shipmode_ from lineitem) group by 1, 2) "
+    "select l_suppkey as entity_id, array_to_string(list_slice(list(v order by pos, v), 1, 3), ',') as first_values, max(s) as best, sum(n)::bigint as facts from f group by 1"
 )
 def entity_profile(spark, sf_dir):
     """Profile of each supplier: its first distinct values, best score and number of facts."""
