@@ -20,7 +20,7 @@ BASES = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 #: What ends a text for the model; no UTF-8 text has it.
 END = 255
 #: Learning rate, n-grams of one step, steps after which the rate halves; intervals of the refinement.
-RATE, STEP, HALVING, CELLS = 0.4, 2048, 200, 24
+RATE, STEP, HALVING, CELLS = 1.5, 2048, 200, 24
 #: Bytes of a block of documents, and of those whose n-grams are counted at a time.
 BLOCK = 12 << 20
 SLICE = 2 << 20
