@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepool.functions import urls
-from tidepool.operators import extract
+from tidepool.operators import display, extract
 from tidepool.plans import fixtures
 from tidepool.plans.registry import query, table
 from tidepool.sources import html
@@ -87,3 +87,41 @@ def page_calls_to_action(spark, sf_dir):
     """Buttons and links of the crawled pages by intent and rank."""
     pages = table(spark, sf_dir, "pages").withColumn("page_type", urls.path_type(F.col("url")))
     return extract.calls_to_action(html.evidence_blocks(pages, carry=["page_type"]))
+
+
+def _facts(spark):
+    blocks = _blocks(spark)
+    return display.page_facts(_models(spark), extract.calls_to_action(blocks), extract.positioning(blocks), extract.features(blocks))
+
+
+@query("select * from (values (1, 1, 'Pro', '$29 / month'), (1, 2, 'Enterprise', 'Contact sales'), (2, 1, 'Basic', '€9.99 / month'), (2, 2, 'Team', '€1249 / year')) as t(page_id, rank, plan, price_text)")
+def price_options(spark, sf_dir):
+    """Options that are shown for each page, cheapest by the month first."""
+    blocks = _blocks(spark)
+    return display.price_options(extract.plans(blocks, extract.prices(blocks))).select("page_id", "rank", "plan", "price_text")
+
+
+@query(
+    "select * from (values (1, 'Positioning: Plan your week in one place. Pricing: 29.0. Cta: Start free', 'feature'), (2, 'Pricing: 9.99', 'positioning,cta,feature'), "
+    "(3, 'Positioning: Automatic schedules. Pricing: no_public_pricing. Feature: Automatic schedules', 'cta')) as t(page_id, summary, unknown)"
+)
+def page_summaries(spark, sf_dir):
+    """One sentence from the best fact of each section, and what is unknown."""
+    rows = display.summary(display.best_by_section(_facts(spark), "page_id"), "page_id")
+    return rows.select("page_id", "summary", F.array_join("unknown", ",").alias("unknown"))
+
+
+@query(
+    "select * from (values (1, true, true, false, false), (2, true, true, false, false), (3, false, true, true, false), (4, true, true, true, true), (5, true, true, false, false), (6, true, true, false, false)) "
+    "as t(page_id, run_pricing, run_cta, run_features, run_changelog)"
+)
+def extraction_gates(spark, sf_dir):
+    """Which analyses run on which page."""
+    return fixtures.pages(spark).join(F.broadcast(display.gates(spark)), "page_type").select("page_id", "run_pricing", "run_cta", "run_features", "run_changelog")
+
+
+@query("select * from (values (1, 0, 'Product', 'Brightloom'), (1, 2, 'Offer', null)) as t(page_id, ord, type, name)")
+def linked_data(spark, sf_dir):
+    """Linked data in pages; what doesn't parse is left out."""
+    page = '<script type="application/ld+json">{"@type":"Product","name":"Brightloom"}</script><script type="application/ld+json">{broken</script><script type="application/ld+json">{"@type":"Offer"}</script>'
+    return html.json_ld(spark.createDataFrame([(1, page), (2, None)], "page_id bigint, html string")).select("page_id", "ord", "type", "name")

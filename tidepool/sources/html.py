@@ -209,3 +209,12 @@ def evidence_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     body = F.array_join("lines", "\n")
     block = F.concat(F.col(id_col).cast("string"), F.lit(":"), F.substring(F.sha1(F.concat(F.col("ord").cast("string"), F.lit(":"), T.segment_key(body))), 1, 12))
     return rows.withColumns({"block_id": block, "text": body, "role": block_role(F.col("path"), F.col("classes"), body)})
+
+
+def json_ld(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = 5) -> DataFrame:
+    """The first five scripts of linked data of each page that parse, as VARIANT with type and name."""
+    found = F.regexp_extract_all(html_col, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    rows = pages.select(id_col, F.posexplode(found).alias("ord", "_text")).withColumn("data", F.try_parse_json(F.trim("_text"))).filter("data is not null")
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(id_col).orderBy("ord"))).filter(F.col("_n") <= most)
+    field = lambda path: F.try_variant_get("data", path, "string")
+    return rows.select(id_col, "ord", field("$['@type']").alias("type"), field("$.name").alias("name"), "data")
