@@ -12,7 +12,7 @@ from tidepool.llm.common import binary_rows, deltas, in_blocks, key_bits, messag
 #: Bytes that count as a repeat, and bytes of the q-grams that name the first buckets.
 LENGTH, GRAM = 50, 16
 #: Window starts that are looked at together; their places fit in PLACE_BITS.
-CHUNK, PLACE_BITS = 1 << 16, 20
+CHUNK, PLACE_BITS = 1 << 16, 17
 #: Bytes of shared runs that a task refines together, in whole buckets.
 REFINE = 1 << 20
 #: Null ids come after all others.
@@ -48,14 +48,15 @@ def buckets(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     for a in range(0, len(data) - length + 1, CHUNK):
         b = min(a + CHUNK, len(data) - length + 1)
         h = _gram_hashes(data[a : b + length - 1])
-        least = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
+        #: The hash's first bits and the place in one number, so the least is the first of equals.
+        least = ((h >> np.uint64(32 + PLACE_BITS)).astype(np.uint32) << np.uint32(PLACE_BITS)) | np.arange(len(h), dtype=np.uint32)
         step = 1
         while 2 * step <= wide:
             least = np.minimum(least[:-step], least[step:])
             step *= 2
         if step < wide:
             least = np.minimum(least[: step - wide], least[wide - step :])
-        gram = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        gram = (least & np.uint32((1 << PLACE_BITS) - 1)).astype(np.int64)
         #: Windows that reach beyond their document.
         i, j = np.searchsorted(ends, a, "right"), np.searchsorted(begins, b, "left")
         over = np.zeros(b - a + 1, np.int32)
@@ -275,7 +276,7 @@ def _remove(length: int):
             at = (np.repeat(start[some], n) + inner)[gone]
             np.add.at(change, at, 1)
             np.add.at(change, at + length, -1)
-        covered = np.cumsum(change[:-1]) > 0
+        covered = np.cumsum(change[:-1], dtype=np.int32, out=change[:-1]) > 0
         spans, kept = [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             inside = covered[a:b]
