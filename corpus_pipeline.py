@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidepool.llm import exact_dedup, mixing, near_dedup, sentence_pieces, toxicity
 from tidepool.llm.common import materialize
