@@ -48,6 +48,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def boxed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_doc, _doc_id, _doc_text): all columns in one, so that names of a table's own can't clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("long").alias("_doc_id"), text_of(text_col).alias("_doc_text"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepool.llm.common import attach_groups, materialize, text_of
+from tidepool.llm.common import attach_groups, boxed, materialize, text_of
 
 #: Bits of one bitmap, as Spark's bitmap functions lay them out.
 BITMAP_BITS = 32768
@@ -81,8 +81,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents that stay, with all their columns; of rows with the same id, those whose text has
     the kept length and digest, one each."""
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    text = text_of(text_col)
-    rows = docs.withColumn("_norm_sha", F.sha2(normalised(text), 256)).withColumn("_len", F.char_length(text))
-    rows = rows.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_norm_sha") == F.col("_sha")))
-    one = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_sha").orderBy(F.desc("_len"), F.xxhash64(text))))
-    return one.filter("_rank = 1").select(*docs.columns)
+    rows = boxed(docs, id_col, text_col)
+    rows = rows.withColumns({"_norm_sha": F.sha2(normalised(F.col("_doc_text")), 256), "_len": F.char_length("_doc_text"), "_order": F.xxhash64("_doc_text")})
+    rows = rows.join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_norm_sha") == F.col("_sha"))).drop("_doc_text")
+    one = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_sha").orderBy(F.desc("_len"), "_order")))
+    return one.filter("_rank = 1").select("_doc.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepool.llm.common import materialize, shuffle_partitions, text_of
+from tidepool.llm.common import boxed, materialize, shuffle_partitions, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by the rank of the source, repeating; share of all words; cap as a multiple of a source.
@@ -91,17 +91,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_c
     plan = mix_plan(docs, id_col, text_col, hashed=True, **options)
     plan = plan.select(key("doc_id").alias("_id"), "_hash", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     plan = plan.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.desc("_taken")))).filter("_taken > 0")
-    rows = docs.withColumn("_id", key(id_col)).withColumn("_hash", F.xxhash64(text_of(text_col)))
+    rows = boxed(docs, id_col, text_col).withColumns({"_id": key("_doc_id"), "_hash": F.xxhash64("_doc_text")}).drop("_doc_text")
     rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_hash")))
     rows = rows.join(plan, ["_id", "_hash", "_rank"])
     times, rest = F.floor(F.col("_taken") / F.col("_size")), (F.col("_taken") % F.col("_size"))
     whole = F.array_repeat(F.lit(0).cast("long"), times.cast("int"))
     rows = rows.withColumn("_cut", F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
     #: Pieces that end with a word each; white space goes with the word behind it.
-    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.col("_doc").getField(text_col)
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     first = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_cut"), F.lit(1)).cast("int")), "")
-    rows = rows.withColumn(text_col, F.when(F.col("_cut") > 0, first).otherwise(F.col(text_col)))
+    rows = rows.withColumn("_doc", F.col("_doc").withField(text_col, F.when(F.col("_cut") > 0, first).otherwise(text)))
     if chars_col in docs.columns:
-        kind = docs.schema[chars_col].dataType
-        rows = rows.withColumn(chars_col, F.when(F.col("_cut") > 0, F.char_length(text_col).cast(kind)).otherwise(F.col(chars_col)))
-    return rows.select(*docs.columns)
+        n = F.char_length(F.col("_doc").getField(text_col)).cast(docs.schema[chars_col].dataType)
+        rows = rows.withColumn("_doc", F.col("_doc").withField(chars_col, F.when(F.col("_cut") > 0, n).otherwise(F.col("_doc").getField(chars_col))))
+    return rows.select("_doc.*")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepool.llm.common import attach_groups, binary_rows, deltas, in_blocks, key_bits, materialize, messages, mix64, pack, part_edges, text_of, unpack, utf8
+from tidepool.llm.common import attach_groups, binary_rows, boxed, deltas, in_blocks, key_bits, materialize, messages, mix64, pack, part_edges, text_of, unpack, utf8
 
 WORDS, THRESHOLD = 5, 0.8
 #: Samples of a sketch, of which BANDS x BAND_ROWS make bands.
@@ -381,6 +381,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near_duplicates() keeps of it."""
     found = near_duplicates(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_id"))
     found = found.agg(F.sum(F.col("kept").cast("int")).alias("_keep"), F.count("*").alias("_all")).filter("_keep < _all")
-    rows = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").filter("_keep is null or _keep > 0")
-    some = rows.filter("_keep > 0").withColumn("_rank", F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64(text_of(text_col)))))
-    return rows.filter("_keep is null").select(*docs.columns).unionByName(some.filter("_rank <= _keep").select(*docs.columns))
+    rows = boxed(docs, id_col, text_col).withColumn("_order", F.xxhash64("_doc_text")).drop("_doc_text")
+    rows = rows.join(found, F.col("_doc_id").eqNullSafe(F.col("_id")), "left").filter("_keep is null or _keep > 0")
+    some = rows.filter("_keep > 0").withColumn("_rank", F.row_number().over(W.partitionBy("_id").orderBy("_order")))
+    return rows.filter("_keep is null").select("_doc.*").unionByName(some.filter("_rank <= _keep").select("_doc.*"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import bounded_batches, materialize, text_of
+from tidepool.llm.common import bounded_batches, boxed, materialize, text_of
 
 #: Word classes of the grammar; fixed values.
 INSULTS = "idiot idiots moron morons stupid imbecile loser losers scum trash garbage filth vermin worthless pathetic disgusting clown clowns fool fools dumb jerk freak creep pig pigs rat rats coward liar scumbag dumbass asshole bastard bitch".split()
@@ -274,4 +274,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     key = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("none"))
     out = score_toxicity(docs, labels, id_col, text_col, hashed=True).filter("predicted = 1")
     out = out.select(key(F.col("doc_id")).alias("_out_id"), F.col("_hash").alias("_out_hash")).distinct()
-    return docs.join(out, (key(F.col(id_col)) == F.col("_out_id")) & (F.xxhash64(text_of(text_col)) == F.col("_out_hash")), "left_anti")
+    rows = boxed(docs, id_col, text_col)
+    rows = rows.join(out, (key(F.col("_doc_id")) == F.col("_out_id")) & (F.xxhash64("_doc_text") == F.col("_out_hash")), "left_anti")
+    return rows.select("_doc.*")
