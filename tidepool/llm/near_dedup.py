@@ -20,8 +20,8 @@ SAMPLES, BANDS, BAND_ROWS = 96, 16, 3
 IDF_SHARE = 0.25
 #: Members of a block when the rest of a group is compared; pairs of one center that one salt takes.
 CHUNK, SALT_PAIRS = 250, 4096
-#: Bytes that are hashed at a time.
-SLICE = 1 << 20
+#: Bytes of a block of documents, and of those that are hashed at a time.
+BLOCK, SLICE = 8 << 20, 1 << 20
 BASE = 0x5851F42D4C957F2D
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -342,7 +342,7 @@ def near_duplicates(
     documents have. A text of which less than the threshold's share of weight is shared can't have a
     partner, so only the others get a sketch. The bands miss a pair at 0.8 about once in 100,000.
     """
-    rows, n = in_blocks(docs, id_col, text_col)
+    rows, n = in_blocks(docs, id_col, text_col, BLOCK)
     sums = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_of(text_col))).alias("b")).first()
     bits = key_bits(sums["b"] or 0)
     blocks = rows.select("_block", "doc_id", "text").repartition(n, "_block")
