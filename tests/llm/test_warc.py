@@ -66,3 +66,21 @@ def test_chunk_framing():
     assert warc.dechunked(b"5;ext=1\r\nhello\r\n0\r\nTrailer: x\r\n\r\n") == b"hello"
     assert warc.dechunked(warc.chunked(b"ab" * 5000)) == b"ab" * 5000
     assert warc.dechunked(b"5\r\nhell") is None and warc.dechunked(b"zz\r\n") is None
+
+
+def test_blocks_that_end_in_line_ends():
+    block = b"a\r\nbc\r\n\r\nd\r\n\r\n\r\n\r\re\r\n"
+    blocks = [block[:k] for k in range(len(block) + 1)]
+    blocks = [*blocks, *reversed(blocks), b"\r\n", b"\r\n\r\n", b"\r\n\r\n\r\n", b"\r\n"]
+    stream = b"".join(warc._record({"WARC-Type": "response", "WARC-Record-ID": f"<{k}>"}, x) + b"\r\n\r\n" for k, x in enumerate(blocks))
+    reader = warc.Reader()
+    found = [(f["warc-record-id"], x) for piece in stream.split(b"\r\n\r\n") for f, x in reader.feed(piece)]
+    assert found == [(f"<{k}>", x) for k, x in enumerate(blocks)]
+
+
+def test_pages_cut_behind_line_ends(spark, tmp_path):
+    html = "".join(f"<p>{k}</p>\r\n" for k in range(12)) + "\r\n\r\n\r\nx\r\n"
+    rows = [(k, "u", "x" * k + html) for k in range(60)]
+    warc.write_pages(table(spark, rows).coalesce(1), f"file://{tmp_path}/w", segment=40)
+    found = warc.page_table(warc.reassemble(warc.read_records(spark, f"file://{tmp_path}/w"))).collect()
+    assert sorted(tuple(r) for r in found) == expected(rows)

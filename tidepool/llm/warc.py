@@ -102,21 +102,29 @@ class Reader:
     """Takes a stream apart into records, however it is cut into pieces."""
 
     def __init__(self):
-        self.head, self.rest = bytearray(), None
+        self.rest = None
 
     def feed(self, piece: bytes):
-        """A piece is what stands before the next END; yields (fields, block) of finished records."""
+        """A piece is what stands before the next END; yields (fields, block) of finished records.
+
+        A block that ends in a line end and the END behind it are cut two bytes early; what follows
+        the block's length and its END is then the next record's header.
+        """
         if self.rest is None:
-            self.fields = dict(self._field(x) for x in piece.decode("utf-8", "surrogateescape").split("\r\n") if ":" in x)
-            self.rest, self.block, self.first = int(self.fields.get("content-length", 0)), bytearray(), True
+            if piece.strip(b"\r\n"):
+                self.fields = dict(self._field(x) for x in piece.decode("utf-8", "surrogateescape").split("\r\n") if ":" in x)
+                self.rest, self.block, self.first = int(self.fields.get("content-length", 0)), bytearray(), True
             return
         if not self.first:
             self.block += END.encode()
         self.first = False
         self.block += piece
         if len(self.block) >= self.rest:
+            behind = bytes(self.block[self.rest :])
             yield self.fields, bytes(self.block[: self.rest])
             self.rest = None
+            if behind.startswith(END.encode()):
+                yield from self.feed(behind[len(END) :])
 
     @staticmethod
     def _field(line: str) -> tuple[str, str]:
