@@ -56,6 +56,20 @@ def test_repeated_rows_and_null_ids(spark):
     assert near_dedup.near_dedup(docs).columns == docs.columns
 
 
+def test_each_class_keeps_a_row_where_ids_repeat(spark):
+    import random
+
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(words(rng, 40)) for _ in range(5))
+    for i in (None, 7):
+        docs = documents(spark, [(i, a), (i, a), (i, b), (i, b), (1, c), (i, c + " "), (i, d), (i, e), (2, e)])
+        rows = near_dedup.near_duplicates(docs).collect()
+        assert len(rows) == 9 and sum(r.kept for r in rows) == 5
+        assert sorted((r.class_id or 0) for r in rows if r.kept) == sorted([i or 0] * 3 + [1, 2])
+        kept = near_dedup.near_dedup(docs).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(i or 0, a), (i or 0, b), (1, c), (i or 0, d), (2, e)])
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).collect() == []
 

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidepool.llm.common import attach_groups, binary_rows, boxed, deltas, in_blocks, key_bits, materialize, messages, mix64, pack, part_edges, text_of, unpack, utf8
 
@@ -161,12 +160,12 @@ def _answer_part(table: pa.Table) -> pa.Table:
     return binary_rows(rows, "_block", "_part", "payload")
 
 
-SKETCHED = "doc_id bigint, node binary, own boolean, total double, center double, sketch binary, bands array<string>, weights binary"
+SKETCHED = "doc_id bigint, _key bigint, _row bigint, node binary, own boolean, total double, center double, sketch binary, bands array<string>, weights binary"
 
 
 def _sketch_block(bits: int, words: int, documents: int, threshold: float, samples: int, bands: int, band_rows: int, idf_share: float, seed: int):
-    """Documents of a block that can have a near duplicate: of each different word sequence one with its
-    sketch and weights (own), the others by node only."""
+    """The documents of a block, numbered by _row: of each different word sequence that can have a near
+    duplicate one with its sketch and weights (own), the others of it by node only, the rest without a node."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         data, offsets = utf8(table)
@@ -190,20 +189,24 @@ def _sketch_block(bits: int, words: int, documents: int, threshold: float, sampl
         sampler, seen, rows = Sampler(samples, seed), {}, []
         edges = np.searchsorted(doc, np.arange(n + 1))
         empty = [i for i in range(n) if edges[i] == edges[i + 1]]
-        ids = table.column("doc_id").to_pylist()
+        place = table.column("_block")[0].as_py() << 32 if n else 0
+        head = list(zip(table.column("doc_id").to_pylist(), table.column("_key").to_pylist(), range(place, place + n)))
+        alone = np.ones(n, bool)
         for i in [*empty, *np.flatnonzero((shared >= threshold * total * (1 - 1e-6)) & (total > 0))]:
+            alone[i] = False
             node = hashlib.sha256(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split())).digest()[:16]
             if node in seen:
-                rows.append((ids[i], node, False, None, None, None, None, None))
+                rows.append((*head[i], node, False, None, None, None, None, None))
                 continue
             seen[node] = i
             own, codes = slice(edges[i], edges[i + 1]), np.zeros(0, np.uint32)
             if total[i]:
                 codes = sampler.sketch(h[own], weight[own])
             keyed = [f"{k}-{codes[k * band_rows : (k + 1) * band_rows].tobytes().hex()}" for k in range(bands if total[i] else 0)]
-            rows.append((ids[i], node, True, float(total[i]), float(center[i] / max(total[i], 1e-9)), codes.tobytes(), keyed, pack(deltas(h[own]), weight[own])))
-        kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.binary()]
-        names = ["doc_id", "node", "own", "total", "center", "sketch", "bands", "weights"]
+            rows.append((*head[i], node, True, float(total[i]), float(center[i] / max(total[i], 1e-9)), codes.tobytes(), keyed, pack(deltas(h[own]), weight[own])))
+        rows += [(*head[i], None, False, None, None, None, None, None) for i in np.flatnonzero(alone)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.binary()]
+        names = ["doc_id", "_key", "_row", "node", "own", "total", "center", "sketch", "bands", "weights"]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return run
@@ -325,27 +328,15 @@ def near_links(nodes: DataFrame, threshold: float = THRESHOLD, samples: int = SA
     return links.unionByName(more.select(F.col("node").alias("a"), F.col("c_node").alias("b")))
 
 
-def near_duplicates(
+def _classed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
     samples: int = SAMPLES, bands: int = BANDS, band_rows: int = BAND_ROWS, idf_share: float = IDF_SHARE, seed: int = 1,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), class_size, kept.
-
-    Two documents are linked if the weighted Jaccard similarity of their word shingles is at least
-    the threshold; a weight is the count in the text times 1 + idf_share x ln(1 + N / df) / ln(1 + N)
-    over all N documents. Classes are what links join; the row with the smallest id is kept, one of
-    rows that tie. Words are what white space [\\x20\\x09-\\x0D] separates, as they are; a text of fewer
-    words than a shingle is one shingle; texts without words, null ones too, form one class.
-    Null ids come last. An empty table gives an empty result; further columns are ignored.
-
-    Blocks of documents send their shingles' hashes to be counted and get back those that several
-    documents have. A text of which less than the threshold's share of weight is shared can't have a
-    partner, so only the others get a sketch. The bands miss a pair at 0.8 about once in 100,000.
-    """
+    """near_duplicates() with the _key of each row, the hash of id and text that in_blocks() gives it."""
     rows, n = in_blocks(docs, id_col, text_col, BLOCK)
     sums = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_of(text_col))).alias("b")).first()
     bits = key_bits(sums["b"] or 0)
-    blocks = rows.select("_block", "doc_id", "text").repartition(n, "_block")
+    blocks = rows.select("_block", "_key", "doc_id", "text").repartition(n, "_block")
     asked = blocks.groupBy("_block").applyInArrow(_count_block(bits, n, words), "_part int, _from int, payload binary")
     told = asked.groupBy("_part").applyInArrow(_answer_part, "_block int, _part int, payload binary")
     sketch = _sketch_block(bits, words, max(1, sums["n"]), threshold, samples, bands, band_rows, idf_share, seed)
@@ -354,34 +345,48 @@ def near_duplicates(
     first = found.filter("own").groupBy("node").agg(*[F.first(c).alias(c) for c in ("total", "center", "sketch", "bands", "weights")])
     nodes = materialize(first, "nodes")
     roots = components(near_links(nodes, threshold, samples))
-    copies = found.groupBy("node").agg(F.min("doc_id").alias("_min"), F.count("*").alias("_copies"))
+    #: The row of the smallest id, of rows that tie the one with the smallest key: it stays for its class.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "_row"))
+    copies = found.filter("node is not null").groupBy("node").agg(least.alias("_min"), F.count("*").alias("_copies"))
     copies = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = copies.groupBy("root").agg(F.min("_min").alias("class_id"), F.sum("_copies").alias("class_size"), F.count("*").alias("_nodes"))
-    copies = attach_groups(copies.withColumn("_key", F.hex("root")), classes.select(F.hex("root").alias("_key"), "class_id", "class_size", "_nodes"), "_key", "_nodes", max(1, sums["n"]), F.hex("node"))
-    copies = materialize(copies.filter("class_size > 1").select(F.hex("node").alias("_key"), "class_id", "class_size", "_copies"), "classes")
-    placed = attach_groups(found.select("doc_id", F.hex("node").alias("_key")), copies, "_key", "_copies", max(1, sums["n"]), F.xxhash64("doc_id").cast("string")).filter("class_id is not null or class_size is not null")
-    placed = placed.select("doc_id", "class_id", "class_size")
-    #: Rows that share the class's smallest id are few unless rows repeat; one of them stays.
-    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    firsts = placed.filter(first).groupBy("doc_id", "class_id", "class_size").agg(F.count("*").alias("_n"))
-    firsts = firsts.select("doc_id", "class_id", "class_size", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")).withColumn("kept", F.col("_i") == 1).drop("_i")
-    others = placed.filter(~first).withColumn("kept", F.lit(False))
-    inside = firsts.unionByName(others)
-    #: The documents outside all classes: as many rows as the table has of an id, less those inside.
-    alone = docs.select(F.col(id_col).cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    taken = placed.groupBy("doc_id").agg(F.count("*").alias("_t"))
-    alone = alone.withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(taken.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), "_t"), "_k", "left")
-    alone = alone.withColumn("_left", F.col("_n") - F.coalesce("_t", F.lit(0))).filter("_left > 0")
-    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.explode(F.sequence(F.lit(1).cast("long"), "_left"))).drop("col").withColumn("kept", F.lit(True))
-    return inside.unionByName(alone)
+    classes = copies.groupBy("root").agg(F.min("_min").alias("_least"), F.sum("_copies").alias("class_size"), F.count("*").alias("_nodes"))
+    classes = classes.select(F.hex("root").alias("_key"), F.col("_least.doc_id").alias("class_id"), F.col("_least._row").alias("_stays"), "class_size", "_nodes")
+    copies = attach_groups(copies.withColumn("_key", F.hex("root")), classes, "_key", "_nodes", max(1, sums["n"]), F.hex("node"))
+    copies = materialize(copies.filter("class_size > 1").select(F.hex("node").alias("_node"), "class_id", "_stays", "class_size", "_copies"), "classes")
+    placed = attach_groups(found.filter("node is not null").select("doc_id", "_key", "_row", F.hex("node").alias("_node")), copies, "_node", "_copies", max(1, sums["n"]), F.col("_row").cast("string"))
+    alone = F.col("class_size").isNull()
+    placed = placed.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), (alone | (F.col("_row") == F.col("_stays"))).alias("kept"), "_key")
+    return placed.unionByName(found.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "_key"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id of its class), class_size, kept.
+
+    Two documents are linked if the weighted Jaccard similarity of their word shingles is at least
+    the threshold; a weight is the count in the text times 1 + idf_share x ln(1 + N / df) / ln(1 + N)
+    over all N documents. Classes are what links join; the row with the smallest id is kept, one of
+    rows that tie. Words are what white space [\\x20\\x09-\\x0D] separates, as they are; a text of fewer
+    words than a shingle is one shingle; texts without words, null ones too, form one class.
+    Null ids come last. Classes are told apart by their texts, so each keeps one row where ids are
+    null or repeat. An empty table gives an empty result; further columns are ignored.
+
+    Blocks of documents send their shingles' hashes to be counted and get back those that several
+    documents have. A text of which less than the threshold's share of weight is shared can't have a
+    partner, so only the others get a sketch. The bands miss a pair at 0.8 about once in 100,000.
+    """
+    return _classed(docs, id_col, text_col, **options).drop("_key")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with all their columns, one of each class; of rows that repeat an id as many as
-    near_duplicates() keeps of it."""
-    found = near_duplicates(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_id"))
-    found = found.agg(F.sum(F.col("kept").cast("int")).alias("_keep"), F.count("*").alias("_all")).filter("_keep < _all")
-    rows = boxed(docs, id_col, text_col).withColumn("_order", F.xxhash64("_doc_text")).drop("_doc_text")
-    rows = rows.join(found, F.col("_doc_id").eqNullSafe(F.col("_id")), "left").filter("_keep is null or _keep > 0")
-    some = rows.filter("_keep > 0").withColumn("_rank", F.row_number().over(W.partitionBy("_id").orderBy("_order")))
-    return rows.filter("_keep is null").select("_doc.*").unionByName(some.filter("_rank <= _keep").select("_doc.*"))
+    """The documents with all their columns, one of each class: the row that near_duplicates() keeps, known
+    again by id and text; of rows that agree in both, any one."""
+    key = lambda doc_id, hashed: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), hashed.cast("string"))
+    found = _classed(docs, id_col, text_col, **options).filter("class_size > 1").groupBy(key(F.col("doc_id"), F.col("_key")).alias("_known"))
+    found = found.agg(F.max("kept").alias("_keep"), F.count("*").alias("_n")).filter("not _keep or _n > 1")
+    found = materialize(found, "dropped")
+    rows = boxed(docs, id_col, text_col).withColumn("_known", key(F.col("_doc_id"), F.xxhash64(F.coalesce("_doc_id", F.lit(-1)), "_doc_text")))
+    rows = rows.select("_doc", "_known", F.monotonically_increasing_id().cast("string").alias("_tag"))
+    total = found.agg(F.sum("_n")).first()[0] or 0
+    rows = attach_groups(rows, found, "_known", "_n", max(1, total), F.col("_tag"))
+    one = rows.filter("_keep").groupBy("_known").agg(F.first("_doc").alias("_doc"))
+    return rows.filter("_keep is null").select("_doc.*").unionByName(one.select("_doc.*"))
