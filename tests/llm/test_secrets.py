@@ -83,3 +83,23 @@ def test_layers_end():
 def test_repeated_rows_and_empty_table(spark):
     assert len(secrets.find_secrets(documents(spark, [(1, KEY), (1, KEY), (None, KEY)])).collect()) == 3
     assert secrets.find_secrets(documents(spark, [])).collect() == []
+
+
+def test_url_safe_and_wrapped_runs_are_decoded_whole():
+    rng = random.Random(3)
+    noise = "".join(rng.choice("ab?>~\u00ff\u00fe ") for _ in range(200))
+    text = f"{noise} {KEY} {noise} {ASSIGN}"
+    for raw in (text.encode(), gzip.compress(text.encode()), zlib.compress(text.encode())):
+        safe, plain = base64.urlsafe_b64encode(raw).decode(), base64.b64encode(raw).decode()
+        assert "-" in safe[16:] or "_" in safe[16:]
+        wrapped = [e.join(x[i : i + w] for i in range(0, len(x), w)) for x in (safe, plain) for w in (64, 76) for e in ("\n", "\r\n")]
+        for x in (safe, safe.rstrip("="), *wrapped):
+            found = [f for f in secrets.findings(f"\u00e9 {x} end") if f[3]]
+            assert {(f[0], f[5]) for f in found} == {("access", KEY), ("assign", "abcDEF123456/+=._-")}
+            assert len(found) == 2 and all(2 <= f[1] < f[2] <= 2 + len(x) for f in found)
+
+
+def test_streams_that_are_not_whole_are_marked():
+    x = base64.b64encode(zlib.compress((KEY + " " + "".join(random.Random(1).choices("ghijklm", k=4000))).encode())).decode()
+    assert {f[4] for f in secrets.findings(x)} == {"base64>compressed"}
+    assert {f[4] for f in secrets.findings(x[:1000])} == {"base64>compressed cut"}

@@ -27,7 +27,11 @@ UNICODE = re.compile(
     r"\\u(?P<high>[dD][89abAB][0-9a-fA-F]{2})\\u(?P<low>[dD][c-fC-F][0-9a-fA-F]{2})|\\u(?P<u4>[0-9a-fA-F]{4})"
     r"|\\U(?P<u8>[0-9a-fA-F]{8})|\\x(?P<x2>[0-9a-fA-F]{2})|&#[xX](?P<ex>[0-9a-fA-F]{1,6});|&#(?P<ed>[0-9]{1,7});"
 )
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: Runs of both alphabets, and of one of them where a run of both holds characters of either; lines of runs.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+STANDARD, URL_SAFE = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n)+[A-Za-z0-9+/_-]++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: What one compressed layer may unpack to; a guard against decompression bombs.
 MAX_UNPACKED = 64 << 20
@@ -129,10 +133,12 @@ def from_unicode(layer: Layer) -> Layer | None:
     return _spliced(layer, found(), "unicode") if "\\" in layer.text or "&#" in layer.text else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
+def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
+    """What a compressed stream holds, and whether it was read to its end."""
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 5 and raw[0] == 0x78 and int.from_bytes(raw[:2], "big") % 31 == 0):
+        stream = zlib.decompressobj(47)
         try:
-            return zlib.decompressobj(47).decompress(raw, MAX_UNPACKED)
+            return stream.decompress(raw, MAX_UNPACKED), stream.eof
         except zlib.error:
             return None
     return None
@@ -146,32 +152,69 @@ def _readable(raw: bytes) -> str | None:
     return text if text and not CONTROL.search(text) else None
 
 
+def _runs(text: str):
+    """Spans [(start, end), ...] of what may be base64, longer ones first: runs of both alphabets and of
+    either, and runs on lines of one width, of which only the last may be shorter."""
+    out = set()
+    for m in BASE64.finditer(text):
+        out.add((m.span(),))
+        if ("-" in m[0] or "_" in m[0]) and m[0].strip("-_"):
+            out.update((x.span(),) for x in STANDARD.finditer(text, m.start(), m.end()))
+            out.update((x.span(),) for x in URL_SAFE.finditer(text, m.start(), m.end()))
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        group = []
+        for line in LINE.finditer(text, m.start(), m.end()):
+            width, full = line.end() - line.start(), group and group[0][1] - group[0][0]
+            if group and (width > full or group[-1][1] - group[-1][0] < full):
+                out.add(tuple(group))
+                group = []
+            group.append(line.span())
+        out.add(tuple(group))
+    out = [x for x in out if x and (len(x) > 1 or x[0][1] - x[0][0] >= 16)]
+    return sorted(out, key=lambda x: (-sum(b - a for a, b in x), x))
+
+
 def from_base64(layer: Layer):
-    """A layer for every base64 run that decodes to readable text, or to compressed readable text."""
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    """A layer for every base64 run that decodes to readable text, or to compressed readable text; "cut" in
+    via marks a compressed stream that isn't whole. What lies in step inside a run that was decoded whole
+    is part of that one's layer."""
+    whole = {}
+    for spans in _runs(layer.text):
+        if len(spans) == 1 and any(0 <= spans[0][0] - a and spans[0][1] <= b and (spans[0][0] - a + n) % 4 == 0 for a, b, n in whole.get(spans[0][0] >> 10, ())):
+            continue
+        run = "".join(layer.text[a:b] for a, b in spans).rstrip("=").replace("-", "+").replace("_", "/")
         run = run[: len(run) - (len(run) % 4 == 1)]
         try:
             raw = base64.b64decode(run + "=" * (-len(run) % 4))
         except (binascii.Error, ValueError):
             continue
+        start, end, complete, found = spans[0][0], spans[-1][1], True, None
         while (inner := _inflated(raw)) is not None:
-            text = _readable(inner)
+            complete = complete and inner[1]
+            text = _readable(inner[0])
             if text is not None:
-                yield Layer(text, layer, [(0, m.start(), m.end())], "base64>compressed")
+                found = Layer(text, layer, [(0, start, end)], "base64>compressed" if complete else "base64>compressed cut")
                 break
-            if inner == raw:
+            if inner[0] == raw:
                 break
-            raw = inner
+            raw = inner[0]
         else:
             text = _readable(raw)
             if text is not None:
+                where = [i for a, b in spans for i in range(a, b)] if len(spans) > 1 else range(start, end)
                 pieces, byte = [], 0
                 for i, c in enumerate(text):
                     width = len(c.encode())
-                    pieces.append((i, m.start() + byte * 8 // 6, m.start() - (-(byte + width) * 8 // 6)))
+                    pieces.append((i, where[byte * 8 // 6], where[-(-(byte + width) * 8 // 6) - 1] + 1))
                     byte += width
-                yield Layer(text, layer, pieces, "base64")
+                found = Layer(text, layer, pieces, "base64")
+        if found is not None:
+            yield found
+            before = 0
+            for a, b in spans if complete else ():
+                for k in range(a >> 10, (b >> 10) + 1):
+                    whole.setdefault(k, []).append((a, b, before))
+                before += b - a
 
 
 def findings(text: str) -> list[tuple]:
