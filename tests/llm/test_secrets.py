@@ -103,3 +103,11 @@ def test_streams_that_are_not_whole_are_marked():
     x = base64.b64encode(zlib.compress((KEY + " " + "".join(random.Random(1).choices("ghijklm", k=4000))).encode())).decode()
     assert {f[4] for f in secrets.findings(x)} == {"base64>compressed"}
     assert {f[4] for f in secrets.findings(x[:1000])} == {"base64>compressed cut"}
+
+
+def test_every_secret_of_a_compressed_layer_is_kept():
+    text = "".join(f"token=abcdefghijkl{k} " for k in range(5)) + "token=abcdefghijkl0 "
+    more = "secret=mnopqrstuvwxyz"
+    want = sorted([f"abcdefghijkl{k}" for k in range(5)] + ["abcdefghijkl0", "mnopqrstuvwxyz"])
+    x = base64.b64encode(gzip.compress(text.encode()) + gzip.compress(more.encode())).decode()
+    assert sorted(f[5] for f in secrets.findings(f"a {x} b") if f[0] == "assign") == want

@@ -58,6 +58,13 @@ class Layer:
             return start, end
         return self.parent.origin(self._one(start)[0], self._one(end - 1)[1])
 
+    def place(self, start: int, end: int) -> tuple:
+        """Where [start, end) lies in the compressed layers that it stems from, which have one origin for all."""
+        if self.parent is None:
+            return ()
+        own = ((start, end),) if "compressed" in self.via.rpartition(">")[2] else ()
+        return self.parent.place(self._one(start)[0], self._one(end - 1)[1]) + own
+
     def _one(self, i: int) -> tuple[int, int]:
         k = bisect_right(self.at, i) - 1
         at, start, end = self.pieces[k]
@@ -134,11 +141,15 @@ def from_unicode(layer: Layer) -> Layer | None:
 
 
 def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
-    """What a compressed stream holds, and whether it was read to its end."""
+    """What a compressed stream holds, all members of it, and whether it was read to its end."""
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 5 and raw[0] == 0x78 and int.from_bytes(raw[:2], "big") % 31 == 0):
         stream = zlib.decompressobj(47)
         try:
-            return stream.decompress(raw, MAX_UNPACKED), stream.eof
+            out = stream.decompress(raw, MAX_UNPACKED)
+            while stream.eof and stream.unused_data[:2] == b"\x1f\x8b" and len(out) < MAX_UNPACKED:
+                raw, stream = stream.unused_data, zlib.decompressobj(47)
+                out += stream.decompress(raw, MAX_UNPACKED - len(out))
+            return out, stream.eof and stream.unused_data[:2] != b"\x1f\x8b"
         except zlib.error:
             return None
     return None
@@ -228,14 +239,15 @@ def findings(text: str) -> list[tuple]:
         layer = work.pop()
         for kind, start, end, value in scan(layer.text):
             a, b = layer.origin(start, end)
-            if found.get((kind, a, b), (9e9,))[0] > layer.depth:
-                found[kind, a, b] = (layer.depth, layer.via, value)
+            known = kind, a, b, value, layer.place(start, end)
+            if found.get(known, (9e9,))[0] > layer.depth:
+                found[known] = (layer.depth, layer.via, value)
         for inner in [x for x in (from_percent(layer), from_unicode(layer)) if x] + list(from_base64(layer)):
             mark = blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.origin(0, len(inner.text))
             if inner.text and mark not in seen:
                 seen.add(mark)
                 work.append(inner)
-    return sorted(((k, a, b, *v) for (k, a, b), v in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    return sorted(((k, a, b, *v) for (k, a, b, *_), v in sorted(found.items())), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 def _scan_batches(batches):
