@@ -30,7 +30,7 @@ def test_ids_equal_the_library(spark):
 def test_batches_share_what_they_know(monkeypatch, remembered, indexed):
     monkeypatch.setattr(sp, "REMEMBERED", remembered)
     monkeypatch.setattr(sp, "INDEXED", indexed)
-    encoder, whole = sp.Encoder(sp.Model(sp.load_model())), library()
+    encoder, whole = sp.Encoder(sp.Model(sp.load_model(None, sp.MODEL))), library()
     for k in range(0, len(texts()), 50):
         ids, ends = encoder.encode(texts()[k : k + 50])
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == whole.encode(texts()[k : k + 50])
@@ -43,8 +43,26 @@ def test_round_trip(spark):
     assert sp.round_trip(documents(spark, [])).collect() == []
 
 
+def test_long_segments_equal_the_library():
+    rng, whole = random.Random(5), library()
+    made = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "ab" * 6000, "x" * 9000, "".join(rng.choices("ethé日☃", k=5000)), "a" * 257 + " " + "is" * 200]
+    encoder = sp.Encoder(sp.Model(sp.load_model(None, sp.MODEL)))
+    ids, ends = encoder.encode(made)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == whole.encode(made)
+
+
+def test_the_vocabulary_file_is_a_setting(spark, tmp_path):
+    path = tmp_path / "other.model"
+    path.write_bytes(unigram([("a", -1.0), ("b", -2.0), ("▁", -3.0)]))
+    spark.conf.set(sp.MODEL_SETTING, str(path))
+    try:
+        assert sp.round_trip(documents(spark, [(1, "ab")])).first().n_ids == 2
+    finally:
+        spark.conf.unset(sp.MODEL_SETTING)
+
+
 def test_decoding_equals_the_library():
-    encoder, whole, rng = sp.Encoder(sp.Model(sp.load_model())), library(), random.Random(2)
+    encoder, whole, rng = sp.Encoder(sp.Model(sp.load_model(None, sp.MODEL))), library(), random.Random(2)
     for ids in [whole.encode(t) for t in texts()] + [[rng.randrange(259, 32000) for _ in range(50)] for _ in range(20)]:
         assert encoder.decode(ids) == whole.decode(ids)
 

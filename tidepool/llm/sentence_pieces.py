@@ -5,16 +5,19 @@ from __future__ import annotations
 import os
 import re
 import struct
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import bounded_batches, text_of
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file where neither a caller nor MODEL_SETTING, a setting of the session, names one.
+MODEL, MODEL_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tidepool.pieces.model"
 #: Kinds of pieces and models in the file format; fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -89,6 +92,9 @@ class Model:
         self.low = _joined(coded)
         coded[np.arange(coded.shape[1])[None, :] >= self.lengths[:, None]] = 0xFFFF
         self.high = _joined(coded)
+        #: Neighbours that some piece has; between any others no piece can cross.
+        pairs = {(a, b) for i in own for a, b in zip(self.pieces[i], self.pieces[i][1:])}
+        self.pairs = np.sort(np.array([int(self.codes[ord(a)]) << 16 | int(self.codes[ord(b)]) for a, b in pairs], np.int64))
         #: Higher scores merge first; the order is dense, so equal scores tie.
         order = -np.array(self.scores)
         self.rank = np.unique(order, return_inverse=True)[1].astype(np.int64)
@@ -202,6 +208,39 @@ def _relax_merges(model: Model, table: np.ndarray, start: np.ndarray, end: np.nd
     return start[order], end[order]
 
 
+def _relax_by_heap(model: Model, table: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols after merging one long segment: a heap of pairs, so each merge costs a logarithm."""
+    n, rank = last - first, model.rank
+    behind, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    alive = bytearray(b"\1") * n
+    piece = table[first : last - 1, 1] if n > 1 else np.zeros(0, np.int32)
+    fits = np.flatnonzero(piece >= 0)
+    heap = list(zip(rank[piece[fits]].tolist(), fits.tolist(), (fits + 2).tolist()))
+    heapify(heap)
+
+    def offer(i, j):
+        size = end[j] - i
+        if size <= model.longest:
+            p = table.item(first + i, size - 1)
+            if p >= 0:
+                heappush(heap, (rank.item(p), i, end[j]))
+
+    while heap:
+        _, i, stop = heappop(heap)
+        j = behind[i] if alive[i] else n
+        if j >= n or end[j] != stop:
+            continue
+        end[i], alive[j], k = stop, 0, behind[j]
+        behind[i] = k
+        if k < n:
+            before[k] = i
+            offer(i, k)
+        if before[i] >= 0:
+            offer(before[i], i)
+    start = np.flatnonzero(np.frombuffer(alive, np.uint8))
+    return start + first, np.array(end, np.int64)[start] + first
+
+
 def _relax_paths(model: Model, found, start: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols on the best path through every segment [first, last): edges are relaxed by where they begin
     in their segment; a character without a piece costs ten below the lowest score."""
@@ -233,9 +272,13 @@ def _relax_paths(model: Model, found, start: np.ndarray, first: np.ndarray, last
     return a[order], b[order]
 
 
-#: Distinct segments that an encoder remembers from one batch to the next, and characters of new ones
-#: that one suffix array indexes.
-REMEMBERED, INDEXED = 500_000, 1 << 20
+#: Characters of distinct segments that an encoder remembers from one batch to the next (beyond that it
+#: starts anew), and characters of new ones that one suffix array indexes.
+REMEMBERED, INDEXED = 1 << 20, 1 << 18
+#: Segments of more characters are cut where no piece can cross, and what is still longer merges by a heap.
+LONG = 256
+#: Characters of texts that are encoded, decoded and compared at a time.
+STRETCH = 1 << 21
 
 
 class Encoder:
@@ -247,11 +290,26 @@ class Encoder:
 
     def forget(self):
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def segments(self, text: str) -> list[str]:
         text = (SPACE if self.model.prefix and text else "") + text.replace(" ", SPACE)
-        return SEGMENT.findall(text) if self.model.splits else [text] * bool(text)
+        found = SEGMENT.findall(text) if self.model.splits else [text] * bool(text)
+        if max(map(len, found), default=0) > LONG:
+            found = [part for s in found for part in (self.parts(s) if len(s) > LONG else (s,))]
+        return found
+
+    def parts(self, segment: str) -> list[str]:
+        """A long segment in parts, cut only between characters that no piece has side by side."""
+        codes = self.model.codes[np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        pairs, known = codes[:-1] << 16 | codes[1:], self.model.pairs
+        at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+        free = np.flatnonzero(known[at] != pairs) + 1
+        #: Of the free places in each stretch of LONG / 2 characters one is enough.
+        free = free[np.concatenate([[True], np.diff(free // (LONG // 2)) > 0])] if len(free) else free
+        cuts = [0, *free.tolist(), len(segment)]
+        return [segment[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of distinct segments."""
@@ -266,7 +324,13 @@ class Encoder:
         table = by_place(model, found, len(codes))
         start = np.delete(np.arange(len(codes)), last)
         if model.type == BPE:
-            start, end = _relax_merges(model, table, start, start + 1, np.repeat(np.arange(len(segments)), lengths))
+            short = np.repeat(lengths <= LONG, lengths)
+            owner = np.repeat(np.arange(len(segments)), lengths)
+            done = [_relax_merges(model, table, start[short], start[short] + 1, owner[short])]
+            done += [_relax_by_heap(model, table, int(first[i]), int(last[i])) for i in np.flatnonzero(lengths > LONG)]
+            start, end = np.concatenate([a for a, _ in done]), np.concatenate([b for _, b in done])
+            order = np.argsort(start)
+            start, end = start[order], end[order]
         else:
             start, end = _relax_paths(model, found, start, first, last)
         ids = table[start, end - start - 1]
@@ -284,7 +348,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts."""
-        if len(self.known) > REMEMBERED:
+        if self.chars > REMEMBERED:
             self.forget()
         known, numbers, counts = self.known, [], []
         for text in texts:
@@ -294,7 +358,9 @@ class Encoder:
         fresh = len(known) + 1 - len(self.offsets)
         if fresh:
             segments = list(islice(known, len(known) - fresh, None))
-            slot = np.cumsum([len(s) + 1 for s in segments]) // INDEXED
+            size = np.cumsum([len(s) + 1 for s in segments])
+            self.chars += int(size[-1])
+            slot = size // INDEXED
             cuts = np.flatnonzero(np.diff(slot, prepend=-1, append=-1))
             done = [self.encode_segments(segments[a:b]) for a, b in zip(cuts, cuts[1:])]
             sizes = np.concatenate([np.diff(self.offsets), *[np.diff(o) for _, o in done]])
@@ -311,19 +377,22 @@ class Encoder:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
-def load_model(path: str = MODEL) -> bytes:
+def load_model(spark: SparkSession, path: str | None = None) -> bytes:
     """A vocabulary file as bytes, read by the driver; it travels to tasks with the function."""
-    return open(os.fspath(path), "rb").read()
+    return open(os.fspath(path or spark.conf.get(MODEL_SETTING, MODEL)), "rb").read()
+
+
+def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def _encode_batches(data: bytes):
     def run(batches):
         encoder = Encoder(Model(data))
         for batch in batches:
-            ids, offsets = encoder.encode(batch.column("_text").to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            found = _lists(*encoder.encode(batch.column("_text").to_pylist()))
             keep = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], found], [*keep, "ids"])
 
     return run
 
@@ -333,14 +402,32 @@ def _decode_batches(data: bytes):
         encoder = Encoder(Model(data))
         for batch in batches:
             lists = batch.column("_ids")
-            ids, ends = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
-            texts = [encoder.decode(ids[a:b]) for a, b in zip(ends, ends[1:])]
+            ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            texts = [encoder.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             keep = [c for c in batch.schema.names if c != "_ids"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "decoded"])
 
     return run
 
 
+def _round_trip_batches(data: bytes):
+    """Encodes, decodes and compares in one worker, a bounded number of characters at a time."""
+
+    def run(batches):
+        encoder = Encoder(Model(data))
+        for batch in batches:
+            size = np.cumsum(pc.utf8_length(batch.column("_text")).to_numpy(zero_copy_only=False))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(size // STRETCH)) + 1, [len(size)]]) if len(size) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                texts = part.column("_text").to_pylist()
+                ids, ends = encoder.encode(texts)
+                same = [encoder.decode(ids[i:j].tolist()) == t for t, i, j in zip(texts, ends.tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), _lists(ids, ends), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+
+    return run
+
+
 def _kinds(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -354,7 +441,7 @@ def encode(docs: DataFrame, columns=("doc_id",), text_col: str = "text", model:
     """
     bounded_batches(docs.sparkSession, size="8m")
     rows = docs.select(*columns, text_of(text_col).alias("_text"))
-    return rows.mapInArrow(_encode_batches(model or load_model()), f"{_kinds(rows, list(columns))}, ids array<int>")
+    return rows.mapInArrow(_encode_batches(model or load_model(docs.sparkSession)), f"{_kinds(rows, list(columns))}, ids array<int>")
 
 
 def decode(encoded: DataFrame, columns=("doc_id",), ids_col: str = "ids", model: bytes | None = None) -> DataFrame:
@@ -363,12 +450,16 @@ def decode(encoded: DataFrame, columns=("doc_id",), ids_col: str = "ids", model:
     stands for a space."""
     bounded_batches(encoded.sparkSession, size="8m")
     rows = encoded.select(*columns, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"))
-    return rows.mapInArrow(_decode_batches(model or load_model()), f"{_kinds(rows, list(columns))}, decoded string")
+    return rows.mapInArrow(_decode_batches(model or load_model(encoded.sparkSession)), f"{_kinds(rows, list(columns))}, decoded string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None) -> DataFrame:
-    """doc_id, ids, n_ids, and whether decoding gives the text back (round_trip)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_whole"))
-    model = model or load_model()
-    rows = decode(encode(rows, ("doc_id", "_whole"), "_whole", model), ("doc_id", "_whole", "ids"), "ids", model)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.col("_whole")).alias("round_trip"))
+    """doc_id, n_ids, ids, and whether decoding gives the text back (round_trip), one row per document.
+
+    Null ids stay null, null texts are empty (no ids, round_trip true), repeated rows repeat, an empty
+    table stays empty, further columns are ignored. A worker's memory follows the longest stretch of
+    text that no place cuts, not the number of rows.
+    """
+    bounded_batches(docs.sparkSession, rows=1000, size="4m")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text"))
+    return rows.mapInArrow(_round_trip_batches(model or load_model(docs.sparkSession)), "doc_id bigint, n_ids bigint, ids array<int>, round_trip boolean")
