@@ -4,7 +4,7 @@ import re
 
 from helpers import documents, words
 
-from tidepool.llm import exact_dedup
+from tidepool.llm import common, exact_dedup
 
 
 def brute(rows):
@@ -33,9 +33,9 @@ def test_matches_brute_force(spark):
     assert sorted(found, key=str) == brute(rows)
 
 
-def test_full_filter_stays_exact(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_BITMAPS", 1)
-    monkeypatch.setattr(exact_dedup, "BITMAP_BITS", 64)
+def test_slices_of_a_bounded_filter_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_BITMAPS", 1)
+    monkeypatch.setattr(common, "BITMAP_BITS", 128)
     rows = corpus()[:100]
     try:
         found = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(documents(spark, rows)).collect()]

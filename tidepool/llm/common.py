@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: what follows doesn't recompute it, and
-    lost executors don't take it with them."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder, in folders by the columns named, and read it again: what
+    follows doesn't recompute it, and lost executors don't take it with them."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -154,3 +154,51 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     out = out.withColumn("_via", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("hot "), tag)))
     out = out.join(cold, F.col("_via") == F.col("_cold"), "left")
     return out.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in value])
+
+
+#: Bits of one bitmap, as Spark's bitmap functions lay them out; bits of a filter for each of its keys;
+#: bitmaps of a broadcast filter at the most (4 KB each, so 16 MB: 8 million keys).
+BITMAP_BITS, BITS_PER_KEY, MAX_BITMAPS = 32768, 16, 4096
+
+
+def filter_bits(hashed: Column, bitmaps: int) -> tuple[Column, Column, Column]:
+    """Bitmap number and two bit positions of a 64-bit hash: a blocked Bloom filter."""
+    first = F.pmod(F.shiftrightunsigned(hashed, 33), F.lit(BITMAP_BITS))
+    second = F.pmod(F.shiftrightunsigned(hashed, 17), F.lit(BITMAP_BITS))
+    return F.pmod(hashed, F.lit(bitmaps)), first, second
+
+
+def bit_set(bits: Column, bit: Column) -> Column:
+    """Whether a bitmap has the bit; false for no bitmap."""
+    byte = F.substring(bits, (F.shiftright(bit.cast("int"), 3) + 1), F.lit(1))
+    return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(bit.cast("int"), F.lit(8))) == 1, F.lit(False))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What a row is known again by: its id and the hash of id and text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), F.xxhash64(F.coalesce(doc_id, F.lit(-1)), text).cast("string"))
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, that verdicts (_known, kept) let stay: one row each for the rows of docs
+    whose groups may lose rows, known by row_key(). Of rows that share a key, with one that is kept, any
+    one stays; rows without a verdict stay.
+
+    A Bloom filter over the keys that lose rows is broadcast (its size is bounded; a fuller one only lets
+    more through to the exact test): rows that miss it pass straight through, only the others shuffle.
+    """
+    marks = verdicts.groupBy("_known").agg(F.max("kept").alias("_keep"), F.count("*").alias("_n")).filter("not _keep or _n > 1")
+    marks = materialize(marks, "dropped")
+    facts = marks.agg(F.count("*").alias("n"), F.sum("_n").alias("t")).first()
+    bitmaps = min(MAX_BITMAPS, max(1, -(-facts["n"] * BITS_PER_KEY // BITMAP_BITS)))
+    bitmap, first, second = filter_bits(F.xxhash64("_known"), bitmaps)
+    bits = marks.select(bitmap.alias("_bitmap"), F.explode(F.array(first, second)).alias("_bit"))
+    bits = bits.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    rows = boxed(docs, id_col, text_col).select("_doc", row_key(F.col("_doc_id"), F.col("_doc_text")).alias("_known"))
+    rows = rows.join(F.broadcast(bits), bitmap == F.col("_bitmap"), "left")
+    rows = rows.select("_doc", "_known", (bit_set(F.col("_bits"), first) & bit_set(F.col("_bits"), second)).alias("_maybe"))
+    asked = rows.filter("_maybe").select("_doc", "_known", F.monotonically_increasing_id().cast("string").alias("_tag"))
+    asked = attach_groups(asked, marks, "_known", "_n", max(1, facts["t"] or 0), F.col("_tag"))
+    one = asked.filter("_keep").groupBy("_known").agg(F.first("_doc").alias("_doc"))
+    out = rows.filter("not _maybe").select("_doc").unionByName(asked.filter("_keep is null").select("_doc")).unionByName(one.select("_doc"))
+    return out.select("_doc.*")

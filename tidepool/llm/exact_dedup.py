@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tidepool.llm.common import attach_groups, boxed, materialize, text_of
-
-#: Bits of one bitmap, as Spark's bitmap functions lay them out.
-BITMAP_BITS = 32768
-#: Bits of the filter for each row, and bitmaps at the most (4 KB each, so 16 MB are broadcast).
-BITS_PER_ROW = 16
-MAX_BITMAPS = 4096
+from tidepool.llm import common
+from tidepool.llm.common import attach_groups, bit_set, filter_bits, keep_rows, materialize, row_key, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -22,17 +16,48 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def _bits(bitmaps: int) -> tuple[Column, Column, Column]:
-    """Bitmap number and two bit positions of the hash _h: a blocked Bloom filter."""
-    bitmap = F.pmod("_h", F.lit(bitmaps))
-    first = F.pmod(F.shiftrightunsigned("_h", 33), F.lit(BITMAP_BITS))
-    second = F.pmod(F.shiftrightunsigned("_h", 17), F.lit(BITMAP_BITS))
-    return bitmap, first, second
-
+def _repeated(rows: DataFrame, bitmaps: int) -> DataFrame:
+    """The rows with _maybe: whether both bits of their hash _h have been set twice."""
+    size = common.BITMAP_BITS
+    bitmap, first, second = filter_bits(F.col("_h"), bitmaps)
+    slot = F.explode(F.array(bitmap * size + first + 1, bitmap * size + second + 1))
+    twice = rows.select(slot.alias("_slot")).groupBy("_slot").agg(F.count("*").alias("_n")).filter("_n > 1").select((F.col("_slot") - 1).alias("_slot"))
+    filters = twice.groupBy(F.floor(F.col("_slot") / size).alias("_bitmap")).agg(F.bitmap_construct_agg(F.pmod("_slot", F.lit(size))).alias("_bits"))
+    tested = rows.join(F.broadcast(filters), bitmap == F.col("_bitmap"), "left")
+    return tested.select(*rows.columns, (bit_set(F.col("_bits"), first) & bit_set(F.col("_bits"), second)).alias("_maybe"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """exact_groups() with the row_key() of each row."""
+    text, doc_id = text_of(text_col), F.col(id_col).cast("long")
+    slices = max(1, -(-docs.count() * common.BITS_PER_KEY // (common.MAX_BITMAPS * common.BITMAP_BITS)))
+    rows = docs.select(doc_id.alias("doc_id"), F.char_length(text).cast("long").alias("_len"), normalised(text).alias("_norm"), row_key(doc_id, text).alias("_known"))
+    rows = rows.select("doc_id", "_len", "_known", F.xxhash64("_norm").alias("_h"), F.sha2("_norm", 256).alias("text_sha256"))
+    rows = materialize(rows.withColumn("_slice", F.pmod(F.shiftrightunsigned("_h", 48), F.lit(slices))), "exact-rows", *["_slice"] * (slices > 1))
+    total = rows.count()
+    tested = None
+    for k in range(slices):
+        own = rows.filter(F.col("_slice") == k) if slices > 1 else rows
+        bitmaps = min(common.MAX_BITMAPS, max(1, -(-total * common.BITS_PER_KEY // (slices * common.BITMAP_BITS))))
+        own = _repeated(own.drop("_slice"), bitmaps)
+        own = materialize(own, "exact-tested") if slices > 1 else own
+        tested = own if tested is None else tested.unionByName(own)
+    one = F.lit(1).cast("long")
+    alone = tested.filter(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "_known")
+    maybe = tested.filter("_maybe").drop("_maybe")
 
-def _is_set(bit: Column) -> Column:
-    byte = F.substring(F.col("_bits"), (F.shiftright(bit.cast("int"), 3) + 1), F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(bit.cast("int"), F.lit(8))) == 1
+    #: What agrees in id, length and digest is one row with a number until the end, so a window over
+    #: a group's best rows holds what differs in the text only.
+    best = F.min(F.struct((-F.col("_len")).alias("l"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_known").alias("k")))
+    groups = maybe.groupBy("text_sha256").agg(best.alias("_best"), F.count("*").alias("group_size"))
+    joined = attach_groups(maybe, groups, "text_sha256", "group_size", total, F.xxhash64("doc_id", "_len").cast("string"))
+    first_row = (F.col("_len") == -F.col("_best.l")) & F.col("doc_id").eqNullSafe(F.col("_best.i")) & (F.col("_known") == F.col("_best.k"))
+    joined = joined.select("doc_id", F.col("_best.i").alias("keep_id"), "group_size", first_row.alias("_first"), "text_sha256", "_known")
+    equal = joined.filter("_first").groupBy("doc_id", "keep_id", "group_size", "text_sha256", "_known").agg(F.count("*").alias("_times"))
+    firsts = equal.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_place", "_zero")).withColumn("kept", F.col("_place") == 0)
+    others = joined.filter("not _first").withColumn("kept", F.lit(False))
+    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "_known"]
+    return alone.unionByName(firsts.select(*out)).unionByName(others.select(*out))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,44 +70,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Pass 1 counts the Bloom filter's bits over hashes and keeps those set twice. In pass 2 rows that
     miss one of their bits are alone and pass through; only the others are grouped, as
-    (id, length, digest). The filter has 16 bits a row up to 16 MB, which is the broadcast's bound;
-    a fuller filter lets more rows through to the grouping, which is exact by itself.
+    (id, length, digest). The filter has 16 bits a row and at most 16 MB, the broadcast's bound: a table
+    of more than 8 million rows is written in slices of the hash, each with a filter of its own.
     """
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("_len"), normalised(text).alias("_norm"))
-    rows = rows.select("doc_id", "_len", F.xxhash64("_norm").alias("_h"), F.sha2("_norm", 256).alias("text_sha256"))
-    rows = materialize(rows, "exact-rows")
-    total = rows.count()
-    bitmaps = min(MAX_BITMAPS, max(1, -(-total * BITS_PER_ROW // BITMAP_BITS)))
-    bitmap, first, second = _bits(bitmaps)
-
-    slot = F.explode(F.array(bitmap * BITMAP_BITS + first + 1, bitmap * BITMAP_BITS + second + 1))
-    twice = rows.select(slot.alias("_slot")).groupBy("_slot").agg(F.count("*").alias("_n")).filter("_n > 1")
-    filters = twice.groupBy((F.bitmap_bucket_number("_slot") - 1).alias("_bitmap")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-
-    tested = rows.withColumn("_at", bitmap).join(F.broadcast(filters), F.col("_at") == F.col("_bitmap"), "left")
-    tested = tested.select("doc_id", "_len", "text_sha256", F.coalesce(_is_set(first) & _is_set(second), F.lit(False)).alias("_maybe"))
-    alone = tested.filter(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = tested.filter("_maybe").drop("_maybe")
-
-    best = F.min(F.struct((-F.col("_len")).alias("l"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i")))
-    groups = maybe.groupBy("text_sha256").agg(best.alias("_best"), F.count("*").alias("group_size"))
-    joined = attach_groups(maybe, groups, "text_sha256", "group_size", total, F.xxhash64("doc_id", "_len").cast("string"))
-    first_row = (F.col("_len") == -F.col("_best.l")) & F.col("doc_id").eqNullSafe(F.col("_best.i"))
-    joined = joined.select("doc_id", F.col("_best.i").alias("keep_id"), "group_size", first_row.alias("_first"), "text_sha256")
-    #: Repeated rows can tie; there is one first row per group otherwise, so this window is small.
-    firsts = joined.filter("_first").withColumn("kept", F.row_number().over(W.partitionBy("text_sha256").orderBy("doc_id")) == 1)
-    others = joined.filter("not _first").withColumn("kept", F.lit(False))
-    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return alone.unionByName(firsts.select(*out)).unionByName(others.select(*out))
+    return _grouped(docs, id_col, text_col).drop("_known")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows with the same id, those whose text has
-    the kept length and digest, one each."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = boxed(docs, id_col, text_col)
-    rows = rows.withColumns({"_norm_sha": F.sha2(normalised(F.col("_doc_text")), 256), "_len": F.char_length("_doc_text"), "_order": F.xxhash64("_doc_text")})
-    rows = rows.join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_norm_sha") == F.col("_sha"))).drop("_doc_text")
-    one = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_sha").orderBy(F.desc("_len"), "_order")))
-    return one.filter("_rank = 1").select("_doc.*")
+    """The documents that stay, with all their columns; of rows that agree in id and text any one.
+
+    Null ids come last in their group, null texts are empty, an empty table stays empty. Documents that
+    lose nothing aren't shuffled."""
+    return keep_rows(docs, _grouped(docs, id_col, text_col).filter("group_size > 1").select("_known", "kept"), id_col, text_col)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import attach_groups, binary_rows, boxed, deltas, in_blocks, key_bits, materialize, messages, mix64, pack, part_edges, text_of, unpack, utf8
+from tidepool.llm.common import attach_groups, binary_rows, deltas, in_blocks, keep_rows, key_bits, materialize, messages, mix64, pack, part_edges, text_of, unpack, utf8
 
 WORDS, THRESHOLD = 5, 0.8
 #: Samples of a sketch, of which BANDS x BAND_ROWS make bands.
@@ -379,14 +379,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with all their columns, one of each class: the row that near_duplicates() keeps, known
-    again by id and text; of rows that agree in both, any one."""
-    key = lambda doc_id, hashed: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), hashed.cast("string"))
-    found = _classed(docs, id_col, text_col, **options).filter("class_size > 1").groupBy(key(F.col("doc_id"), F.col("_key")).alias("_known"))
-    found = found.agg(F.max("kept").alias("_keep"), F.count("*").alias("_n")).filter("not _keep or _n > 1")
-    found = materialize(found, "dropped")
-    rows = boxed(docs, id_col, text_col).withColumn("_known", key(F.col("_doc_id"), F.xxhash64(F.coalesce("_doc_id", F.lit(-1)), "_doc_text")))
-    rows = rows.select("_doc", "_known", F.monotonically_increasing_id().cast("string").alias("_tag"))
-    total = found.agg(F.sum("_n")).first()[0] or 0
-    rows = attach_groups(rows, found, "_known", "_n", max(1, total), F.col("_tag"))
-    one = rows.filter("_keep").groupBy("_known").agg(F.first("_doc").alias("_doc"))
-    return rows.filter("_keep is null").select("_doc.*").unionByName(one.select("_doc.*"))
+    again by id and text; of rows that agree in both, any one. Null texts are one class with the empty
+    ones, null ids come last, an empty table stays empty. Documents alone in their class aren't shuffled
+    for this."""
+    known = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("_key").cast("string"))
+    found = _classed(docs, id_col, text_col, **options).filter("class_size > 1").select(known.alias("_known"), "kept")
+    return keep_rows(docs, found, id_col, text_col)
