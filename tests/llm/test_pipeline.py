@@ -47,7 +47,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert near.columns == docs.columns
 
     final = corpus_pipeline.run(spark, sf).collect()
-    encoder = sentence_pieces.Encoder(sentence_pieces.Model(sentence_pieces.load_model()))
+    encoder = sentence_pieces.Encoder(sentence_pieces.Model(sentence_pieces.load_model(spark)))
     texts = {r[0]: r[1] for r in rows}
     times = Counter(r.doc_id for r in final)
     assert final and all(r.round_trip and texts[r.doc_id].startswith(encoder.decode(r.ids)) for r in final)

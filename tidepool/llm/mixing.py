@@ -38,33 +38,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS
     return rows.select("_skey", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_plan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1,
-    weights=WEIGHTS, share=SHARE, epochs=EPOCHS, hashed: bool = False,
-) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
-
-    Each document gets a hash-random key; the key space of a source is cut into even ranges, so a
-    source with a third of all rows is sorted in as many tasks as there are ranges. Sums per range,
-    added up over the ranges of a source, give every range its offset; a running sum inside the
-    range gives every document the words before it. A source takes its documents in that order,
-    whole epochs first, and stops inside the document where its target, rounded, is reached.
-
-    Null texts have size 0, null sources form the last source, null ids hash as empty; equal keys
-    are ordered by id, then size, and rows equal in both are interchangeable. The plan depends on
-    neither layout nor partitions. An empty table gives an empty result. With hashed, _hash (xxhash64 of
-    the text) comes along.
-    """
-    ranges = max(1, min(KEY_RANGES, shuffle_partitions(docs.sparkSession)))
+def _keyed(docs: DataFrame, ranges: int, id_col: str, text_col: str, source_col: str, seed: int) -> list:
+    """Columns of a document that place it in its source: id, source, words, hash-random key, text hash, range."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(
+    return [
         F.col(id_col).cast("long").alias("doc_id"),
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("_skey"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
         key.alias("_key"),
         F.xxhash64(text_of(text_col)).alias("_hash"),
-    )
-    rows = rows.withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("long") * ranges / KEY_RANGES).cast("int"))
+        F.floor(F.conv(F.substring(key, 1, 4), 16, 10).cast("long") * ranges / KEY_RANGES).cast("int").alias("_range"),
+    ]
+
+
+#: What orders the documents of a source.
+ORDER = ("_key", "_null", "doc_id", "size", "_hash")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weights, share, epochs) -> DataFrame:
+    """Narrow rows with the words that come before each in its source, the source's size and target."""
+    ranges = max(1, min(KEY_RANGES, shuffle_partitions(docs.sparkSession)))
+    rows = docs.select(*_keyed(docs, ranges, id_col, text_col, source_col, seed)).withColumn("_null", F.col("doc_id").isNull())
     rows = materialize(rows, "mix-rows")
 
     sums = rows.groupBy("_skey", "_range").agg(F.sum("size").alias("_sum"))
@@ -72,31 +66,66 @@ def mix_plan(
     before = W.partitionBy("_skey").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum").join(targets, "_skey")
 
-    inside = W.partitionBy("_skey", "_range").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_skey", "_range").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_skey", "_range"])
     goal = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     left = goal - whole * F.col("source_size") - F.col("_offset") - F.col("_before")
-    taken = whole * F.col("size") + F.least("size", F.greatest(F.lit(0).cast("long"), left))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *["_hash"] * hashed)
+    return rows.select("*", whole.alias("_whole"), F.least("size", F.greatest(F.lit(0).cast("long"), left)).alias("_more"))
+
+
+def mix_plan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1,
+    weights=WEIGHTS, share=SHARE, epochs=EPOCHS,
+) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken.
+
+    Each document gets a hash-random key; the key space of a source is cut into even ranges, so a
+    source with a third of all rows is sorted in as many tasks as there are ranges. Sums per range,
+    added up over the ranges of a source, give every range its offset; a running sum inside the
+    range gives every document the words before it. A source takes its documents in that order,
+    whole epochs first, and stops inside the document where its target, rounded, is reached.
 
+    Null texts have size 0, null sources form the last source, null ids hash as empty; equal keys
+    are ordered by id, size and text hash, and rows equal in all are interchangeable. The plan depends
+    on neither layout nor partitions. An empty table gives an empty result.
+    """
+    rows = _placed(docs, id_col, text_col, source_col, seed, weights, share, epochs)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("_whole") * F.col("size") + F.col("_more")).alias("taken"))
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", seed: int = 1,
+    weights=WEIGHTS, share=SHARE, epochs=EPOCHS,
+) -> DataFrame:
     """The mix itself, with all columns: a row for each whole time that the plan takes a document, and one
     with its first words (and their number of characters, if there is such a column) where it is cut.
 
-    Documents without words have nothing to take. Rows that agree in id and text share their takes.
+    Each source is cut at one place of its order, so a document's share follows from its own key and the
+    cut of its source: one small row a source is joined to the documents, which don't shuffle. Rows that
+    agree in id, text and source, and lie where their source is cut, take an even share of what is left
+    for them, rounded down. Documents without words, null texts too, have nothing to take; null sources
+    form one source; an empty table stays empty.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    plan = mix_plan(docs, id_col, text_col, hashed=True, **options)
-    plan = plan.select(key("doc_id").alias("_id"), "_hash", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    plan = plan.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.desc("_taken")))).filter("_taken > 0")
-    rows = boxed(docs, id_col, text_col).withColumns({"_id": key("_doc_id"), "_hash": F.xxhash64("_doc_text")}).drop("_doc_text")
-    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_hash")))
-    rows = rows.join(plan, ["_id", "_hash", "_rank"])
-    times, rest = F.floor(F.col("_taken") / F.col("_size")), (F.col("_taken") % F.col("_size"))
-    whole = F.array_repeat(F.lit(0).cast("long"), times.cast("int"))
-    rows = rows.withColumn("_cut", F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    plan = _placed(docs, id_col, text_col, source_col, seed, weights, share, epochs)
+    place = F.struct(*ORDER)
+    last = plan.filter("_more > 0").groupBy("_skey", *ORDER).agg(F.sum("_more").alias("_share"), F.count("*").alias("_taking"))
+    last = last.groupBy("_skey").agg(F.max_by(F.struct("_share", "_taking"), place).alias("_last"), F.max(place).alias("_cut"))
+    sources = plan.groupBy("_skey").agg(F.first("_whole").alias("_whole")).join(last, "_skey", "left")
+    ties = plan.join(last.select("_skey", "_cut"), "_skey").filter(place == F.col("_cut")).groupBy("_skey").agg(F.count("*").alias("_ties"))
+    sources = sources.join(ties, "_skey", "left").select("_skey", "_whole", "_cut", F.floor(F.col("_last._share") / F.col("_ties")).alias("_share"))
+    sources = materialize(sources, "mix-cuts")
+
+    rows = boxed(docs, id_col, text_col)
+    own = rows.select("_doc", F.struct(F.col("_doc_id"), F.col("_doc_text"), F.col("_doc").getField(source_col).alias("_doc_source")).alias("_own")).select("_doc", "_own.*")
+    keyed = [c for c in _keyed(own, 1, "_doc_id", "_doc_text", "_doc_source", seed)]
+    own = own.select("_doc", *keyed).withColumn("_null", F.col("doc_id").isNull()).join(sources, "_skey")
+    more = F.when(place < F.col("_cut"), F.col("size")).when(place == F.col("_cut"), F.col("_share")).otherwise(0)
+    own = own.select("_doc", "size", "_whole", F.coalesce(more, F.lit(0)).cast("long").alias("_more")).filter("size > 0")
+    #: 0 stands for the whole document.
+    times = (F.col("_whole") + F.when(F.col("_more") == F.col("size"), 1).otherwise(0)).cast("int")
+    rest = F.when((F.col("_more") > 0) & (F.col("_more") < F.col("size")), F.array("_more")).otherwise(F.array().cast("array<bigint>"))
+    rows = own.select("_doc", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), times), rest)).alias("_cut"))
     #: Pieces that end with a word each; white space goes with the word behind it.
     text = F.col("_doc").getField(text_col)
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidepool.llm.common import bounded_batches, boxed, materialize, text_of
 
@@ -25,9 +26,12 @@ REPORTS = "said says say told tells wrote writes quoted quotes called calls clai
 LEARN_ROWS, LEARN_TERMS, LEARN_DOCS, LEARN_Z, LEARN_DOCS_Z = 4000, 100, 3, 5.0, 2.5
 #: Lengths of word beginnings that may be markers, besides whole words.
 STEMS = range(4, 9)
-#: Kinds of matches that the grammar tells apart; features are whether a document has 1, 2 .. LEVELS.
-KINDS = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "threat_negated", "threat_reported", "marker")
-LEVELS = 3
+#: Lexical classes that can be aimed, negated or reported; kinds of matches that the grammar tells apart.
+HOSTILE = ("insult", "threat", "marker")
+KINDS = tuple(f"{h}{how}" for h in HOSTILE for how in ("", "_target", "_negated", "_reported"))
+#: A clause's weight falls in one of the steps that begin here; a document's features are whether it has
+#: 1, 2 .. LEVELS clauses of a step.
+STEPS, LEVELS = (0.25, 0.75, 1.25, 1.75, 2.5), 3
 #: Words before which a target or a negation still counts.
 REACH = 4
 
@@ -71,7 +75,7 @@ def _lexical(markers: dict[str, float]) -> Transducer:
         if word in classes:
             return None, classes[word], 0.0
         weight = max([words.get(word, 0.0), *(stems.get(word[:k], 0.0) for k in STEMS if k < len(word))])
-        return None, ("marker", weight) if weight else ("word", 0.0), weight
+        return None, ("marker", weight) if weight else ("word", 0.0), 0.0
 
     return Transducer(None, step)
 
@@ -83,33 +87,33 @@ def _reporting() -> Transducer:
         kind, weight = symbol
         if kind == "report":
             return True, symbol, 0.0
-        return reported, (f"{kind}_reported", weight / 2) if reported and kind in ("insult", "threat") else symbol, 0.0
+        return reported, (f"{kind}_reported", weight / 2) if reported and kind in HOSTILE else symbol, 0.0
 
     return Transducer(False, step)
 
 
 def _negating() -> Transducer:
-    """A negation turns insults and threats within REACH words into negated ones."""
+    """A negation turns hostile words within REACH words into negated ones."""
 
     def step(left, symbol):
         kind, weight = symbol
         if kind == "negation":
             return REACH, symbol, 0.0
-        return max(0, left - 1), (f"{kind}_negated", weight / 2) if left and kind in ("insult", "threat") else symbol, 0.0
+        return max(0, left - 1), (f"{kind}_negated", weight / 2) if left and kind in HOSTILE else symbol, 0.0
 
     return Transducer(0, step)
 
 
 def _targeting() -> Transducer:
-    """An insult or threat at most REACH words after a target is aimed at it; writes weights."""
+    """A hostile word at most REACH words after a target is aimed at it; writes weights."""
 
     def step(left, symbol):
         kind, weight = symbol
         if kind == "target":
             return REACH, symbol, 0.0
-        if left and kind in ("insult", "threat"):
+        if left and kind in HOSTILE:
             return left - 1, (f"{kind}_target", weight * 1.5), weight * 1.5
-        return max(0, left - 1), symbol, 0.0 if kind == "marker" else weight
+        return max(0, left - 1), symbol, weight
 
     return Transducer(0, step)
 
@@ -154,7 +158,7 @@ def _match_batches(markers: dict[str, float]):
     def run(batches):
         matcher = Matcher(markers)
         for batch in batches:
-            counts, weights, worst = [], [], []
+            counts, steps, weights, worst = [], [], [], []
             for t in batch.column("_text"):
                 found = matcher.clauses(t.as_py())
                 n = [0] * len(KINDS)
@@ -162,11 +166,13 @@ def _match_batches(markers: dict[str, float]):
                     for kind in kinds:
                         n[KINDS.index(kind)] += 1
                 counts.append(n)
+                at = np.searchsorted(STEPS, [w for _, w, _ in found], "right") - 1
+                steps.append(np.bincount(at[at >= 0], minlength=len(STEPS)).tolist())
                 weights.append(sum(w for _, w, _ in found))
                 worst.append(max(found, key=lambda x: x[1])[2] if found else None)
             keep = [c for c in batch.schema.names if c != "_text"]
-            cols = [batch.column(c) for c in keep] + [pa.array(counts, pa.list_(pa.int32())), pa.array(weights, pa.float64()), pa.array(worst, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "counts", "weight", "clause"])
+            cols = [batch.column(c) for c in keep] + [pa.array(counts, pa.list_(pa.int32())), pa.array(steps, pa.list_(pa.int32())), pa.array(weights, pa.float64()), pa.array(worst, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, [*keep, "counts", "steps", "weight", "clause"])
 
     return run
 
@@ -232,48 +238,52 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, counts (matches by KINDS), weight (of
-    the grammar) and clause (the worst one).
-
-    Labels are learned from rows whose crc32(id as text) mod 5 isn't 0, in two places: the markers
-    (learn_markers) and the calibration, a logistic regression over the counts. Counts stop at
-    LEVELS, so the calibration fits on a histogram over all such rows that doesn't grow with them.
-
-    Null texts are empty and score like texts without a match; null ids count as empty text in the
-    hash (held out) and never have a label; null labels are none; of several labels for one id the
-    highest counts; repeated rows give repeated rows. Without labels a match scores above 0.5. With
-    hashed, _hash (xxhash64 of the text) comes along.
-    """
-    bounded_batches(docs.sparkSession)
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """doc_id, counts, steps, weight, clause and score of each row, and with whole its columns in _doc."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     named = named.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     markers = learn_markers(docs, named, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("_hash"), text_of(text_col).alias("_text"))
-    rows = rows.mapInArrow(_match_batches(markers), "doc_id bigint, _hash bigint, counts array<int>, weight double, clause string")
-    rows = materialize(rows, "toxicity-clauses")
-
-    level = [F.least(F.get("counts", F.lit(i)), F.lit(LEVELS)) for i in range(len(KINDS))]
-    bins = rows.withColumn("_x", F.array(*level)).join(named, "doc_id").groupBy("_x", "toxic").count().collect()
-    prior = [([0] * len(KINDS), 0.0, 1.0)]
-    for j, k in enumerate(KINDS):
-        mild = "negated" in k or "reported" in k
-        prior += [([n if i == j else 0 for i in range(len(KINDS))], float(not mild and (n > 1 or k != "marker")), 0.5) for n in range(1, LEVELS + 1)]
+    rows = boxed(docs, id_col, text_col).select(F.col("_doc_id").alias("doc_id"), *["_doc"] * whole, F.col("_doc_text").alias("_text"))
+    found = StructType([*[f for f in rows.schema if f.name != "_text"], *StructType.fromDDL("counts array<int>, steps array<int>, weight double, clause string")])
+    rows = materialize(rows.mapInArrow(_match_batches(markers), found), "toxicity-clauses")
+
+    level = [F.least(F.get("steps", F.lit(i)), F.lit(LEVELS)) for i in range(len(STEPS))]
+    bins = rows.select("doc_id", F.array(*level).alias("_x")).join(named, "doc_id").groupBy("_x", "toxic").count().collect()
+    prior = [([0] * len(STEPS), 0.0, 8.0)]
+    for j, w in enumerate(STEPS):
+        prior += [([n if i == j else 0 for i in range(len(STEPS))], float(w >= 0.75), 2.0) for n in range(1, LEVELS + 1)]
     fitted = prior + [(r[0], float(r[1]), float(r[2])) for r in bins]
     steps = np.array([[[x > j for j in range(LEVELS)] for x in f[0]] for f in fitted], float).reshape(len(fitted), -1)
     w = fit_logistic(steps, np.array([f[1] for f in fitted]), np.array([f[2] for f in fitted]))
     logit = F.lit(float(w[-1]))
     for i, x in enumerate(level):
         logit += F.element_at(F.array(*[F.lit(float(v)) for v in np.concatenate([[0.0], np.cumsum(w[i * LEVELS : (i + 1) * LEVELS])])]), x + 1)
-    out = rows.withColumn("score", 1 / (1 + F.exp(-logit)))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "counts", "weight", "clause", *["_hash"] * hashed)
+    return rows.withColumn("score", 1 / (1 + F.exp(-logit)))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, counts (matches by KINDS), weight (of
+    the grammar) and clause (the worst one).
+
+    A score follows from the weights that the composed transducers give the document's clauses, by how
+    many clauses weigh how much (STEPS). Labels are learned from rows whose crc32(id as text) mod 5
+    isn't 0, in two places: markers (learn_markers), which are a lexical class of the grammar and can be
+    aimed, negated or reported like any insult, and the calibration, a logistic regression over the
+    clauses by weight. Numbers of clauses stop at LEVELS, so the calibration fits on a histogram over all
+    such rows that doesn't grow with them.
+
+    Null texts are empty and score like texts without a match; null ids count as empty text in the
+    hash (held out) and never have a label; null labels are none; of several labels for one id the
+    highest counts; repeated rows give repeated rows. Without labels a clause of weight 0.75 or more
+    scores above 0.5. An empty table gives an empty result.
+    """
+    out = _scored(docs, labels, id_col, text_col)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "counts", "weight", "clause")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that score_toxicity() doesn't predict to be toxic."""
-    key = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("none"))
-    out = score_toxicity(docs, labels, id_col, text_col, hashed=True).filter("predicted = 1")
-    out = out.select(key(F.col("doc_id")).alias("_out_id"), F.col("_hash").alias("_out_hash")).distinct()
-    rows = boxed(docs, id_col, text_col)
-    rows = rows.join(out, (key(F.col("_doc_id")) == F.col("_out_id")) & (F.xxhash64("_doc_text") == F.col("_out_hash")), "left_anti")
-    return rows.select("_doc.*")
+    """The documents, with all their columns, that score_toxicity() doesn't predict to be toxic, null and
+    empty texts and repeated rows among them. Rows carry their matches along, so they don't shuffle."""
+    return _scored(docs, labels, id_col, text_col, whole=True).filter("score < 0.5").select("_doc.*")
