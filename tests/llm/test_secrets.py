@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -111,3 +112,68 @@ def test_every_secret_of_a_compressed_layer_is_kept():
     want = sorted([f"abcdefghijkl{k}" for k in range(5)] + ["abcdefghijkl0", "mnopqrstuvwxyz"])
     x = base64.b64encode(gzip.compress(text.encode()) + gzip.compress(more.encode())).decode()
     assert sorted(f[5] for f in secrets.findings(f"a {x} b") if f[0] == "assign") == want
+
+
+def test_deep_nesting_is_linear_and_ends():
+    started = time.time()
+    assert secrets.findings("%" + "25" * 1200) == [f for f in secrets.findings("%" + "25" * 1200)] != []
+    for text in ("%" + "25" * 20_000 + "41KIAQWERTYUIOPASDFGH", "%2" + "%3" * 20_000 + "5" * 20_000, "\\u005c" + "u005c" * 5000 + "u0041KIAQWERTYUIOPASDFGH", "&" + "#38;" * 5000 + "#65;KIAQWERTYUIOPASDFGH"):
+        found = secrets.findings(text)
+        if text.endswith("H"):
+            assert [f[5] for f in found if f[0] == "access"] == [KEY]
+            assert [f[1:3] for f in found if f[0] == "access"] == [(0, len(text))]
+    assert time.time() - started < 60
+
+
+def test_bytes_that_are_not_text_are_still_read():
+    for raw in (b"\x00\x01 " + KEY.encode() + b" \x07", b"\xff\xfe " + KEY.encode() + b" \xf0", "\x1b[1m".encode() + KEY.encode()):
+        x = base64.b64encode(raw).decode()
+        assert ("access", KEY) in {(f[0], f[5]) for f in secrets.findings(f"a {x} b")}
+
+
+def test_streams_behind_percent_signs_and_escapes():
+    for packed in (gzip.compress(f"see {ASSIGN}".encode()), zlib.compress(f"see {ASSIGN}".encode())):
+        percent, escaped = urllib.parse.quote(packed, safe=""), "".join(f"\\x{b:02x}" for b in packed)
+        for x in (percent, escaped, urllib.parse.quote(percent)):
+            found = [f for f in secrets.findings(f"\u00e9 {x} end") if f[0] == "assign"]
+            assert found and all(2 <= f[1] < f[2] <= 2 + len(x) for f in found), x
+
+
+def test_streams_are_read_to_their_end_in_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 4000)
+    rng = random.Random(4)
+    parts, want = [], []
+    for k in range(40):
+        parts += words(rng, 60)
+        want.append(f"abcdefghijklmno{k:03d}")
+        parts.append(f"token = {want[-1]}")
+    for text in (" ".join(parts), "x" * 50_000 + " token=abcdefghijklmno000"):
+        x = base64.b64encode(gzip.compress(text.encode())).decode()
+        found = sorted(f[5] for f in secrets.findings(f"a {x} b") if f[0] == "assign")
+        assert found == (want if "  " not in text and len(text) != 50_025 else ["abcdefghijklmno000"])
+    twice = base64.b64encode(gzip.compress(gzip.compress(" ".join(parts).encode()))).decode()
+    assert sorted(f[5] for f in secrets.findings(twice) if f[0] == "assign") == want
+
+
+def decoded(text, depth=0):
+    """By the letter: every text that is reached by decoding all percent signs, or one base64 run."""
+    out = [text]
+    if depth < 4:
+        if "%" in text:
+            out += decoded(urllib.parse.unquote(text, errors="strict"), depth + 1) if urllib.parse.unquote(text) != text else []
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+            try:
+                out += decoded(base64.b64decode(m[0], validate=True).decode(), depth + 1)
+            except ValueError:
+                pass
+    return out
+
+
+def test_values_equal_brute_force_decoding():
+    rng = random.Random(9)
+    for _ in range(150):
+        text = f"{rng.choice([KEY, ASSIGN, 'secret: ' + 'q' * 14])} {words(rng, 1)[0]}"
+        for _ in range(rng.randrange(1, 4)):
+            text = rng.choice([lambda t: urllib.parse.quote(t, safe=""), lambda t: base64.b64encode(t.encode()).decode(), lambda t: f"see {t} and"])(text)
+        want = {v for t in decoded(text) for k, _, _, v in secrets.scan(t) if k != "hex"}
+        assert want <= {f[5] for f in secrets.findings(text)}

@@ -32,9 +32,19 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 STANDARD, URL_SAFE = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n)+[A-Za-z0-9+/_-]++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
-CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
-#: What one compressed layer may unpack to; a guard against decompression bombs.
-MAX_UNPACKED = 64 << 20
+#: What bytes that aren't UTF-8 must hold to be worth a layer: something that a secret or an encoding needs.
+WORTH = re.compile(rb"[A-Za-z0-9+/_.=-]{12}|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
+#: Runs of percent signs or \\x escapes that hold a compressed stream, from its first bytes on.
+PERCENT_STREAM = re.compile(r"(?:%1[fF]%8[bB]|%78%(?:01|5[eE]|9[cC]|[dD][aA])|x%(?:01|5[eE]|9[cC]|[dD][aA]))(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
+ESCAPE_STREAM = re.compile(r"\\x(?:1[fF]\\x8[bB]|78\\x(?:01|5[eE]|9[cC]|[dD][aA]))(?:\\x[0-9A-Fa-f]{2}|[!-\[\]-~])+")
+#: Layers after which nested escapes of ASCII characters are unwrapped all at once, in one pass.
+DEEP = 24
+#: The end of a stretch that is one escape of a character.
+TAIL = re.compile(r"(?:%(?P<p>[0-9A-Fa-f]{2})|\\u(?P<u4>[0-9a-fA-F]{4})|\\U(?P<u8>[0-9a-fA-F]{8})|\\x(?P<x2>[0-9a-fA-F]{2})|&#[xX](?P<ex>[0-9a-fA-F]{1,6});|&#(?P<ed>[0-9]{1,7});)\Z")
+#: A compressed stream is unpacked in windows of about this many bytes, cut where no secret and no
+#: encoded run can lie: at a character that none of them has, or at a space inside plain words.
+WINDOW = 8 << 20
+CUT = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;:\"'\x20\r\n\x80-\xff-]|(?<![:=\x20\"'])\x20(?![:=\x20\"'])")
 
 FINDING = "array<struct<kind:string,start:bigint,end:bigint,depth:int,via:string,value:string>>"
 
@@ -43,32 +53,31 @@ class Layer:
     """A text and where its characters come from in the layer above.
 
     Pieces are (at, start, end): characters from `at` on stem from [start, end) of the parent,
-    one by one where both have the same length, otherwise each from all of it.
+    one by one where both have the same length, otherwise each from all of it. `base` is where the
+    text begins in the unpacked stream that it is a window of.
     """
 
-    def __init__(self, text: str, parent: Layer | None = None, pieces=(), via: str = ""):
-        self.text, self.parent, self.pieces = text, parent, pieces
+    def __init__(self, text: str, parent: Layer | None = None, pieces=(), via: str = "", base: int = 0):
+        self.text, self.size, self.parent, self.pieces, self.base = text, len(text), parent, pieces, base
         self.at = [p[0] for p in pieces]
         self.depth = parent.depth + 1 if parent else 0
         self.via = f"{parent.via}>{via}".lstrip(">") if parent else ""
-
-    def origin(self, start: int, end: int) -> tuple[int, int]:
-        """The span of the document that [start, end) of this layer stems from."""
-        if self.parent is None:
-            return start, end
-        return self.parent.origin(self._one(start)[0], self._one(end - 1)[1])
-
-    def place(self, start: int, end: int) -> tuple:
-        """Where [start, end) lies in the compressed layers that it stems from, which have one origin for all."""
-        if self.parent is None:
-            return ()
-        own = ((start, end),) if "compressed" in self.via.rpartition(">")[2] else ()
-        return self.parent.place(self._one(start)[0], self._one(end - 1)[1]) + own
+        self.packed = "compressed" in via
+
+    def origin(self, start: int, end: int) -> tuple[int, int, tuple]:
+        """The span of the document that [start, end) of this layer stems from, and where it lies in the
+        compressed layers on the way, which have one origin for all that they hold."""
+        layer, place = self, []
+        while layer.parent is not None:
+            if layer.packed:
+                place.append((start + layer.base, end + layer.base))
+            start, end, layer = layer._one(start)[0], layer._one(end - 1)[1], layer.parent
+        return start, end, tuple(place)
 
     def _one(self, i: int) -> tuple[int, int]:
         k = bisect_right(self.at, i) - 1
         at, start, end = self.pieces[k]
-        size = (self.at[k + 1] if k + 1 < len(self.at) else len(self.text)) - at
+        size = (self.at[k + 1] if k + 1 < len(self.at) else self.size) - at
         return (start + i - at, start + i - at + 1) if size == end - start else (start, end)
 
 
@@ -140,27 +149,86 @@ def from_unicode(layer: Layer) -> Layer | None:
     return _spliced(layer, found(), "unicode") if "\\" in layer.text or "&#" in layer.text else None
 
 
-def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
-    """What a compressed stream holds, all members of it, and whether it was read to its end."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 5 and raw[0] == 0x78 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        stream = zlib.decompressobj(47)
+def rewritten(layer: Layer) -> Layer | None:
+    """The layer with all nested escapes of ASCII characters unwrapped, whichever way they nest: characters
+    go on a stack, and an escape that ends there becomes its character, which may end another one."""
+    out, pieces, changed = [], [], False
+    for i, c in enumerate(layer.text):
+        out.append(c)
+        pieces.append((i, i + 1))
+        while out[-1] == ";" or out[-1] in "0123456789abcdefABCDEF":
+            m = TAIL.search("".join(out[-12:]))
+            code = m and (int(m["ed"]) if m["ed"] else int(next(x for k, x in m.groupdict().items() if k != "ed" and x), 16))
+            if not m or code > 127:
+                break
+            n = m.end() - m.start()
+            span = pieces[-n][0], pieces[-1][1]
+            del out[-n:], pieces[-n:]
+            out.append(chr(code))
+            pieces.append(span)
+            changed = True
+    return Layer("".join(out), layer, [(k, a, b) for k, (a, b) in enumerate(pieces)], "escapes") if changed else None
+
+
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 5 and raw[0] == 0x78 and int.from_bytes(raw[:2], "big") % 31 == 0)
+
+
+def _unpacked(raw: bytes):
+    """(bytes, place in the stream, whole) in windows of what a compressed stream holds, with all its members;
+    whole says whether the stream was read to its end and is None before the last window."""
+    stream, held, base = zlib.decompressobj(47), b"", 0
+    while True:
         try:
-            out = stream.decompress(raw, MAX_UNPACKED)
-            while stream.eof and stream.unused_data[:2] == b"\x1f\x8b" and len(out) < MAX_UNPACKED:
-                raw, stream = stream.unused_data, zlib.decompressobj(47)
-                out += stream.decompress(raw, MAX_UNPACKED - len(out))
-            return out, stream.eof and stream.unused_data[:2] != b"\x1f\x8b"
+            more = stream.decompress(raw, WINDOW)
         except zlib.error:
-            return None
-    return None
+            yield held, base, False
+            return
+        held, raw = held + more, stream.unconsumed_tail
+        if stream.eof and stream.unused_data[:2] == b"\x1f\x8b":
+            raw, stream = stream.unused_data, zlib.decompressobj(47)
+        elif stream.eof or (not raw and not more):
+            yield held, base, stream.eof
+            return
+        if len(held) >= WINDOW and not _packed(held):
+            cuts = [m.start() for m in CUT.finditer(held, max(1, len(held) - WINDOW // 4))]
+            if cuts:
+                yield held[: cuts[-1]], base, None
+                held, base = held[cuts[-1] :], base + cuts[-1]
+
+
+def _streams(raw: bytes, cut: bool = False):
+    """(bytes, place, cut) of the windows of a compressed stream, through streams inside it."""
+    for held, base, whole in _unpacked(raw):
+        cut = cut or whole is False
+        if _packed(held) and held != raw and base == 0:
+            yield from _streams(held, cut)
+        else:
+            yield held, base, cut
 
 
 def _readable(raw: bytes) -> str | None:
+    """Bytes as text: UTF-8, or else a character each if there is anything to be found in them."""
     try:
-        text = raw.decode()
+        return raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and not CONTROL.search(text) else None
+        return raw.decode("latin-1") if WORTH.search(raw) else None
+
+
+def from_streams(layer: Layer):
+    """A layer for each compressed stream that is written in percent signs or \\x escapes."""
+    for hint, runs, byte in (("%", PERCENT_STREAM, "%"), ("\\x", ESCAPE_STREAM, "\\x")):
+        for m in runs.finditer(layer.text) if hint in layer.text else ():
+            head, *rest = m[0].split(byte)
+            raw = head.encode("latin-1") + b"".join(bytes.fromhex(x[:2]) + x[2:].encode("latin-1") for x in rest)
+            yield from _windows(layer, raw, m.start(), m.end(), "url" if byte == "%" else "unicode")
+
+
+def _windows(layer: Layer, raw: bytes, start: int, end: int, via: str):
+    for held, base, cut in _streams(raw):
+        text = _readable(held)
+        if text:
+            yield Layer(text, layer, [(0, start, end)], f"{via}>compressed cut" if cut else f"{via}>compressed", base)
 
 
 def _runs(text: str):
@@ -186,9 +254,9 @@ def _runs(text: str):
 
 
 def from_base64(layer: Layer):
-    """A layer for every base64 run that decodes to readable text, or to compressed readable text; "cut" in
-    via marks a compressed stream that isn't whole. What lies in step inside a run that was decoded whole
-    is part of that one's layer."""
+    """A layer for every base64 run that decodes to text or to a compressed stream; "cut" in via marks a
+    compressed stream that isn't whole. What lies in step inside a run that was decoded whole is part of
+    that one's layer."""
     whole = {}
     for spans in _runs(layer.text):
         if len(spans) == 1 and any(0 <= spans[0][0] - a and spans[0][1] <= b and (spans[0][0] - a + n) % 4 == 0 for a, b, n in whole.get(spans[0][0] >> 10, ())):
@@ -199,54 +267,60 @@ def from_base64(layer: Layer):
             raw = base64.b64decode(run + "=" * (-len(run) % 4))
         except (binascii.Error, ValueError):
             continue
-        start, end, complete, found = spans[0][0], spans[-1][1], True, None
-        while (inner := _inflated(raw)) is not None:
-            complete = complete and inner[1]
-            text = _readable(inner[0])
-            if text is not None:
-                found = Layer(text, layer, [(0, start, end)], "base64>compressed" if complete else "base64>compressed cut")
-                break
-            if inner[0] == raw:
-                break
-            raw = inner[0]
+        start, end, complete = spans[0][0], spans[-1][1], False
+        if _packed(raw):
+            for inner in _windows(layer, raw, start, end, "base64"):
+                complete = not inner.via.endswith("cut")
+                yield inner
         else:
             text = _readable(raw)
-            if text is not None:
-                where = [i for a, b in spans for i in range(a, b)] if len(spans) > 1 else range(start, end)
+            if text:
+                utf8, where = text.isascii() or len(text) < len(raw), [i for a, b in spans for i in range(a, b)] if len(spans) > 1 else range(start, end)
                 pieces, byte = [], 0
                 for i, c in enumerate(text):
-                    width = len(c.encode())
+                    width = len(c.encode()) if utf8 else 1
                     pieces.append((i, where[byte * 8 // 6], where[-(-(byte + width) * 8 // 6) - 1] + 1))
                     byte += width
-                found = Layer(text, layer, pieces, "base64")
-        if found is not None:
-            yield found
-            before = 0
-            for a, b in spans if complete else ():
-                for k in range(a >> 10, (b >> 10) + 1):
-                    whole.setdefault(k, []).append((a, b, before))
-                before += b - a
+                complete = utf8
+                yield Layer(text, layer, pieces, "base64")
+        before = 0
+        for a, b in spans if complete else ():
+            for k in range(a >> 10, (b >> 10) + 1):
+                whole.setdefault(k, []).append((a, b, before))
+            before += b - a
+
+
+def inner_layers(layer: Layer):
+    if layer.depth < DEEP:
+        yield from (x for x in (from_percent(layer), from_unicode(layer)) if x)
+    else:
+        flat = rewritten(layer)
+        last = [x for x in (from_percent(flat or layer), from_unicode(flat or layer)) if x] if flat is None or layer.depth == DEEP else []
+        yield from [flat] * (flat is not None) + last
+    yield from from_streams(layer)
+    yield from from_base64(layer)
 
 
 def findings(text: str) -> list[tuple]:
     """(kind, start, end, depth, via, value) over all layers of one text, by start, kind and end.
 
     Layers wait in a worklist until none is new. A layer is known again by its text and the span it
-    stems from, so encodings that reproduce themselves end.
+    stems from, so encodings that reproduce themselves end. A layer that has been read lets its text go.
     """
     found, seen, work = {}, set(), [Layer(text)]
     while work:
         layer = work.pop()
         for kind, start, end, value in scan(layer.text):
-            a, b = layer.origin(start, end)
-            known = kind, a, b, value, layer.place(start, end)
+            a, b, place = layer.origin(start, end)
+            known = kind, a, b, value, place
             if found.get(known, (9e9,))[0] > layer.depth:
                 found[known] = (layer.depth, layer.via, value)
-        for inner in [x for x in (from_percent(layer), from_unicode(layer)) if x] + list(from_base64(layer)):
-            mark = blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.origin(0, len(inner.text))
+        for inner in inner_layers(layer):
+            mark = blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.origin(0, inner.size)
             if inner.text and mark not in seen:
                 seen.add(mark)
                 work.append(inner)
+        layer.text = ""
     return sorted(((k, a, b, *v) for (k, a, b, *_), v in sorted(found.items())), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -265,8 +339,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that the encoded secret covers, and via names the encodings.
 
     Row by row, without a shuffle. Null texts are empty; repeated rows give repeated rows; an empty
-    table gives an empty result; further columns are ignored. One compressed layer is read up to
-    MAX_UNPACKED bytes.
+    table gives an empty result; further columns are ignored. Compressed streams (gzip with all its
+    members, zlib) are read to their end in windows, behind base64, percent signs or \\x escapes; other
+    bytes that aren't UTF-8 are read a character each. Escapes of ASCII characters that are nested more
+    than DEEP times are unwrapped at once from there on, so work stays linear however deep they nest.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text"))
