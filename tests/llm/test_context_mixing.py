@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import documents, words
 
 from tidepool.llm import context_mixing as cm
@@ -39,14 +40,55 @@ def test_base_scores_and_learning(spark):
 
 def test_next_byte_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    table = np.zeros(int(cm.BASES[-1]), np.uint16)
+    low = rng.integers(0, 50, (int(cm.LOW_BASES[-1]), 2)).astype(np.float32)
     gram = rng.integers(0, 1 << 48, 300)
-    place, _ = cm.slots(gram)
-    table[place.ravel()] = rng.integers(0, 1 << 16, place.size)
-    mixer = cm.Mixer(table, rng.uniform(0, 1, (48, 6)), rng.uniform(0.01, 0.99, 48 * cm.CELLS))
+    table, high = cm.part_table(low, gram, rng.integers(0, 9, 300))
+    mixer = cm.Mixer(table, high, rng.uniform(0, 1, (48, 6)), rng.uniform(0.01, 0.99, 48 * cm.CELLS))
     for g in gram[:20]:
         every = (g >> 8 << 8) + np.arange(256)
-        assert abs((10 ** mixer.log10(every)).sum() - 1) < 1e-9
+        assert abs((10 ** mixer.log10(every, False)).sum() - 1) < 1e-9
+
+
+def test_segments_and_n_grams_against_brute_force():
+    texts = [(t or "").encode() for _, t in corpus(2, 20)] + [b"to be or not to be or not to be", b"  two  spaces "]
+    table = pa.table({"text": pa.array([t.decode() for t in texts]), "_train": [True] * len(texts), "_block": [0] * len(texts)})
+    block = cm.Block(table, 5)
+    segments, grams, sizes = [], [], []
+    for t in texts:
+        parts = re.findall(rb"[^\x20\x09-\x0D]*[\x20\x09-\x0D]|[^\x20\x09-\x0D]*\xff", t.lower() + b"\xff")
+        assert b"".join(parts) == t.lower() + b"\xff"
+        sizes += map(len, parts)
+        segments += zip([b"", b"", *parts], [b"", *parts], parts)
+        padded = b"\0" * 5 + t.lower() + b"\xff"
+        grams += [padded[i : i + 6] for i in range(len(t) + 1)]
+    assert block.segment_size.tolist() == sizes
+    want = Counter(segments)
+    assert sorted(np.bincount(block.key_at).tolist()) == sorted(want.values())
+    same = {}
+    assert all(same.setdefault(k, x) == x for k, x in zip(block.key_at.tolist(), segments))
+    assert [int(g).to_bytes(6) for g in block.grams[block.gram_at]] == grams
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows, scores = corpus(3, 60), []
+    for n in ("4", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            scores.append({r.doc_id: r.score for r in cm.score_texts(documents(spark, rows).repartition(int(n))).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][i] - scores[1][i]) < 1e-6 * abs(scores[0][i]) for i in scores[0])
+
+
+def test_documents_that_come_twice_score_apart(spark):
+    rows = corpus(4, 120)
+    twice = [(1000 + k, t) for k, t in enumerate([t for _, t in rows if t and 300 < len(t) < 4000][:20])]
+    found = {r.doc_id: r.bits_per_byte for r in cm.score_texts(documents(spark, rows + twice)).collect()}
+    known = {t for _, t in twice}
+    learned = {i for i, _ in rows + twice if zlib.crc32(str(i).encode()) % 7 != 2}
+    copies = [found[i] for i, t in rows + twice if t in known and any(j != i and u == t and j in learned for j, u in rows + twice)]
+    others = [found[i] for i, t in rows if t and len(t) > 300 and t not in known and i > 4]
+    assert len(copies) > 30 and max(copies) < 0.5 < min(others)
 
 
 def test_repeated_rows_and_null_ids(spark):

@@ -57,8 +57,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """Deal documents out to blocks of about `size` bytes by a hash of id and text.
+def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES, total: int | None = None, least: int | None = None) -> tuple[DataFrame, int]:
+    """Deal documents out to blocks of about `size` bytes by a hash of id and text, at least `least` blocks
+    (as many as the session's shuffles have partitions); `total` is the corpus' bytes where known.
 
     Returns (_block, _key, doc_id, text) and the number of blocks. Null texts are empty, null ids
     stay null. Rows that agree in id and text share a _key; a block's content depends on neither
@@ -66,8 +67,9 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(shuffle_partitions(spark), math.ceil(total / size))
+    if total is None:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(shuffle_partitions(spark) if least is None else least, math.ceil(total / size))
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")
     rows = rows.select(F.pmod(key, F.lit(n)).cast("int").alias("_block"), key.alias("_key"), "doc_id", "text")
     return rows, n
