@@ -52,7 +52,7 @@ def test_next_byte_probabilities_sum_to_one():
 def test_segments_and_n_grams_against_brute_force():
     texts = [(t or "").encode() for _, t in corpus(2, 20)] + [b"to be or not to be or not to be", b"  two  spaces "]
     table = pa.table({"text": pa.array([t.decode() for t in texts]), "_train": [True] * len(texts), "_block": [0] * len(texts)})
-    block = cm.Block(table, 5)
+    block = cm.Block(table, 5, cm.segment_bits(0))
     segments, grams, sizes = [], [], []
     for t in texts:
         parts = re.findall(rb"[^\x20\x09-\x0D]*[\x20\x09-\x0D]|[^\x20\x09-\x0D]*\xff", t.lower() + b"\xff")
@@ -60,7 +60,7 @@ def test_segments_and_n_grams_against_brute_force():
         sizes += map(len, parts)
         segments += zip([b"", b"", *parts], [b"", *parts], parts)
         padded = b"\0" * 5 + t.lower() + b"\xff"
-        grams += [padded[i : i + 6] for i in range(len(t) + 1)]
+        grams += [padded[i : i + 5][::-1] + padded[i + 5 : i + 6] for i in range(len(t) + 1)]
     assert block.segment_size.tolist() == sizes
     want = Counter(segments)
     assert sorted(np.bincount(block.key_at).tolist()) == sorted(want.values())

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import binary_rows, deltas, in_blocks, materialize, messages, mix64, pack, part_edges, shuffle_partitions, text_of, unpack, utf8
+from tidepool.llm.common import binary_rows, bounded_batches, deltas, in_blocks, materialize, messages, mix64, pack, part_edges, shuffle_partitions, text_of, unpack, utf8
 
 #: Bytes of context of each predictor. Those of up to LOW bytes count in tables of a fixed size, which all
 #: parts share (8, 16 and 21 bits, so 18 MB are broadcast); those of more bytes in tables of the part that
@@ -32,7 +33,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
-WORD_BITS = 24
+#: Bits of a segment's key that tell what comes after the same two segments.
+WORD_BITS = 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,18 +58,23 @@ def _slices(data: np.ndarray, offsets: np.ndarray):
 
 
 def _grams(begin: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each byte of each text and its end: it with the five before it."""
+    """For each byte of each text and its end: the five before it, the nearest first, and it."""
     wide = len(ORDERS) - 1
-    gram = np.zeros(len(text) - wide, np.int64)
-    for k in range(wide + 1):
-        gram |= text[k : len(text) - wide + k].astype(np.int64) << (8 * (wide - k))
+    gram = text[wide:].astype(np.int64)
+    for k in range(1, wide + 1):
+        gram |= text[wide - k : len(text) - k].astype(np.int64) << (8 * (wide + 1 - k))
     own = np.ones(len(text), bool)
     for k in range(wide):
         own[begin[:-1] + k] = False
     return gram[own[wide:]]
 
 
-def _segments(begin: np.ndarray, text: np.ndarray):
+def segment_bits(total: int) -> int:
+    """Bits of the keys of segments in a corpus of so many bytes: few pairs of segments before share a hash."""
+    return min(64, max(24, int(total).bit_length()) + 7 + WORD_BITS)
+
+
+def _segments(begin: np.ndarray, text: np.ndarray, bits: int):
     """(place of the last byte, document, hash of the word or 0, key) of segments: each ends with a white space
     or with the end of the text, so no segment begins another one. A key is the hash of the two segments
     before, whose WORD_BITS lowest bits are the segment's."""
@@ -92,14 +99,14 @@ def _segments(begin: np.ndarray, text: np.ndarray):
     one = np.where(opens, np.uint64(0), np.concatenate([np.zeros(1, np.uint64), segment[:-1]]))
     two = np.where(opens, np.uint64(0), np.concatenate([np.zeros(1, np.uint64), one[:-1]]))
     low = np.uint64((1 << WORD_BITS) - 1)
-    return stop, doc, word, (mix64(one ^ mix64(two + np.uint64(7))) & ~low) | (segment & low)
+    return stop, doc, word, ((mix64(one ^ mix64(two + np.uint64(7))) & ~low) | (segment >> np.uint64(32) & low)) & np.uint64((1 << bits) - 1)
 
 
 class Block:
     """What a block's texts ask of the parts: words (kind 0), n-grams (1) and segments (2), each distinct one
     once, by part and in order, with where it is in the texts."""
 
-    def __init__(self, table: pa.Table, parts: int):
+    def __init__(self, table: pa.Table, parts: int, bits: int):
         data, offsets = utf8(table)
         self.train = np.array(table.column("_train").to_pylist(), bool)
         self.n = len(offsets) - 1
@@ -109,7 +116,7 @@ class Block:
             grams.append(number.astype(np.int32) + np.int32(known))
             distinct.append(own)
             known += len(own)
-            stop, doc, word, key = _segments(begin, text)
+            stop, doc, word, key = _segments(begin, text, bits)
             #: Padding isn't part of the texts.
             place = stop - (len(ORDERS) - 1) * (doc + 1)
             sizes.append(np.diff(place, prepend=-1))
@@ -124,12 +131,12 @@ class Block:
         word = np.concatenate([join([w for w, _ in words], np.uint64), np.zeros(self.n, np.uint64)])
         self.words, self.word_at = np.unique(word, return_inverse=True)
         self.keys, self.key_at = np.unique(join([k for k, _ in keys], np.uint64), return_inverse=True)
-        part = (mix64((gram >> 8) & ((1 << 8 * (LOW + 1)) - 1)) % np.uint64(parts)).astype(np.int32)
+        part = (mix64(gram >> 8 * (len(ORDERS) - LOW - 1)) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((gram, part))
         self.grams, place = gram[order], np.empty(len(gram), np.int32)
         place[order] = np.arange(len(gram), dtype=np.int32)
         self.gram_at = place[self.gram_at]
-        self.edges = [part_edges(self.words, 64, parts), np.searchsorted(part[order], np.arange(parts + 1)), part_edges(self.keys >> np.uint64(WORD_BITS), 64 - WORD_BITS, parts)]
+        self.edges = [part_edges(self.words, 64, parts), np.searchsorted(part[order], np.arange(parts + 1)), part_edges(self.keys >> np.uint64(WORD_BITS), bits - WORD_BITS, parts)]
 
     def gram_train(self) -> np.ndarray:
         """Whether each byte of the texts, and each end, belongs to a training text."""
@@ -155,7 +162,7 @@ def slots(gram: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray]:
     gram = gram.astype(np.uint64)
     symbol = gram & np.uint64(255)
     out, bits = np.empty((8, len(ORDERS), len(gram)), np.int64), np.empty((8, len(gram)), np.uint8)
-    context = [mix64(((gram >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 56)) for k in ORDERS]
+    context = [mix64((gram >> np.uint64(8 * (len(ORDERS) - k))) + np.uint64(k << 56)) for k in ORDERS]
     sizes = [*LOW_BITS, *[high] * (len(ORDERS) - LOW - 1)]
     bases = np.concatenate([[0], np.cumsum([1 << b for b in sizes])])
     for j in range(8):
@@ -251,10 +258,31 @@ ASKED = "_kind int, _part int, _from int, payload binary"
 TOLD = "_kind int, _block int, _part int, payload binary"
 
 
-def _ask_block(parts: int):
+def _packed_texts(batches):
+    """The rows of each block in a batch as one compressed message."""
+    for batch in batches:
+        block = np.array(batch.column("_block"))
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+        rows = []
+        for a, b in zip(cuts, cuts[1:]):
+            own = pa.Table.from_batches([batch]).select(["doc_id", "_train", "text"]).take(pa.array(order[a:b]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as writer:
+                writer.write_table(own)
+            rows.append((int(block[order[a]]), zstandard.ZstdCompressor(level=3).compress(sink.getvalue())))
+        yield from binary_rows(rows, "_block", "payload").to_batches()
+
+
+def _texts(table: pa.Table) -> pa.Table:
+    """The rows of a block from its messages."""
+    return pa.concat_tables([pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(m)).read_all() for m in messages(table)])
+
+
+def _ask_block(parts: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("_block")[0].as_py()
-        return binary_rows([(kind, p, block, m) for kind, p, m in Block(table, parts).asks()], "_kind", "_part", "_from", "payload")
+        return binary_rows([(kind, p, block, m) for kind, p, m in Block(_texts(table), parts, bits).asks()], "_kind", "_part", "_from", "payload")
 
     return run
 
@@ -267,29 +295,27 @@ def _sums(found: list[list[np.ndarray]], kind: type) -> tuple[np.ndarray, np.nda
 
 def _answer_part(table: pa.Table) -> pa.Table:
     """To each block the numbers of its words, or of its segments and of what comes after the same two; of
-    words also how many there are in all, and different ones (kind 3)."""
+    words also how many there are in all, and different ones (kind 3). Of n-grams the distinct ones with
+    their sums (kind 1) and where those are that each block has (kind 4)."""
     kind, part = table.column("_kind")[0].as_py(), table.column("_part")[0].as_py()
-    found = [unpack(x) for x in messages(table)]
-    keys, sums, at = _sums(found, np.uint64)
+    found, blocks = [unpack(x) for x in messages(table)], table.column("_from").to_pylist()
+    keys, sums, at = _sums(found, np.int64 if kind == 1 else np.uint64)
+    ends = np.cumsum([0, *[len(x[0]) for x in found]])
+    own = [slice(a, b) for a, b in zip(ends, ends[1:])]
+    if kind == 1:
+        rows = [(1, -1, part, pack(deltas(keys), sums))]
+        rows += [(4, b, part, pack(deltas(at[o].astype(np.int32)), np.packbits(x[1] > 0), x[2])) for b, x, o in zip(blocks, found, own)]
+        return binary_rows(rows, "_kind", "_block", "_part", "payload")
     replies = [sums[at]]
     if kind == 2:
         context = np.unique(keys >> np.uint64(WORD_BITS), return_inverse=True)[1]
         replies.append(np.bincount(context, sums).astype(np.int64)[context][at])
-    rows, done = [], 0
-    for block, x in zip(table.column("_from").to_pylist(), found):
-        rows.append((kind, block, part, pack(*[r[done : done + len(x[0])] for r in replies])))
-        done += len(x[0])
+    rows = [(kind, b, part, pack(*[r[o] for r in replies])) for b, o in zip(blocks, own)]
     if kind == 0:
         rows.append((3, -1, part, pack(np.array([sums.sum(), (sums > 0).sum()], np.int64))))
     return binary_rows(rows, "_kind", "_block", "_part", "payload")
 
 
-def _merge_part(table: pa.Table) -> pa.Table:
-    """The distinct n-grams of a part with their numbers in training texts."""
-    gram, count, _ = _sums([unpack(x) for x in messages(table)], np.int64)
-    return binary_rows([(table.column("_part")[0].as_py(), pack(deltas(gram), count))], "_part", "payload")
-
-
 def _merged(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     steps, count = unpack(payload)
     return np.cumsum(steps), count
@@ -346,28 +372,30 @@ def _score_part(low, weights: np.ndarray, refined: np.ndarray):
     """To each block the log10 probabilities of its n-grams: in training texts, where each one's own
     occurrence is left out, and in held-out ones."""
 
-    def run(asked: pa.Table, merged: pa.Table) -> pa.Table:
-        gram, count = _merged(messages(merged)[0])
-        mixer, rows = Mixer(*part_table(low.value, gram, count), weights, refined), []
-        found = [unpack(x) for x in messages(asked)]
-        places = [np.searchsorted(gram, np.cumsum(x[0])) for x in found]
-        held = [np.unpackbits(x[2], count=len(x[0])).astype(bool) for x in found]
-        own, other = np.zeros(len(gram), np.float32), np.zeros(len(gram), np.float32)
+    def run(table: pa.Table) -> pa.Table:
+        kinds, payloads = table.column("_kind").to_pylist(), messages(table)
+        gram, count = _merged(payloads[kinds.index(1)])
+        mixer = Mixer(*part_table(low.value, gram, count), weights, refined)
+        own, other, wanted = np.zeros(len(gram), np.float32), np.zeros(len(gram), np.float32), np.zeros(len(gram), bool)
+        blocks = []
+        for kind, block, message in zip(kinds, table.column("_block").to_pylist(), payloads):
+            if kind == 4:
+                steps, learned, held = unpack(message)
+                at = np.cumsum(steps)
+                blocks.append((block, at[np.unpackbits(learned, count=len(at)).astype(bool)], at[np.unpackbits(held, count=len(at)).astype(bool)]))
+                wanted[blocks[-1][2]] = True
         own[count > 0] = mixer.log10(gram[count > 0], True)
-        wanted = np.zeros(len(gram), bool)
-        for at, h in zip(places, held):
-            wanted[at[h]] = True
         other[wanted] = mixer.log10(gram[wanted], False)
-        for block, x, at, h in zip(asked.column("_from").to_pylist(), found, places, held):
-            rows.append((1, block, asked.column("_part")[0].as_py(), pack(own[at[x[1] > 0]], other[at[h]])))
-        return binary_rows(rows, "_kind", "_block", "_part", "payload")
+        part = table.column("_part")[0].as_py()
+        return binary_rows([(1, block, part, pack(own[a], other[b])) for block, a, b in blocks], "_kind", "_block", "_part", "payload")
 
     return run
 
 
-def _score_block(parts: int):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(docs, parts)
+def _score_block(parts: int, bits: int):
+    def run(packed: pa.Table, replies: pa.Table) -> pa.Table:
+        docs = _texts(packed)
+        block = Block(docs, parts, bits)
         order = sorted(range(replies.num_rows), key=lambda i: replies.column("_part")[i].as_py())
         kinds, payloads = replies.column("_kind").to_pylist(), messages(replies)
         told = [[unpack(payloads[i]) for i in order if kinds[i] == k] for k in range(3)]
@@ -384,7 +412,7 @@ def _score_block(parts: int):
         other[held] = np.concatenate([np.zeros(0, np.float32), *[x[1] for x in told[1]]])
         value = np.where(learn, own[block.gram_at], other[block.gram_at]).astype(float)
         first = np.cumsum(block.segment_size) - block.segment_size
-        bits = np.add.reduceat(value, first) if len(first) else value
+        flat = np.add.reduceat(value, first) if len(first) else value
 
         #: Of training texts each segment's own occurrence is left out.
         mine = block.train[block.segment_doc].astype(np.int64)
@@ -393,7 +421,7 @@ def _score_block(parts: int):
         begin = np.searchsorted(block.segment_doc, block.segment_doc, "left")
         at = np.arange(len(c))
         mu = MU * 0.5 ** (hits[at] - hits[np.maximum(begin, at - TRUST)])
-        log = np.where(c > 0, np.log10(10.0**bits * mu + np.maximum(c, 1)), np.log10(mu) + bits) - np.log10(mu + n)
+        log = np.where(c > 0, np.log10(10.0**flat * mu + np.maximum(c, 1)), np.log10(mu) + flat) - np.log10(mu + n)
         columns += [pa.array(np.bincount(block.segment_doc, log, block.n)), pa.array(np.bincount(block.segment_doc, block.segment_size, block.n).astype(np.int64) - 1)]
         return pa.table([docs.column("doc_id"), docs.column("_train"), *columns], ["doc_id", "_train", "n_tokens", "n_known", "_sum", "score", "n_bytes"])
 
@@ -424,14 +452,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
+    bits = segment_bits(size)
     rows, n = in_blocks(docs, id_col, text_col, min(BLOCK, max(LEAST_BLOCK, size // BLOCKS)), total=size, least=1)
-    blocks = rows.select("_block", "doc_id", (~held_out(F.col("doc_id"))).alias("_train"), "text").repartition(max(n, shuffle_partitions(spark)), "_block")
-    asked = materialize(blocks.groupBy("_block").applyInArrow(_ask_block(n), ASKED), "lm-asked")
-    told = asked.filter("_kind <> 1").groupBy("_kind", "_part").applyInArrow(_answer_part, TOLD)
+    tasks = max(n, shuffle_partitions(spark))
+    bounded_batches(spark, rows=20_000)
+    rows = rows.select("_block", "doc_id", (~held_out(F.col("doc_id"))).alias("_train"), "text").mapInArrow(_packed_texts, "_block int, payload binary")
+    blocks = rows.repartition(tasks, "_block").groupBy("_block")
+    told = blocks.applyInArrow(_ask_block(n, bits), ASKED).groupBy("_kind", "_part").applyInArrow(_answer_part, TOLD)
     told = materialize(told, "lm-counts")
-    grams = asked.filter("_kind = 1")
-    merged = materialize(grams.groupBy("_part").applyInArrow(_merge_part, "_part int, payload binary"), "lm-grams")
-    payloads = merged.select("payload").repartition(max(n, shuffle_partitions(spark)))
+    payloads = told.filter("_kind = 1").select("payload").repartition(tasks)
 
     low = np.zeros((int(LOW_BASES[-1]), 2), np.float32)
     ranges = payloads.mapInArrow(_low_messages, "_range int, payload binary").groupBy("_range").applyInArrow(_sum_slots, "_range int, payload binary")
@@ -454,12 +483,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     facts = told.filter("_kind = 3").mapInArrow(_totals, "n bigint, v bigint").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, different = facts["n"] or 0, facts["v"] or 0
-    scored = grams.groupBy("_part").cogroup(merged.groupBy("_part")).applyInArrow(_score_part(low, weights, refined), TOLD)
-    replies = told.filter("_kind <> 3").unionByName(scored)
-    out = blocks.groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(_score_block(n), "doc_id bigint, _train boolean, n_tokens bigint, n_known bigint, _sum double, score double, n_bytes bigint")
+    scored = told.filter("_kind in (1, 4)").groupBy("_part").applyInArrow(_score_part(low, weights, refined), TOLD)
+    replies = told.filter("_kind in (0, 2)").unionByName(scored)
+    out = blocks.cogroup(replies.groupBy("_block")).applyInArrow(_score_block(n, bits), "doc_id bigint, _train boolean, n_tokens bigint, n_known bigint, _sum double, score double, n_bytes bigint")
     base = F.col("_sum") - F.col("n_tokens") * F.log10(F.lit(float(tokens + different + 1)))
-    bits = -F.col("score") / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1))
-    return out.select("doc_id", (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    rate = -F.col("score") / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1))
+    return out.select("doc_id", (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", rate.alias("bits_per_byte"))
 
 
 def _totals(batches):
