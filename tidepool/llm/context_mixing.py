@@ -27,7 +27,7 @@ RATE, STEP, HALVING, CELLS = 1.5, 2048, 200, 24
 MU, TRUST = 4.0, 8
 #: Bytes of a block of documents: a share of the corpus within bounds, so that nothing depends on how the
 #: session partitions; bytes whose n-grams are counted at a time.
-BLOCKS, LEAST_BLOCK, BLOCK, SLICE = 64, 1 << 20, 8 << 20, 2 << 20
+BLOCKS, LEAST_BLOCK, BLOCK, SLICE = 64, 1 << 20, 5 << 20, 1 << 20
 BASE = 0x5851F42D4C957F2D
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

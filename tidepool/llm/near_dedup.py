@@ -20,7 +20,7 @@ IDF_SHARE = 0.25
 #: Members of a block when the rest of a group is compared; pairs of one center that one salt takes.
 CHUNK, SALT_PAIRS = 250, 4096
 #: Bytes of a block of documents, and of those that are hashed at a time.
-BLOCK, SLICE = 8 << 20, 1 << 20
+BLOCK, SLICE = 6 << 20, 1 << 20
 BASE = 0x5851F42D4C957F2D
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
