@@ -43,7 +43,7 @@ def site(url: Column) -> Column:
 
 
 def _parameters(url: Column) -> Column:
-    return F.filter(F.split(F.substring(part(url, 4), 2, 1 << 20), "&"), lambda p: p != "")
+    return F.filter(F.split(F.regexp_replace(part(url, 4), r"^\?", ""), "&"), lambda p: p != "")
 
 
 def _tracks(parameter: Column) -> Column:
@@ -57,20 +57,37 @@ def stripped_parameters(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, no tracking parameters, the others sorted by name, single
-    slashes, none at the end. What is no URL comes back trimmed; null is empty."""
+    """Lower-case scheme and host without credentials and default port, no fragment, no tracking parameters,
+    the others sorted by name, single slashes, none at the end. What is no URL comes back trimmed; null is empty."""
     kept = F.filter(_parameters(url), lambda p: ~_tracks(p))
     name = lambda p: F.regexp_extract(p, "^[^=]*", 0)
     ordered = F.array_sort(F.transform(kept, lambda p, i: F.struct(name(p).alias("n"), i.alias("i"), p.alias("p"))))
     query = F.array_join(F.transform(ordered, lambda x: x["p"]), "&")
     path = F.regexp_replace(F.regexp_replace(part(url, 3), "/{2,}", "/"), "/+$", "")
-    whole = F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    whole = F.concat(origin(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.coalesce(F.when(is_url(url), whole).otherwise(F.trim(url)), F.lit(""))
 
 
 def origin(url: Column) -> Column:
-    """Scheme, host and port."""
-    return F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(F.regexp_replace(part(url, 2), r"^.*@", "")))
+    """Scheme, host and port, unless that is the scheme's own."""
+    whole = F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(F.regexp_replace(part(url, 2), r"^.*@", "")))
+    return F.regexp_replace(whole, "^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
+
+
+def built(base: Column, path: Column) -> Column:
+    """The canonical address of a path on a page's origin."""
+    return canonical(F.concat(origin(base), path))
+
+
+def same_domain(a: Column, b: Column) -> Column:
+    """Whether two addresses have one host, but for a leading www.; false if either is none."""
+    name = lambda url: F.regexp_replace(host(url), r"^www\.", "")
+    return F.coalesce(is_url(a) & is_url(b) & (name(a) == name(b)), F.lit(False))
+
+
+def cross_origin(requested: Column, final: Column) -> Column:
+    """Whether a redirect leaves the origin; true if either address is none."""
+    return F.coalesce(~(is_url(requested) & is_url(final)) | (origin(requested) != origin(final)), F.lit(True))
 
 
 def path_type(url: Column) -> Column:

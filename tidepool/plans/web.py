@@ -24,7 +24,7 @@ named as (
   select *, list_filter(ps, lambda p: not (starts_with(lower(regexp_extract(p, '^[^=]*')), 'utm_')
     or lower(regexp_extract(p, '^[^=]*')) in ('fbclid', 'gclid', 'gbraid', 'mc_cid', 'mc_eid', 'msclkid', 'wbraid'))) as kept from params),
 canon as (
-  select *, scheme || '://' || authority || regexp_replace(regexp_replace(path, '/{2,}', '/', 'g'), '/+$', '')
+  select *, scheme || '://' || regexp_replace(regexp_replace(authority, '^.*@', ''), case scheme when 'http' then ':80$' when 'https' then ':443$' else '^$' end, '') || regexp_replace(regexp_replace(path, '/{2,}', '/', 'g'), '/+$', '')
     || case when len(kept) > 0 then '?' || array_to_string(list_sort(kept), '&') else '' end as canonical_url from named)
 """
 PATH_TYPE = r"""case when regexp_replace(path, '/+$', '') = '' then 'homepage'
