@@ -61,3 +61,16 @@ def test_truncated_and_jaccard(spark):
     assert one(spark, lambda c: text.truncated(c, 10), "a long text here") == "a long..."
     row = spark.createDataFrame([(["a", "b"], ["b", "c"], [])], "x array<string>, y array<string>, z array<string>").select(text.jaccard(F.col("x"), F.col("y")), text.jaccard(F.col("z"), F.col("z"))).first()
     assert row[0] == pytest.approx(1 / 3) and row[1] == 1.0
+
+
+def test_entities_are_decoded_once(spark):
+    wanted = {"&#36;29 &euro;30": "$29 €30", "&#x20AC;5 &#8364;6": "€5 €6", "&amp;lt;b&amp;gt;": "&lt;b&gt;", "&AMP; &Pound;7": "& £7", "&unknown; &; a&b": "&unknown; &; a&b", "&#128512;&#233;&#65;": "\U0001f600éA", "plain": "plain", "&#99999999;": "&#99999999;"}
+    rows = spark.createDataFrame([(k,) for k in wanted], "t string").select("t", text.decoded(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in rows} == wanted
+    assert spark.createDataFrame([("&#36; 29, &euro; 30",)], "t string").select(text.comparable(F.col("t"))).first()[0] == "$29, €30"
+
+
+def test_canonical_drops_credentials_and_default_ports(spark):
+    wanted = {"https://user:pw@Shop.example.com:443/a/": "https://shop.example.com/a", "http://x.example:80": "http://x.example", "https://x.example:8443/b": "https://x.example:8443/b", "http://x.example:443/c": "http://x.example:443/c"}
+    rows = spark.createDataFrame([(k,) for k in wanted], "u string").select("u", urls.canonical(F.col("u")).alias("c")).collect()
+    assert {r.u: r.c for r in rows} == wanted

@@ -25,7 +25,8 @@ COMPARABLE = (
     (r"(?i)\byearly\b|\bannually\b", "/year"),
 )
 PUNCTUATION = ((r"\s+([,.;:!?/])", "$1"), (r"([,.;:!?/])(?=\S)", "$1 "), (r"\s+", " "))
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Named entities that are decoded besides numbers; fixed values.
+ENTITIES = (("amp", "&"), ("gt", ">"), ("lt", "<"), ("nbsp", " "), ("pound", "£"), ("quot", '"'), ("euro", "€"))
 #: Whole segments, and words in them, that say nothing about a page; fixed values.
 BOILERPLATE = (
     r"(?i)^(accept|reject|allow all|manage cookies|cookie settings|privacy policy|terms|terms of service|legal|all rights reserved|copyright)$",
@@ -39,12 +40,34 @@ LAUNCH = r"(?i)(?:launch|new|introducing|release|released|shipping|available|bet
 FEATURE = r"(?i)(?:feature|integration|workflow|automation|dashboard|api|report|analytics|ai|security|sso|export|import)"
 
 
+def _entity(name: Column) -> Column:
+    """The character of an entity's name, or the entity as it is."""
+    low = F.lower(name)
+    digits = F.when(low.startswith("#x"), F.conv(F.substring(low, 3, 8), 16, 10)).when(low.startswith("#"), F.substring(low, 2, 8))
+    code = digits.try_cast("int")
+    octets = (
+        F.when(code < 0x80, F.lpad(F.hex(code), 2, "0"))
+        .when(code < 0x800, F.hex(F.lit(0xC080) + F.shiftright(code, 6) * 256 + code % 64)).when(code < 0x10000, F.hex(F.lit(0xE08080) + F.shiftright(code, 12) * 65536 + F.shiftright(code, 6) % 64 * 256 + code % 64))
+        .when(code < 0x110000, F.hex(F.lit(0xF0808080) + F.shiftright(code, 18).cast("long") * 16777216 + F.shiftright(code, 12) % 64 * 65536 + F.shiftright(code, 6) % 64 * 256 + code % 64))
+    )
+    out = F.when(code.isNotNull(), F.unhex(octets).cast("string"))
+    for known, char in ENTITIES:
+        out = out.when(low == known, char)
+    return F.coalesce(out, F.concat(F.lit("&"), name, F.lit(";")))
+
+
+def decoded(text: Column) -> Column:
+    """Text with its numeric and best known named entities as characters, each once, from left to right."""
+    parts = F.split(text, "(?i)(?=&(?:#x?[0-9a-f]+|[a-z]+);)")
+    name = lambda x: F.regexp_extract(x, "(?i)^&(#x?[0-9a-f]+|[a-z]+);", 1)
+    plain = F.transform(parts, lambda x: F.when(name(x) != "", F.concat(_entity(name(x)), F.substring(x, F.char_length(name(x)) + 3, F.lit(1 << 30)))).otherwise(x))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(plain, "")).otherwise(text)
+
+
 def comparable(text: Column) -> Column:
     """A text without what changes between versions without meaning: entities, tags, attributes, build
     names, long hex runs, clock times; spellings of periods and spaces are made alike."""
-    text = F.coalesce(text, F.lit(""))
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = decoded(F.coalesce(text, F.lit("")))
     for pattern, by in COMPARABLE:
         text = F.regexp_replace(text, pattern, by)
     text = F.lower(text)

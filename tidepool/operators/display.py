@@ -9,18 +9,18 @@ from pyspark.sql import Window as W
 from tidepool.functions import money
 from tidepool.functions import text as T
 
-#: Which analyses run on which type of page; fixed values.
+#: Analyses, and the verified types of pages that each runs on; fixed values.
 GATES = (
-    ("homepage", True, True, True, True), ("pricing", True, True, False, False), ("features", False, True, True, False),
-    ("changelog", False, False, False, True), ("docs", False, False, True, False), ("other", False, True, True, False),
+    ("pricing", ("homepage", "pricing")), ("positioning", ("homepage", "product", "features")), ("cta", ("homepage", "pricing", "product")), ("features", ("homepage", "features", "product")),
+    ("momentum", ("changelog",)), ("trust", ("homepage", "product")), ("category", ("homepage", "product", "features")),
 )
 #: Sections of a summary with the fields that can fill them, the first that has a fact counts; fixed values.
 SECTIONS = (("positioning", ("headline", "value_proposition", "target")), ("pricing", ("lowest_price", "pricing_status")), ("cta", ("primary_cta",)), ("feature", ("feature",)))
 
 
-def gates(spark) -> DataFrame:
-    """(page_type, pricing, cta, features, changelog): six rows, so a join with it broadcasts."""
-    return spark.createDataFrame(list(GATES), "page_type string, run_pricing boolean, run_cta boolean, run_features boolean, run_changelog boolean")
+def gates(page_type: Column, allowed: Column) -> list[Column]:
+    """run_<analysis> for each analysis: nothing runs on a page that wasn't verified."""
+    return [F.coalesce(allowed & page_type.isin(*types), F.lit(False)).alias(f"run_{name}") for name, types in GATES]
 
 
 def money_text(price: Column, currency: Column, per: Column) -> Column:

@@ -16,8 +16,8 @@ LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), l
 def _chain() -> str:
     """DuckDB's side of text.comparable(), for a column named s."""
     out = "s"
-    for name, char in T.ENTITIES:
-        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for entity, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("euro", "€"), ("pound", "£"), ("#36", "$"), ("#39", "''"), ("amp", "&")):
+        out = f"regexp_replace({out}, '(?i)&{entity};', '{char}', 'g')"
     for pattern, by in T.COMPARABLE:
         pattern = pattern.replace("'", "''").replace("​", r"\x{200b}").replace("‍", r"\x{200d}").replace("﻿", r"\x{feff}")
         by = by.replace("'", "''").replace("$1", r"\1").replace("$2", r"\2")

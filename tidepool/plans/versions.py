@@ -88,16 +88,17 @@ def owners_limited(spark, sf_dir):
 
 @query(
     "with r as (select o_orderkey, o_orderdate, c_nationkey, row_number() over (partition by c_nationkey order by o_orderdate desc, o_orderkey desc) as rank, count(*) over (partition by c_nationkey) as total from orders join customer on o_custkey = c_custkey) "
-    "select n_name as nation, o_orderkey as change_id, rank::int as rank, total from r join nation on n_nationkey = c_nationkey where rank <= 10"
+    "select n_name as nation, o_orderkey as change_id, rank::int as rank, least(total, 10)::bigint as listed, total from r join nation on n_nationkey = c_nationkey where rank <= 10"
 )
 def dashboard_recent_changes(spark, sf_dir):
-    """The ten newest changes of each nation, with how many it has in all (counted before they are cut)."""
+    """The ten newest changes of each nation, with how many are listed and how many it has in all."""
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey").join(people, F.col("o_custkey") == F.col("c_custkey"))
     totals = rows.groupBy("c_nationkey").agg(F.count("*").alias("total"))
     newest = versions.top(rows, ["c_nationkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 10)
+    listed = newest.groupBy("c_nationkey").agg(F.count("*").alias("listed"))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
-    return newest.join(totals, "c_nationkey").join(F.broadcast(names), "c_nationkey").select("nation", F.col("o_orderkey").alias("change_id"), "rank", "total")
+    return newest.join(totals, "c_nationkey").join(listed, "c_nationkey").join(F.broadcast(names), "c_nationkey").select("nation", F.col("o_orderkey").alias("change_id"), "rank", "listed", "total")
 
 
 @query("select count(distinct c_custkey) as owners, count(o_orderkey) as snapshots, count(distinct o_custkey) as pages, max(o_orderdate) as last_checked from customer left join orders on o_custkey = c_custkey")
