@@ -68,3 +68,15 @@ def ranked(gaps: DataFrame, most: int = 3) -> DataFrame:
     order = W.partitionBy("user_id").orderBy(F.desc("novelty"), F.desc("priority"), F.desc("confidence"), "field")
     rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return rows.withColumn("visibility", visibility(F.col("confidence")))
+
+
+def baseline(facts: DataFrame, rules: dict[str, Column], key: str = "user_id") -> DataFrame:
+    """(key, rule) for each rule that a user's own facts call for."""
+    found = F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), name) for name, when in rules.items()]))
+    return facts.select(key, F.explode(found).alias("rule"))
+
+
+def by_rule(counts: DataFrame, rules: list[str], least: int = 2, key: str = "user_id") -> DataFrame:
+    """(key, others, rule, supporters) of the rules that enough others support, from a row of counts a user."""
+    rows = counts.select(key, "others", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("supporters")) for r in rules])).alias("_r"))
+    return rows.select(key, "others", "_r.*").filter(F.col("supporters") >= least)

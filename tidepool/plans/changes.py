@@ -143,12 +143,12 @@ def recommendation_rank(spark, sf_dir):
 
 
 @query(
-    "with r as (select p_partkey, p_type, p_size, row_number() over (partition by p_type order by p_size desc, p_partkey) as own, row_number() over (order by p_size desc, p_partkey) as overall from part where p_size >= 45), "
+    "with r as (select p_partkey, p_type, p_size, row_number() over (partition by p_type order by p_size desc, p_partkey) as own, row_number() over (order by p_size desc, p_partkey) as overall from part), "
     "q as (select *, (own <= case when starts_with(p_type, 'PROMO') then 3 else 2 end) as within from r), f as (select *, row_number() over (order by within desc, overall) as place from q) select p_partkey as candidate_id, within as by_quota, place::int as place from f where place <= 40"
 )
 def candidate_quota(spark, sf_dir):
     """Forty candidates: each type's quota first, then the best of the rest."""
-    rows = table(spark, sf_dir, "part").filter("p_size >= 45").select("p_partkey", "p_type", "p_size")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     best = [F.desc("p_size"), F.col("p_partkey")]
     rows = rows.withColumn("_own", F.row_number().over(W.partitionBy("p_type").orderBy(*best)))
     rows = rows.withColumn("by_quota", F.col("_own") <= F.when(F.col("p_type").startswith("PROMO"), 3).otherwise(2))
@@ -178,7 +178,7 @@ def price_contexts(spark, sf_dir):
 
 
 @query(
-    f"with f as (select s_nationkey as user_id, l_suppkey as entity_id, p_type as field, p_brand as value, {CONF} as score from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey where p_size <= 2), "
+    f"with f as (select s_nationkey as user_id, l_suppkey as entity_id, p_type as field, p_brand as value, {CONF} as score from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey), "
     "g as (select user_id, field, count(distinct entity_id) as supporters, count(distinct lower(trim(value))) as signals, avg(score) as mean from f where score >= 0.55 group by 1, 2), "
     "n as (select *, case when mean >= 0.9 then 1 when mean >= 0.75 then 2 when mean >= 0.6 then 3 else 4 end as needed from g), "
     "k as (select user_id, field, supporters, signals, needed, least(96, floor(round(48 + least(supporters, 4) * 9 + mean * 20, 6) + 0.5))::int as confidence from n where supporters >= needed and field <> 'PROMO'), "
@@ -188,7 +188,7 @@ def price_contexts(spark, sf_dir):
 )
 def recommended_gaps(spark, sf_dir):
     """What a nation's suppliers agree on and the nation's own facts (here PROMO everywhere) don't have."""
-    parts = table(spark, sf_dir, "part").filter("p_size <= 2").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("field"), F.col("p_brand").alias("value"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("field"), F.col("p_brand").alias("value"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("user_id"))
     facts = _facts(spark, sf_dir).join(parts, "l_partkey").join(suppliers, "l_suppkey")
     others = facts.select("user_id", F.col("l_suppkey").alias("entity_id"), "field", "value", F.col("confidence").alias("score"))
