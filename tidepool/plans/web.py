@@ -106,19 +106,31 @@ def page_link_counts(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query()
+UNESCAPED = "replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+KEPT_TAGS = "title|meta|h[1-6]|p|li|a|button|td|th|summary|blockquote|article|section|nav|footer|header|aside|table|div|form|dialog|script"
+
+
+@query(
+    f"with {URL_PARTS}, a as (select page_id, scheme, authority, host, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) as h, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) as t from canon) "
+    f"select page_id, trim(regexp_replace({UNESCAPED.format('t')}, '\\s+', ' ', 'g')) as text, trim({UNESCAPED.format('h')}) as href, regexp_replace(scheme || '://' || authority || trim({UNESCAPED.format('h')}), '#.*$', '') as target, "
+    f"case when regexp_matches(h, '(?i)^/([^?#]*/)?(login|log-in|signin|sign-in|signup|sign-up|auth|account|checkout|cart|billing-portal|admin|dashboard)(/|$|\\?)') then 'excluded_path' end as rejected from a"
+)
 def page_links(spark, sf_dir):
     """Every link with its absolute URL and why it is rejected, if it is."""
-    return html.links(html.elements(table(spark, sf_dir, "pages"), "page_id", "html", ["url"]), "url")
+    found = html.elements(table(spark, sf_dir, "pages"), "page_id", "html", ["url"], ("a",))
+    return html.links(found, "url").select("page_id", "text", "href", "target", "rejected")
 
 
 @query()
 def page_segments(spark, sf_dir):
     """Distinct text segments of each page in document order, without navigation and boilerplate."""
-    return html.segments(html.elements(table(spark, sf_dir, "pages"), "page_id", "html"))
+    return html.segments(html.elements(table(spark, sf_dir, "pages"), "page_id", "html", tags=html.SEGMENT_TAGS))
 
 
-@query()
+@query(
+    "select page_id, " + ", ".join(f"trim(regexp_replace({UNESCAPED.format(f'regexp_extract(html, {chr(39)}(?is)<{t}[^>]*>(.*?)</{t}>{chr(39)}, 1)')}, '\\s+', ' ', 'g')) as {t}" for t in ("title", "h1"))
+    + f", null::varchar as description, len(regexp_extract_all(html, '<script'))::bigint as scripts, len(regexp_extract_all(html, '<(?:{KEPT_TAGS})[ >]'))::bigint as elements from pages"
+)
 def page_metadata(spark, sf_dir):
     """Title, description, first heading and language of each page."""
     return html.metadata(html.elements(table(spark, sf_dir, "pages"), "page_id", "html"))
@@ -127,4 +139,4 @@ def page_metadata(spark, sf_dir):
 @query()
 def page_blocks(spark, sf_dir):
     """Blocks of each page with a role and the confidence in it."""
-    return html.blocks(html.elements(table(spark, sf_dir, "pages"), "page_id", "html"))
+    return html.blocks(html.elements(table(spark, sf_dir, "pages"), "page_id", "html", tags=html.SECTION_TAGS))

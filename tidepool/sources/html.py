@@ -18,13 +18,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "section", "article"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 HIDDEN = frozenset("script style noscript template svg".split())
 KEPT = frozenset("title meta h1 h2 h3 h4 h5 h6 p li a button td th summary blockquote article section nav footer header aside table div form dialog script".split())
+SEGMENT_TAGS = ("h1", "h2", "h3", "h4", "p", "li", "td", "th", "blockquote", "summary")
+SECTION_TAGS = ("section", "article", "nav", "footer", "header", "aside", "table", "div", "form", "dialog")
 SCHEMA = "ord int, parent int, tag string, path string, classes string, attrs map<string,string>, text string, own_text string"
 
 
 class _Tree(HTMLParser):
-    def __init__(self):
+    def __init__(self, wanted=None):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open = [], []
+        self.nodes, self.open, self.wanted = [], [], wanted
 
     def handle_starttag(self, tag, attrs):
         while self.open and tag in CLOSED_BY.get(self.nodes[self.open[-1]]["tag"], ()):
@@ -49,41 +51,51 @@ class _Tree(HTMLParser):
         if self.open and not any(self.nodes[i]["tag"] in HIDDEN for i in self.open):
             self.nodes[self.open[-1]]["own"].append(data)
             for i in self.open:
-                self.nodes[i]["all"].append(data)
+                if self.wanted is None or self.nodes[i]["tag"] in self.wanted:
+                    self.nodes[i]["all"].append(data)
 
 
-def parse(markup: str) -> list[tuple]:
-    """(ord, parent, tag, path, classes, attributes, text, own text) of a page's elements that are kept."""
-    tree = _Tree()
+def parse(markup: str, wanted: frozenset = KEPT) -> list[tuple]:
+    """(ord, parent, tag, path, classes, attributes, text, own text) of a page's elements with a wanted tag;
+    only those gather the text inside them."""
+    tree = _Tree(wanted)
     tree.feed(markup)
     tree.close()
     squeeze = lambda parts: re.sub(r"\s+", " ", "".join(parts)).strip()
     paths, out = [], []
     for i, n in enumerate(tree.nodes):
         paths.append((paths[n["parent"]] + ">" if n["parent"] >= 0 else "") + n["tag"])
-        if n["tag"] in KEPT:
+        if n["tag"] in wanted:
             out.append((i, n["parent"], n["tag"], paths[-1], n["attrs"].get("class", ""), n["attrs"], squeeze(n["all"]), squeeze(n["own"])))
     return out
 
 
-def _parse_batches(batches):
+def _parse_batches(wanted: frozenset):
+    def run(batches):
+        for batch in batches:
+            yield _parsed(batch, wanted)
+
+    return run
+
+
+def _parsed(batch: pa.RecordBatch, wanted: frozenset) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
     names = ["ord", "parent", "tag", "path", "classes", "attrs", "text", "own_text"]
-    for batch in batches:
-        found = [parse(x.as_py() or "") for x in batch.column("_html")]
-        index = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
-        keep = [c for c in batch.schema.names if c != "_html"]
-        flat = [r for rows in found for r in rows]
-        cols = [pa.array([list(r[k].items()) if k == 5 else r[k] for r in flat], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], *cols], [*keep, *names])
+    found = [parse(x.as_py() or "", wanted) for x in batch.column("_html")]
+    index = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+    keep = [c for c in batch.schema.names if c != "_html"]
+    flat = [r for rows in found for r in rows]
+    cols = [pa.array([list(r[k].items()) if k == 5 else r[k] for r in flat], kind) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], *cols], [*keep, *names])
 
 
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
-    """One row per element of each page, with the page's id and the columns carried along. Null pages have none."""
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None, tags=KEPT) -> DataFrame:
+    """One row per element of each page with one of the tags, with the page's id and the columns carried
+    along. Null pages have none."""
     keep = [id_col, *(carry or [])]
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_parse_batches, f"{kept}, {SCHEMA}")
+    return rows.mapInArrow(_parse_batches(frozenset(tags)), f"{kept}, {SCHEMA}")
 
 
 def links(found: DataFrame, base_col: str, id_col: str = "page_id") -> DataFrame:
@@ -106,7 +118,7 @@ def links(found: DataFrame, base_col: str, id_col: str = "page_id") -> DataFrame
 def segments(found: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Text of headings, paragraphs, items and cells outside navigation, each once a page, in order."""
     inside = ~F.col("path").rlike("(^|>)(nav|footer|aside|form|dialog|script|style)(>|$)")
-    rows = found.filter(F.col("tag").isin("h1", "h2", "h3", "h4", "p", "li", "td", "th", "blockquote", "summary") & inside & (F.col("text") != ""))
+    rows = found.filter(F.col("tag").isin(*SEGMENT_TAGS) & inside & (F.col("text") != ""))
     rows = rows.filter(~T.is_boilerplate(F.col("text"))).withColumn("segment_key", T.segment_key(F.col("text")))
     first = W.partitionBy(id_col, "segment_key").orderBy("ord")
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(id_col, "ord", "tag", "text", "segment_key")
@@ -138,7 +150,7 @@ def block_role(path: Column, classes: Column, body: Column) -> Column:
 
 def blocks(found: DataFrame, id_col: str = "page_id", most: int = 160) -> DataFrame:
     """Sections, articles, cards, tables and the like as blocks with id, role and confidence; the first 160 of a page."""
-    rows = found.filter(F.col("tag").isin("section", "article", "nav", "footer", "header", "aside", "table", "div", "form", "dialog") & (F.char_length("text") >= 4))
+    rows = found.filter(F.col("tag").isin(*SECTION_TAGS) & (F.char_length("text") >= 4))
     rows = rows.withColumn("role", block_role(F.col("path"), F.col("classes"), F.col("text")))
     sure = F.col("role").isin("nav", "footer", "table")
     rows = rows.withColumn("confidence", F.when(sure, 0.95).when(F.col("role") == "content", 0.4).when(F.col("classes") != "", 0.82).otherwise(0.6))
