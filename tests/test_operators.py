@@ -1,11 +1,11 @@
 import datetime as dt
 
 import pandas as pd
+import fixture_pages as fixtures
 import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import evaluate, extract, recommend, rollups, scoring, usage, versions
-from tidepool.plans import fixtures
 from tidepool.sources import html
 from tidepool.streaming import live, runs
 

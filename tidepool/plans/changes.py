@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepool.functions import money
 from tidepool.operators import recommend, scoring, versions
 from tidepool.plans.registry import query, table
 
@@ -157,26 +156,6 @@ def candidate_quota(spark, sf_dir):
     return chosen.select(F.col("p_partkey").alias("candidate_id"), "by_quota", place.alias("place"))
 
 
-PRICE_TEXTS = ("$1,299.00 per year", "€ 9,99 / month", "1.234,56 € annually", "GBP 45", "Pro plan: $29/month, $290/year", "We saved $2,500 of revenue", "Their campaign budget was €10.000", "trusted by 2,500 teams worldwide", "contact sales", "")
-
-
-@query(
-    "select * from (values (0, '$1,299', 1299.0, 'USD', 'year'), (1, '€ 9,99', 9.99, 'EUR', 'month'), (2, '1.234,56 €', 1234.56, 'EUR', 'year'), (3, 'GBP 45', 45.0, 'GBP', 'unknown'), "
-    "(4, '$29', 29.0, 'USD', 'month'), (4, '$290', 290.0, 'USD', 'month'), (5, '$2,500', 2500.0, 'USD', 'unknown'), (6, '€10.000', 10000.0, 'EUR', 'unknown')) as t(text_id, price_text, amount, currency, period)"
-)
-def currency_amounts(spark, sf_dir):
-    """Prices in fixed sentences, in the spellings of several countries."""
-    rows = spark.createDataFrame(list(enumerate(PRICE_TEXTS)), "text_id int, text string").withColumn("p", F.explode(money.prices(F.col("text"))))
-    whole = F.regexp_replace("p.text", r"\.00$", "")
-    return rows.select("text_id", whole.alias("price_text"), "p.amount", "p.currency", money.period(F.col("text")).alias("period"))
-
-
-@query("select * from (values (0, 'period'), (1, 'period'), (2, 'period'), (3, 'unknown'), (4, 'plan'), (5, 'savings'), (6, 'case_study'), (7, 'statistic'), (8, 'unknown'), (9, 'unknown')) as t(text_id, context)")
-def price_contexts(spark, sf_dir):
-    """What the amounts of the same sentences are about."""
-    return spark.createDataFrame(list(enumerate(PRICE_TEXTS)), "text_id int, text string").select("text_id", money.price_context(F.col("text")).alias("context"))
-
-
 @query(
     f"with f as (select s_nationkey as user_id, l_suppkey as entity_id, p_type as field, p_brand as value, {CONF} as score from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey), "
     "g as (select user_id, field, count(distinct entity_id) as supporters, count(distinct lower(trim(value))) as signals, avg(score) as mean from f where score >= 0.55 group by 1, 2), "

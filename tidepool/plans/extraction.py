@@ -1,85 +1,112 @@
-"""Queries over invented pages: prices, plans, models, calls to action, features, releases, validity."""
+"""Queries over product pages made of the suppliers table, one page each: prices, plans, models, calls to action,
+features, releases, validity, summaries, linked data; and over price sentences made of the parts table."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions import urls
+from tidepool.functions import money, urls
 from tidepool.operators import display, extract
-from tidepool.plans import fixtures
 from tidepool.plans.registry import query, table
 from tidepool.sources import html
 
 
-def _blocks(spark, **prices):
-    return html.evidence_blocks(fixtures.pages(spark, **prices), "page_id", "html", ["url", "page_type"])
+def _said(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _models(spark, **prices):
-    blocks = _blocks(spark, **prices)
+def product_pages(spark, sf_dir, raised: int = 0) -> DataFrame:
+    """(page_id, url, page_type, status_code, html): every fifth price raised by so much, every third with an
+    offer by contact, every other with linked data that is broken, some blocked or gone."""
+    key = F.col("s_suppkey")
+    number = lambda x: x.cast("string")
+    price = 10 + key % 90 + F.when(key % 5 == 0, raised).otherwise(0)
+    contact = F.when(key % 3 == 0, '<article class="plan-card"><h3>Enterprise</h3><p>Custom pricing</p><button>Contact sales</button></article>').otherwise("")
+    data = F.when(key % 2 == 0, '<script type="application/ld+json">{broken</script>').otherwise("")
+    markup = _said(
+        "<html><head><title>", F.col("s_name"), " pricing</title>", data, '<script type="application/ld+json">{"@type":"Product","name":"', F.col("s_name"), '"}</script></head><body><nav><a href="/login">Log in</a></nav>',
+        '<section class="hero"><h1>Plan your week with ', F.col("s_name"), '</h1><p>For small teams that juggle many calendars</p><a href="/signup">Start free</a></section>',
+        '<article class="plan-card"><h3>Pro</h3><p>$', number(price), " per month billing</p><p>", number(key % 50 + 2), " users</p><button>Get Pro</button></article>", contact,
+        '<article class="testimonial"><p>This tool saved our team $2,500 a month</p></article>', '<section class="feature-grid"><h2>Automatic schedules ', number(key % 10), "</h2><p>Plans fill themselves from what your team already knows</p></section>",
+        "<section><h2>Changelog</h2><p>Changelog: March ", number(key % 28 + 1), ", 2024 faster search</p></section><footer><p>All rights reserved</p></footer></body></html>",
+    )
+    status = F.when(key % 11 == 7, 403).when(key % 11 == 8, 404).otherwise(200)
+    return table(spark, sf_dir, "supplier").select(key.alias("page_id"), _said("https://s", number(key), ".example.com/pricing").alias("url"), F.lit("pricing").alias("page_type"), status.alias("status_code"), F.when(status == 404, "").otherwise(markup).alias("html"))
+
+
+#: DuckDB's side of the pages that show something.
+SHOWN = "p as (select s_suppkey as page_id, s_name as name, (10 + s_suppkey % 90)::double as price, s_suppkey % 3 = 0 as contact, s_suppkey % 10 as feature, s_suppkey % 28 + 1 as day from supplier where s_suppkey % 11 <> 8)"
+
+
+def _blocks(spark, sf_dir, raised: int = 0):
+    return html.evidence_blocks(product_pages(spark, sf_dir, raised), "page_id", "html", ["url", "page_type"])
+
+
+def _models(spark, sf_dir, raised: int = 0):
+    blocks = _blocks(spark, sf_dir, raised)
     found = extract.prices(blocks)
     return extract.pricing_models(blocks, found, extract.plans(blocks, found))
 
 
-@query("select * from (values (1, '$0', false), (1, '$29', true), (1, '$2,500', false), (2, '€9,99', true), (2, '€1.249,00', true), (3, '$40,000', false)) as t(page_id, price_text, accepted) where price_text <> '$0'")
+@query(f"with {SHOWN} select page_id, '$' || price::int as price_text, true as accepted from p union all select page_id, '$2,500', false from p")
 def extract_prices(spark, sf_dir):
     """Amounts in the pages and whether they are prices of the product."""
-    return extract.prices(_blocks(spark)).select("page_id", "price_text", "accepted")
+    return extract.prices(_blocks(spark, sf_dir)).select("page_id", "price_text", "accepted")
 
 
-@query(
-    "select * from (values (1, 'Pro', 29.0, 'USD', 'month'), (1, 'Enterprise', null, null, null), (2, 'Basic', 9.99, 'EUR', 'month'), (2, 'Team', 1249.0, 'EUR', 'year')) as t(page_id, plan, price, currency, billing_period)"
-)
+@query(f"with {SHOWN} select page_id, 'Pro' as plan, price, 'USD' as currency, 'month' as billing_period from p union all select page_id, 'Enterprise', null, null, null from p where contact")
 def extract_plans(spark, sf_dir):
     """Plans with their prices."""
-    blocks = _blocks(spark)
+    blocks = _blocks(spark, sf_dir)
     return extract.plans(blocks, extract.prices(blocks)).select("page_id", "plan", "price", "currency", "billing_period")
 
 
-@query(
-    "select * from (values (1, 'public_pricing', 'mixed', 29.0, 29.0, true), (2, 'public_pricing', 'usage_based', 9.99, 104.0833, false), (3, 'no_public_pricing', 'unknown', null, null, false)) as t(page_id, status, model_type, lowest, highest, contact_sales)"
-)
+@query(f"with {SHOWN} select page_id, 'public_pricing' as status, case when contact then 'mixed' else 'fixed_plans' end as model_type, price as lowest, price as highest, contact as contact_sales from p")
 def pricing_models(spark, sf_dir):
     """The pricing model of each page that has blocks."""
-    return _models(spark).select("page_id", "status", "model_type", "lowest", "highest", "contact_sales")
+    return _models(spark, sf_dir).select("page_id", "status", "model_type", "lowest", "highest", "contact_sales")
 
 
-@query("select * from (values (1, 'lowest_price_changed', '29.0', '39.0', 'high', true), (1, 'highest_price_changed', '29.0', '39.0', 'medium', true)) as t(page_id, change, old, new, severity, written)")
+@query(
+    f"with {SHOWN}, c as (select page_id, printf('%.1f', price) as old, printf('%.1f', price + 10) as new from p where page_id % 5 = 0) select page_id, 'lowest_price_changed' as change, old, new, 'high' as severity, true as written from c union all select page_id, 'highest_price_changed', old, new, 'medium', true from c"
+)
 def pricing_model_changes(spark, sf_dir):
-    """What changes when one plan's price does."""
-    return extract.model_changes(_models(spark), _models(spark, pro="$39")).select("page_id", "change", "old", "new", "severity", "written")
+    """What changes when every fifth page raises its price."""
+    return extract.model_changes(_models(spark, sf_dir), _models(spark, sf_dir, raised=10)).select("page_id", "change", "old", "new", "severity", "written")
 
 
 @query(
-    "select * from (values (1, 'Start free', 'start_trial', 1, null), (1, 'Start free', 'start_trial', 2, null), (1, 'Get Pro', 'upgrade_buy', 3, null), (1, 'Contact sales', 'contact_sales', 4, null), (1, 'Log in', 'unknown', 5, 'utility_or_legal')) as t(page_id, label, intent, rank, rejected)"
+    f"with {SHOWN} select page_id, 'Start free' as label, 'start_trial' as intent, 1 as rank, null as rejected from p union all select page_id, 'Get Pro', 'upgrade_buy', 2, null from p union all select page_id, 'Contact sales', 'contact_sales', 3, null from p where contact "
+    "union all select page_id, 'Log in', 'unknown', case when contact then 4 else 3 end, 'utility_or_legal' from p"
 )
 def calls_to_action(spark, sf_dir):
     """Buttons by intent, in the order of their weight."""
-    return extract.calls_to_action(_blocks(spark)).select("page_id", "label", "intent", F.col("rank").cast("int").alias("rank"), "rejected")
+    return extract.calls_to_action(_blocks(spark, sf_dir)).select("page_id", "label", "intent", F.col("rank").cast("int").alias("rank"), "rejected")
 
 
-@query("select * from (values (3, 1, 'Automatic schedules', 0.86), (3, 2, 'Shared calendars', 0.86)) as t(page_id, rank, name, score)")
+@query(f"with {SHOWN} select page_id, 1 as rank, 'Automatic schedules ' || feature as name, 0.72::double as score from p")
 def extract_features(spark, sf_dir):
     """Named features."""
-    return extract.features(_blocks(spark)).select("page_id", "rank", "name", "score")
+    return extract.features(_blocks(spark, sf_dir)).select("page_id", "rank", "name", "score")
 
 
-@query("select * from (values (3, 1, '2024-03-03'), (3, 2, '2024-02-11')) as t(page_id, rank, released)")
+@query(f"with {SHOWN} select page_id, 1 as rank, '2024-03-' || lpad(day::varchar, 2, '0') as released from p")
 def extract_releases(spark, sf_dir):
     """Dated entries of a changelog."""
-    return extract.releases(_blocks(spark)).select("page_id", "rank", "released")
+    return extract.releases(_blocks(spark, sf_dir)).select("page_id", "rank", "released")
 
 
-@query("select * from (values (1, 'Plan your week in one place', 0.9), (3, 'Automatic schedules', 0.68)) as t(page_id, headline, score)")
+@query(f"with {SHOWN} select page_id, 'Plan your week with ' || name as headline, 0.9::double as score from p")
 def extract_positioning(spark, sf_dir):
     """Main claims of pages."""
-    return extract.positioning(_blocks(spark)).select("page_id", "headline", "score")
+    return extract.positioning(_blocks(spark, sf_dir)).select("page_id", "headline", "score")
 
 
-@query("select * from (values (1, 'ok'), (2, 'ok'), (3, 'ok'), (4, 'script_shell'), (5, 'blocked'), (6, 'missing')) as t(page_id, validity)")
+@query("select s_suppkey as page_id, case s_suppkey % 11 when 7 then 'blocked' when 8 then 'missing' else 'ok' end as validity from supplier")
 def page_validity(spark, sf_dir):
     """Whether a page can be judged at all."""
-    return extract.page_validity(fixtures.pages(spark), _blocks(spark))
+    return extract.page_validity(product_pages(spark, sf_dir), _blocks(spark, sf_dir))
 
 
 @query()
@@ -89,25 +116,19 @@ def page_calls_to_action(spark, sf_dir):
     return extract.calls_to_action(html.evidence_blocks(pages, carry=["page_type"]))
 
 
-def _facts(spark):
-    blocks = _blocks(spark)
-    return display.page_facts(_models(spark), extract.calls_to_action(blocks), extract.positioning(blocks), extract.features(blocks))
-
-
-@query("select * from (values (1, 1, 'Pro', '$29 / month'), (1, 2, 'Enterprise', 'Contact sales'), (2, 1, 'Basic', '€9.99 / month'), (2, 2, 'Team', '€1249 / year')) as t(page_id, rank, plan, price_text)")
+@query(f"with {SHOWN} select page_id, 1 as rank, 'Pro' as plan, '$' || price::int || ' / month' as price_text from p union all select page_id, 2, 'Enterprise', 'Contact sales' from p where contact")
 def price_options(spark, sf_dir):
     """Options that are shown for each page, cheapest by the month first."""
-    blocks = _blocks(spark)
+    blocks = _blocks(spark, sf_dir)
     return display.price_options(extract.plans(blocks, extract.prices(blocks))).select("page_id", "rank", "plan", "price_text")
 
 
-@query(
-    "select * from (values (1, 'Positioning: Plan your week in one place. Pricing: 29.0. Cta: Start free', 'feature'), (2, 'Pricing: 9.99', 'positioning,cta,feature'), "
-    "(3, 'Positioning: Automatic schedules. Pricing: no_public_pricing. Feature: Automatic schedules', 'cta')) as t(page_id, summary, unknown)"
-)
+@query(f"with {SHOWN} select page_id, 'Positioning: Plan your week with ' || name || '. Pricing: ' || printf('%.1f', price) || '. Cta: Start free. Feature: Automatic schedules ' || feature as summary, '' as unknown from p")
 def page_summaries(spark, sf_dir):
     """One sentence from the best fact of each section, and what is unknown."""
-    rows = display.summary(display.best_by_section(_facts(spark), "page_id"), "page_id")
+    blocks = _blocks(spark, sf_dir)
+    facts = display.page_facts(_models(spark, sf_dir), extract.calls_to_action(blocks), extract.positioning(blocks), extract.features(blocks))
+    rows = display.summary(display.best_by_section(facts, "page_id"), "page_id")
     return rows.select("page_id", "summary", F.array_join("unknown", ",").alias("unknown"))
 
 
@@ -132,8 +153,35 @@ def extraction_gates(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *display.gates(kind, F.col("page_id") % 5 != 4))
 
 
-@query("select * from (values (1, 0, 'Product', 'Brightloom'), (1, 2, 'Offer', null)) as t(page_id, ord, type, name)")
+@query("select s_suppkey as page_id, (case when s_suppkey % 2 = 0 then 1 else 0 end)::int as ord, 'Product' as type, s_name as name from supplier where s_suppkey % 11 <> 8")
 def linked_data(spark, sf_dir):
     """Linked data in pages; what doesn't parse is left out."""
-    page = '<script type="application/ld+json">{"@type":"Product","name":"Brightloom"}</script><script type="application/ld+json">{broken</script><script type="application/ld+json">{"@type":"Offer"}</script>'
-    return html.json_ld(spark.createDataFrame([(1, page), (2, None)], "page_id bigint, html string")).select("page_id", "ord", "type", "name")
+    return html.json_ld(product_pages(spark, sf_dir)).select("page_id", "ord", "type", "name")
+
+
+#: Sentences around an amount, and what it is about in each.
+SENTENCES = (("Pro plan: {} per month", "plan"), ("We saved {} of revenue", "savings"), ("Their campaign budget was {}", "case_study"), ("{} per year", "period"), ("worldwide we count {}", "unknown"))
+
+
+def _sentences(spark, sf_dir) -> DataFrame:
+    whole = F.floor(F.col("p_retailprice")).cast("long")
+    grouped = F.concat((F.floor(whole / 1000) + 1).cast("string"), F.lit(","), F.lpad((whole % 1000).cast("string"), 3, "0"))
+    shown = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("$"), grouped)).when(F.col("p_partkey") % 3 == 1, F.concat(F.translate(grouped, ",", "."), F.lit(",50 €"))).otherwise(F.concat(F.lit("GBP "), F.format_string("%.2f", "p_retailprice")))
+    said = F.get(F.array(*[_said(s.split("{}")[0], shown, s.split("{}")[1]) for s, _ in SENTENCES]), (F.col("p_partkey") % len(SENTENCES)).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), said.alias("text"))
+
+
+@query(
+    "select p_partkey as text_id, case p_partkey % 3 when 0 then floor(p_retailprice) + 1000 when 1 then floor(p_retailprice) + 1000.5 else round(p_retailprice, 2) end as amount, ['USD', 'EUR', 'GBP'][(p_partkey % 3 + 1)::int] as currency, "
+    "['month', 'unknown', 'unknown', 'year', 'unknown'][(p_partkey % 5 + 1)::int] as period from part"
+)
+def currency_amounts(spark, sf_dir):
+    """Prices in sentences, in the spellings of several countries."""
+    rows = _sentences(spark, sf_dir).withColumn("p", F.explode(money.prices(F.col("text"))))
+    return rows.select("text_id", "p.amount", "p.currency", money.period(F.col("text")).alias("period"))
+
+
+@query("select p_partkey as text_id, ['plan', 'savings', 'case_study', 'period', 'unknown'][(p_partkey % 5 + 1)::int] as context from part")
+def price_contexts(spark, sf_dir):
+    """What the amounts of the same sentences are about."""
+    return _sentences(spark, sf_dir).select("text_id", money.price_context(F.col("text")).alias("context"))
