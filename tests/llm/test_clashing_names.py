@@ -1,6 +1,6 @@
 from helpers import documents
 
-from tidepool.llm import exact_dedup, mixing, near_dedup, toxicity
+from tidepool.llm import context_mixing, exact_dedup, mixing, near_dedup, queries, secrets, sentence_pieces, suffix_dedup, toxicity, warc
 
 NAMES = ("_id", "_hash", "_rank", "_doc", "_doc_id", "_keep", "_sha", "_taken", "_cut", "_text", "_out_id", "size", "counts", "kept", "_order", "_len", "_n")
 
@@ -13,3 +13,14 @@ def test_columns_of_any_name_come_through(spark):
         assert found.columns == docs.columns
         rows = found.collect()
         assert rows and all(r[n] == r.doc_id for r in rows for n in NAMES)
+
+
+def test_other_operators_ignore_columns_of_any_name(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, None)]).selectExpr("*", *[f"doc_id as {n}" for n in NAMES if n != "_text"], "0 as ids", "0 as payload", "0 as bands")
+    pages = spark.createDataFrame([(1, "http://a.test", "x" * 200, 5), (None, None, None, 5)], "page_id bigint, url string, html string, payload int")
+    assert suffix_dedup.remove_repeats(docs).count() == secrets.find_secrets(docs).count() == sentence_pieces.round_trip(docs).count() == context_mixing.score_texts(docs).count() == 3
+    assert warc.archive_round_trip(pages).count() == 2
+
+
+def test_every_query_says_what_it_is():
+    assert all(f.__doc__ for f in queries.QUERIES.values()) and len(queries.QUERIES) == 10

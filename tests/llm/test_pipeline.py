@@ -52,3 +52,12 @@ def test_stages_against_brute_force(spark, tmp_path):
     times = Counter(r.doc_id for r in final)
     assert final and all(r.round_trip and texts[r.doc_id].startswith(encoder.decode(r.ids)) for r in final)
     assert max(times.values()) <= 2 and set(times) <= {r.doc_id for r in near.collect()}
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sf = f"file://{tmp_path}"
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).collect() == []
