@@ -11,10 +11,12 @@ DEFAULT_PAGES = (("homepage", ""), ("pricing", "/pricing"), ("features", "/featu
 
 
 def profile(facts: DataFrame, key: str, order: str, text: str, score: str, most: int = 6) -> DataFrame:
-    """One row an entity: its first distinct values, best score, number of facts."""
+    """One row an entity: its first distinct values, best score, number of facts. Ranks cut an entity's values
+    before they are gathered."""
     first = facts.groupBy(key, text).agg(F.min(order).alias("_at"), F.max(score).alias("_s"), F.count("*").alias("_n"))
-    rows = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", text))).alias("_v"), F.max("_s").alias("best"), F.sum("_n").alias("facts"))
-    return rows.select(key, F.transform(F.slice("_v", 1, most), lambda x: x[text]).alias("values"), "best", "facts")
+    first = first.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy("_at", text)))
+    rows = first.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_i") <= most, F.struct("_i", text)))).alias("_v"), F.max("_s").alias("best"), F.sum("_n").alias("facts"))
+    return rows.select(key, F.transform("_v", lambda x: x[text]).alias("values"), "best", "facts")
 
 
 def merged(rows: DataFrame, keys: list[str], order: str, evidence: str, kept: list[str]) -> DataFrame:
@@ -29,10 +31,15 @@ def cache_key(*parts: Column) -> Column:
 
 
 def rotated(rows: DataFrame, order: str, week: int, most: int) -> DataFrame:
-    """The next few rows of a pool that is turned on by one each week."""
-    numbered = rows.withColumn("_i", F.row_number().over(W.orderBy(order)) - 1)
-    n = numbered.agg(F.count("*")).first()[0] or 1
-    return numbered.withColumn("place", (F.pmod(F.col("_i") - week, F.lit(n)) + 1).cast("int")).filter(F.col("place") <= most).drop("_i")
+    """The next few rows of a pool that is turned on by one each week, with their place.
+
+    The place to begin follows from the pool's size, so two ordered limits of at most week + most rows
+    give them; the pool itself isn't numbered."""
+    n = rows.count()
+    start = week % max(n, 1)
+    head = rows.orderBy(order).offset(start).limit(most).withColumn("_turn", F.lit(0))
+    tail = rows.orderBy(order).limit(max(0, min(start, start + most - n))).withColumn("_turn", F.lit(1))
+    return head.unionByName(tail).withColumn("place", F.row_number().over(W.orderBy("_turn", order)).cast("int")).drop("_turn")
 
 
 def default_pages(owners: DataFrame, base_col: str) -> DataFrame:

@@ -102,9 +102,11 @@ def doc_boilerplate_rate(spark, sf_dir):
 )
 def doc_neighbour_similarity(spark, sf_dir):
     """Jaccard similarity of each document's words with those of the source's next document."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", T.tokens(F.coalesce("text", F.lit(""))).alias("_t"))
-    w = W.partitionBy("source").orderBy("doc_id")
-    rows = rows.withColumns({"next_id": F.lead("doc_id").over(w), "_next": F.lead("_t").over(w)}).filter("next_id is not null")
+    docs = table(spark, sf_dir, "documents")
+    #: Only ids go through the window, which has as many keys as there are sources; texts are joined by id.
+    pairs = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("next_id")).filter("next_id is not null")
+    words = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("_t"))
+    rows = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("next_id"), F.col("_t").alias("_next")), "next_id")
     return rows.select("doc_id", "next_id", F.round(T.jaccard(F.col("_t"), F.col("_next")), 6).alias("similarity"))
 
 
