@@ -103,10 +103,14 @@ def doc_boilerplate_rate(spark, sf_dir):
 def doc_neighbour_similarity(spark, sf_dir):
     """Jaccard similarity of each document's words with those of the source's next document."""
     docs = table(spark, sf_dir, "documents")
-    #: Only ids go through the window, which has as many keys as there are sources; texts are joined by id.
-    pairs = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("next_id")).filter("next_id is not null")
-    words = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("_t"))
-    rows = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("next_id"), F.col("_t").alias("_next")), "next_id")
+    #: Only ids go through the window, which has as many keys as there are sources; each text is cut into
+    #: words once and goes to the pair with the document before it and to its own.
+    order = docs.select("doc_id", F.lag("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("before"))
+    words = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("w")).join(order, "doc_id")
+    sides = F.explode(F.array(F.struct(F.col("doc_id").alias("pair"), F.lit(False).alias("later")), F.struct(F.col("before").alias("pair"), F.lit(True).alias("later"))))
+    rows = words.select(F.col("doc_id").alias("own"), "w", sides.alias("s")).filter("s.pair is not null")
+    side = lambda later, c: F.first(F.when(F.col("s.later") == later, F.col(c)), ignorenulls=True)
+    rows = rows.groupBy(F.col("s.pair").alias("doc_id")).agg(side(True, "own").alias("next_id"), side(False, "w").alias("_t"), side(True, "w").alias("_next")).filter("next_id is not null")
     return rows.select("doc_id", "next_id", F.round(T.jaccard(F.col("_t"), F.col("_next")), 6).alias("similarity"))
 
 
