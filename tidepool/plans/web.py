@@ -106,7 +106,8 @@ def page_link_counts(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-UNESCAPED = "replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+#: The entities of the pages' markup; a parser takes them without their semicolon, too.
+UNESCAPED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({0}, '&#x27;', chr(39)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 KEPT_TAGS = "title|meta|h[1-6]|p|li|a|button|td|th|summary|blockquote|article|section|nav|footer|header|aside|table|div|form|dialog|script"
 
 
