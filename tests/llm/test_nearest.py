@@ -49,3 +49,13 @@ def test_odd_vectors_ties_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert nearest.nearest(table(spark, [])).collect() == []
+
+
+def test_rows_in_another_order_each_time(spark):
+    """Both sides know a row by the same number, though each reading of the input gives another order."""
+    rng = np.random.default_rng(3)
+    rows = [(20 * i, x.tolist()) for i, x in enumerate(rng.standard_normal((120, 6)))]
+    given = table(spark, rows)
+    shuffled = given.mapInPandas(lambda batches: (b.sample(frac=1) for b in batches), given.schema)
+    found = nearest.nearest(shuffled, vector_block=1000).collect()
+    assert len(found) == 120 * 20 and all(r.query_id != r.vec_id for r in found)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepool.llm.common import materialize
+
 #: Neighbours of a query; ids that it divides are queries.
 NEIGHBOURS, QUERY_STEP = 20, 20
 #: Projections, the share of them in which a candidate must collide, growth of the windows at each
@@ -120,12 +122,15 @@ def nearest(
 
     Blocks of vectors are indexed; blocks of queries go to each of them, and the block results of a
     query are merged. What is verified has its exact inner product; recall is a matter of the constants.
+    Numbered rows are written once, so that both sides know a row by the same number, though tasks of
+    lost executors run again over rows in another order.
     """
     valid = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = embeddings.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).filter(F.coalesce(valid, F.lit(False)))
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector"))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     rows = rows.withColumn("_norm", norm).filter("_norm > 0").withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows, "vectors")
     facts = rows.agg(F.count("*").alias("n"), F.max("_norm").alias("r"), F.sum((F.col("vec_id") % step == 0).cast("long")).alias("q")).first()
     vs, qs = max(1, -(-facts["n"] // vector_block)), max(1, -(-(facts["q"] or 0) // query_block))
     place = lambda n: F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int")
