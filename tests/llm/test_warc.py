@@ -84,3 +84,11 @@ def test_pages_cut_behind_line_ends(spark, tmp_path):
     warc.write_pages(table(spark, rows).coalesce(1), f"file://{tmp_path}/w", segment=40)
     found = warc.page_table(warc.reassemble(warc.read_records(spark, f"file://{tmp_path}/w"))).collect()
     assert sorted(tuple(r) for r in found) == expected(rows)
+
+
+def test_pages_in_another_order_each_time(spark):
+    """A page keeps its name, though each reading of the input gives another order: no revisit loses its response."""
+    given = spark.createDataFrame([(i, f"https://a.example/{i}", f"<p>{i % 7}</p>" * 40) for i in range(140)], "page_id long, url string, html string")
+    shuffled = given.mapInPandas(lambda batches: (b.sample(frac=1) for b in batches), given.schema)
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_round_trip(shuffled).collect()}
+    assert found == {i: ("revisit", i % 7) if i >= 7 else ("response", None) for i in range(140)}

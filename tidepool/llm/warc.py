@@ -83,11 +83,13 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     The payload is the html in UTF-8 (null: empty), framed in chunks. Of equal payloads of at least
     LEAST_SHARED bytes the one with the smallest id (nulls last, any one of ties) is a response, to which
     the others refer as revisits. Blocks longer than `segment` become a response and continuations.
+    Named pages are written once first, so that a page keeps its name when tasks of lost executors run
+    again over rows in another order.
     """
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("_row"))
     name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("_row").cast("string"))
-    rows = rows.select("page_id", "url", "payload", name.alias("name"), F.sha2("payload", 256).alias("digest"), "_row")
+    rows = materialize(rows.select("page_id", "url", "payload", name.alias("name"), F.sha2("payload", 256).alias("digest"), "_row"), "warc-named")
     least = F.min(F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("i"), F.col("_row").alias("r"), F.col("name").alias("name")))
     groups = rows.filter(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(least.alias("_l"), F.count("*").alias("_n"))
     groups = materialize(groups.filter("_n > 1").select("digest", F.col("_l.name").alias("response"), "_n"), "warc-groups")
