@@ -5,7 +5,7 @@ import fixture_pages as fixtures
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import evaluate, extract, recommend, rollups, scoring, usage, versions
+from tidepool.operators import evaluate, extract, recommend, rollups, scoring, usage, validate, versions
 from tidepool.sources import html
 from tidepool.streaming import live, runs
 
@@ -86,3 +86,19 @@ def test_stream_over_several_triggers_equals_one(spark, tmp_path):
         found.append(rows_of(runs.drained(live.version_changes(stream, "page", "id", "at", F.col("content"))), "page_id", "snapshot_id", "change"))
     assert found[0] == found[1] and len(found[0]) == 27
     assert [c for p, i, c in found[0] if p == 0] == ["first", "changed", "same", "changed", "changed", "same", "changed", "changed", "same"]
+
+
+def test_analysis_order(spark):
+    """Preferred roles first, each part by place; no navigation; a page without blocks is one block of its own."""
+    pages = spark.createDataFrame([(1, "whole one"), (2, None), (3, "")], "page_id int, text string")
+    blocks = spark.createDataFrame(
+        [(1, 0, "nav", "n", 0.9), (1, 1, "feature", "f", 0.8), (1, 2, "pricing", "p", 0.8), (1, 3, None, "x", None), (1, 4, "pricing", "q", 0.8), (2, 0, "footer", "z", 0.9)],
+        "page_id int, ord int, role string, text string, confidence double",
+    )
+    found = validate.analysis_blocks(pages, blocks, ("pricing",)).orderBy("page_id", "rank").collect()
+    assert [(r.page_id, r.rank, r.text, r.source) for r in found] == [
+        (1, 1, "p", "model"), (1, 2, "q", "model"), (1, 3, "f", "model"), (1, 4, "x", "model"), (2, 1, None, "fallback"), (3, 1, "", "fallback"),
+    ]
+    assert validate.analysis_blocks(pages.limit(0), blocks.limit(0), ("pricing",)).count() == 0
+    text = validate.block_text(F.lit(None).cast("string"), F.lit("a"), F.array(F.lit(""), F.lit("b")), F.array(F.lit("c")))
+    assert spark.range(1).select(text.alias("t")).first().t == "a\nb\nc"

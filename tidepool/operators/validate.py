@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidepool.functions import urls
 
@@ -140,3 +141,23 @@ def visible_text(html: Column) -> Column:
     for tag in ("script", "style", "noscript", "svg", "template", "nav", "footer"):
         html = F.regexp_replace(html, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " "))
+
+
+def block_text(heading: Column, text: Column, *lists: Column) -> Column:
+    """A block's heading, text and the texts of its buttons and links, a line each; nulls and empty ones left out."""
+    return F.array_join(F.filter(F.concat(F.array(heading, text), *lists), lambda x: x != ""), "\n")
+
+
+def analysis_blocks(pages: DataFrame, blocks: DataFrame, preferred: tuple[str, ...], id_col: str = "page_id") -> DataFrame:
+    """(id, rank, role, text, confidence, source): blocks in the order in which analyses read them.
+
+    Blocks (id, ord, role, text, confidence) of preferred roles come first, then the others, both by ord;
+    navigation, footers and log-in forms take no part, null roles do. A page (id, text; ids unique and not
+    null) of which nothing is left is one block of its text with confidence 0.4. Both sides meet in one shuffle.
+    """
+    kept = blocks.filter(~F.coalesce("role", F.lit("")).isin("nav", "footer", "auth")).select(id_col, "ord", "role", "text", F.col("confidence").cast("double").alias("confidence"), F.lit("model").alias("source"))
+    whole = pages.select(id_col, F.lit(None).cast("int").alias("ord"), F.lit("unknown").alias("role"), "text", F.lit(0.4).alias("confidence"), F.lit("fallback").alias("source"))
+    first = F.coalesce(F.col("role").isin(*preferred), F.lit(False))
+    order = W.partitionBy(id_col).orderBy(F.col("source") == "fallback", ~first, "ord")
+    rows = kept.unionByName(whole).withColumn("rank", F.row_number().over(order))
+    return rows.filter("source = 'model' or rank = 1").select(id_col, "rank", "role", "text", "confidence", "source")

@@ -269,3 +269,21 @@ def line_before_match(spark, sf_dir):
     place = F.array_position(F.transform("ls", lambda x: F.contains(F.col("context"), F.substring(x, 1, 4))), True)
     rows = rows.filter("context is not null").withColumn("i", place).filter("i > 0")
     return rows.select("conv_id", "turn", F.col("i").cast("int").alias("line_no"), F.when(F.col("i") > 1, F.get("ls", F.col("i").cast("int") - 2)).alias("line_before"))
+
+
+@query(
+    f"with d as (select doc_id, unnest({LINES}) as text, generate_subscripts({LINES}, 1) as ord from documents), "
+    f"b as (select *, case when length(text) < 40 then 'nav' when regexp_matches(text, '{PRICES}') then 'pricing' when regexp_matches(text, '{NEGATIVES}') then 'testimonial' else 'content' end as role from d), "
+    "k as (select *, row_number() over (partition by doc_id order by (role = 'pricing') desc, ord) as rank from b where role <> 'nav'), "
+    "f as (select doc_id, concat_ws(chr(10), nullif(lang, ''), nullif(text, '')) as text from documents where doc_id not in (select doc_id from k)) "
+    "select doc_id, rank::int as rank, role, md5(text) as text_md5, 0.6::double as confidence, 'model' as source from k union all select doc_id, 1, 'unknown', md5(text), 0.4::double, 'fallback' from f"
+)
+def analysis_order(spark, sf_dir):
+    """Lines of texts as blocks in the order in which price analysis reads them: those with prices first, short ones (navigation) left out; whole texts where nothing is left."""
+    docs = table(spark, sf_dir, "documents")
+    x = F.col("text")
+    role = F.when(F.char_length(x) < 40, "nav").when(x.rlike(validate.NEAR_PRICES), "pricing").when(x.rlike(validate.NEAR_NEGATIVE), "testimonial").otherwise("content")
+    blocks = docs.select("doc_id", F.posexplode(T.lines(x)).alias("ord", "text")).select("doc_id", "ord", "text", role.alias("role"), F.lit(0.6).alias("confidence"))
+    whole = docs.select("doc_id", validate.block_text(F.col("lang"), x).alias("text"))
+    rows = validate.analysis_blocks(whole, blocks, ("pricing",), "doc_id")
+    return rows.select("doc_id", "rank", "role", F.md5("text").alias("text_md5"), "confidence", "source")
