@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import context_mixing, exact_dedup, mixing, near_dedup, nearest, secrets, sentence_pieces, suffix_dedup, toxicity, warc
+from tidepool.llm import context_mixing, exact_dedup, mixing, near_dedup, nearest, personal, prefix_trie, secrets, sentence_pieces, suffix_dedup, toxicity, warc, whitening
 from tidepool.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -64,4 +64,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_warc, op4_context_mixing, op5_toxicity, op6_sentence_pieces, op7_source_mixing, op8_exact_dedup, op9_near_dedup, op10_nearest)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four components of the distinct vectors' exact covariance, whitened. Null, empty and non-finite vectors take no part, repeated rows repeat, an empty table gives none."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text, base spans as counts and a digest, with all spans. Null texts are empty, rows repeat as they are, an empty table gives none."""
+    return personal.digest(personal.find_personal(_table(spark, sf_dir, "documents")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations. Null turns come first, ties follow a digest of role and text, null roles and texts are empty, null ids take no part, an empty table gives none."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_warc, op4_context_mixing, op5_toxicity, op6_sentence_pieces, op7_source_mixing, op8_exact_dedup, op9_near_dedup, op10_nearest, op11_whitening, op12_personal, op13_prefix_trie)}
