@@ -24,6 +24,7 @@ COMPARABLE = (
     (r"(?i)\bmonthly\b", "/month"),
     (r"(?i)\byearly\b|\bannually\b", "/year"),
 )
+#: Spaces around punctuation; fixed values.
 PUNCTUATION = ((r"\s+([,.;:!?/])", "$1"), (r"([,.;:!?/])(?=\S)", "$1 "), (r"\s+", " "))
 #: Named entities that are decoded besides numbers; fixed values.
 ENTITIES = (("amp", "&"), ("gt", ">"), ("lt", "<"), ("nbsp", " "), ("pound", "£"), ("quot", '"'), ("euro", "€"))
@@ -64,6 +65,11 @@ def decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(plain, "")).otherwise(text)
 
 
+def ascii_words(pattern: str) -> str:
+    """A pattern whose word boundaries know the letters, digits and underscore of ASCII only."""
+    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
 def comparable(text: Column) -> Column:
     """A text without what changes between versions without meaning: entities, tags, attributes, build
     names, long hex runs, clock times; spellings of periods and spaces are made alike."""

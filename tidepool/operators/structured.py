@@ -2,61 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepool.functions import money
 from tidepool.operators import extract
-from tidepool.sources import html
+from tidepool.sources import dom
 
-CARD = re.compile(r"(?i)\b(?:plan|pric|tier|package)")
 #: What is no name of a plan, units of a price and of a limit, modes of billing; fixed values.
 NO_NAME = r"(?i)^(plan|plans|price|pricing|tier|features?|limits?|monthly|yearly|per month|per year|included|yes|no|-|–)?$"
 UNIT = r"(?i)(?:/|per)\s*(user|seat|member|site|project)\b"
 USAGE = r"(?i)\b(pageviews?|requests?|events?|credits?|messages?|gb)\b"
 #: Sources of plans: the first that names a plan counts.
-SOURCES = ("table", "card", "script")
-
-
-def _structures(markup: str) -> list[tuple]:
-    """(source, ord, cells, heading) of a page: rows of tables, and cards (the innermost ones) with their lines."""
-    tree = html._Tree()
-    tree.feed(markup)
-    tree.close()
-    squeeze = lambda parts: re.sub(r"\s+", " ", "".join(parts)).strip()
-    rows, cards, out = {}, {}, []
-    for i, n in enumerate(tree.nodes):
-        up, row, card = n["parent"], n.get("row"), None
-        if up >= 0:
-            row, card = tree.nodes[up].get("row"), tree.nodes[up].get("card")
-        if n["tag"] == "tr":
-            row, rows[i] = i, []
-        elif n["tag"] in ("article", "section", "div", "li") and CARD.search(n["attrs"].get("class", "")):
-            card, cards[i] = i, [None, []]
-        n["row"], n["card"] = row, card
-        text = squeeze(n["all"])
-        if n["tag"] in ("td", "th") and row is not None:
-            rows[row].append(text)
-        elif card is not None and card != i and row is None and text:
-            if n["tag"] in html.HEADINGS and cards[card][0] is None:
-                cards[card][0] = text
-            elif n["tag"] in ("p", "li", "span", "strong", "button", "a"):
-                cards[card][1].append(text)
-    out += [("table", i, cells, "") for i, cells in rows.items() if len(cells) > 1]
-    return out + [("card", i, lines, heading or "") for i, (heading, lines) in cards.items() if lines]
-
-
-def _structure_batches(batches):
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
-    for batch in batches:
-        found = [_structures(x.as_py() or "") for x in batch.column("_html")]
-        index = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
-        cols = [pa.array([r[k] for rows in found for r in rows], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id").take(index), *cols], ["page_id", "source", "ord", "cells", "heading"])
+SOURCES = ("table", "card", "heading", "script")
 
 
 def unit(text: Column) -> Column:
@@ -67,7 +26,7 @@ def billing_mode(text: Column) -> Column:
     return F.when(text.rlike(extract.CONTACT), "contact").when(text.rlike(USAGE) & text.rlike(r"(?i)\bper\b"), "usage").when(unit(text).isNotNull(), "per_unit").otherwise("flat")
 
 
-def _from_scripts(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def from_scripts(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """Plans of arrays of objects in scripts; arrays that don't parse and objects without a name or price drop out."""
     found = F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(r"(?is)=\s*(\[\s*\{.*?\}\s*\])\s*;"), F.lit(1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.posexplode(found).alias("_at", "_text"))
@@ -84,9 +43,14 @@ def plans(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     label; its price is the first in it. Rows without a price stay if they are by contact (no price) or free
     (0). A plan that several sources name at one price counts once, from the first of SOURCES.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("_html"))
-    kind = rows.schema["page_id"].dataType.simpleString()
-    rows = rows.mapInArrow(_structure_batches, f"page_id {kind}, source string, ord int, cells array<string>, heading string")
+    rows = dom.part(dom.parsed(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")), parts=("structures",)), "structures")
+    return plans_of(rows, from_scripts(pages, id_col, html_col))
+
+
+def plans_of(rows: DataFrame, scripted: DataFrame) -> DataFrame:
+    """Plans of the structures of pages and of their scripts, as in plans()."""
+    #: What stands under a heading is a plan only if the heading names one.
+    rows = rows.filter((F.col("source") != "heading") | F.col("heading").rlike(extract.PLAN_NAME))
     body = F.array_join("cells", "\n")
     bare = lambda x: ~x.rlike(money.PRICE) & ~F.trim(x).rlike(NO_NAME)
     name = F.coalesce(F.when(F.trim("heading") != "", F.trim("heading")), F.trim(F.get(F.filter("cells", bare), F.lit(0))))
@@ -95,7 +59,7 @@ def plans(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     rows = rows.withColumn("price", F.when(F.col("_p").isNotNull(), F.col("_p.amount")).when(~contact & free, 0.0)).filter(F.col("price").isNotNull() | contact)
     limits = F.slice(F.regexp_extract_all("_body", F.lit(extract.LIMIT), F.lit(0)), 1, 8)
     rows = rows.select("page_id", "source", "ord", "plan", "price", F.col("_p.currency").alias("currency"), money.period(F.col("_body")).alias("billing_period"), unit(F.col("_body")).alias("unit"), billing_mode(F.col("_body")).alias("mode"), limits.alias("limits"))
-    rows = rows.unionByName(_from_scripts(pages, id_col, html_col))
+    rows = rows.unionByName(scripted)
     place = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
     first = W.partitionBy("page_id", F.lower("plan"), "price", "billing_period").orderBy(place, "ord")
     rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from tidepool.functions import text as T
 from tidepool.functions import urls
-from tidepool.operators import versions
+from tidepool.operators import blocks, versions
 from tidepool.plans.registry import query, table
-from tidepool.sources import html
+from tidepool.sources import dom, html
 
 #: DuckDB's side of urls.canonical().
 URL_PARTS = r"""
@@ -122,10 +124,26 @@ def page_links(spark, sf_dir):
     return html.links(found, "url").select("page_id", "text", "href", "target", "rejected")
 
 
-@query()
+#: DuckDB's side of the pages' articles and of what a segment or line of text is.
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace({UNESCAPED.format(f'regexp_replace({x}, {chr(39)}<[^>]*>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, '\\s+', ' ', 'g'))"
+
+
+ARTICLES = (
+    "articles as (select page_id, html, regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1) as h1, regexp_extract(html, '(?s)<article><h1>.*?</h1>(.*?)</article>', 1) as body from pages)"
+)
+NO_SEGMENT = "length(t) < 2 or " + " or ".join(f"regexp_matches(t, '{p}')" for p in T.BOILERPLATE)
+
+
+@query(
+    f"with {ARTICLES}, s as (select page_id, 0 as i, 'h1' as tag, h1 as x from articles union all select page_id, k, 'p', regexp_extract(ps[k], '(?s)^(.*?)(?:</p>|$)', 1) from (select page_id, string_split(body, '<p>') as ps, unnest(range(2, len(string_split(body, '<p>')) + 1)) as k from articles)), "
+    f"c as (select page_id, i, tag, {_plain('x')} as t from s), k as (select *, trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}$€£%]+', ' ', 'g')) as segment_key from c where t <> '' and not ({NO_SEGMENT})), "
+    "f as (select *, row_number() over (partition by page_id, segment_key order by i) as n from k) select page_id, (row_number() over (partition by page_id order by i))::int as place, tag, t as text, segment_key from f where n = 1"
+)
 def page_segments(spark, sf_dir):
     """Distinct text segments of each page in document order, without navigation and boilerplate."""
-    return html.segments(html.elements(table(spark, sf_dir, "pages"), "page_id", "html", tags=html.SEGMENT_TAGS))
+    rows = html.segments(html.elements(table(spark, sf_dir, "pages"), "page_id", "html", tags=html.SEGMENT_TAGS))
+    return rows.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("ord")).alias("place"), "tag", "text", "segment_key")
 
 
 @query(
@@ -137,7 +155,52 @@ def page_metadata(spark, sf_dir):
     return html.metadata(html.elements(table(spark, sf_dir, "pages"), "page_id", "html"))
 
 
-@query()
+def _says(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, '(?i){pattern}')"
+
+
+def _roles_sql() -> str:
+    """DuckDB's side of blocks.classified() for pages of no known type."""
+    cases = [(f"n{i}" + ("" if signal in blocks.DECIDING else " and not pricing"), f"'{role}'", "0.9") for i, (role, signal, _) in enumerate(blocks.NEGATIVE)]
+    cases += [
+        ("tag = 'nav'", "'navigation'", "0.95"), ("tag = 'footer'", "'footer'", "0.95"),
+        (f"pricing and {_says('body', blocks.PLAN_CARD)}", f"case when {_says('body', blocks.COMPARED)} then 'plan_comparison' else 'pricing_card' end", "0.84"), ("pricing", "'pricing_section'", "0.8"),
+        (_says("body", blocks.CHANGELOG), f"case when {_says('body', blocks.RELEASE)} then 'release_note' else 'changelog_entry' end", "0.76"), (_says("body", blocks.FEATURE), f"case when {_says('body', blocks.CONNECTED)} then 'integration_section' else 'feature_card' end", "0.74"),
+        (_says("body", blocks.ACTION), "'cta_section'", "case when place <= 3 then 0.82 else 0.68 end"), (f"{_says('tag', blocks.HERO)} or place <= 1", "'hero'", "0.72"), (_says("body", blocks.QUESTIONS), "'faq'", "0.72"),
+    ]
+    rank = " ".join(f"when {when} then {k}" for k, (when, _, _) in enumerate(cases))
+    pick = lambda i, otherwise: "case hit " + " ".join(f"when {k} then {c[i]}" for k, c in enumerate(cases)) + f" else {otherwise} end"
+    signs = ", ".join(f"{_says('body', p)} as n{i}" for i, (_, _, p) in enumerate(blocks.NEGATIVE))
+    near = lambda name, p: f"len(regexp_extract_all(text, '(?i){p}')[1:{blocks.MOST_NEAR}])::int as {name}"
+    negative = "array_to_string(list_filter([" + ", ".join(f"case when n{i} and (hit is null or hit >= {i}) then '{s}' end" for i, (_, s, _) in enumerate(blocks.NEGATIVE)) + "], lambda x: x is not null), ',')"
+    return f"""
+with {ARTICLES}, made as (
+  select page_id, 0 as raw, 'nav' as tag, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), lambda x: {_plain('x')}), lambda x: x <> ''), chr(10)) as text, len(regexp_extract_all(html, '<a href="[^"]*">')) as a from articles
+  union all select page_id, 2, 'article', array_to_string(list_filter(list_transform(string_split_regex('<h1>' || h1 || '</h1>' || body, '</?p>|</h1>|<br>|\\n'), lambda x: {_plain('x')}), lambda x: x <> ''), chr(10)), 0 from articles
+  union all select page_id, 3, 'footer', array_to_string(list_filter(list_transform(string_split(replace(replace(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '&copy;', '©'), '&middot;', '·'), chr(10)), lambda x: {_plain('x')}), lambda x: x <> ''), chr(10)), 0 from articles),
+every as (
+  select page_id, raw, tag, text, a, {_plain('h1')} as h1 from made join articles using (page_id)
+  union all select page_id, 1, 'ul', text, a, '' from made join articles using (page_id) where tag = 'nav'),
+placed as (
+  select *, (row_number() over (partition by page_id order by raw) - 1)::int as place, tag || chr(10) || text as body, nullif(case when tag = 'article' then h1 else '' end, '') as heading,
+    regexp_replace(lower(regexp_replace(tag || chr(10) || (case when tag = 'article' then h1 else '' end) || chr(10) || text, '\\s+', ' ', 'g')), '[^a-z0-9$€£]+', ' ', 'g') as key from every),
+hits as (select *, {_says('body', blocks.PRICING)} as pricing, {signs}, {near('prices', blocks.NEAR_PRICES)}, {near('plan_words', blocks.NEAR_PLANS)}, {near('negative_words', blocks.NEAR_NEGATIVE)} from placed),
+ranked as (select *, case {rank} end as hit from hits),
+roled as (select *, {pick(1, "'unknown'")} as role, {pick(2, "0.42")} as confidence from ranked),
+scored as (select *, confidence + case when prices > 0 then 0.08 else 0 end + case when plan_words > 0 then 0.06 else 0 end + case when a > 0 then 0.04 else 0 end - case when negative_words > 0 then 0.25 else 0 end as s from roled)
+select page_id, place, tag, page_id || ':' || substr(sha1(raw || ':' || key), 1, 12) as block_id, role, confidence::double as confidence, {negative} as negative_signals,
+  round(greatest(0, least(1, case when role in {blocks.NEVER} then least(s, 0.25) else s end)), 2)::double as score, heading, text, prices, plan_words, negative_words,
+  least(a, 20)::int as links, case tag when 'nav' then a when 'ul' then a else 0 end::int as list_items, case tag when 'ul' then 0 end::int as inside_place
+from scored"""
+
+
+@query(_roles_sql())
 def page_blocks(spark, sf_dir):
-    """Blocks of each page with a role and the confidence in it."""
-    return html.blocks(html.elements(table(spark, sf_dir, "pages"), "page_id", "html", tags=html.SECTION_TAGS))
+    """Blocks of each page: where they stand, role with confidence and signals, score, heading, lines of text, what is near."""
+    rows = dom.part(dom.parsed(table(spark, sf_dir, "pages"), parts=("blocks",)), "blocks")
+    rows = blocks.evidence(blocks.classified(rows, F.lit("unknown")))
+    near = [F.size(c).alias(c) for c in ("prices", "plan_words", "negative_words")]
+    return rows.select(
+        "page_id", "place", "tag", blocks.block_id(F.col("page_id")).alias("block_id"), "role", "confidence", F.array_join("negative_signals", ",").alias("negative_signals"), F.col("block_score").alias("score"), "heading", "text", *near,
+        F.size("link_urls").alias("links"), "list_items", F.col("inside").alias("inside_place"),
+    )

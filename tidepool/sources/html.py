@@ -2,100 +2,21 @@
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepool.functions import text as T
 from tidepool.functions import urls
+from tidepool.sources import dom
 
-#: Elements without an end, those that end where another begins, and those whose text isn't shown; fixed values.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "section", "article"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-HIDDEN = frozenset("script style noscript template svg".split())
-KEPT = frozenset("title meta h1 h2 h3 h4 h5 h6 p li a button td th summary blockquote article section nav footer header aside table div form dialog script".split())
 SEGMENT_TAGS = ("h1", "h2", "h3", "h4", "p", "li", "td", "th", "blockquote", "summary")
-SECTION_TAGS = ("section", "article", "nav", "footer", "header", "aside", "table", "div", "form", "dialog")
-SCHEMA = "ord int, parent int, tag string, path string, classes string, attrs map<string,string>, text string, own_text string"
-
-
-class _Tree(HTMLParser):
-    def __init__(self, wanted=None):
-        super().__init__(convert_charrefs=True)
-        self.nodes, self.open, self.wanted = [], [], wanted
-
-    def handle_starttag(self, tag, attrs):
-        while self.open and tag in CLOSED_BY.get(self.nodes[self.open[-1]]["tag"], ()):
-            self.open.pop()
-        node = {"tag": tag, "parent": self.open[-1] if self.open else -1, "attrs": {k: v or "" for k, v in attrs}, "own": [], "all": []}
-        self.nodes.append(node)
-        if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.open.pop()
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[k]]["tag"] == tag:
-                del self.open[k:]
-                break
-
-    def handle_data(self, data):
-        if self.open and not any(self.nodes[i]["tag"] in HIDDEN for i in self.open):
-            self.nodes[self.open[-1]]["own"].append(data)
-            for i in self.open:
-                if self.wanted is None or self.nodes[i]["tag"] in self.wanted:
-                    self.nodes[i]["all"].append(data)
-
-
-def parse(markup: str, wanted: frozenset = KEPT) -> list[tuple]:
-    """(ord, parent, tag, path, classes, attributes, text, own text) of a page's elements with a wanted tag;
-    only those gather the text inside them."""
-    tree = _Tree(wanted)
-    tree.feed(markup)
-    tree.close()
-    squeeze = lambda parts: re.sub(r"\s+", " ", "".join(parts)).strip()
-    paths, out = [], []
-    for i, n in enumerate(tree.nodes):
-        paths.append((paths[n["parent"]] + ">" if n["parent"] >= 0 else "") + n["tag"])
-        if n["tag"] in wanted:
-            out.append((i, n["parent"], n["tag"], paths[-1], n["attrs"].get("class", ""), n["attrs"], squeeze(n["all"]), squeeze(n["own"])))
-    return out
-
-
-def _parse_batches(wanted: frozenset):
-    def run(batches):
-        for batch in batches:
-            yield _parsed(batch, wanted)
-
-    return run
-
-
-def _parsed(batch: pa.RecordBatch, wanted: frozenset) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
-    names = ["ord", "parent", "tag", "path", "classes", "attrs", "text", "own_text"]
-    found = [parse(x.as_py() or "", wanted) for x in batch.column("_html")]
-    index = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
-    keep = [c for c in batch.schema.names if c != "_html"]
-    flat = [r for rows in found for r in rows]
-    cols = [pa.array([list(r[k].items()) if k == 5 else r[k] for r in flat], kind) for k, kind in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], *cols], [*keep, *names])
-
-
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None, tags=KEPT) -> DataFrame:
+
+
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None, tags=dom.KEPT) -> DataFrame:
     """One row per element of each page with one of the tags, with the page's id and the columns carried
     along. Null pages have none."""
-    keep = [id_col, *(carry or [])]
-    rows = pages.select(*keep, F.col(html_col).alias("_html"))
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_parse_batches(frozenset(tags)), f"{kept}, {SCHEMA}")
+    return dom.part(dom.parsed(pages, id_col, html_col, carry, ("elements",), tags), "elements")
 
 
 def links(found: DataFrame, base_col: str, id_col: str = "page_id") -> DataFrame:
@@ -148,76 +69,13 @@ def block_role(path: Column, classes: Column, body: Column) -> Column:
     )
 
 
-def blocks(found: DataFrame, id_col: str = "page_id", most: int = 160) -> DataFrame:
-    """Sections, articles, cards, tables and the like as blocks with id, role and confidence; the first 160 of a page."""
-    rows = found.filter(F.col("tag").isin(*SECTION_TAGS) & (F.char_length("text") >= 4))
-    rows = rows.withColumn("role", block_role(F.col("path"), F.col("classes"), F.col("text")))
-    sure = F.col("role").isin("nav", "footer", "table")
-    rows = rows.withColumn("confidence", F.when(sure, 0.95).when(F.col("role") == "content", 0.4).when(F.col("classes") != "", 0.82).otherwise(0.6))
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(id_col).orderBy("ord"))).filter(F.col("_n") <= most)
-    block = F.concat(F.col(id_col).cast("string"), F.lit(":"), F.substring(F.sha1(F.concat(F.col("ord").cast("string"), F.lit(":"), T.segment_key(F.col("text")))), 1, 12))
-    return rows.select(id_col, "ord", block.alias("block_id"), "tag", "path", "role", "confidence", T.truncated(F.col("text")).alias("text"))
-
-
-BLOCK_TAGS = frozenset("section article nav footer header aside table div form dialog tr".split())
-HEADINGS = frozenset("h1 h2 h3 h4".split())
-INLINE = frozenset("b i em strong span br a small sup".split())
-
-
-def parse_blocks(markup: str) -> list[tuple]:
-    """(ord, tag, path, classes, heading, lines, buttons) of a page's blocks: sectioning elements that hold
-    text, innermost ones and those with a heading of their own."""
-    tree = _Tree()
-    tree.feed(markup)
-    tree.close()
-    nodes, paths, inside, below = tree.nodes, [], {}, {}
-    for n in nodes:
-        below.setdefault(n["parent"], set()).add(n["tag"])
-    squeeze = lambda parts: re.sub(r"\s+", " ", "".join(parts)).strip()
-    for i, n in enumerate(nodes):
-        paths.append((paths[n["parent"]] + ">" if n["parent"] >= 0 else "") + n["tag"])
-        up = n["parent"]
-        while up >= 0 and nodes[up]["tag"] not in BLOCK_TAGS:
-            up = nodes[up]["parent"]
-        n["block"] = up
-        if n["tag"] in BLOCK_TAGS:
-            inside[i] = {"heading": None, "lines": [], "buttons": [], "blocks": 0}
-        if up >= 0:
-            text, own = squeeze(n["all"]), inside[up]
-            own["blocks"] += n["tag"] in BLOCK_TAGS
-            if n["tag"] in HEADINGS and own["heading"] is None:
-                own["heading"] = text
-            if n["tag"] in ("a", "button") and text:
-                own["buttons"].append(text)
-            if text and n["tag"] not in BLOCK_TAGS and below.get(i, set()) <= INLINE:
-                if nodes[n["parent"]]["tag"] not in ("p", "li", "a", "button", *HEADINGS):
-                    own["lines"].append(text)
-    out = []
-    for i, own in inside.items():
-        lines = own["lines"] or ([squeeze(nodes[i]["all"])] if not own["blocks"] else [])
-        lines = [x for x in lines if x]
-        if lines:
-            out.append((i, nodes[i]["tag"], paths[i], nodes[i]["attrs"].get("class", ""), own["heading"] or "", lines, own["buttons"]))
-    return out
-
-
-def _block_batches(batches):
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
-    names = ["ord", "tag", "path", "classes", "heading", "lines", "buttons"]
-    for batch in batches:
-        found = [parse_blocks(x.as_py() or "") for x in batch.column("_html")]
-        index = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
-        keep = [c for c in batch.schema.names if c != "_html"]
-        cols = [pa.array([r[k] for rows in found for r in rows], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], *cols], [*keep, *names])
-
-
 def evidence_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """Blocks of pages with heading, lines, button texts, role and an id that follows from place and content."""
-    keep = [id_col, *(carry or [])]
-    rows = pages.select(*keep, F.col(html_col).alias("_html"))
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    rows = rows.mapInArrow(_block_batches, f"{kept}, ord int, tag string, path string, classes string, heading string, lines array<string>, buttons array<string>")
+    return with_roles(dom.part(dom.parsed(pages, id_col, html_col, carry, ("evidence",)), "evidence"), id_col)
+
+
+def with_roles(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Evidence of pages with its text, role and id."""
     body = F.array_join("lines", "\n")
     block = F.concat(F.col(id_col).cast("string"), F.lit(":"), F.substring(F.sha1(F.concat(F.col("ord").cast("string"), F.lit(":"), T.segment_key(body))), 1, 12))
     return rows.withColumns({"block_id": block, "text": body, "role": block_role(F.col("path"), F.col("classes"), body)})
