@@ -66,8 +66,13 @@ def decoded(text: Column) -> Column:
 
 
 def ascii_words(pattern: str) -> str:
-    """A pattern whose word boundaries know the letters, digits and underscore of ASCII only."""
-    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+    """A pattern whose word boundaries know the letters, digits and underscore of ASCII only: before a word nothing of
+    a word stands, behind it none follows. Patterns with an alternative that begins with a sign keep the full test."""
+    before, behind = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    first, *rest = pattern.split(r"\b")
+    if "|/" in pattern:
+        return f"(?:(?<=[A-Za-z0-9_]){behind}|{before}(?=[A-Za-z0-9_]))".join([first, *rest])
+    return first + "".join((before if x[:1].isalpha() or x.startswith("(?:") else behind) + x for x in rest)
 
 
 def comparable(text: Column) -> Column:

@@ -49,16 +49,19 @@ OLDER = (
 
 
 def says(text: Column, pattern: str) -> Column:
-    return text.rlike("(?i)" + T.ascii_words(pattern))
+    """Whether a lower-case text has the pattern."""
+    return text.rlike(T.ascii_words(pattern))
 
 
 def classified(rows: DataFrame, page_type: Column) -> DataFrame:
     """Blocks with role, confidence, positive_signals and negative_signals: what speaks against a block counts first,
     beside prices only if it decides; then tables of prices, prices, releases, features, calls to action, place."""
     attrs = F.concat_ws(" ", "tag", F.nullif("id_attribute", F.lit("")), F.nullif("classes", F.lit("")), F.nullif("aria_label", F.lit("")), F.nullif("role_attribute", F.lit("")))
-    rows = rows.withColumns({"_attrs": attrs, "_page": page_type}).withColumn("_all", F.concat_ws("\n", "_attrs", "text"))
+    rows = rows.withColumns({"_attrs": attrs, "_page": page_type}).withColumn("_all", F.lower(F.concat_ws("\n", "_attrs", "text")))
     said = {f"_{name}": says(F.col("_all"), p) for name, p in (("pricing", PRICING), ("feature", FEATURE), ("action", ACTION), ("changelog", CHANGELOG), ("toggle", TOGGLE))}
-    rows = rows.withColumns(said | {f"_n{i}": says(F.col("_all"), p) for i, (_, _, p) in enumerate(NEGATIVE)})
+    #: One search for all signs; only texts that have one are searched for each.
+    rows = rows.withColumns(said | {"_some": says(F.col("_all"), "|".join(p for _, _, p in NEGATIVE))})
+    rows = rows.withColumns({f"_n{i}": F.col("_some") & says(F.col("_all"), p) for i, (_, _, p) in enumerate(NEGATIVE)})
     against = [F.col(f"_n{i}") & (F.lit(True) if signal in DECIDING else ~F.col("_pricing")) for i, (_, signal, _) in enumerate(NEGATIVE)]
     role, sure = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
 
@@ -77,7 +80,7 @@ def classified(rows: DataFrame, page_type: Column) -> DataFrame:
     case(F.col("_changelog"), F.when(says(F.col("_all"), RELEASE), "release_note").otherwise("changelog_entry"), of("changelog", 0.9, 0.76))
     case(F.col("_feature"), F.when(says(F.col("_all"), CONNECTED), "integration_section").otherwise("feature_card"), of("features", 0.86, 0.74))
     case(F.col("_action"), "cta_section", F.when(F.col("place") <= 3, 0.82).otherwise(0.68))
-    case(F.col("tag").isin("header", "main") | says(F.col("_attrs"), HERO) | (F.col("place") <= 1), "hero", 0.72)
+    case(F.col("tag").isin("header", "main") | says(F.lower("_attrs"), HERO) | (F.col("place") <= 1), "hero", 0.72)
     case(says(F.col("_all"), QUESTIONS), "faq", 0.72)
     rows = rows.withColumns({"role": role.otherwise("unknown"), "confidence": sure.otherwise(0.42)})
     earlier = lambda i: F.coalesce(*[F.when(h, True) for h in against[:i]], F.lit(False)) if i else F.lit(False)
@@ -88,7 +91,7 @@ def classified(rows: DataFrame, page_type: Column) -> DataFrame:
         .when(F.col("role") == "cta_section", F.array(F.lit("cta"))).when(F.col("role") == "hero", F.array(F.lit("hero_position"))).otherwise(F.array().cast("array<string>"))
     )
     rows = rows.withColumns({"positive_signals": by_role, "negative_signals": negative})
-    return rows.drop("_attrs", "_all", "_page", *said, *[f"_n{i}" for i in range(len(NEGATIVE))])
+    return rows.drop("_attrs", "_all", "_page", "_some", *said, *[f"_n{i}" for i in range(len(NEGATIVE))])
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -106,7 +109,8 @@ def evidence(rows: DataFrame) -> DataFrame:
 def older_kind(rows: DataFrame) -> DataFrame:
     """Blocks with the older kinds (kind, kind_confidence): navigation, footer, sign-in, pricing, then by words."""
     attrs = F.lower(F.concat_ws(" ", "tag", F.nullif("id_attribute", F.lit("")), F.nullif("classes", F.lit("")), F.nullif("role_attribute", F.lit("")), F.nullif("aria_label", F.lit(""))))
-    every = F.concat_ws("\n", attrs, "text", F.array_join("buttons", "\n"))
+    rows = rows.withColumn("_every", F.lower(F.concat_ws("\n", attrs, "text", F.array_join("buttons", "\n"))))
+    every = F.col("_every")
     kind, sure = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
     cases = [
         ("nav", 0.92, (F.col("tag") == "nav") | attrs.rlike(T.ascii_words(r"\bnav(?:igation)?\b|navbar|menu"))), ("footer", 0.92, (F.col("tag") == "footer") | attrs.rlike(T.ascii_words(r"\bfooter|contentinfo\b"))),
@@ -115,7 +119,7 @@ def older_kind(rows: DataFrame) -> DataFrame:
     ]
     for name, confidence, when in cases:
         kind, sure = kind.when(when, name), sure.when(when, confidence)
-    return rows.withColumns({"kind": kind.otherwise("unknown"), "kind_confidence": sure.otherwise(0.45)})
+    return rows.withColumns({"kind": kind.otherwise("unknown"), "kind_confidence": sure.otherwise(0.45)}).drop("_every")
 
 
 def block_id(page: Column) -> Column:

@@ -138,12 +138,16 @@ class Tree(HTMLParser):
         self._pop_to(0)
 
 
+#: Characters that take no room; fixed values.
+UNSEEN = dict.fromkeys(map(ord, "\u200b\u200c\u200d\ufeff"))
+
+
 def squeezed(parts) -> str:
-    return re.sub(r"\s+", " ", "".join(parts)).strip()
+    return " ".join("".join(parts).split())
 
 
 def shown(text: str) -> str:
-    return re.sub(r"\s+", " ", re.sub("[​-‍﻿]", "", text)).strip()
+    return " ".join((text if text.isascii() else text.translate(UNSEEN)).split())
 
 
 def tree_of(markup: str) -> Tree:
@@ -164,8 +168,10 @@ def elements_of(tree: Tree, tags: frozenset = KEPT) -> list[dict]:
 
 
 def _is_block(n: Node) -> bool:
+    if n.tag in BLOCKS or not n.attrs:
+        return n.tag in BLOCKS
     classes, ident, role = n.attrs.get("class", ""), n.attrs.get("id", ""), n.attrs.get("role")
-    return n.tag in BLOCKS or role in ("dialog", "table") or any(w in classes for w in BLOCK_CLASS) or any(w in ident for w in BLOCK_ID)
+    return role in ("dialog", "table") or any(w in classes for w in BLOCK_CLASS) or any(w in ident for w in BLOCK_ID)
 
 
 def _visibility(n: Node) -> str:
@@ -193,7 +199,7 @@ class Blocks:
         self.rows = where(lambda n: n.tag == "tr" or n.attrs.get("role") == "row")
         self.cells = where(lambda n: n.tag in ("td", "th") or n.attrs.get("role") in ("cell", "columnheader"))
         self.lists = where(lambda n: n.tag in ("ul", "ol"))
-        self.ink = [0, *accumulate(len(re.sub(r"\s", "", p)) if p else 0 for p in tree.pieces)]
+        self.ink = [0, *accumulate(len("".join(p.split())) if p else 0 for p in tree.pieces)]
         self.known: dict[int, str] = {}
         #: Where lines end, and the lines between two ends, made once for all blocks that hold them.
         self.ends = [k for k, p in enumerate(tree.pieces) if p is None]
