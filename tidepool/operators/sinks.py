@@ -16,6 +16,13 @@ def new_table(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written once to a table of their own and read again."""
+    path = new_table(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def append(rows: DataFrame, path: str) -> DataFrame:
     """Add rows to a table and give the whole table."""
     rows.write.mode("append").parquet(path)

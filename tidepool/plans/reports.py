@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepool.functions import urls
-from tidepool.operators import quality, recommend, scoring, sinks, usage, versions
+from tidepool.operators import cache, quality, recommend, scoring, sinks, usage, versions
 from tidepool.plans.registry import query, table
 
 
@@ -330,8 +330,15 @@ def alert_decisions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scoring.alerts(F.col("value") * 5, F.col("event_type") == "error", F.col("value") / 20, level).alias("alerts"))
 
 
-@query("with f as (select *, lag(ts) over (partition by user_id, event_type order by ts, event_id) as before from events) select event_id, before is not null and ts - before <= interval 6 hours as cached from f")
+CACHED = (
+    "with recursive f as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events), "
+    "c as (select event_id, user_id, event_type, n, ts as fetched, false as cached from f where n = 1 "
+    "union all select f.event_id, f.user_id, f.event_type, f.n, case when f.ts - c.fetched < interval 6 hours then c.fetched else f.ts end, f.ts - c.fetched < interval 6 hours from f join c on f.user_id = c.user_id and f.event_type = c.event_type and f.n = c.n + 1) "
+    "select event_id, cached from c"
+)
+
+
+@query(CACHED)
 def cached_fetches(spark, sf_dir):
-    """Whether each fetch finds an answer that is not older than six hours."""
-    rows = versions.with_previous(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], ["ts"])
-    return rows.select("event_id", F.coalesce(F.col("ts") <= F.col("prev_ts") + F.expr("INTERVAL 6 HOURS"), F.lit(False)).alias("cached"))
+    """Whether each fetch finds an answer that was fetched less than six hours ago; hits don't renew it."""
+    return cache.ttl_hits(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", "6 HOURS").select("event_id", "cached")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import versions
 from tidepool.plans.registry import query
+from tidepool.plans.reports import CACHED
 from tidepool.streaming import live, runs
 
 
@@ -50,3 +51,17 @@ def stream_weekly_digest(spark, sf_dir):
     newest = lambda rows: versions.latest(rows, ["week", "kind"], [F.desc("batch")])
     rows = runs.drained(live.weekly_digest(orders, "o_orderdate", ("kind",)), "update", newest)
     return rows.select(F.col("week").cast("timestamp_ntz").alias("week"), "kind", "changes")
+
+
+@query(CACHED)
+def stream_cached_fetches(spark, sf_dir):
+    """Whether each fetch finds an answer younger than six hours, with when it was fetched kept as state."""
+    events = runs.files(spark, f"{sf_dir}/events.parquet")
+    return runs.drained(live.cache_hits(events, ["user_id", "event_type"], "event_id", "ts", 6 * 3600 * 1_000_000))
+
+
+@query("select distinct user_id, event_type, date_trunc('day', ts) as day from events")
+def stream_new_jobs(spark, sf_dir):
+    """One job for each user, kind and day, however often it is asked for within the watermark."""
+    events = runs.files(spark, f"{sf_dir}/events.parquet").withColumn("day", F.date_trunc("day", "ts"))
+    return runs.drained(live.new_jobs(events, ["user_id", "event_type", "day"], "ts", "1 day")).select("user_id", "event_type", F.col("day").cast("timestamp_ntz").alias("day"))

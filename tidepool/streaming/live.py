@@ -72,3 +72,26 @@ def failure_streaks(events: DataFrame, key: str, event: str, at: str, failed: Co
     """Failures in a row of each key, now and at most, updated at each trigger; a success sets them to 0."""
     rows = events.select(F.col(key).cast("long").alias("key"), F.col(event).cast("long").alias("id"), F.col(at).cast("timestamp").alias("at"), failed.alias("failed"))
     return rows.groupBy("key").applyInPandasWithState(_streaks, "key long, current long, longest long", "run long, longest long", "update", GroupStateTimeout.NoTimeout)
+
+
+def _cached(ttl_us: int):
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fetched = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        cached = []
+        for at in rows["at"]:
+            hit = fetched is not None and at - fetched < ttl_us
+            cached.append(hit)
+            fetched = fetched if hit else at
+        state.update((int(fetched),))
+        yield pd.DataFrame({"event_id": rows["id"].to_numpy(), "cached": cached})
+
+    return run
+
+
+def cache_hits(fetches: DataFrame, keys: list[str], event: str, at: str, ttl_us: int) -> DataFrame:
+    """Whether each fetch finds an answer of its key younger than the lifetime; when the answer was fetched is the
+    keyed state. A row that comes late finds the later answer."""
+    named = F.to_json(F.struct(*keys)).alias("key")
+    rows = fetches.select(named, F.col(event).cast("long").alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("at")).filter("at is not null")
+    return rows.groupBy("key").applyInPandasWithState(_cached(ttl_us), "event_id long, cached boolean", "fetched long", "append", GroupStateTimeout.NoTimeout)
