@@ -26,10 +26,14 @@ def billing_mode(text: Column) -> Column:
     return F.when(text.rlike(extract.CONTACT), "contact").when(text.rlike(USAGE) & text.rlike(r"(?i)\bper\b"), "usage").when(unit(text).isNotNull(), "per_unit").otherwise("flat")
 
 
-def from_scripts(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Plans of arrays of objects in scripts; arrays that don't parse and objects without a name or price drop out."""
-    found = F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(r"(?is)=\s*(\[\s*\{.*?\}\s*\])\s*;"), F.lit(1))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.posexplode(found).alias("_at", "_text"))
+def script_arrays(markup: Column) -> Column:
+    """Texts of the arrays of objects that scripts of a page assign."""
+    return F.regexp_extract_all(F.coalesce(markup, F.lit("")), F.lit(r"(?is)=\s*(\[\s*\{.*?\}\s*\])\s*;"), F.lit(1))
+
+
+def plans_of_arrays(pages: DataFrame) -> DataFrame:
+    """Plans of (page_id, arrays); arrays that don't parse and objects without a name or price drop out."""
+    rows = pages.select("page_id", F.posexplode("arrays").alias("_at", "_text"))
     rows = rows.select("page_id", "_at", F.posexplode(F.from_json("_text", "array<struct<name:string,price:double,currency:string,period:string>>")).alias("_i", "x")).filter("x.name is not null and x.price is not null")
     none = lambda t: F.lit(None).cast(t)
     return rows.select("page_id", F.lit("script").alias("source"), (F.col("_at") * 1000 + F.col("_i")).cast("int").alias("ord"), F.col("x.name").alias("plan"), F.col("x.price").alias("price"), F.upper("x.currency").alias("currency"), F.coalesce("x.period", F.lit("unknown")).alias("billing_period"), none("string").alias("unit"), F.lit("flat").alias("mode"), F.array().cast("array<string>").alias("limits"))
@@ -44,7 +48,7 @@ def plans(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     (0). A plan that several sources name at one price counts once, from the first of SOURCES.
     """
     rows = dom.part(dom.parsed(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")), parts=("structures",)), "structures")
-    return plans_of(rows, from_scripts(pages, id_col, html_col))
+    return plans_of(rows, plans_of_arrays(pages.select(F.col(id_col).alias("page_id"), script_arrays(F.col(html_col)).alias("arrays"))))
 
 
 def plans_of(rows: DataFrame, scripted: DataFrame) -> DataFrame:

@@ -29,9 +29,26 @@ def availability_counters(spark, sf_dir):
 
 @query("select coalesce(c_custkey, s_suppkey) as id, case when s_suppkey is not null then s_name else c_name end as name, s_suppkey is not null as written from customer full join supplier on c_custkey = s_suppkey")
 def user_upsert(spark, sf_dir):
-    """Rows after an upsert by id: the written name wins, others stay."""
-    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return sinks.upsert(old, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), ["id"], ["name"])
+    """A table after two batches by id, the second one written twice: its name wins, others stay."""
+    path = sinks.new_table(spark, "users")
+    named = lambda name, key, text: table(spark, sf_dir, name).select(F.col(key).alias("id"), F.col(text).alias("name"))
+    sinks.merge(named("customer", "c_custkey", "c_name"), path, ["id"], [F.col("name")], 1)
+    for _ in range(2):
+        rows = sinks.merge(named("supplier", "s_suppkey", "s_name"), path, ["id"], [F.col("name")], 2)
+    return rows.select("id", "name", (F.col("batch") == 2).alias("written"))
+
+
+@query(
+    "with d as (select user_id, event_type, ts::date as day, event_id, value from events), f as (select user_id, event_type, min_by(day, event_id) as day, arg_max(value, event_id) as value, count(*) as n from d group by 1, 2) "
+    "select user_id, event_type, strftime(day, '%Y-%m-%d') as first_day, round(value, 4) as value from f"
+)
+def event_trigger_rows(spark, sf_dir):
+    """One row for each user and kind after merging the first and then the last events: the day of the first stays, the value follows the last."""
+    path, events = sinks.new_table(spark, "triggered"), table(spark, sf_dir, "events")
+    rows = events.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("first_day"), F.round("value", 4).alias("value"), "event_id")
+    sinks.merge(rows, path, ["user_id", "event_type"], [F.col("event_id")], 1)
+    found = sinks.merge(rows, path, ["user_id", "event_type"], [F.desc("event_id")], 2, update=["value", "event_id"])
+    return found.select("user_id", "event_type", "first_day", "value")
 
 
 @query(
