@@ -111,6 +111,15 @@ def segment_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}$€£%]+", " "))
 
 
+#: Order of a language's readers: letters before their accents, accents before their case.
+LOCALE = "UNICODE"
+
+
+def by_locale(text: Column) -> Column:
+    """A text that is ordered as readers expect it, not by its code points."""
+    return F.collate(text, LOCALE)
+
+
 def truncated(text: Column, most: int = 220, mark: str = "...") -> Column:
     """At most so many characters, white space made single, with a mark where something is cut."""
     text = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidepool.functions import text as T
 
@@ -25,6 +28,27 @@ WARNINGS = (
 )
 #: What a found section contradicts; fixed values.
 CONTRADICTED = (("pricing", r"(?i)no (?:reliable )?public pricing(?: block)? detected"), ("features", r"(?i)not enough feature information detected"), ("changelog", r"(?i)no changelog/update page detected"))
+#: Sentences on what lines say, by kind and by whether lines that were added (+), removed (-) or both have it, in the
+#: order in which they count; then on longer first lines, and on how many lines; fixed values.
+SAID = (
+    ("price", "+-", 'Changed {page} pricing language from "{old}" to "{new}".'),
+    ("price", "+", 'Added {page} pricing language: "{new}".'),
+    ("cta", "+-", 'Changed {page} CTA from "{old}" to "{new}".'),
+    ("cta", "+", 'Added {page} CTA language: "{new}".'),
+    ("launch", "+", 'Added {page} launch or release language: "{new}".'),
+    ("feature", "+", 'Added {page} feature language: "{new}".'),
+)
+CLAIMED, CLAIM_LENGTH, QUOTED = 'Changed {page} positioning from "{old}" to "{new}".', 20, 90
+BOTH, ONLY_ADDED, ONLY_REMOVED = "Updated {page} copy with {added} additions and {removed} removals.", "Added {added} new {page} text section{s}.", "Removed {removed} {page} text section{s}."
+#: What the kinds of lines speak of.
+SPEAKS = {"price": T.PRICING, "cta": T.CTA, "launch": T.LAUNCH, "feature": T.FEATURE}
+#: Why changes matter: severe ones, those of types of pages, all others; fixed values.
+SEVERE, ELSE = "This may affect competitive positioning, sales conversations, or pricing comparisons.", "Positioning changes can shift how customers understand the product."
+MATTERS = (
+    ("pricing", "Pricing page movement can change how prospects compare plans."),
+    ("features", "Feature movement can signal roadmap or packaging changes."),
+    ("changelog", "Release activity can reveal what the competitor is actively shipping."),
+)
 #: Summaries that say nothing; fixed values.
 GENERIC = r"(?i)^(?:this is a saas product|they offer software solutions|software solutions|businesses improve productivity)$"
 #: The order in which types of pages are shown; fixed values.
@@ -54,34 +78,35 @@ def first_matching(lines: Column, pattern: str) -> Column:
     return F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0))
 
 
+def parts_of(sentence: str) -> list[tuple[bool, str]]:
+    """A sentence with {names} as parts: (whether it is a name, text)."""
+    return [(k % 2 == 1, x) for k, x in enumerate(re.split(r"\{(\w+)\}", sentence)) if x]
+
+
+def filled(sentence: str, **named: Column) -> Column:
+    return F.concat(*[named[x] if name else F.lit(x) for name, x in parts_of(sentence)])
+
+
 def line_summary(page: Column, added: Column, removed: Column) -> Column:
     """One sentence on what added and removed lines of a page say, the weightiest first."""
-    q = lambda x: F.concat(F.lit('"'), T.truncated(x, 90), F.lit('"'))
-    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    first = {(side, name): first_matching(lines, p) for side, lines in (("+", added), ("-", removed)) for name, p in (("price", T.PRICING), ("cta", T.CTA), ("launch", T.LAUNCH), ("feature", T.FEATURE))}
-    has = lambda side, name: first[side, name].isNotNull()
-    a, r = F.get(added, F.lit(0)), F.get(removed, F.lit(0))
-    n, m = F.size(added), F.size(removed)
-    return (
-        F.when(has("+", "price") & has("-", "price"), say("Changed ", page, " pricing language from ", q(first["-", "price"]), " to ", q(first["+", "price"]), "."))
-        .when(has("+", "price"), say("Added ", page, " pricing language: ", q(first["+", "price"]), "."))
-        .when(has("+", "cta") & has("-", "cta"), say("Changed ", page, " CTA from ", q(first["-", "cta"]), " to ", q(first["+", "cta"]), "."))
-        .when(has("+", "cta"), say("Added ", page, " CTA language: ", q(first["+", "cta"]), "."))
-        .when(has("+", "launch"), say("Added ", page, " launch or release language: ", q(first["+", "launch"]), "."))
-        .when(has("+", "feature"), say("Added ", page, " feature language: ", q(first["+", "feature"]), "."))
-        .when((F.char_length(a) > 20) & (F.char_length(r) > 20), say("Changed ", page, " positioning from ", q(r), " to ", q(a), "."))
-        .when((n > 0) & (m > 0), say("Updated ", page, " copy with ", n.cast("string"), " additions and ", m.cast("string"), " removals."))
-        .when(n > 0, say("Added ", n.cast("string"), " new ", page, " text section", F.when(n == 1, "").otherwise("s"), "."))
-        .otherwise(say("Removed ", m.cast("string"), " ", page, " text section", F.when(m == 1, "").otherwise("s"), "."))
-    )
+    first = {(side, name): first_matching(lines, p) for side, lines in (("+", added), ("-", removed)) for name, p in SPEAKS.items()}
+    cut = lambda x: T.truncated(x, QUOTED)
+    out = F.when(F.lit(False), "")
+    for name, sides, sentence in SAID:
+        here = first["+", name].isNotNull() & (first["-", name].isNotNull() if "-" in sides else F.lit(True))
+        out = out.when(here, filled(sentence, page=page, new=cut(first["+", name]), old=cut(first["-", name])))
+    new, old = F.get(added, F.lit(0)), F.get(removed, F.lit(0))
+    counts = lambda n: {"page": page, "added": F.size(added).cast("string"), "removed": F.size(removed).cast("string"), "s": F.when(F.size(n) == 1, "").otherwise("s")}
+    out = out.when((F.char_length(new) > CLAIM_LENGTH) & (F.char_length(old) > CLAIM_LENGTH), filled(CLAIMED, page=page, new=cut(new), old=cut(old)))
+    out = out.when((F.size(added) > 0) & (F.size(removed) > 0), filled(BOTH, **counts(added))).when(F.size(added) > 0, filled(ONLY_ADDED, **counts(added)))
+    return out.otherwise(filled(ONLY_REMOVED, **counts(removed)))
 
 
 def why_it_matters(page_type: Column, severity: Column) -> Column:
-    return (
-        F.when(severity == "high", "This may affect competitive positioning, sales conversations, or pricing comparisons.").when(page_type == "pricing", "Pricing page movement can change how prospects compare plans.")
-        .when(page_type == "features", "Feature movement can signal roadmap or packaging changes.").when(page_type == "changelog", "Release activity can reveal what the competitor is actively shipping.")
-        .otherwise("Positioning changes can shift how customers understand the product.")
-    )
+    out = F.when(severity == "high", SEVERE)
+    for kind, words in MATTERS:
+        out = out.when(page_type == kind, words)
+    return out.otherwise(ELSE)
 
 
 def change_label(change_type: Column, page_type: Column) -> Column:
@@ -125,3 +150,10 @@ def fact(category: str, field: Column, value: Column, score: Column, evidence: C
     """A fact with its normalised value, cut evidence and level of confidence."""
     level = F.when(score >= 0.8, "high").when(score >= 0.6, "medium").otherwise("low")
     return F.struct(F.lit(category).alias("category"), field.alias("field"), T.truncated(value, 180).alias("value"), T.sentence_key(value).alias("normalized_value"), F.round(score, 2).alias("score"), level.alias("confidence"), T.truncated(evidence, 220).alias("evidence"))
+
+
+def compact_order(rows: DataFrame, key: str, *parts: Column) -> DataFrame:
+    """Rows with their place among those of their key, in the order of readers by composed parts (null is empty):
+    facts by field and comparable value, calls to action by intent, value and destination, plans by name."""
+    composed = F.concat_ws(":", *[F.coalesce(p, F.lit("")) for p in parts])
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(T.by_locale(composed), composed)))

@@ -22,6 +22,7 @@ PRICE_SIGNS = (
     (r"(?i)\b(customers|users|uptime|support|integrations|reviews|stars|founded|employees|downloads)\b|%", -0.30),
     (r"(?i)\b(example|sample|proposal|job|budget|case study|testimonial|client|article|freelancer|quote|per hour)\b|/hr\b", -0.55),
 )
+#: Names of plans, offers by contact, free plans and limits in a text; fixed values.
 PLAN_NAME = r"(?i)\b(Free|Starter|Start|Basic|Plus|Pro|Professional|Premium|Team|Teams|Business|Growth|Scale|Enterprise|Custom|Agency|Creator|Launch|Personal|Core)\b"
 CONTACT = r"(?i)\b(contact sales|custom pricing|talk to sales|enterprise)\b"
 FREE_PLAN = r"(?i)\b(free forever|free plan|free tier)\b|(^|\n)\s*Free\s*(\n|$)"
@@ -32,8 +33,10 @@ INTENTS = (
     ("sign_up", r"(?i)\b(sign up|signup|join)\b"), ("download", r"(?i)\bdownload\b"), ("view_pricing", r"(?i)\b(pricing|plans)\b"), ("get_started", r"(?i)\bget started\b"),
     ("upgrade_buy", r"(?i)\b(upgrade|buy|get plus|get pro|subscribe)\b"),
 )
+#: Labels that sell nothing; the order of roles in which calls count; fixed values.
 UTILITY = r"(?i)^(login|log in|sign in|docs|documentation|support|privacy|terms|legal|status|blog)$"
 ROLE_ORDER = (("hero", 1), ("pricing", 2), ("cta", 3))
+#: What is no feature, and how releases are dated; fixed values.
 NO_FEATURE = r"(?i)\b(testimonial|trusted by|privacy|terms|login|sign up|start free|book demo|pricing|copyright)\b"
 RELEASE_DATE = r"(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+\d{1,2},?\s+20\d{2}\b|\b20\d{2}-\d{2}-\d{2}\b"
 

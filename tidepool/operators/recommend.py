@@ -12,6 +12,11 @@ from tidepool.operators import scoring
 LEAST_CONFIDENCE, LEAST_VALUE, LEAST_NOVELTY, LEAST_PRIORITY, LEAST_FACT = 75, 60, 0.6, 35, 0.55
 #: A recommendation that can be acted on, of the usual impact and effort; fixed values.
 ACTIONABLE, IMPACT, EFFORT = 0.86, 0.62, 0.7
+#: Titles that name an action, weights of the parts of a review, and what survives it; fixed values.
+ACTS = r"(?i)\b(?:test|make|clarify|surface|reduce|compare|add|show|replace|tighten)\b"
+PLAIN, SPECIFIC, OTHER, LEAST_WORDS = 3.0, 9.0, 7.0, 4
+EACH_PROOF, MEAN_PROOF, PER_PRIORITY, MOST_SUPPORT, PER_SPECIFIC = 1.7, 4, 15, 3, 4
+LEAST_TOTAL, LEAST_PROOF, LEAST_SURE = 45, 6, 6
 GENERIC = ("improve cta", "add pricing", "clarify positioning", "improve onboarding", "add features")
 
 
@@ -39,6 +44,26 @@ def visibility(confidence: Column) -> Column:
     return F.when(confidence >= 90, "highlight").when(confidence >= 75, "normal").otherwise("collapsed")
 
 
+def reviewed(rows: DataFrame) -> DataFrame:
+    """Recommendations (title, supporters, signals, mean, confidence, novelty, priority) with value (0 to 70), tier and
+    whether they survive the review: enough value and proof, sure enough, something the supporters say."""
+    ten = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.round(x, 1)))
+    generic = F.lower("title").isin(*GENERIC[:3]) | (F.size(F.filter(F.split("title", r"\s+"), lambda w: w != "")) < LEAST_WORDS)
+    specific = F.when(generic, PLAIN).when(F.col("title").rlike(ACTS), SPECIFIC).otherwise(OTHER)
+    proof = ten(F.least(F.lit(10.0), (F.col("supporters") + 1) * EACH_PROOF + F.col("mean") * MEAN_PROOF))
+    useful = ten(F.col("priority") / PER_PRIORITY + F.least(F.lit(MOST_SUPPORT), F.col("supporters")) + specific / PER_SPECIFIC)
+    sure = ten(F.col("confidence") / 10)
+    total = F.floor(F.round(specific + proof + ten(F.lit(ACTIONABLE * 10)) + ten(F.col("novelty") * 10) + ten(F.lit(IMPACT * 10)) + useful + sure, 6) + 0.5).cast("int")
+    rows = rows.withColumns({"value": total, "_proof": proof, "_sure": sure})
+    survives = (F.col("value") >= LEAST_TOTAL) & (F.col("_proof") >= LEAST_PROOF) & (F.col("_sure") >= LEAST_SURE) & (F.col("signals") > 0)
+    return rows.withColumns({"tier": tier(F.col("value")), "survives": survives}).drop("_proof", "_sure")
+
+
+def final(rows: DataFrame) -> DataFrame:
+    """The reviewed recommendations that may be shown."""
+    return rows.filter(passes(F.col("confidence"), F.col("value"), F.col("novelty"), F.col("priority")) & (F.col("tier") == "prioritize") & F.col("survives"))
+
+
 def passes(confidence: Column, value: Column, novel: Column, rank: Column) -> Column:
     return (confidence >= LEAST_CONFIDENCE) & (value >= LEAST_VALUE) & (novel >= LEAST_NOVELTY) & (rank >= LEAST_PRIORITY)
 
@@ -57,14 +82,15 @@ def supported_gaps(own: DataFrame, others: DataFrame) -> DataFrame:
     rows = rows.withColumn("needed", scoring.supporters_needed(F.col("_mean"))).filter(F.col("supporters") >= F.col("needed"))
     has = own.filter(F.col("score") >= LEAST_FACT).select("user_id", "field").distinct()
     rows = rows.join(has, ["user_id", "field"], "left_anti")
-    return rows.withColumn("confidence", confidence(F.col("supporters"), F.lit(0.0), F.col("_mean"))).drop("_mean")
+    return rows.withColumn("confidence", confidence(F.col("supporters"), F.lit(0.0), F.col("_mean"))).withColumnRenamed("_mean", "mean")
 
 
 def ranked(gaps: DataFrame, most: int = 3) -> DataFrame:
-    """The best gaps of each user with novelty, priority and visibility."""
+    """The best gaps of each user that pass the final gate, with novelty, priority, value and visibility."""
     title = F.concat(F.lit("Show "), F.col("field"), F.lit(" as "), F.col("supporters").cast("string"), F.lit(" others do"))
     rows = gaps.withColumn("title", title).withColumn("novelty", F.round(novelty(F.col("title"), F.col("signals"), F.col("supporters")), 4))
     rows = rows.withColumn("priority", priority(F.lit(ACTIONABLE), F.lit(IMPACT), F.lit(EFFORT), F.col("confidence")))
+    rows = final(reviewed(rows))
     order = W.partitionBy("user_id").orderBy(F.desc("novelty"), F.desc("priority"), F.desc("confidence"), "field")
     rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return rows.withColumn("visibility", visibility(F.col("confidence")))

@@ -160,10 +160,12 @@ def candidate_quota(spark, sf_dir):
     f"with f as (select s_nationkey as user_id, l_suppkey as entity_id, p_type as field, p_brand as value, {CONF} as score from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey), "
     "g as (select user_id, field, count(distinct entity_id) as supporters, count(distinct lower(trim(value))) as signals, avg(score) as mean from f where score >= 0.55 group by 1, 2), "
     "n as (select *, case when mean >= 0.9 then 1 when mean >= 0.75 then 2 when mean >= 0.6 then 3 else 4 end as needed from g), "
-    "k as (select user_id, field, supporters, signals, needed, least(96, floor(round(48 + least(supporters, 4) * 9 + mean * 20, 6) + 0.5))::int as confidence from n where supporters >= needed and field <> 'PROMO'), "
+    "k as (select user_id, field, supporters, signals, needed, mean, least(96, floor(round(48 + least(supporters, 4) * 9 + mean * 20, 6) + 0.5))::int as confidence from n where supporters >= needed and field <> 'PROMO'), "
     "s as (select *, round(least(0.94, 0.54 + signals * 0.12 + supporters * 0.06), 4) as novelty, least(100, floor(0.86::double * 0.62::double * (confidence / 100.0::double) / 0.7::double * 100 + 0.5))::int as priority from k), "
-    "r as (select *, row_number() over (partition by user_id order by novelty desc, priority desc, confidence desc, field) as rank from s) "
-    "select user_id, field, supporters, confidence, novelty, priority, rank::int as rank, case when confidence >= 90 then 'highlight' when confidence >= 75 then 'normal' else 'collapsed' end as visibility from r where rank <= 3"
+    "t as (select *, len(list_filter(string_split('Show ' || field || ' as ' || supporters || ' others do', ' '), lambda w: w <> '')) >= 4 as specific, greatest(0, least(10, round(least(10, (supporters + 1) * 1.7::double + mean * 4), 1))) as proof, greatest(0, least(10, round(confidence / 10.0::double, 1))) as sure from s), "
+    "v as (select *, floor(round(case when specific then 9 else 3 end + proof + 8.6::double + greatest(0, least(10, round(novelty * 10, 1))) + 6.2::double + greatest(0, least(10, round(priority / 15.0::double + least(3, supporters) + case when specific then 9 else 3 end / 4.0::double, 1))) + sure, 6) + 0.5)::int as value from t), "
+    "r as (select *, row_number() over (partition by user_id order by novelty desc, priority desc, confidence desc, field) as rank from v where confidence >= 75 and value >= 60 and novelty >= 0.6 and priority >= 35 and proof >= 6 and sure >= 6 and signals > 0) "
+    "select user_id, field, value, supporters, confidence, novelty, priority, rank::int as rank, case when confidence >= 90 then 'highlight' when confidence >= 75 then 'normal' else 'collapsed' end as visibility from r where rank <= 3"
 )
 def recommended_gaps(spark, sf_dir):
     """What a nation's suppliers agree on and the nation's own facts (here PROMO everywhere) don't have."""
@@ -173,4 +175,4 @@ def recommended_gaps(spark, sf_dir):
     others = facts.select("user_id", F.col("l_suppkey").alias("entity_id"), "field", "value", F.col("confidence").alias("score"))
     own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("user_id"), F.lit("PROMO").alias("field"), F.lit(0.9).alias("score"))
     rows = recommend.ranked(recommend.supported_gaps(own, others))
-    return rows.select("user_id", "field", "supporters", "confidence", "novelty", "priority", "rank", "visibility")
+    return rows.select("user_id", "field", "value", "supporters", "confidence", "novelty", "priority", "rank", "visibility")

@@ -61,23 +61,26 @@ def feature_changes(spark, sf_dir):
 
 
 LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
-P = r"(?i)([$€£]\s?\d+([.,]\d+)?|\d+([.,]\d+)?\s?(usd|eur|gbp|/mo|/month|/yr|/year)|free|annual|yearly|monthly|discount|plan|tier|seat|usage)"
-C = r"(?i)(start|try|book|demo|contact sales|get started|sign up|buy|upgrade|subscribe|join waitlist|request access)"
-L = r"(?i)(launch|new|introducing|release|released|shipping|available|beta|update|changelog)"
-FT = r"(?i)(feature|integration|workflow|automation|dashboard|api|report|analytics|ai|security|sso|export|import)"
-
-
-@query(
-    f"with t as (select conv_id, turn, role, {LINES} as ls from conversations), p as (select *, lag(ls) over (partition by conv_id order by turn) as old from t), "
-    "d as (select conv_id, turn, role, list_filter(ls, lambda x: not list_contains(old, x)) as a, list_filter(old, lambda x: not list_contains(ls, x)) as r from p where old is not null), "
-    "e as (select *, " + ", ".join(f"list_filter({side}, lambda x: regexp_matches(x, '{p}'))[1] as {side}{n}" for side in "ar" for n, p in (("p", P), ("c", C), ("l", L), ("f", FT))) + " from d) "
-    "select conv_id, turn, case when ap is not null and rp is not null then 'Changed ' || role || ' pricing language from \"' || " + _cut("rp", 90) + " || '\" to \"' || " + _cut("ap", 90) + " || '\".' "
-    "when ap is not null then 'Added ' || role || ' pricing language: \"' || " + _cut("ap", 90) + " || '\".' when ac is not null and rc is not null then 'Changed ' || role || ' CTA from \"' || " + _cut("rc", 90) + " || '\" to \"' || " + _cut("ac", 90) + " || '\".' "
-    "when ac is not null then 'Added ' || role || ' CTA language: \"' || " + _cut("ac", 90) + " || '\".' when al is not null then 'Added ' || role || ' launch or release language: \"' || " + _cut("al", 90) + " || '\".' "
-    "when af is not null then 'Added ' || role || ' feature language: \"' || " + _cut("af", 90) + " || '\".' when length(a[1]) > 20 and length(r[1]) > 20 then 'Changed ' || role || ' positioning from \"' || " + _cut("r[1]", 90) + " || '\" to \"' || " + _cut("a[1]", 90) + " || '\".' "
-    "when len(a) > 0 and len(r) > 0 then 'Updated ' || role || ' copy with ' || len(a) || ' additions and ' || len(r) || ' removals.' when len(a) > 0 then 'Added ' || len(a) || ' new ' || role || ' text section' || case when len(a) = 1 then '' else 's' end || '.' "
-    "else 'Removed ' || len(r) || ' ' || role || ' text section' || case when len(r) = 1 then '' else 's' end || '.' end as summary from e"
-)
+def _filled(sentence: str, **named: str) -> str:
+    """DuckDB's side of a sentence with names."""
+    return " || ".join(named[x] if name else "'" + x.replace("'", "''") + "'" for name, x in compare.parts_of(sentence))
+
+
+def _summaries_sql() -> str:
+    firsts = ", ".join(f"list_filter({side}, lambda x: regexp_matches(x, '{p}'))[1] as {side}_{n}" for side in "ar" for n, p in compare.SPEAKS.items())
+    cut = lambda x: _cut(x, compare.QUOTED)
+    cases = [(f"a_{n} is not null" + (f" and r_{n} is not null" if "-" in sides else ""), _filled(text, page="role", new=cut(f"a_{n}"), old=cut(f"r_{n}"))) for n, sides, text in compare.SAID]
+    counts = lambda n: {"page": "role", "added": "len(a)", "removed": "len(r)", "s": f"case when len({n}) = 1 then '' else 's' end"}
+    long = f"length(a[1]) > {compare.CLAIM_LENGTH} and length(r[1]) > {compare.CLAIM_LENGTH}"
+    cases += [(long, _filled(compare.CLAIMED, page="role", new=cut("a[1]"), old=cut("r[1]"))), ("len(a) > 0 and len(r) > 0", _filled(compare.BOTH, **counts("a"))), ("len(a) > 0", _filled(compare.ONLY_ADDED, **counts("a")))]
+    return (
+        f"with t as (select conv_id, turn, role, {LINES} as ls from conversations), p as (select *, lag(ls) over (partition by conv_id order by turn) as old from t), "
+        "d as (select conv_id, turn, role, list_filter(ls, lambda x: not list_contains(old, x)) as a, list_filter(old, lambda x: not list_contains(ls, x)) as r from p where old is not null), "
+        f"e as (select *, {firsts} from d) select conv_id, turn, case " + " ".join(f"when {when} then {then}" for when, then in cases) + f" else {_filled(compare.ONLY_REMOVED, **counts('r'))} end as summary from e"
+    )
+
+
+@query(_summaries_sql())
 def line_summaries(spark, sf_dir):
     """One sentence on what each turn's lines add to and take from the turn before."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.lines(F.col("text")).alias("ls"))
@@ -89,8 +92,8 @@ def line_summaries(spark, sf_dir):
 
 @query(
     "with e as (select event_id, case when user_id % 3 = 0 then null when user_id % 3 = 1 then event_type || '_changed' else ['plan_added', 'main_value_prop_changed', 'feature_removed', 'last_update_date_changed'][(event_id % 4 + 1)::int] end as t, ['pricing', 'docs'][(event_id % 2 + 1)::int] as page_type, case when value > 15 then 'high' else 'low' end as severity from events), v as (select *, coalesce(t, page_type) as v from e) "
-    "select event_id, case when regexp_matches(v, '(?i)price|pricing|plan|free|contact_sales') then 'pricing' when regexp_matches(v, '(?i)cta|demo|trial|signup|sign_up') then 'CTA' when regexp_matches(v, '(?i)headline|position|customer|category|value_prop') then 'positioning' when regexp_matches(v, '(?i)feature') then 'feature' "
-    "when regexp_matches(v, '(?i)changelog|release|update') then 'changelog' when page_type = 'docs' then 'Docs' else 'Pricing' end as label, case when severity = 'high' then 'This may affect competitive positioning, sales conversations, or pricing comparisons.' when page_type = 'pricing' then 'Pricing page movement can change how prospects compare plans.' else 'Positioning changes can shift how customers understand the product.' end as why from v"
+    "select event_id, case " + " ".join(f"when regexp_matches(v, '{p}') then '{n}'" for n, p in compare.LABELS) + " when page_type = 'docs' then 'Docs' else 'Pricing' end as label, "
+    f"case when severity = 'high' then '{compare.SEVERE}' " + " ".join(f"when page_type = '{k}' then '{w}'" for k, w in compare.MATTERS) + f" else '{compare.ELSE}' end as why from v"
 )
 def change_labels(spark, sf_dir):
     """What each change is about, and why it matters."""
@@ -112,21 +115,24 @@ def price_keys(spark, sf_dir):
 NOTES = ("HTTP 403 at checkout", "openai api key missing", "pricing debug: 3 rejected", "No public pricing detected", "Not enough feature information detected", "stack trace hidden", "All good")
 
 
+_PLAIN = "case " + " ".join(f"when regexp_matches(w, '{p}') then '{words}'" for p, words in compare.WARNINGS) + " else w end"
+_AGAINST = dict(compare.CONTRADICTED)
+
+
 @query(
-    "with n as (select o_custkey, list(case (o_orderkey % 7) when 0 then 'Some pages could not be retrieved.' when 1 then 'Deterministic analysis shown. AI enhancement is disabled for this plan.' when 2 then 'Some pricing-like text was ignored because it did not look like product pricing.' "
-    "when 3 then 'No public pricing detected' when 4 then 'Not enough feature information detected' when 5 then 'Scan completed with limited coverage.' else 'All good' end) as ws, bool_or(o_orderstatus = 'F') as pricing, bool_or(o_orderstatus = 'O') as features from orders group by 1) "
-    "select o_custkey, coalesce(array_to_string(list_sort(list_filter(list_distinct(ws), lambda x: not (pricing and x = 'No public pricing detected') and not (features and x = 'Not enough feature information detected'))), '|'), '') as warnings from n"
+    f"with o as (select o_custkey, o_orderstatus, {list(NOTES)}[(o_orderkey % 7 + 1)::int] as w from orders), n as (select o_custkey, list({_PLAIN}) as ws, bool_or(o_orderstatus = 'F') as pricing, bool_or(o_orderstatus = 'O') as features from o group by 1) "
+    f"select o_custkey, coalesce(array_to_string(list_sort(list_filter(list_distinct(ws), lambda x: not (pricing and regexp_matches(x, '{_AGAINST['pricing']}')) and not (features and regexp_matches(x, '{_AGAINST['features']}')))), '|'), '') as warnings from n"
 )
 def plain_warnings(spark, sf_dir):
     """Warnings of each owner in plain words, each once, without those that what was found contradicts."""
     notes = F.array(*[F.lit(x) for x in NOTES])
-    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.get(notes, (F.col("o_orderkey") % 7).cast("int"))).alias("ws"), F.bool_or(F.col("o_orderstatus") == "F").alias("p"), F.bool_or(F.col("o_orderstatus") == "O").alias("f"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(F.get(notes, (F.col("o_orderkey") % 7).cast("int"))).alias("ws"), F.bool_or(F.col("o_orderstatus") == "F").alias("p"), F.bool_or(F.col("o_orderstatus") == "O").alias("f"))
     return rows.select("o_custkey", F.array_join(F.array_sort(compare.shown_warnings(F.col("ws"), {"pricing": F.col("p"), "features": F.col("f"), "changelog": F.lit(False)})), "|").alias("warnings"))
 
 
 @query(
     f"with d as (select doc_id, text, {KEY.format('text')} as k, n_chars / 20000.0 as score from documents where text is not null) select doc_id, {_cut('text', 180)} as value, k as normalized_value, round(least(0.99, score), 2)::double as score, "
-    f"case when least(0.99, score) >= 0.8 then 'high' when least(0.99, score) >= 0.6 then 'medium' else 'low' end as confidence, {_cut('text', 220)} as evidence, regexp_matches(trim(text), '(?i)^(this is a saas product|they offer software solutions|software solutions|businesses improve productivity)$') as generic from d"
+    f"case when least(0.99, score) >= 0.8 then 'high' when least(0.99, score) >= 0.6 then 'medium' else 'low' end as confidence, {_cut('text', 220)} as evidence, regexp_matches(trim(text), '{compare.GENERIC}') as generic from d"
 )
 def doc_facts(spark, sf_dir):
     """A fact of each text: cut value, normalised value, level of confidence, cut evidence, and whether it says nothing."""
@@ -167,3 +173,17 @@ def page_places(spark, sf_dir):
     kinds = F.array(*[F.lit(x) for x in ("docs", "homepage", "pricing", "blog", "features", "product", "changelog")])
     rows = table(spark, sf_dir, "pages").select("page_id", F.get(kinds, (F.col("page_id") % 7).cast("int")).alias("page_type"), F.lower(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)).alias("_host"))
     return rows.select("page_id", "page_type", F.row_number().over(W.partitionBy("_host").orderBy(compare.page_order(F.col("page_type")), "page_type", "page_id")).alias("place"))
+
+
+@query(
+    "with w as (select doc_id, unnest(regexp_extract_all(text, '[^\\s.,;:!?]+')[1:40]) as value from documents), f as (select distinct doc_id, case when length(value) % 2 = 0 then 'cta' else 'price' end as field, value from w) "
+    "select doc_id, string_agg(field || ':' || value, ' ' order by field || ':' || value collate en, field || ':' || value) as facts from f group by 1"
+)
+def facts_by_locale(spark, sf_dir):
+    """The facts that each text's first forty words make, in the order of readers: accents and case count last."""
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\s.,;:!?]+"), F.lit(0)), 1, 40)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("value"))
+    rows = rows.withColumn("field", F.when(F.char_length("value") % 2 == 0, "cta").otherwise("price")).distinct()
+    rows = compare.compact_order(rows, "doc_id", F.col("field"), F.col("value"))
+    listed = F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "field", "value").alias("fact"))))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["fact"]), " ").alias("facts"))
