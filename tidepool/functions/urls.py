@@ -74,6 +74,15 @@ def origin(url: Column) -> Column:
     return F.regexp_replace(whole, "^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
 
 
+def absolute(href: Column, base: Column) -> Column:
+    """A link's address on the page whose address is given."""
+    folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(F.lower(part(base, 1)), F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(origin(base), href)).otherwise(F.concat(origin(base), F.when(folder == "", "/").otherwise(folder), href))
+    )
+
+
 def built(base: Column, path: Column) -> Column:
     """The canonical address of a path on a page's origin."""
     return canonical(F.concat(origin(base), path))

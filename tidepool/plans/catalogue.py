@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.plans import analysis, changes, comparisons, content, extraction, pagechecks, priced, reports, rollups, streams, usage, versions, web  # noqa: F401  they register their queries
+from tidepool.plans import analysis, changes, comparisons, content, discovery, extraction, pagechecks, priced, reports, rollups, streams, usage, versions, web  # noqa: F401  they register their queries
 from tidepool.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -22,11 +22,7 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 def links(found: DataFrame, base_col: str, id_col: str = "page_id") -> DataFrame:
     """Links with their absolute URL and the reason to leave them: anchor, scheme, external_domain, excluded_path."""
     base, href = F.col(base_col), F.trim(F.element_at("attrs", "href"))
-    folder = F.regexp_replace(urls.part(base, 3), "[^/]*$", "")
-    whole = (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(F.lower(urls.part(base, 1)), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(urls.origin(base), href)).otherwise(F.concat(urls.origin(base), F.when(folder == "", "/").otherwise(folder), href))
-    )
+    whole = urls.absolute(href, base)
     rows = found.filter("tag = 'a'").select(id_col, "ord", "text", base.alias("_base"), href.alias("href"), F.regexp_replace(whole, "#.*$", "").alias("target"))
     reason = (
         F.when(F.col("href").isNull() | (F.col("href") == "") | F.col("href").startswith("#"), "anchor")
