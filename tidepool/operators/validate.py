@@ -40,6 +40,9 @@ TRUST = (
     ("user_counts", r"(?i)\b\d{2,6}(?:,\d{3})?\s+(?:customers|users|teams|companies|creators|agencies)\b"), ("review_mentions", r"(?i)\b(?:reviews?|rated|stars?|g2|capterra|testimonial)\b"),
     ("security_mentions", r"(?i)\b(?:security|secure|encryption|privacy|sso|audit)\b"), ("compliance_mentions", r"(?i)\b(?:soc\s?2|gdpr|hipaa|iso\s?27001|compliance|dpa)\b"),
 )
+#: Lines that show testimonials and customers' logos; signs of how a product is sold; fixed values.
+TRUST_SIGNS = (("testimonials_detected", r"(?i)testimonial|customer story|what customers say"), ("customer_logos_detected", r"(?i)trusted by|used by|customers include"))
+BUSINESS_SIGNS = (("sales-led", "contact sales"), ("free tier", "free"))
 #: Signals of a block; what each adds to its score; roles that stay low; fixed values.
 NEAR_PRICES = r"(?i)(?:[$€£]\s?\d[\d,.]*|\d[\d,.]*\s?[$€£]|\b(?:usd|eur|gbp)\s?\d[\d,.]*|\d[\d,.]*\s?(?:usd|eur|gbp)\b)"
 NEAR_PLANS = r"(?i)\b(?:free|starter|basic|plus|pro|premium|team|business|growth|scale|enterprise|custom|plan|tier|package)\b"
@@ -161,3 +164,10 @@ def analysis_blocks(pages: DataFrame, blocks: DataFrame, preferred: tuple[str, .
     order = W.partitionBy(id_col).orderBy(F.col("source") == "fallback", ~first, "ord")
     rows = kept.unionByName(whole).withColumn("rank", F.row_number().over(order))
     return rows.filter("source = 'model' or rank = 1").select(id_col, "rank", "role", "text", "confidence", "source")
+
+
+def business_signals(text: Column, features: Column) -> Column:
+    """Categories of named features, then how the text says the product is sold, each once."""
+    low = F.lower(text)
+    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(words)), name) for name, words in BUSINESS_SIGNS]))
+    return F.array_distinct(F.concat(F.transform(features, lambda f: first_match(F.lower(f), FEATURE_CATEGORIES, "product")), found))

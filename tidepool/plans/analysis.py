@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import analysis, sinks
+from tidepool.operators import analysis, profiles, sinks
 from tidepool.plans.extraction import product_pages
 from tidepool.plans.registry import query, table
 
 
-def _pages(spark, sf_dir):
-    """Product pages of the suppliers, every other one a home page."""
+def _pages(spark, sf_dir, raised: int = 0):
+    """Product pages of the suppliers, every other one a home page; every fifth price raised by so much."""
     kind = F.when(F.col("page_id") % 2 == 0, "homepage").otherwise("pricing")
-    return product_pages(spark, sf_dir).withColumn("page_type", kind)
+    return product_pages(spark, sf_dir, raised).withColumn("page_type", kind)
 
 
 #: DuckDB's side of the pages, and of which sections run on them.
@@ -60,3 +60,32 @@ def reanalysed_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("unknown").alias("page_type"), F.lit(200).alias("status_code"), "html")
     work = lambda rows: analysis.analyse(analysis.parsed(rows)).select("page_id", "validity", "blocks")
     return analysis.rerun(pages, "page_id", sinks.new_table(spark, "reanalysis"), 1, work, parts=4)
+
+
+def _listed(values) -> str:
+    return "concat_ws(' ', " + ", ".join(f"case when {when} then '{x}' end" for when, x in values) + ")"
+
+
+@query(
+    f"with {MADE} select page_id, "
+    + _listed(zip(("not ok", "not (ok and home)", "not ok", "true", "true"), profiles.REASONS))
+    + " as reasons, "
+    + _listed([(w, x) for (a, b), found in zip(profiles.WATCH, ("ok", "ok and home", "false", "ok")) for w, x in ((found, a), (f"not ({found})", b))])
+    + f" as watch, case when ok and home then 'Plan your week with ' || name else '{profiles.UNCLEAR['what']}' end as what_it_does, '{profiles.UNCLEAR['who']}' as who_it_serves, case when not ok then '{profiles.UNCLEAR['price']}' when contact then 'mixed pricing visible' else 'fixed pricing visible' end as monetization, "
+    f"case when ok then 'Start free' else '{profiles.UNCLEAR['cta']}' end as primary_cta, case when ok and home then 'automation' else '{profiles.UNCLEAR['themes']}' end as feature_themes, '{profiles.UNCLEAR['updates'][1]}' as update_presence from p"
+)
+def business_profiles(spark, sf_dir):
+    """The profile of each analysed page in short: what it does, for whom, what wasn't found and what to watch."""
+    rows = profiles.profiles(analysis.analyse(analysis.parsed(_pages(spark, sf_dir))))
+    return rows.select("page_id", F.array_join(profiles.reasons(), " ").alias("reasons"), F.array_join(profiles.watchlist(), " ").alias("watch"), profiles.compact().alias("c")).select("page_id", "reasons", "watch", "c.*")
+
+
+@query(
+    f"with {MADE} select page_id, case when ok and page_id % 5 = 0 then 'model_changed' else 'no_meaningful_change' end as status, case when ok and page_id % 5 = 0 then 'pricing' else '' end as changed_models, "
+    "case when ok and page_id % 5 = 0 then 'monetization.plans,monetization.lowest' else '' end as changed_paths from p"
+)
+def profile_follow_ups(spark, sf_dir):
+    """What changed in each profile since every fifth page raised its price, down to the fields."""
+    side = lambda raised: profiles.hashed(profiles.profiles(analysis.analyse(analysis.parsed(_pages(spark, sf_dir, raised)))))
+    rows = profiles.follow_up(side(0), side(10), "page_id")
+    return rows.select("page_id", "status", *[F.array_join(c, ",").alias(c) for c in ("changed_models", "changed_paths")])

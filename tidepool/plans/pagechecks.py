@@ -190,12 +190,13 @@ def sitemap_urls(spark, sf_dir):
 @query(
     f"with d as (select doc_id, list_filter({LINES}, lambda x: length(x) between 4 and 180) as ls, text from documents) select doc_id, "
     + ", ".join(f"len(list_filter(ls, lambda x: regexp_matches(x, '{p}'))[1:6])::int as {n}" for n, p in validate.TRUST)
+    + "".join(f", len(list_filter({LINES}, lambda x: regexp_matches(x, '{p}'))) > 0 as {n}" for n, p in validate.TRUST_SIGNS)
     + ", case when len(list_filter(ls, lambda x: " + " or ".join(f"regexp_matches(x, '{p}')" for _, p in validate.TRUST) + ")) > 0 then 'medium' else 'low' end as confidence from d"
 )
 def doc_trust(spark, sf_dir):
     """How many lines of a text (six at the most) speak of users, reviews, security and compliance."""
     rows = table(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("ls"))
-    rows = rows.select("doc_id", *[F.size(validate.picked_lines(F.col("ls"), pattern)).alias(name) for name, pattern in validate.TRUST])
+    rows = rows.select("doc_id", *[F.size(validate.picked_lines(F.col("ls"), pattern)).alias(name) for name, pattern in validate.TRUST], *[F.exists("ls", lambda x: x.rlike(p)).alias(n) for n, p in validate.TRUST_SIGNS])
     some = F.lit(0)
     for name, _ in validate.TRUST:
         some = some + F.col(name)
@@ -205,12 +206,12 @@ def doc_trust(spark, sf_dir):
 @query(
     "with d as (select doc_id, lower(coalesce(text, '')) as t from documents), m as (select doc_id, list_filter(["
     + ", ".join(f"case when regexp_matches(t, '{p}') then '{n}' end" for n, p in validate.MARKETS)
-    + "], lambda x: x is not null) as c from d) select doc_id, c[1] as market, array_to_string(c[2:4], ', ') as adjacent from m"
+    + "], lambda x: x is not null) as c, list_filter([case when contains(t, 'contact sales') then 'sales-led' end, case when contains(t, 'free') then 'free tier' end], lambda x: x is not null) as b from d) select doc_id, c[1] as market, array_to_string(c[2:4], ', ') as adjacent, array_to_string(b, ', ') as business_signals from m"
 )
 def doc_markets(spark, sf_dir):
     """The market that a text's words name, and up to three beside it."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", validate.markets(F.coalesce("text", F.lit(""))).alias("c"))
-    return rows.select("doc_id", F.get("c", F.lit(0)).alias("market"), F.array_join(F.slice("c", 2, 3), ", ").alias("adjacent"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", validate.markets(F.coalesce("text", F.lit(""))).alias("c"), validate.business_signals(F.coalesce("text", F.lit("")), F.array().cast("array<string>")).alias("b"))
+    return rows.select("doc_id", F.get("c", F.lit(0)).alias("market"), F.array_join(F.slice("c", 2, 3), ", ").alias("adjacent"), F.array_join("b", ", ").alias("business_signals"))
 
 
 @query(f"with p as (select p_partkey, lower(p_name || ' ' || p_type) as t from part) select p_partkey, {_cases('t', validate.FEATURE_CATEGORIES)} else 'product' end as category from p")
