@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
-from tidepool.operators import compare, matching, recommend
+from tidepool.operators import compare, matching, recommend, versions
 
 
 def test_first_lines_match_brute_force(spark):
@@ -38,3 +38,15 @@ def test_only_what_passes_the_gate_is_recommended(spark):
     assert [(r.user_id, r.field, r.tier, r.rank) for r in found] == [(1, "pricing", "prioritize", 1)]
     reviewed = {r.field: r for r in recommend.reviewed(spark.createDataFrame(rows, schema).withColumns({"title": F.lit("add pricing"), "novelty": F.lit(0.7), "priority": F.lit(40)})).collect()}
     assert reviewed["cta"].tier == "reject" and not reviewed["none"].survives
+
+
+def test_neighbours_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), k) for k in range(2000)] + [(f"s{k}", 5000 + k) for k in range(40)]
+    rng.shuffle(rows)
+    found = {r.id: r.before for r in versions.with_neighbour(spark.createDataFrame(rows, "source string, id bigint"), "source", "id", "before").collect()}
+    wanted, last = {}, {}
+    for source, i in sorted(rows, key=lambda r: r[1]):
+        wanted[i], last[source] = last.get(source), i
+    assert found == wanted
+    assert versions.with_neighbour(spark.createDataFrame([], "source string, id bigint"), "source", "id", "before").collect() == []

@@ -122,6 +122,14 @@ def older_kind(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"kind": kind.otherwise("unknown"), "kind_confidence": sure.otherwise(0.45)}).drop("_every")
 
 
+#: Elements and words that make an older block, and how many of a page count; fixed values.
+OLDER_TAGS, OLDER_CLASS, OLDER_MOST = ("nav", "footer", "header", "section", "article", "form", "dialog", "table"), r"modal|pricing|price|plan|feature|hero|cta|changelog", 120
+
+
+def is_older() -> Column:
+    return F.col("tag").isin(*OLDER_TAGS) | F.coalesce(F.concat_ws(" ", "classes", "id_attribute").rlike(OLDER_CLASS), F.lit(False)) | (F.col("role_attribute") == "dialog")
+
+
 def block_id(page: Column) -> Column:
     return F.concat(page.cast("string"), F.lit(":"), F.col("block_hash"))
 

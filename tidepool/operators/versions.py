@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepool.operators.sinks import stored
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order given; give a unique last column to break ties."""
@@ -29,6 +31,22 @@ def with_previous(rows: DataFrame, keys: list[str], order: list[Column], columns
     return rows.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
 
 
+def with_neighbour(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """Rows with the `order` value before theirs in their key, null for the first; orders are unique in a key.
+
+    Rows are dealt to ranges of (key, order), so a key with a third of the rows is spread like any other; the last row of
+    each range, one for each range in all, is broadcast to those that begin the next."""
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(ranges, key, order).withColumn("_range", F.spark_partition_id()), "neighbours")
+    last = dealt.groupBy("_range").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(order).alias("o")), F.struct(key, order)).alias("_last"))
+    edges = last.select("_range", F.lag("_last").over(W.orderBy("_range")).alias("_edge"))  # one row a range
+    inside = F.lag(order).over(W.partitionBy(key, "_range").orderBy(order))
+    dealt = dealt.withColumn("_own", inside).join(F.broadcast(edges), "_range", "left")
+    edge = F.when(F.col("_edge.k").eqNullSafe(F.col(key)), F.col("_edge.o"))
+    return dealt.select(*rows.columns, F.coalesce("_own", edge).alias(name))
+
+
 def changed(columns: list[str]) -> Column:
     """Whether any of the columns differs from the version before; nulls are equal."""
     out = F.lit(False)

@@ -103,9 +103,9 @@ def doc_boilerplate_rate(spark, sf_dir):
 def doc_neighbour_similarity(spark, sf_dir):
     """Jaccard similarity of each document's words with those of the source's next document."""
     docs = table(spark, sf_dir, "documents")
-    #: Only ids go through the window, which has as many keys as there are sources; each text is cut into
-    #: words once and goes to the pair with the document before it and to its own.
-    order = docs.select("doc_id", F.lag("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("before"))
+    #: Only ids are put in order, in ranges, however large a source is; each text is cut into words once and goes to
+    #: the pair with the document before it and to its own.
+    order = versions.with_neighbour(docs.select("source", "doc_id"), "source", "doc_id", "before").select("doc_id", "before")
     words = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("w")).join(order, "doc_id")
     sides = F.explode(F.array(F.struct(F.col("doc_id").alias("pair"), F.lit(False).alias("later")), F.struct(F.col("before").alias("pair"), F.lit(True).alias("later"))))
     rows = words.select(F.col("doc_id").alias("own"), "w", sides.alias("s")).filter("s.pair is not null")

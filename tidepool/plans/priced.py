@@ -95,3 +95,19 @@ def shown_options(spark, sf_dir):
     """The options that are shown of each price page: six at the most, cheapest by the month first."""
     found = structured.plans(_pages(spark, sf_dir)).select("page_id", "plan", "price", "currency", "billing_period", F.format_string("%012d", F.regexp_extract("plan", r"(\d+)$", 1).cast("long")).alias("block_id"), F.lit("paid").alias("kind"))
     return display.price_options(found).select("page_id", "rank", "plan", "price_text")
+
+
+@query(
+    "with p as (select p_partkey, p_partkey // 8 as page_id, p_partkey % 8 as i, round(p_retailprice, 2) as price, p_size from part), m as (select page_id, 'Pro ' || p_partkey as plan, case when i = 7 then null else price end as price, case when i = 7 then null else 'USD' end as currency, "
+    "case when i = 7 then 'unknown' else 'month' end as billing_period, p_size || ' projects' as limits from p) select *, 'heading' as source from m"
+)
+def heading_plans(spark, sf_dir):
+    """Plans of pages that only headings divide: what stands under each heading up to the next of its level."""
+    amount, key = F.format_string("%.2f", "p_retailprice"), F.col("p_partkey").cast("string")
+    said = F.when(F.col("p_partkey") % 8 == 7, "Contact sales").otherwise(F.concat(F.lit("$"), amount, F.lit(" per month")))
+    part = F.concat(F.lit("<h2>Pro "), key, F.lit("</h2><p>"), said, F.lit("</p><p>"), F.col("p_size").cast("string"), F.lit(" projects</p><h3>Notes</h3><p>plain words</p>"))
+    rows = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 8).alias("page_id"), "p_partkey", part.alias("part"))
+    pages = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "part"))), lambda x: x["part"]), "").alias("html"))
+    pages = pages.withColumn("html", F.concat(F.lit("<html><body><main>"), "html", F.lit("</main><p>$5 outside</p></body></html>")))
+    found = structured.plans(pages)
+    return found.select("page_id", "plan", "price", "currency", "billing_period", F.array_join("limits", ",").alias("limits"), "source")

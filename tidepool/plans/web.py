@@ -204,3 +204,34 @@ def page_blocks(spark, sf_dir):
         "page_id", "place", "tag", blocks.block_id(F.col("page_id")).alias("block_id"), "role", "confidence", F.array_join("negative_signals", ",").alias("negative_signals"), F.col("block_score").alias("score"), "heading", "text", *near,
         F.size("link_urls").alias("links"), "list_items", F.col("inside").alias("inside_place"),
     )
+
+
+_BLOCKS = _roles_sql()
+
+
+def _kinds_sql() -> str:
+    """DuckDB's side of blocks.older_kind() for navigation, articles and footers."""
+    old = [("nav", "0.92", "tag = 'nav'"), ("footer", "0.92", "tag = 'footer'"), ("auth", "0.82", f"not {_says('body', blocks.OLDER_PRICE)} and {_says('body', blocks.OLDER_AUTH)}"), ("pricing", "0.88", _says("body", blocks.OLDER_PRICE))]
+    old += [(k, str(c), _says("body", p)) for k, c, p in blocks.OLDER] + [("hero", "0.72", "place <= 1")]
+    pick = lambda i, otherwise: "case " + " ".join(f"when {x[2]} then {x[i]}" for x in [(f"'{k}'", c, w) for k, c, w in old]) + f" else {otherwise} end"
+    return f"with b as ({_BLOCKS}), k as (select *, tag || chr(10) || text as body from b where tag <> 'ul') select page_id, place, {pick(0, chr(39) + 'unknown' + chr(39))} as kind, {pick(1, '0.45')}::double as confidence from k"
+
+
+@query(_kinds_sql())
+def page_kinds(spark, sf_dir):
+    """The older kinds of each page's blocks with the confidence in them."""
+    rows = dom.part(dom.parsed(table(spark, sf_dir, "pages"), parts=("blocks",)), "blocks")
+    rows = blocks.older_kind(rows.filter(blocks.is_older()).filter(F.col("place") < blocks.OLDER_MOST))
+    return rows.select("page_id", "place", "kind", F.col("kind_confidence").alias("confidence"))
+
+
+@query(
+    f"with b as ({_BLOCKS}), r as (select page_id, case tag when 'ul' then 'NAV' else 'BODY' end as sibling_group, role, count(*) as n, min(place) as p from b group by 1, 2, 3) "
+    "select page_id, sibling_group, sum(n)::bigint as blocks, min(p) as first_place, string_agg(role || '=' || n, ',' order by role) as roles from r group by 1, 2"
+)
+def block_groups(spark, sf_dir):
+    """Blocks of each page by the siblings they stand among, with how many have which role."""
+    rows = dom.part(dom.parsed(table(spark, sf_dir, "pages"), parts=("blocks",)), "blocks")
+    rows = blocks.sibling_groups(blocks.classified(rows, F.lit("unknown")))
+    roles = F.transform(F.array_sort(F.map_entries("roles")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return rows.select("page_id", "sibling_group", "blocks", "first_place", F.array_join(roles, ",").alias("roles"))

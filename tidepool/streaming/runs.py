@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where checkpoints and results go: spark.checkpoint.dir, or an own folder where it's unset."""
+    """Where checkpoints and results go: spark.checkpoint.dir; an own folder where it's unset and Spark runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.conf.get("spark.master", "local").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}").rstrip("/")
 
 
