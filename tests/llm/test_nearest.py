@@ -47,6 +47,39 @@ def test_odd_vectors_ties_and_repeated_rows(spark):
     assert found == sorted([(0, k + 1, j, s) for k, (j, s) in enumerate(per_zero)] * 2 + [(20, 1, 10, 6.0)])
 
 
+def test_large_and_small_components(spark):
+    for big in (1e200, 1e-200):
+        rows = [(k, [big * (k + 1), big * (k % 3), 0.0]) for k in range(45)] + [(100, [0.0, 0.0, 1e-300])]
+        schema = SCHEMA.replace("float", "double")
+        found = nearest.nearest(spark.createDataFrame([(i, v, 0, "r", 1) for i, v in rows], schema)).collect()
+        assert len(found) == 4 * 20 and {r.query_id for r in found} == {0, 20, 40, 100}
+        want = {q: sorted((-float(np.float64(v[0]) * w[0] + v[1] * w[1] + v[2] * w[2]), j) for j, w in rows if j != q)[:20] for q, v in rows if q % 20 == 0}
+        assert all([(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [(j, -s) for s, j in w] for q, w in want.items())
+
+
+def measured(v, queries, wanted=21):
+    found, hits = 0, 0
+    for q, places, scores in nearest.Index(v, float(np.sqrt((v**2).sum(1)).max())).search(v[queries], wanted):
+        found += len(places)
+        hits += len(set(places[np.argsort(-scores)[:wanted]]) & set(np.argsort(-(v @ v[queries[q]]))[:wanted]))
+    return hits / (wanted * len(queries)), found / (len(v) * len(queries))
+
+
+def test_few_vectors_of_clusters_are_verified():
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((40, 64))
+    v = centers[rng.integers(0, 40, 4000)] + 0.15 * rng.standard_normal((4000, 64))
+    recall, share = measured(v / np.sqrt((v**2).sum(1))[:, None], np.arange(0, 4000, 40))
+    assert recall >= 0.9 and share < 0.2
+    assert measured(rng.standard_normal((3000, 64)), np.arange(0, 3000, 50))[0] >= 0.9
+
+
+def test_windows_follow_from_the_chance_to_miss():
+    z = nearest.window_ratio(32, 16, 0.05)
+    rng = np.random.default_rng(1)
+    assert 0.04 < float(((np.abs(rng.standard_normal((20000, 32))) <= z).sum(1) < 16).mean()) < 0.06
+
+
 def test_empty_table(spark):
     assert nearest.nearest(table(spark, [])).collect() == []
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,14 +14,26 @@ from tidepool.llm.common import materialize
 
 #: Neighbours of a query; ids that it divides are queries.
 NEIGHBOURS, QUERY_STEP = 20, 20
-#: Projections, the share of them in which a candidate must collide, growth of the windows at each
-#: rehashing, and candidates for which a block's search goes on: a share of its vectors, a least number.
-#: Measured recall at these: 0.95 and more on directions without any clusters, the hardest case.
-PROJECTIONS, COLLISIONS, GROWTH, SHARE, LEAST = 32, 0.5, 1.1, 0.7, 200
+#: Projections, the share of them in which a candidate must collide, growth of the windows at each rehashing, and the
+#: chance that a vector as near as the last neighbour found has collided too seldom when a search ends.
+PROJECTIONS, COLLISIONS, GROWTH, MISSED = 64, 0.5, 1.1, 0.03
+#: Beyond these sizes of the largest component squares overflow or vanish in doubles: then every vector is verified.
+LARGEST, SMALLEST = 1e150, 1e-150
 #: Vectors and queries that a task holds at a time.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 4096
 
 
+def window_ratio(projections: int, need: int, missed: float) -> float:
+    """How many times a distance a window must reach to either side, so that a vector at that distance collides in at
+    least `need` projections but for a chance of `missed`: projections of a difference are normal, with its length."""
+    fails = lambda z: sum(math.comb(projections, k) * p**k * (1 - p) ** (projections - k) for k in range(need)) if (p := math.erf(z / math.sqrt(2))) < 1 else 0.0
+    low, high = 0.0, 8.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if fails(middle) > missed else (low, middle)
+    return high
+
+
 class Index:
     """Vectors of a block, each projection's values sorted.
 
@@ -29,15 +43,14 @@ class Index:
 
     def __init__(self, vectors: np.ndarray, radius: float, projections: int = PROJECTIONS, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.vectors, self.lines = vectors, rng.standard_normal((vectors.shape[1] + 1, projections))
+        self.vectors, self.radius, self.lines = vectors, radius, rng.standard_normal((vectors.shape[1] + 1, projections))
         rest = np.sqrt(np.maximum(0, radius**2 - (vectors**2).sum(1)))
         values = vectors @ self.lines[:-1] + rest[:, None] * self.lines[-1]
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(values.T, self.order, 1)
         self.inverse = np.argsort(self.order, axis=1)
-        self.width = max(float(values.std()), 1e-12)
 
-    def windows(self, middle: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, middle: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each projection and query the window's first and last place in the sorted values."""
         left = np.stack([np.searchsorted(v, x - half, "left") for v, x in zip(self.values, middle.T)], 1)
         right = np.stack([np.searchsorted(v, x + half, "right") for v, x in zip(self.values, middle.T)], 1)
@@ -46,37 +59,50 @@ class Index:
     def _first_window(self, middle: np.ndarray, enough: int, need: int) -> float:
         """The window that lets the first queries collide enough on average: where rehashing may begin."""
         far = [np.partition(np.abs(self.values[:, :, None] - m[:, None, None])[np.arange(len(self.values))[:, None], self.inverse, 0], need - 1, axis=0)[need - 1] for m in middle]
-        return float(np.mean([np.partition(f, enough - 1)[enough - 1] for f in far])) if far else self.width
+        return max(float(np.mean([np.partition(f, enough - 1)[enough - 1] for f in far])), 1e-9 * self.radius)
 
-    def search(self, queries: np.ndarray, wanted: int, collisions: float = COLLISIONS, growth: float = GROWTH, share: float = SHARE, least: int = LEAST):
+    def search(self, queries: np.ndarray, wanted: int, collisions: float = COLLISIONS, growth: float = GROWTH, missed: float = MISSED):
         """(query, places of verified vectors, their inner products), as queries finish.
 
-        Windows around the queries' projections grow until enough vectors have collided with the query
-        in enough projections, or until the windows hold everything; only what a window gains is counted.
+        Windows around a query's projections grow; vectors that have collided with it in enough projections are
+        verified. A search ends when the windows reach so far beyond the wanted-th nearest verified vector that one as
+        near would have been verified, too, but for a chance of `missed`; or when the windows hold everything.
         """
         n, m = len(self.vectors), len(self.values)
-        enough = min(n, max(least + wanted, int(share * n) + wanted))
         need = max(1, int(np.ceil(collisions * m)))
-        middle = queries @ self.lines[:-1]
-        active, half = np.arange(len(queries)), self._first_window(middle[:8], enough, need)
-        low, high = self.windows(middle, 0.0)
+        ratio = window_ratio(m, need, missed)
+        middle, lengths = queries @ self.lines[:-1], (queries**2).sum(1) + self.radius**2
+        active, half = np.arange(len(queries)), np.full(len(queries), self._first_window(middle[:8], min(n, wanted), need))
+        low, _ = self.windows(middle, np.zeros(len(queries)))
         high = low.copy()
-        counts = {}
+        counts: dict = {}
         while len(active):
-            left, right = self.windows(middle[active], half)
+            left, right = self.windows(middle[active], half[active])
             more = []
             for k, q in enumerate(active):
+                count, seen, scores = counts.pop(q, None) or (np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0))
                 parts = [self.order[i][a:b] for i, (a, b) in enumerate(zip(left[k], low[q])) if a < b] + [self.order[i][a:b] for i, (a, b) in enumerate(zip(high[q], right[k])) if a < b]
-                count = counts.get(q, 0) + np.bincount(np.concatenate(parts), minlength=n) if parts else counts.get(q, np.zeros(n, np.int64))
-                found = np.flatnonzero(count >= need)
-                if len(found) >= enough or (not left[k].any() and (right[k] == n).all()):
-                    counts.pop(q, None)
-                    yield int(q), found, np.take(self.vectors, found, 0) @ queries[q]
+                if parts:
+                    gained = np.bincount(np.concatenate(parts), minlength=n)
+                    new = np.flatnonzero((count < need) & (count + gained >= need))
+                    count += gained
+                    seen, scores = np.concatenate([seen, new]), np.concatenate([scores, np.take(self.vectors, new, 0) @ queries[q]])
+                whole = not left[k].any() and (right[k] == n).all()
+                if len(scores) >= wanted and not whole:
+                    last = np.partition(scores, len(scores) - wanted)[len(scores) - wanted]
+                    reach = ratio * math.sqrt(max(0.0, lengths[q] - 2 * last))
+                    whole = half[q] >= reach
+                    #: No step past the window that ends the search if no nearer vector turns up.
+                    half[q] = min(max(half[q] * growth, half[q] + 1e-9 * self.radius), max(reach, half[q] * 1.01))
                 else:
-                    counts[q] = count
+                    half[q] *= growth
+                if whole:
+                    yield int(q), seen, scores
+                else:
+                    counts[q] = count, seen, scores
                     more.append(k)
             low[active], high[active] = left, right
-            active, half = active[more], half * growth
+            active = active[more]
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, wanted: int) -> np.ndarray:
@@ -88,7 +114,16 @@ def _best(ids: np.ndarray, scores: np.ndarray, wanted: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:wanted]
 
 
-def _search_block(wanted: int, radius: float, seed: int):
+def _every(vectors: np.ndarray, queries: np.ndarray):
+    """The inner products of each query with all vectors; sums that overflow both ways come last."""
+    places = np.arange(len(vectors))
+    for q, query in enumerate(queries):
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (vectors * query).sum(1)
+        yield q, places, np.where(np.isnan(scores), -np.inf, scores)
+
+
+def _search_block(wanted: int, radius: float | None, seed: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out = [[], [], [], []]
         if vectors.num_rows and queries.num_rows:
@@ -96,7 +131,8 @@ def _search_block(wanted: int, radius: float, seed: int):
             ids, rows = (np.array(vectors.column(c)) for c in ("vec_id", "_row"))
             asked, asked_rows = (np.array(queries.column(c)) for c in ("vec_id", "_row"))
             v = matrix(vectors)
-            for q, found, scores in Index(v, radius, seed=seed).search(matrix(queries), wanted + 1):
+            searched = _every(v, matrix(queries)) if radius is None else Index(v, radius, seed=seed).search(matrix(queries), wanted + 1)
+            for q, found, scores in searched:
                 other = rows[found] != asked_rows[q]
                 found, scores = found[other], scores[other]
                 best = _best(ids[found], scores, wanted)
@@ -116,7 +152,9 @@ def nearest(
     product in double precision, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
-    with a null id; vectors of different lengths don't meet. Rows that repeat an id are rows of their
+    with a null id; vectors of different lengths don't meet. Where components are so large or small that squares leave
+    the range of doubles, every vector is verified; products that overflow are infinite, in both directions at once
+    the least. Rows that repeat an id are rows of their
     own, as queries (their results then share query_id) and as neighbours. Fewer other rows than wanted
     give fewer results; an empty table gives none; further columns are ignored.
 
@@ -128,17 +166,19 @@ def nearest(
     valid = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = embeddings.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).filter(F.coalesce(valid, F.lit(False)))
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector"))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    rows = rows.withColumn("_norm", norm).filter("_norm > 0").withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.filter(F.exists("vector", lambda x: x != 0))
+    norm, most = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), F.aggregate("vector", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    rows = rows.withColumns({"_norm": norm, "_most": most}).withColumn("_row", F.monotonically_increasing_id())
     rows = materialize(rows, "vectors")
-    facts = rows.agg(F.count("*").alias("n"), F.max("_norm").alias("r"), F.sum((F.col("vec_id") % step == 0).cast("long")).alias("q")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.max("_norm").alias("r"), F.max("_most").alias("m"), F.sum((F.col("vec_id") % step == 0).cast("long")).alias("q")).first()
     vs, qs = max(1, -(-facts["n"] // vector_block)), max(1, -(-(facts["q"] or 0) // query_block))
     place = lambda n: F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.select("_row", "vec_id", "vector", F.size("vector").alias("_dim"))
     vectors = rows.select("*", place(vs).alias("_v"), every(qs).alias("_q"))
     queries = rows.filter(F.col("vec_id") % step == 0).select("*", every(vs).alias("_v"), place(qs).alias("_q"))
-    search = _search_block(wanted, float(facts["r"] or 0) ** 0.5, seed)
+    radius = float(facts["r"] or 0) ** 0.5 if SMALLEST <= (facts["m"] or 1) <= LARGEST else None
+    search = _search_block(wanted, radius, seed)
     keys = ["_dim", "_v", "_q"]
     found = vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "_row bigint, query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("_row").orderBy(F.desc("score"), "vec_id")
