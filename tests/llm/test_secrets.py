@@ -5,6 +5,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -177,3 +178,16 @@ def test_values_equal_brute_force_decoding():
             text = rng.choice([lambda t: urllib.parse.quote(t, safe=""), lambda t: base64.b64encode(t.encode()).decode(), lambda t: f"see {t} and"])(text)
         want = {v for t in decoded(text) for k, _, _, v in secrets.scan(t) if k != "hex"}
         assert want <= {f[5] for f in secrets.findings(text)}
+
+
+def test_memory_of_long_encodings_stays_near_their_length():
+    plain = "".join(f"token={k:020d} ünd " for k in range(60_000))
+    for text, via in ((base64.b64encode(plain.encode()).decode(), "base64"), (base64.b64encode(plain.replace("ü", "u").encode()).decode(), "base64"), ("".join(f"%{b:02x}" for b in plain[:200_000].encode()), "url")):
+        tracemalloc.start()
+        found = [x for x in secrets.findings(text) if x[4] == via and x[0] == "assign"]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) > 5_000 and peak < 60 * len(text) + (len(found) << 10), (peak / len(text), len(found))
+        for _, start, end, _, _, value in (found[0], found[len(found) // 2], found[-1]):
+            inside = text[start:end] if via == "url" else base64.b64decode(text[start // 4 * 4 : -(-end // 4) * 4]).decode(errors="ignore")
+            assert value in (inside if via == "base64" else bytes.fromhex(inside.replace("%", "")).decode())

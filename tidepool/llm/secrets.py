@@ -6,9 +6,12 @@ import base64
 import binascii
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from hashlib import blake2b
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,17 +52,54 @@ CUT = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;:\"'\x20\r\n\x80-\xff-]|(?<![:=\x20\"'
 FINDING = "array<struct<kind:string,start:bigint,end:bigint,depth:int,via:string,value:string>>"
 
 
-class Layer:
-    """A text and where its characters come from in the layer above.
+class Pieces:
+    """Where characters come from, as runs: characters from `at` on stem from [start, end) of the parent, one by one
+    where both have the same length, otherwise each from all of it."""
 
-    Pieces are (at, start, end): characters from `at` on stem from [start, end) of the parent,
-    one by one where both have the same length, otherwise each from all of it. `base` is where the
-    text begins in the unpacked stream that it is a window of.
-    """
+    def __init__(self, pieces=()):
+        self.at, self.start, self.end = array("q"), array("q"), array("q")
+        for p in pieces:
+            self.add(*p)
+
+    def add(self, at: int, start: int, end: int) -> None:
+        self.at.append(at)
+        self.start.append(start)
+        self.end.append(end)
+
+    def one(self, i: int, size: int) -> tuple[int, int]:
+        k = bisect_right(self.at, i) - 1
+        at, start, end = self.at[k], self.start[k], self.end[k]
+        size = (self.at[k + 1] if k + 1 < len(self.at) else size) - at
+        return (start + i - at, start + i - at + 1) if size == end - start else (start, end)
+
+
+class Coded:
+    """Where characters of decoded base64 come from, by calculation: byte k stems from the digits 8k/6 to 8(k+1)/6 of
+    the run's spans. Only where characters have several bytes is the first byte of each kept."""
+
+    def __init__(self, spans: tuple, text: str, utf8: bool):
+        self.start = [a for a, _ in spans]
+        self.before = [0, *accumulate(b - a for a, b in spans)]
+        self.first = None
+        if utf8 and not text.isascii():
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.first = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)])
+
+    def one(self, i: int, size: int) -> tuple[int, int]:
+        first, end = (i, i + 1) if self.first is None else (int(self.first[i]), int(self.first[i + 1]))
+        return self._digit(first * 8 // 6), self._digit(-(-end * 8 // 6) - 1) + 1
 
-    def __init__(self, text: str, parent: Layer | None = None, pieces=(), via: str = "", base: int = 0):
+    def _digit(self, k: int) -> int:
+        span = min(bisect_right(self.before, k) - 1, len(self.start) - 1)
+        return self.start[span] + k - self.before[span]
+
+
+class Layer:
+    """A text and where its characters come from in the layer above: pieces say it for one character. `base` is
+    where the text begins in the unpacked stream that it is a window of."""
+
+    def __init__(self, text: str, parent: Layer | None = None, pieces: Pieces | Coded | None = None, via: str = "", base: int = 0):
         self.text, self.size, self.parent, self.pieces, self.base = text, len(text), parent, pieces, base
-        self.at = [p[0] for p in pieces]
         self.depth = parent.depth + 1 if parent else 0
         self.via = f"{parent.via}>{via}".lstrip(">") if parent else ""
         self.packed = "compressed" in via
@@ -71,15 +111,9 @@ class Layer:
         while layer.parent is not None:
             if layer.packed:
                 place.append((start + layer.base, end + layer.base))
-            start, end, layer = layer._one(start)[0], layer._one(end - 1)[1], layer.parent
+            start, end, layer = layer.pieces.one(start, layer.size)[0], layer.pieces.one(end - 1, layer.size)[1], layer.parent
         return start, end, tuple(place)
 
-    def _one(self, i: int) -> tuple[int, int]:
-        k = bisect_right(self.at, i) - 1
-        at, start, end = self.pieces[k]
-        size = (self.at[k + 1] if k + 1 < len(self.at) else self.size) - at
-        return (start + i - at, start + i - at + 1) if size == end - start else (start, end)
-
 
 def scan(text: str):
     """(kind, start, end, value) of each secret in one text, leftmost and non-overlapping per kind."""
@@ -98,25 +132,31 @@ def scan(text: str):
 
 def _spliced(layer: Layer, found, via: str) -> Layer | None:
     """The layer with decoded pieces put in: found yields (start, end, [(char, start, end)])."""
-    parts, pieces, done, size = [], [], 0, 0
+    parts, pieces, done, size = [], Pieces(), 0, 0
     for start, end, chars in found:
         if start > done:
             parts.append(layer.text[done:start])
-            pieces.append((size, done, start))
+            pieces.add(size, done, start)
             size += start - done
         for c, a, b in chars:
             parts.append(c)
-            pieces.append((size, a, b))
+            pieces.add(size, a, b)
             size += 1
         done = end
     if not done:
         return None
     if done < len(layer.text):
         parts.append(layer.text[done:])
-        pieces.append((size, done, len(layer.text)))
+        pieces.add(size, done, len(layer.text))
     return Layer("".join(parts), layer, pieces, via)
 
 
+def _in_turn(text: str, widths: list[int], at: int):
+    for c, w in zip(text, widths):
+        yield c, at, at + 3 * w
+        at += 3 * w
+
+
 def from_percent(layer: Layer) -> Layer | None:
     def found():
         for m in PERCENT.finditer(layer.text):
@@ -125,11 +165,7 @@ def from_percent(layer: Layer) -> Layer | None:
                 text, widths = (t := raw.decode()), [len(c.encode()) for c in t]
             except UnicodeDecodeError:
                 text, widths = raw.decode("latin-1"), [1] * len(raw)
-            chars, at = [], m.start()
-            for c, w in zip(text, widths):
-                chars.append((c, at, at + 3 * w))
-                at += 3 * w
-            yield m.start(), m.end(), chars
+            yield m.start(), m.end(), _in_turn(text, widths, m.start())
 
     return _spliced(layer, found(), "url") if "%" in layer.text else None
 
@@ -152,22 +188,24 @@ def from_unicode(layer: Layer) -> Layer | None:
 def rewritten(layer: Layer) -> Layer | None:
     """The layer with all nested escapes of ASCII characters unwrapped, whichever way they nest: characters
     go on a stack, and an escape that ends there becomes its character, which may end another one."""
-    out, pieces, changed = [], [], False
+    out, starts, ends, changed = [], array("q"), array("q"), False
     for i, c in enumerate(layer.text):
         out.append(c)
-        pieces.append((i, i + 1))
+        starts.append(i)
+        ends.append(i + 1)
         while out[-1] == ";" or out[-1] in "0123456789abcdefABCDEF":
             m = TAIL.search("".join(out[-12:]))
             code = m and (int(m["ed"]) if m["ed"] else int(next(x for k, x in m.groupdict().items() if k != "ed" and x), 16))
             if not m or code > 127:
                 break
             n = m.end() - m.start()
-            span = pieces[-n][0], pieces[-1][1]
-            del out[-n:], pieces[-n:]
+            start, end = starts[-n], ends[-1]
+            del out[-n:], starts[-n:], ends[-n:]
             out.append(chr(code))
-            pieces.append(span)
+            starts.append(start)
+            ends.append(end)
             changed = True
-    return Layer("".join(out), layer, [(k, a, b) for k, (a, b) in enumerate(pieces)], "escapes") if changed else None
+    return Layer("".join(out), layer, Pieces(zip(range(len(out)), starts, ends)), "escapes") if changed else None
 
 
 def _packed(raw: bytes) -> bool:
@@ -228,7 +266,7 @@ def _windows(layer: Layer, raw: bytes, start: int, end: int, via: str):
     for held, base, cut in _streams(raw):
         text = _readable(held)
         if text:
-            yield Layer(text, layer, [(0, start, end)], f"{via}>compressed cut" if cut else f"{via}>compressed", base)
+            yield Layer(text, layer, Pieces([(0, start, end)]), f"{via}>compressed cut" if cut else f"{via}>compressed", base)
 
 
 def _runs(text: str):
@@ -275,14 +313,9 @@ def from_base64(layer: Layer):
         else:
             text = _readable(raw)
             if text:
-                utf8, where = text.isascii() or len(text) < len(raw), [i for a, b in spans for i in range(a, b)] if len(spans) > 1 else range(start, end)
-                pieces, byte = [], 0
-                for i, c in enumerate(text):
-                    width = len(c.encode()) if utf8 else 1
-                    pieces.append((i, where[byte * 8 // 6], where[-(-(byte + width) * 8 // 6) - 1] + 1))
-                    byte += width
+                utf8 = text.isascii() or len(text) < len(raw)
                 complete = utf8
-                yield Layer(text, layer, pieces, "base64")
+                yield Layer(text, layer, Coded(spans, text, utf8), "base64")
         before = 0
         for a, b in spans if complete else ():
             for k in range(a >> 10, (b >> 10) + 1):
