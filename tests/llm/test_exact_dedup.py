@@ -33,7 +33,7 @@ def test_matches_brute_force(spark):
     assert sorted(found, key=str) == brute(rows)
 
 
-def test_slices_of_a_bounded_filter_stay_exact(spark, monkeypatch):
+def test_a_filter_too_large_to_broadcast_stays_exact(spark, monkeypatch):
     monkeypatch.setattr(common, "MAX_BITMAPS", 1)
     monkeypatch.setattr(common, "BITMAP_BITS", 128)
     rows = corpus()[:100]

@@ -17,31 +17,30 @@ def normalised(text: Column) -> Column:
 
 
 def _repeated(rows: DataFrame, bitmaps: int) -> DataFrame:
-    """The rows with _maybe: whether both bits of their hash _h have been set twice."""
+    """The rows with _maybe: whether both bits of their hash _h have been set twice.
+
+    A filter of up to MAX_BITMAPS bitmaps is broadcast; a larger one stays dealt by bitmap number, and the rows'
+    hashes go to it. Either way it is one filter over all rows."""
     size = common.BITMAP_BITS
     bitmap, first, second = filter_bits(F.col("_h"), bitmaps)
     slot = F.explode(F.array(bitmap * size + first + 1, bitmap * size + second + 1))
     twice = rows.select(slot.alias("_slot")).groupBy("_slot").agg(F.count("*").alias("_n")).filter("_n > 1").select((F.col("_slot") - 1).alias("_slot"))
     filters = twice.groupBy(F.floor(F.col("_slot") / size).alias("_bitmap")).agg(F.bitmap_construct_agg(F.pmod("_slot", F.lit(size))).alias("_bits"))
-    tested = rows.join(F.broadcast(filters), bitmap == F.col("_bitmap"), "left")
+    filters = F.broadcast(filters) if bitmaps <= common.MAX_BITMAPS else filters
+    tested = rows.join(filters, bitmap == F.col("_bitmap"), "left")
     return tested.select(*rows.columns, (bit_set(F.col("_bits"), first) & bit_set(F.col("_bits"), second)).alias("_maybe"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """exact_groups() with the row_key() of each row."""
     text, doc_id = text_of(text_col), F.col(id_col).cast("long")
-    slices = max(1, -(-docs.count() * common.BITS_PER_KEY // (common.MAX_BITMAPS * common.BITMAP_BITS)))
     rows = docs.select(doc_id.alias("doc_id"), F.char_length(text).cast("long").alias("_len"), normalised(text).alias("_norm"), row_key(doc_id, text).alias("_known"))
     rows = rows.select("doc_id", "_len", "_known", F.xxhash64("_norm").alias("_h"), F.sha2("_norm", 256).alias("text_sha256"))
-    rows = materialize(rows.withColumn("_slice", F.pmod(F.shiftrightunsigned("_h", 48), F.lit(slices))), "exact-rows", *["_slice"] * (slices > 1))
+    rows = materialize(rows, "exact-rows")
     total = rows.count()
-    tested = None
-    for k in range(slices):
-        own = rows.filter(F.col("_slice") == k) if slices > 1 else rows
-        bitmaps = min(common.MAX_BITMAPS, max(1, -(-total * common.BITS_PER_KEY // (slices * common.BITMAP_BITS))))
-        own = _repeated(own.drop("_slice"), bitmaps)
-        own = materialize(own, "exact-tested") if slices > 1 else own
-        tested = own if tested is None else tested.unionByName(own)
+    bitmaps = max(1, -(-total * common.BITS_PER_KEY // common.BITMAP_BITS))
+    tested = _repeated(rows, bitmaps)
+    tested = materialize(tested, "exact-tested") if bitmaps > common.MAX_BITMAPS else tested
     one = F.lit(1).cast("long")
     alone = tested.filter(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "_known")
     maybe = tested.filter("_maybe").drop("_maybe")
@@ -70,8 +69,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Pass 1 counts the Bloom filter's bits over hashes and keeps those set twice. In pass 2 rows that
     miss one of their bits are alone and pass through; only the others are grouped, as
-    (id, length, digest). The filter has 16 bits a row and at most 16 MB, the broadcast's bound: a table
-    of more than 8 million rows is written in slices of the hash, each with a filter of its own.
+    (id, length, digest). The filter has 16 bits a row; up to 16 MB it is broadcast, a larger one is joined by
+    the number of the bitmap, in one plan at every size.
     """
     return _grouped(docs, id_col, text_col).drop("_known")
 
