@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Confidence at which a change counts as trusted; how different a text must be; fixed values.
-TRUSTED, DIFFERENT = 0.72, 0.82
+TRUSTED = 0.72
 #: What evidence of a trusted change doesn't speak of.
 UNTRUSTED_EVIDENCE = r"(?i)(utm_|tracking|duplicate_homepage)"
 

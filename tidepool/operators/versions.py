@@ -80,11 +80,6 @@ def upserted(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return latest(rows, keys, order)
 
 
-def first_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key stays."""
-    return latest(rows, keys, order)
-
-
 def last_value_first_place(rows: DataFrame, keys: list[str], place: str, value: str) -> DataFrame:
     """One row a key: the last value at the first place."""
     return rows.groupBy(*keys).agg(F.max_by(value, place).alias(value), F.min(place).alias(place))

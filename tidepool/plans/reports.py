@@ -82,11 +82,11 @@ def report_export(spark, sf_dir):
     return sinks.exported(rows.withColumn("percent", scoring.ratio(F.col("passed"), F.col("cases"))), sinks.new_table(spark, "report"))
 
 
-@query("select page_id, trim(url) as url, length(html)::int as n, substr(html, 1, 80) as head, list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))[1:1] is not null as parsed, len(regexp_extract_all(html, '<a ')[1:60])::int as links from pages")
+@query("select page_id, trim(url) as url, length(html)::int as n, substr(html, 1, 80) as head, len(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)))::int as kinds, len(regexp_extract_all(html, '<a ')[1:60])::int as links from pages")
 def debug_payloads(spark, sf_dir):
     """A compact view of each page for debugging: nested, with lists of sixty at the most."""
-    view = F.struct(F.trim("url").alias("url"), F.char_length("html").alias("n"), F.substring("html", 1, 80).alias("head"), F.slice(F.regexp_extract_all("html", F.lit("<a "), F.lit(0)), 1, 60).alias("links"))
-    return table(spark, sf_dir, "pages").select("page_id", view.alias("v")).select("page_id", "v.url", "v.n", "v.head", F.lit(True).alias("parsed"), F.size("v.links").alias("links"))
+    view = F.struct(F.trim("url").alias("url"), F.char_length("html").alias("n"), F.substring("html", 1, 80).alias("head"), F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("kinds"), F.slice(F.regexp_extract_all("html", F.lit("<a "), F.lit(0)), 1, 60).alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", view.alias("v")).select("page_id", "v.url", "v.n", "v.head", F.size("v.kinds").alias("kinds"), F.size("v.links").alias("links"))
 
 
 QUALITY = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepool.functions import urls
-from tidepool.operators import rollups, scoring
+from tidepool.operators import display, rollups, scoring, versions
 from tidepool.plans.registry import query, table
 from tidepool.plans.web import URL_PARTS
 
@@ -32,7 +32,7 @@ def merged_duplicates(spark, sf_dir):
 def last_value_first_place(spark, sf_dir):
     """The last status of each owner at the place of the first."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("place"), F.col("o_orderstatus").alias("status"))
-    return rows.groupBy("owner").agg(F.max_by("status", "place").alias("status"), F.min("place").alias("place"))
+    return versions.last_value_first_place(rows, ["owner"], "place", "status")
 
 
 @query("""select page_id, sha256('{"page_id":' || page_id::varchar || ',"hash":"' || sha256(html) || '"}') as cache_key from pages""")
@@ -98,15 +98,16 @@ def evidence_label(spark, sf_dir):
 
 @query(
     "with x as (select l_orderkey, list(distinct l_partkey % 10) as x from lineitem where l_returnflag <> 'R' group by 1), y as (select l_orderkey, list(distinct l_suppkey % 10) as y from lineitem where l_quantity > 40 group by 1) "
-    "select y.l_orderkey as page_id, len(list_filter(y, lambda v: not list_contains(coalesce(x, []), v)))::int as outside, len(list_filter(y, lambda v: not list_contains(coalesce(x, []), v))) = 0 as holds from y left join x using (l_orderkey)"
+    "select y.l_orderkey as page_id, len(list_filter(y, lambda v: not list_contains(coalesce(x, []), v)))::int as outside, len(list_filter(y, lambda v: not list_contains(coalesce(x, []), v))) = 0 as holds, case when len(list_filter(y, lambda v: not list_contains(coalesce(x, []), v))) > 0 then 'blocked' else 'shown' end as status from y left join x using (l_orderkey)"
 )
 def displayed_within_accepted(spark, sf_dir):
     """How many displayed values of each page weren't accepted, and whether there are none: two sets of their own."""
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page_id")
     accepted = rows.filter("l_returnflag <> 'R'").groupBy("page_id").agg(F.collect_set(F.col("l_partkey") % 10).alias("x"))
     shown = rows.filter("l_quantity > 40").groupBy("page_id").agg(F.collect_set(F.col("l_suppkey") % 10).alias("y"))
-    outside = F.size(F.array_except("y", F.coalesce("x", F.array().cast("array<bigint>"))))
-    return shown.join(accepted, "page_id", "left").select("page_id", outside.alias("outside"), (outside == 0).alias("holds"))
+    taken = F.coalesce("x", F.array().cast("array<bigint>"))
+    outside = F.size(F.array_except("y", taken))
+    return shown.join(accepted, "page_id", "left").select("page_id", outside.alias("outside"), (outside == 0).alias("holds"), display.display_status(taken, F.col("y")).alias("status"))
 
 
 @query(

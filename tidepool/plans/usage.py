@@ -158,14 +158,22 @@ def upsert_latest(spark, sf_dir):
 
 @query(
     "with q as (select strftime(ts, '%Y-%m-%d') as day, count(*) filter (where event_type <> 'error') as ok, count(*) filter (where event_type = 'error') as failed, count(*) filter (where event_type = 'purchase') as changed from events group by 1), "
-    "s as (select *, greatest(0.0, least(100.0, ok * 1.0 / greatest(ok + failed, 1) * 35 + 25 + case when changed > 0 then 20 else 12 end + 20 - failed * 0.05 * 8 - least(10.0, changed * 0.01 * 1.5))) as score from q) "
+    "s as (select *, greatest(0.0, least(100.0, ok * 0.05::double / greatest((ok + failed) * 0.05::double, 1) * 35 + 25 + case when changed > 0 then 20 else 12 end + 20 - failed * 0.05 * 8 - least(10.0, changed * 0.01 * 1.5))) as score from q) "
     "select day, round(score, 3) as score, case when score >= 80 then 'high' when score >= 60 then 'medium' else 'limited' end as label from s"
 )
 def scan_quality(spark, sf_dir):
     """Quality of each day as one scan, with its label."""
     kind = F.col("event_type")
     rows = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(kind != "error").alias("ok"), F.count_if(kind == "error").alias("failed"), F.count_if(kind == "purchase").alias("changed"))
-    total = F.greatest(F.col("ok") + F.col("failed"), F.lit(1))
-    score = F.col("ok") / total * 35 + 25 + F.when(F.col("changed") > 0, 20).otherwise(12) + 20 - F.col("failed") * 0.05 * 8 - F.least(F.lit(10.0), F.col("changed") * 0.01 * 1.5)
-    rows = rows.withColumn("_s", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+    #: Twenty events count as one page, a hundred changes as one warning.
+    rows = rows.withColumn("_s", scoring.monitoring_quality(F.col("ok") * 0.05, F.col("failed") * 0.05, F.col("changed") * 0.01, F.col("changed"), F.lit(20)))
     return rows.select("day", F.round("_s", 3).alias("score"), scoring.quality_label(F.col("_s")).alias("label"))
+
+
+@query(
+    "select source, count(*) as texts, sum(ceil(length(coalesce(text, '')) / 4.0))::bigint as tokens, round(count(*) * 0.0005::double, 6) as page_cost, round(sum(ceil(length(coalesce(text, '')) / 4.0))::double / 1000 * 0.0002, 6) as token_cost from documents group by 1"
+)
+def analysis_costs(spark, sf_dir):
+    """What analysing each source's texts costs: pages, tokens, and the price of both."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("texts"), F.sum(usage.text_tokens(F.col("text"))).alias("tokens"))
+    return rows.select("source", "texts", "tokens", usage.page_cost(F.col("texts")).alias("page_cost"), usage.token_cost(F.col("tokens")).alias("token_cost"))
