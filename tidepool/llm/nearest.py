@@ -16,7 +16,7 @@ from tidepool.llm.common import materialize
 NEIGHBOURS, QUERY_STEP = 20, 20
 #: Projections, the share of them in which a candidate must collide, growth of the windows at each rehashing, and the
 #: chance that a vector as near as the last neighbour found has collided too seldom when a search ends.
-PROJECTIONS, COLLISIONS, GROWTH, MISSED = 64, 0.5, 1.1, 0.03
+PROJECTIONS, COLLISIONS, GROWTH, MISSED = 32, 0.5, 1.25, 0.03
 #: Beyond these sizes of the largest component squares overflow or vanish in doubles: then every vector is verified.
 LARGEST, SMALLEST = 1e150, 1e-150
 #: Vectors and queries that a task holds at a time.
@@ -86,14 +86,16 @@ class Index:
                     gained = np.bincount(np.concatenate(parts), minlength=n)
                     new = np.flatnonzero((count < need) & (count + gained >= need))
                     count += gained
-                    seen, scores = np.concatenate([seen, new]), np.concatenate([scores, np.take(self.vectors, new, 0) @ queries[q]])
+                    #: Many at once are cheaper to verify in place than to gather first.
+                    gain = (self.vectors @ queries[q])[new] if 8 * len(new) > n else np.take(self.vectors, new, 0) @ queries[q]
+                    seen, scores = np.concatenate([seen, new]), np.concatenate([scores, gain])
                 whole = not left[k].any() and (right[k] == n).all()
                 if len(scores) >= wanted and not whole:
                     last = np.partition(scores, len(scores) - wanted)[len(scores) - wanted]
                     reach = ratio * math.sqrt(max(0.0, lengths[q] - 2 * last))
                     whole = half[q] >= reach
-                    #: No step past the window that ends the search if no nearer vector turns up.
-                    half[q] = min(max(half[q] * growth, half[q] + 1e-9 * self.radius), max(reach, half[q] * 1.01))
+                    #: The window that ends the search if no nearer vector turns up is the last one at the most.
+                    half[q] = reach
                 else:
                     half[q] *= growth
                 if whole:
