@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as K
 
 from tidepool.functions import money
-from tidepool.operators import display, extract, structured
+from tidepool.operators import compare, display, extract, scoring, structured
 from tidepool.operators.sinks import known, stored
 from tidepool.sources import dom, html
 
@@ -105,6 +105,77 @@ def views(analyses: DataFrame) -> DataFrame:
     )
 
 
+#: What changed between two analyses, in sentences with names, each with its confidence; fixed values.
+CHANGES = {
+    "pricing_plan_added": ("New pricing plan added: {name}.", 0.84), "pricing_model_changed": ("{name} plan changed from {old} to {new}.", 0.9), "pricing_plan_removed": ("Pricing plan removed: {name}.", 0.82),
+    "cta_changed": ('Primary CTA changed from "{old}" to "{new}".', None), "positioning_changed": ('Homepage headline changed from "{old}" to "{new}".', 0.86), "target_customer_changed": ('Target customer changed from "{old}" to "{new}".', 0.82),
+    "feature_added": ('New feature signal added: "{name}".', 0.76), "feature_removed": ('Feature signal removed: "{name}".', 0.76),
+}
+SUPPRESSED = {
+    "low_confidence_model": ("alert_suppressed", "No user-facing alert because one business model is low confidence."),
+    "low_confidence_pricing_model": ("pricing_alert_suppressed", "No pricing alert because pricing model confidence was low."),
+}
+#: Confidence of a call to action that is sure, and of one that isn't; confidence from which a change is written, changes of
+#: a page at most; fixed values.
+SURE, UNSURE, WRITTEN, MOST_CHANGES, HIGH = 0.9, 0.7, 0.82, 8, 0.8
+
+
+def _amount(plan: Column) -> Column:
+    number = F.regexp_replace(F.format_string("%.2f", plan["price"]), r"\.?0+$", "")
+    return F.concat(F.coalesce(plan["currency"], F.lit("")), F.lit(" "), F.coalesce(number, F.lit("custom")))
+
+
+def _change(kind: str, confidence: Column | None = None, told: str | None = None, **named: Column) -> Column:
+    sentence, sure = CHANGES[kind]
+    return F.struct(
+        F.lit(told or kind).alias("type"), compare.filled(sentence, **named).alias("summary"), (confidence if confidence is not None else F.lit(sure)).cast("double").alias("confidence"),
+        F.lit(False).alias("suppressed"), F.lit(None).cast("string").alias("reason"),
+    )
+
+
+def _no_alert(reason: str) -> Column:
+    kind, sentence = SUPPRESSED[reason]
+    return F.struct(F.lit(kind).alias("type"), F.lit(sentence).alias("summary"), F.lit(0.0).alias("confidence"), F.lit(True).alias("suppressed"), F.lit(reason).alias("reason"))
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(page_id, place, type, summary, confidence, suppressed, reason, severity, written) of two analyses of each page: plans
+    by name, then the primary call to action, the claim, the first feature that came and the first that went.
+
+    Nothing but a suppressed alert comes of a pair in which a page isn't valid, and of prices if one side has none.
+    Written are the first eight changes that are sure enough and aren't suppressed."""
+    side = lambda df, p: df.select("page_id", F.struct("validity", "pricing", *SECTIONS).alias(p))
+    rows = side(old, "o").join(side(new, "n"), "page_id")
+    none = F.array().cast("array<struct<type:string,summary:string,confidence:double,suppressed:boolean,reason:string>>")
+    by = lambda plans, name: F.get(F.filter(plans, lambda x: F.lower(x["plan"]) == F.lower(name)), F.lit(0))
+    key = lambda p: F.concat_ws(":", p["plan"], F.coalesce(p["currency"], F.lit("")), F.coalesce(p["price"].cast("string"), F.lit("custom")), F.coalesce(p["billing_period"], F.lit("")))
+
+    def of_new(p: Column) -> Column:
+        was = by(F.col("o.plans"), p["plan"])
+        return F.when(was.isNull(), _change("pricing_plan_added", name=p["plan"])).when(key(was) != key(p), _change("pricing_model_changed", name=p["plan"], old=_amount(was), new=_amount(p)))
+
+    plans = F.array_compact(F.concat(F.transform("n.plans", of_new), F.transform("o.plans", lambda p: F.when(by(F.col("n.plans"), p["plan"]).isNull(), _change("pricing_plan_removed", name=p["plan"])))))
+    first = lambda p, section, field: F.get(F.col(f"{p}.{section}"), F.lit(0))[field]
+    differ = lambda section, field: first("o", section, field) != first("n", section, field)
+    sure = lambda p: F.when(first(p, "actions", "score") >= HIGH, SURE).otherwise(UNSURE)
+    names = lambda p: F.transform(f"{p}.features", lambda f: F.lower(f["name"]))
+    lacking = lambda a, b: F.get(F.filter(f"{a}.features", lambda f: ~F.array_contains(names(b), F.lower(f["name"]))), F.lit(0))
+    both_named = (F.size("o.features") > 0) & (F.size("n.features") > 0)
+    told = lambda kind, section, field, confidence=None: F.when(differ(section, field), _change(kind, confidence, old=first("o", section, field), new=first("n", section, field)))
+    rest = F.array_compact(F.array(
+        told("cta_changed", "actions", "label", F.least(sure("o"), sure("n"))), told("positioning_changed", "claims", "headline"), told("target_customer_changed", "claims", "support"),
+        F.when(both_named & lacking("n", "o").isNotNull(), _change("feature_added", told="feature_model_changed", name=lacking("n", "o")["name"])),
+        F.when(both_named & lacking("o", "n").isNotNull(), _change("feature_removed", told="feature_model_changed", name=lacking("o", "n")["name"])),
+    ))
+    priced = (F.col("o.pricing.status") != "unknown") & (F.col("n.pricing.status") != "unknown")
+    valid = (F.col("o.validity") == "ok") & (F.col("n.validity") == "ok")
+    every = F.when(~valid, F.array(_no_alert("low_confidence_model"))).otherwise(F.concat(F.when(priced, plans).otherwise(F.array(_no_alert("low_confidence_pricing_model"))), rest, none))
+    rows = rows.select("page_id", F.posexplode(every).alias("_i", "_c")).select("page_id", (F.col("_i") + 1).alias("place"), "_c.*")
+    kept = ~F.col("suppressed") & (F.col("confidence") >= WRITTEN)
+    order = F.sum(kept.cast("int")).over(W.partitionBy("page_id").orderBy("place"))
+    return rows.withColumns({"severity": scoring.severity(F.col("confidence")), "written": kept & (order <= MOST_CHANGES)})
+
+
 def rerun(pages: DataFrame, key: str, path: str, run: int, work: Callable[[DataFrame], DataFrame], parts: int = 8) -> DataFrame:
     """Analyse stored pages again, part by part, and give the rows of the last run that ended.
 

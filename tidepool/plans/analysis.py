@@ -89,3 +89,16 @@ def profile_follow_ups(spark, sf_dir):
     side = lambda raised: profiles.hashed(profiles.profiles(analysis.analyse(analysis.parsed(_pages(spark, sf_dir, raised)))))
     rows = profiles.follow_up(side(0), side(10), "page_id")
     return rows.select("page_id", "status", *[F.array_join(c, ",").alias(c) for c in ("changed_models", "changed_paths")])
+
+
+_NO_ALERT = analysis.SUPPRESSED["low_confidence_model"]
+
+
+@query(
+    f"with {MADE} select page_id, 1 as place, 'pricing_model_changed' as type, 'Pro plan changed from USD ' || price::int || ' to USD ' || (price::int + 10) || '.' as summary, 0.9::double as confidence, false as suppressed, 'high' as severity, true as written from p where ok and page_id % 5 = 0 "
+    f"union all select page_id, 1, '{_NO_ALERT[0]}', '{_NO_ALERT[1]}', 0.0::double, true, 'low', false from p where not ok"
+)
+def business_changes(spark, sf_dir):
+    """What changed between two analyses of each page, in sentences, and which changes are written."""
+    side = lambda raised: analysis.analyse(analysis.parsed(_pages(spark, sf_dir, raised)))
+    return analysis.changes(side(0), side(10)).select("page_id", "place", "type", "summary", "confidence", "suppressed", "severity", "written")

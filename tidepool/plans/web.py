@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from tidepool.functions import text as T
 from tidepool.functions import urls
-from tidepool.operators import blocks, versions
+from tidepool.operators import blocks, classify, versions
 from tidepool.plans.registry import query, table
 from tidepool.sources import dom, html
 
@@ -235,3 +235,30 @@ def block_groups(spark, sf_dir):
     rows = blocks.sibling_groups(blocks.classified(rows, F.lit("unknown")))
     roles = F.transform(F.array_sort(F.map_entries("roles")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return rows.select("page_id", "sibling_group", "blocks", "first_place", F.array_join(roles, ",").alias("roles"))
+
+
+ASKED = ("homepage", "pricing", "docs", "unknown", "features")
+
+
+def _classes_sql() -> str:
+    """DuckDB's side of classify.classified() for pages that were fetched, without home pages to compare with."""
+    path = "case " + " ".join(f"when regexp_matches(lower(path), '{p}') then '{n}'" for n, p in classify.PATHS) + " when path in ('', '/') then 'homepage' else 'unknown' end"
+    said = lambda roles, words: f"list_has_any(roles, {list(roles)}) or (" + " and ".join(f"regexp_matches(lower(body), '{w}')" for w in words) + ")"
+    content = "case " + " ".join(f"when {said(roles, words)} then '{n}'" for n, roles, words in classify.CONTENT) + " else 'unknown' end"
+    return (
+        f"with {URL_PARTS}, b as ({_BLOCKS}), g as (select page_id, list(distinct role) as roles, string_agg(text, chr(10) order by place) as text from b group by 1), "
+        f"t as (select page_id, path, {list(ASKED)}[(page_id % {len(ASKED)} + 1)::int] as asked, {_plain(f'regexp_extract(html, {chr(39)}(?is)<title[^>]*>(.*?)</title>{chr(39)}, 1)')} || chr(10) || g.text as body, g.roles as roles from canon join g using (page_id)), "
+        f"c as (select *, {path} as by_path, {content} as by_content from t), k as (select *, case when asked = 'homepage' and by_path = 'homepage' then 'homepage' when by_content <> 'unknown' then by_content else by_path end as page_type, "
+        f"case when by_path = by_content then {classify.AGREED} when by_content <> 'unknown' then {classify.BY_CONTENT} else {classify.BY_PATH} end as sure from c), "
+        f"a as (select *, asked = page_type or (asked = 'homepage' and page_type in {classify.HOME_MAY_BE}) or asked = 'unknown' as allowed from k) "
+        f"select page_id, page_type, case when asked = 'homepage' and by_path = 'homepage' then greatest(sure, {classify.HOME}) else sure end::double as type_confidence, 'url_path:' || by_path || ',content:' || by_content || case when allowed then '' else ',page_type_mismatch_or_unavailable' end as reasons, allowed from a"
+    )
+
+
+@query(_classes_sql())
+def page_classes(spark, sf_dir):
+    """The type of each page by content and path, why, and whether it may stand for the one that was asked for."""
+    kinds = F.array(*[F.lit(x) for x in ASKED])
+    pages = table(spark, sf_dir, "pages").withColumns({"requested": F.get(kinds, (F.col("page_id") % len(ASKED)).cast("int")), "status_code": F.lit(200), "url": urls.canonical(F.col("url"))})
+    rows = classify.classified(dom.parsed(pages, carry=["url", "status_code", "requested"], parts=("elements", "blocks"), tags=("title", "meta")))
+    return rows.select("page_id", "page_type", "type_confidence", F.array_join("reasons", ",").alias("reasons"), "allowed")
