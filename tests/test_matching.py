@@ -50,3 +50,11 @@ def test_neighbours_over_ranges(spark):
         wanted[i], last[source] = last.get(source), i
     assert found == wanted
     assert versions.with_neighbour(spark.createDataFrame([], "source string, id bigint"), "source", "id", "before").collect() == []
+
+
+def test_groups_meet_their_rows_however_large(spark):
+    rows = spark.createDataFrame([("hot", k) for k in range(900)] + [(f"k{k}", k) for k in range(1500)] + [(None, 1)], "site string, id int")
+    groups = spark.createDataFrame([("hot", 900, "a")] + [(f"k{k}", 1, "b") for k in range(1400)], "site string, n int, v string")
+    found = versions.attached(rows, groups, "site", "n").select("site", "id", "v").collect()
+    assert sorted(map(tuple, found)) == sorted([("hot", k, "a") for k in range(900)] + [(f"k{k}", k, "b") for k in range(1400)])
+    assert versions.attached(rows.limit(0), groups.limit(0), "site", "n").collect() == []

@@ -47,6 +47,22 @@ def with_neighbour(rows: DataFrame, key: str, order: str, name: str) -> DataFram
     return dealt.select(*rows.columns, F.coalesce("_own", edge).alias(name))
 
 
+#: Groups that hold more than this part of the rows are hot; there are no more of them than its inverse.
+HOT = 0.001
+
+
+def attached(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows with the columns of their group, as an inner join; groups: one row a key with its number of rows.
+
+    Groups that hold more than a thousandth of all rows are at most a thousand, so those are broadcast and their rows
+    stay where they are; the others join by a shuffle in which no key is large. Null keys meet nothing."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) > total * HOT)
+    cold = groups.filter(F.col(size) <= total * HOT)
+    some = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(some.join(cold, key))
+
+
 def changed(columns: list[str]) -> Column:
     """Whether any of the columns differs from the version before; nulls are equal."""
     out = F.lit(False)

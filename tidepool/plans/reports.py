@@ -262,8 +262,8 @@ def page_bundles(spark, sf_dir):
     """Candidates probed in order until one is verified, with those found blocked and missing on the way."""
     kind, mine = F.col("page_id") % 4, F.lower(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)).alias("site")
     rows = table(spark, sf_dir, "pages").select(mine, "page_id", kind.alias("k"), F.char_length("html").alias("n"))
-    first = rows.filter("k = 2 and n > 2000").groupBy("site").agg(F.min("page_id").alias("verified"))
-    rows = rows.join(first, "site", "left").withColumn("probed", F.col("verified").isNull() | (F.col("page_id") < F.col("verified")))
+    first = rows.groupBy("site").agg(F.min(F.when((F.col("k") == 2) & (F.col("n") > 2000), F.col("page_id"))).alias("verified"), F.count("*").alias("_pages"))
+    rows = versions.attached(rows, sinks.stored(first, "first-pages"), "site", "_pages").withColumn("probed", F.col("verified").isNull() | (F.col("page_id") < F.col("verified")))
     return rows.groupBy("site").agg(F.first("verified").alias("verified"), F.count_if(F.col("probed") & (F.col("k") == 0)).cast("int").alias("blocked"), F.count_if(F.col("probed") & (F.col("k") == 1)).cast("int").alias("missing"))
 
 

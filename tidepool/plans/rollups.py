@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepool.functions import urls
-from tidepool.operators import display, rollups, scoring, versions
+from tidepool.operators import display, rollups, scoring, sinks, versions
 from tidepool.plans.registry import query, table
 from tidepool.plans.web import URL_PARTS
 
@@ -81,8 +81,8 @@ def subscription_plans(spark, sf_dir):
 def homepage_siblings(spark, sf_dir):
     """Each page with its site's homepage (the shortest page) and whether both say the same."""
     rows = table(spark, sf_dir, "pages").select("page_id", urls.site(F.col("url")).alias("site"), F.sha2(F.regexp_replace("html", "<[^>]*>", ""), 256).alias("h"), F.char_length("html").alias("n"))
-    home = rows.groupBy("site").agg(F.min_by(F.struct("page_id", "h"), F.struct("n", "page_id")).alias("_h")).select("site", F.col("_h.page_id").alias("home_id"), F.col("_h.h").alias("_hh"))
-    return rows.join(home, "site").filter("page_id <> home_id").select("page_id", "home_id", (F.col("h") == F.col("_hh")).alias("same_text"))
+    home = rows.groupBy("site").agg(F.min_by(F.struct("page_id", "h"), F.struct("n", "page_id")).alias("_h"), F.count("*").alias("_pages")).select("site", F.col("_h.page_id").alias("home_id"), F.col("_h.h").alias("_hh"), "_pages")
+    return versions.attached(rows, sinks.stored(home, "homes"), "site", "_pages").filter("page_id <> home_id").select("page_id", "home_id", (F.col("h") == F.col("_hh")).alias("same_text"))
 
 
 @query(
