@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import money, urls
 from tidepool.operators import display, extract
 from tidepool.plans.registry import query, table
+from tidepool.plans.web import UNESCAPED
 from tidepool.sources import html
 
 
@@ -109,11 +110,21 @@ def page_validity(spark, sf_dir):
     return extract.page_validity(product_pages(spark, sf_dir), _blocks(spark, sf_dir))
 
 
-@query()
+#: DuckDB's side of links' texts in the crawled pages, which stand in the navigation only.
+_LABEL = "trim(regexp_replace(" + UNESCAPED.format("x") + ", '\\s+', ' ', 'g'))"
+_INTENT = "case " + " ".join(f"when regexp_matches(label, '{p}') then '{n}'" for n, p in extract.INTENTS) + " else 'unknown' end"
+
+
+@query(
+    f"with l as (select page_id, unnest(list_filter(list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: {_LABEL}), lambda x: x <> '')) as label, generate_subscripts(list_filter(list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: {_LABEL}), lambda x: x <> ''), 1) - 1 as i from pages), "
+    f"t as (select *, {_INTENT} as intent from l), r as (select *, case when regexp_matches(label, '{extract.UTILITY}') then 'utility_or_legal' when intent = 'unknown' then 'unknown_intent' end as rejected from t) "
+    "select page_id, label, intent, 8 + i / 10.0::double as priority, case when rejected is null then 0.72 else 0.25 end::double as score, rejected, row_number() over (partition by page_id order by rejected is not null, i)::int as rank from r"
+)
 def page_calls_to_action(spark, sf_dir):
     """Buttons and links of the crawled pages by intent and rank."""
     pages = table(spark, sf_dir, "pages").withColumn("page_type", urls.path_type(F.col("url")))
-    return extract.calls_to_action(html.evidence_blocks(pages, carry=["page_type"]))
+    rows = extract.calls_to_action(html.evidence_blocks(pages, carry=["page_type"]))
+    return rows.select("page_id", "label", "intent", F.col("priority").cast("double").alias("priority"), "score", "rejected", "rank")
 
 
 @query(f"with {SHOWN} select page_id, 1 as rank, 'Pro' as plan, '$' || price::int || ' / month' as price_text from p union all select page_id, 2, 'Enterprise', 'Contact sales' from p where contact")
