@@ -74,3 +74,15 @@ def test_canonical_drops_credentials_and_default_ports(spark):
     wanted = {"https://user:pw@Shop.example.com:443/a/": "https://shop.example.com/a", "http://x.example:80": "http://x.example", "https://x.example:8443/b": "https://x.example:8443/b", "http://x.example:443/c": "http://x.example:443/c"}
     rows = spark.createDataFrame([(k,) for k in wanted], "u string").select("u", urls.canonical(F.col("u")).alias("c")).collect()
     assert {r.u: r.c for r in rows} == wanted
+
+
+def test_contexts_of_amounts(spark):
+    cases = [
+        ("Pro $29 per month", "div plan-card", "plan_card", True), ("Freelancer budget $40/hr", "", "job_budget", False), ("Testimonial: saved $20", "div pricing-card", "plan_card", True), ("Billed monthly $5", "", "billing_toggle", True),
+        ("Compare plans: $9", "", "pricing_table", True), ("$9", "td cell", "pricing_table", True), ("$9 usage", "", "product_pricing", True), ("$9", "", "unknown", False), ("Subscribe for $9", "", "upgrade_modal", True), ("$1", "x-checkout", "checkout_section", True),
+        ("éjob $1", "", "job_budget", False), ("a joblike thing", "", "unknown", False),
+    ]
+    found = spark.createDataFrame([(k, t, e) for k, (t, e, _, _) in enumerate(cases)], "k int, t string, e string").select("k", money.classified_context(F.col("t"), F.col("e"), F.lit("unknown"), F.lit("unknown")).alias("c")).collect()
+    assert {r.k: (r.c.classification, r.c.accepted, r.c.reason) for r in found} == {k: (kind, ok, None if ok else f"non_product_pricing_{kind}") for k, (_, _, kind, ok) in enumerate(cases)}
+    labels = spark.createDataFrame([("Pro",), ("plan 3",), ("Growth",), ("",), (None,), ("What?!.. no",), ("x" * 57,), ("Team plus",)], "l string")
+    assert [r.l for r in labels.filter(money.reliable_label(F.col("l"))).collect()] == ["Pro", "Team plus"]

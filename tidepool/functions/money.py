@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidepool.functions.text import ascii_words
+
 #: Currency signs and codes; fixed values.
 CURRENCIES = (("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("usd", "USD"), ("eur", "EUR"), ("gbp", "GBP"))
 AMOUNT = r"\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?"
@@ -61,3 +63,57 @@ def price_context(text: Column) -> Column:
 def monthly(value: Column, per: Column) -> Column:
     """A price by the month."""
     return F.when(per == "year", value / 12).otherwise(value)
+
+
+#: What a text around an amount can be besides a price, in the order in which it counts; fixed values.
+OTHER_CONTEXTS = (
+    ("generated_sample", r"\b(?:generated output|generated proposal|generic ai proposal|sample output)\b"),
+    ("proposal_sample", r"\b(?:proposal sample|sample proposal|same job post|same brief|client brief|proposal example)\b"),
+    ("project_budget", r"\b(?:project budget|client project|per project|same brief|skincare brand|seo-first)\b"),
+    ("article_budget", r"\b(?:article budget|per article|/\s?article|blog post|copywriting|content budget)\b"),
+    ("job_budget", r"\b(?:job|salary|budget|freelance|freelancer|contractor|hiring|developer role|manager role|upwork|/\s?hr|\bhr\b|per hour|hourly)\b"),
+    ("testimonial", r"\b(?:testimonial|review|quote|customer story|customer quote|what customers say|rated|stars?)\b"),
+    ("case_study", r"\b(?:case study|case-study|success story)\b"),
+    ("example_content", r"\b(?:example|sample|template|demo content|mock)\b"),
+    ("blog_content", r"\b(?:blog|article|news|guide|tutorial)\b"),
+    ("FAQ", r"\b(?:faq|frequently asked|question|answer)\b"),
+)
+#: What makes a text one about prices, in the element it stands in and in its words; fixed values.
+PRICED_ELEMENT = r"\b(?:pricing|price|plans?|tier|billing|checkout|upgrade|subscription|modal|dialog)\b"
+PRICED_WORDS = r"\b(?:pricing|price|prices|plans?|packages?|tiers?|subscription|billing|billed|paid|monthly|annual|annually|yearly|upgrade|checkout|seat|per user|usage|pageviews?|requests?|events?|visits?|choose plan|buy now|get plus|get pro|get business|start free)\b"
+PLAN_LABEL = r"\b(?:free|starter|basic|plus|pro|premium|team|business|enterprise|custom|agency|creator|personal|core)\b"
+#: Contexts of prices by the element and by words, the first that fits counts; fixed values.
+PRICE_CONTEXTS = (
+    ("pricing_table", r"table|row|cell", r"\b(?:pricing table|compare plans|plan comparison|included in)\b"),
+    ("upgrade_modal", r"modal|dialog", r"\b(?:upgrade modal|pricing modal|checkout modal|dialog|subscribe)\b"),
+    ("checkout_section", r"checkout|subscribe", r"\b(?:checkout|subscribe|buy now|choose plan|start plan|upgrade)\b"),
+    ("billing_toggle", r"toggle|billing", r"\b(?:monthly|yearly|annual|annually|billed monthly|billed annually)\b"),
+)
+CARD_ELEMENT = r"card|plan|tier|price|pricing"
+#: Labels that name no plan, the words that only begin one, and the longest name; fixed values.
+NO_LABEL, NO_START, LONGEST_LABEL = r"(?i)^(?:plan\s+\d+|plan|public pricing|public price|visible price|usage tier|pricing option)$", r"(?i)^(?:start|growth)$", 56
+
+
+def classified_context(text: Column, element: Column, section: Column, page_type: Column) -> Column:
+    """(classification, accepted, reason) of what stands around an amount: element is what its element is called. Texts
+    that speak of something else than prices are rejected unless their element speaks of prices."""
+    element = F.coalesce(element, F.lit(""))
+    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.concat(element, F.lit(" "), F.coalesce(text, F.lit(""))), "[\u2013\u2014]", "-"), r"\s+", " ")))
+    says = lambda x, pattern: x.rlike(ascii_words(pattern))
+    by_element = says(F.lower(element), PRICED_ELEMENT)
+    other, priced = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for name, pattern in OTHER_CONTEXTS:
+        other = other.when(says(plain, pattern), name)
+    for name, named, words in PRICE_CONTEXTS:
+        priced = priced.when(element.rlike(named) | says(plain, words), name)
+    verified = (section == "pricing") | (page_type == "pricing") | (says(plain, PRICED_WORDS) & says(plain, PLAN_LABEL))
+    priced = priced.when(element.rlike(CARD_ELEMENT) | verified, "plan_card").when(says(plain, PRICED_WORDS), "product_pricing")
+    kind = F.when(other.isNotNull() & ~by_element, other).otherwise(F.coalesce(priced, other, F.lit("unknown")))
+    accepted = F.coalesce(priced, F.lit("")).isin(*[n for n, _, _ in PRICE_CONTEXTS], "plan_card", "product_pricing") & ~(other.isNotNull() & ~by_element)
+    return F.struct(kind.alias("classification"), accepted.alias("accepted"), F.when(~accepted, F.concat(F.lit("non_product_pricing_"), kind)).alias("reason"))
+
+
+def reliable_label(label: Column) -> Column:
+    """Whether a label names a plan: not a placeholder, not a single starting word, not too long, no run of full stops."""
+    plain = F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s+", " "))
+    return (plain != "") & ~plain.rlike(NO_LABEL) & ~plain.rlike(NO_START) & (F.char_length(plain) <= LONGEST_LABEL) & ~plain.rlike("[.!?]{2,}")

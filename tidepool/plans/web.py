@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepool.functions import money
 from tidepool.functions import text as T
 from tidepool.functions import urls
 from tidepool.operators import blocks, classify, versions
@@ -262,3 +263,25 @@ def page_classes(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumns({"requested": F.get(kinds, (F.col("page_id") % len(ASKED)).cast("int")), "status_code": F.lit(200), "url": urls.canonical(F.col("url"))})
     rows = classify.classified(dom.parsed(pages, carry=["url", "status_code", "requested"], parts=("elements", "blocks"), tags=("title", "meta")))
     return rows.select("page_id", "page_type", "type_confidence", F.array_join("reasons", ",").alias("reasons"), "allowed")
+
+
+def _contexts_sql() -> str:
+    """DuckDB's side of money.classified_context() for blocks, whose element is their tag."""
+    case = lambda rows: "case " + " ".join(f"when {when} then '{n}'" for n, when in rows) + " end"
+    has = lambda x, p: f"regexp_matches({x}, '{p}')"
+    other = case([(n, has("plain", p)) for n, p in money.OTHER_CONTEXTS])
+    priced = [(n, f"{has('tag', e)} or {has('plain', w)}") for n, e, w in money.PRICE_CONTEXTS]
+    priced += [("plan_card", f"{has('tag', money.CARD_ELEMENT)} or ({has('plain', money.PRICED_WORDS)} and {has('plain', money.PLAN_LABEL)})"), ("product_pricing", has("plain", money.PRICED_WORDS))]
+    return (
+        f"with b as ({_BLOCKS}), n as (select page_id, place, tag, lower(trim(regexp_replace(regexp_replace(tag || ' ' || text, '[\u2013\u2014]', '-', 'g'), '\\s+', ' ', 'g'))) as plain, {has('tag', money.PRICED_ELEMENT)} as named from b), "
+        f"c as (select *, {other} as other, {case(priced)} as priced from n) select page_id, place, case when other is not null and not named then other else coalesce(priced, other, 'unknown') end as classification, "
+        "priced is not null and not (other is not null and not named) as accepted from c"
+    )
+
+
+@query(_contexts_sql())
+def block_price_contexts(spark, sf_dir):
+    """What an amount in each block of the crawled pages would be, and whether it would count as a price."""
+    rows = dom.part(dom.parsed(table(spark, sf_dir, "pages"), parts=("blocks",)), "blocks")
+    none = F.lit("unknown")
+    return rows.select("page_id", "place", money.classified_context(F.col("text"), F.col("tag"), none, none).alias("c")).select("page_id", "place", "c.classification", "c.accepted")
