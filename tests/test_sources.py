@@ -87,3 +87,13 @@ def test_robots_and_sitemap(spark):
     xml = '<urlset><url><loc>https://a/1</loc></url><url><loc> https://a/2 </loc></url><url><loc>https://a/1</loc></url></urlset>'
     locations = robots.sitemap(spark.createDataFrame([("acme.com", xml), ("b", "<broken"), ("c", None)], "site string, xml string"), "site", "xml")
     assert sorted(r.url for r in locations.collect()) == ["https://a/1", "https://a/2"]
+
+
+def test_meaningful_texts(spark):
+    page = '<html><head><title>Acme</title></head><body><p>Open 9:30 am <span>to</span><span>day</span></p><div class="cookie-bar"><p>Accept</p></div><li>One<ul><li>Two</li></ul></li><p hidden>no</p><a>Privacy</a><p>Acme</p>First one. Second one! © 2024 Acme</body></html>'
+    rows = html.meaningful(dom.parsed(spark.createDataFrame([(1, page), (2, None), (3, "<p>" + "</p><p>".join(f"word {'abcdefghij'[k]}" for k in range(9)) + "</p>Not added. Really")], "page_id int, html string"), parts=("meaningful",)))
+    found = {}
+    for r in rows.orderBy("page_id", "place").collect():
+        found.setdefault(r.page_id, []).append(r.text)
+    assert found[1][:4] == ["Acme", "Open today", "One", "Two"] and found[1][-1] == "Second one! © 2024 Acme" and not any("Accept" == t or t == "Privacy" for t in found[1])
+    assert len(found[3]) == 9 and 2 not in found

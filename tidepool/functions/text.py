@@ -72,7 +72,7 @@ def ascii_words(pattern: str) -> str:
     first, *rest = pattern.split(r"\b")
     if "|/" in pattern:
         return f"(?:(?<=[A-Za-z0-9_]){behind}|{before}(?=[A-Za-z0-9_]))".join([first, *rest])
-    return first + "".join((before if x[:1].isalpha() or x.startswith("(?:") else behind) + x for x in rest)
+    return first + "".join((before if x[:1].isalpha() or x.startswith(("(?:", r"\d")) else behind) + x for x in rest)
 
 
 def comparable(text: Column) -> Column:

@@ -285,3 +285,26 @@ def block_price_contexts(spark, sf_dir):
     rows = dom.part(dom.parsed(table(spark, sf_dir, "pages"), parts=("blocks",)), "blocks")
     none = F.lit("unknown")
     return rows.select("page_id", "place", money.classified_context(F.col("text"), F.col("tag"), none, none).alias("c")).select("page_id", "place", "c.classification", "c.accepted")
+
+
+def _meaningful_sql() -> str:
+    """DuckDB's side of html.meaningful() for the crawled pages: title, navigation, heading, paragraphs, then sentences."""
+    tidy = lambda x: f"trim(regexp_replace(regexp_replace({x}, '{html.CLOCK}', ' ', 'g'), '\\s+', ' ', 'g'))"
+    bare = lambda x: UNESCAPED.format(f"replace(replace(regexp_replace(regexp_replace({x}, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·')")
+    whole = UNESCAPED.format("replace(replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '<!--.*?-->|<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·')")
+    useless = " or ".join(f"regexp_matches(t, '{p}')" for p in html.USELESS)
+    once = lambda name, rows: f"{name}0 as (select *, trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}$€£%]+', ' ', 'g')) as key from {rows}), {name} as (select * from {name}0 where key <> '' and length(t) >= 2 and not ({useless}) qualify row_number() over (partition by page_id, key order by i) = 1)"
+    return (
+        f"with {ARTICLES}, s as (select page_id, 0 as i, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as x from pages union all select page_id, 10 + generate_subscripts(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), 1), unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) from pages "
+        f"union all select page_id, 1000, h1 from articles union all select page_id, 1000 + k, regexp_extract(ps[k], '(?s)^(.*?)(?:</p>|$)', 1) from (select page_id, string_split(body, '<p>') as ps, unnest(range(2, len(string_split(body, '<p>')) + 1)) as k from articles)), "
+        f"c as (select page_id, i, {tidy(bare('x'))} as t from s), {once('o', 'c')}, few as (select page_id, html from pages where page_id not in (select page_id from o group by 1 having count(*) >= {html.ENOUGH})), "
+        f"w as (select page_id, list_filter(string_split_regex(regexp_replace({whole}, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(10) || '\\2', 'g'), '[\\n\\r]+'), lambda y: true)[1:{html.MOST_SENTENCES}] as ys from few), "
+        f"m as (select page_id, 100000 + generate_subscripts(ys, 1) as i, {tidy('unnest(ys)')} as t from w), e as (select page_id, i, t from o union all select page_id, i, t from m), {once('f', 'e')} "
+        "select page_id, (row_number() over (partition by page_id order by i))::int as place, t as text from f"
+    )
+
+
+@query(_meaningful_sql())
+def page_texts(spark, sf_dir):
+    """The meaningful text of each crawled page, segment by segment."""
+    return html.meaningful(dom.parsed(table(spark, sf_dir, "pages"), parts=("meaningful",)))

@@ -28,6 +28,12 @@ SCOPES = {"p": {"button", "table", "td", "th", "caption"}, "li": {"ul", "ol"}, "
 ENDED = {tag: [open_ for open_, tags in ENDS.items() if tag in tags] for tag in set().union(*ENDS.values())}
 #: Elements behind whose end a new line of a block's text begins; fixed values.
 LINES = frozenset("br p h1 h2 h3 h4 li button a summary td th label span".split())
+#: Of these the ones that stand inside a line of a page's meaningful text; fixed values.
+INSIDE = frozenset("label span".split())
+#: Elements, and words of classes and ids, whose text means something, and what is noise; fixed values.
+MEANINGFUL = frozenset("title h1 h2 h3 h4 p li summary details button a tr th td".split())
+MEANINGFUL_WORDS = ("faq", "hero", "pricing", "price", "plan", "feature", "changelog", "release", "announcement", "cta")
+NOISE, NOISE_WORDS = frozenset("script style noscript svg canvas iframe template".split()), ("cookie", "consent", "newsletter", "tracking")
 #: Elements that are blocks, words of classes and ids that make one, and words whose elements are removed; fixed values.
 BLOCKS = frozenset("nav header main footer section article aside form dialog table ul ol".split())
 BLOCK_CLASS = ("hero", "pricing", "price", "plan", "tier", "feature", "card", "grid", "changelog", "release", "update", "modal")
@@ -46,7 +52,7 @@ BLOCK = (
 )
 EVIDENCE = "struct<ord:int,tag:string,path:string,classes:string,heading:string,lines:array<string>,buttons:array<string>>"
 STRUCTURE = "struct<source:string,ord:int,cells:array<string>,heading:string>"
-PARTS = {"elements": ELEMENT, "blocks": BLOCK, "evidence": EVIDENCE, "structures": STRUCTURE}
+PARTS = {"elements": ELEMENT, "blocks": BLOCK, "evidence": EVIDENCE, "structures": STRUCTURE, "meaningful": "struct<kind:string,text:string>"}
 
 
 class Node:
@@ -59,14 +65,15 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Nodes in the order in which they begin, and the page's pieces of shown text; None is the end of a line."""
+    """Nodes in the order in which they begin, and the page's pieces of shown text; None is the end of a
+    line, False the end of what stands inside one."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[Node] = []
         self.open: list[int] = []
         self.places: dict[str, list[int]] = {}
-        self.pieces: list[str | None] = []
+        self.pieces: list[str | bool | None] = []
         self.hidden = 0
         self.text: dict[int, list[str]] = {}
         self.wanted: dict[str, list[int]] = {}
@@ -80,7 +87,7 @@ class Tree(HTMLParser):
             self.hidden -= node.tag in HIDDEN
             node.last, node.end = len(self.nodes) - 1, len(self.pieces)
             if node.tag in LINES:
-                self.pieces.append(None)
+                self.pieces.append(False if node.tag in INSIDE else None)
 
     def handle_starttag(self, tag, attrs):
         for ended in ENDED.get(tag, ()):
@@ -202,7 +209,7 @@ class Blocks:
         self.ink = [0, *accumulate(len("".join(p.split())) if p else 0 for p in tree.pieces)]
         self.known: dict[int, str] = {}
         #: Where lines end, and the lines between two ends, made once for all blocks that hold them.
-        self.ends = [k for k, p in enumerate(tree.pieces) if p is None]
+        self.ends = [k for k, p in enumerate(tree.pieces) if not p]
         self.whole = [self._shown_lines(a + 1, b) for a, b in zip([-1, *self.ends], self.ends)] if any(map(_is_block, nodes)) else []
 
     def _shown_lines(self, first: int, end: int) -> str:
@@ -392,7 +399,32 @@ def structures_of(tree: Tree) -> list[dict]:
     return out + [dict(source="heading", ord=h["ord"], cells=h["cells"], heading=h["heading"]) for h in under if h["cells"] and h["heading"]]
 
 
-READERS = {"elements": elements_of, "blocks": lambda tree: Blocks(tree).rows_of(), "evidence": evidence_of, "structures": structures_of}
+def meaningful_of(tree: Tree) -> list[dict]:
+    """Texts that mean something, in document order, and at the end that of the whole body; noise is left out. An
+    element that its class or id picks is read whole, so at most MOST_BLOCKS of those count; others end where further
+    elements of their tag begin."""
+    noise, out, whole = bytearray(len(tree.nodes)), [], 0
+    full = [0, *accumulate(bool(p) for p in tree.pieces)]
+    spaced = lambda n: "".join(p or ("" if p is False else " ") for p in tree.pieces[n.first : n.end])
+    for i, n in enumerate(tree.nodes):
+        named = f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}" if n.attrs else ""
+        hidden = bool(n.attrs) and ("hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or n.attrs.get("role") == "dialog")
+        noise[i] = (n.parent >= 0 and noise[n.parent]) or n.tag in NOISE or hidden or any(w in named for w in NOISE_WORDS)
+        if noise[i]:
+            continue
+        if n.tag in MEANINGFUL and n.tag in KEPT:
+            inner = tree.text.get(i)
+            nested = len(inner or ()) != full[n.end] - full[n.first]
+            out.append(dict(kind="segment", text="".join(inner or ()) if nested else spaced(n)))
+        elif n.tag in MEANINGFUL or n.attrs.get("role") == "button" or any(w in named for w in MEANINGFUL_WORDS):
+            whole += 1
+            if whole <= MOST_BLOCKS:
+                out.append(dict(kind="segment", text=spaced(n)))
+    body = next((n for i, n in enumerate(tree.nodes) if n.tag in ("main", "article", "section", "body") and not noise[i]), None)
+    return out + ([dict(kind="body", text="".join(p for p in tree.pieces[body.first : body.end] if p))] if body else [])
+
+
+READERS = {"elements": elements_of, "blocks": lambda tree: Blocks(tree).rows_of(), "evidence": evidence_of, "structures": structures_of, "meaningful": meaningful_of}
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -415,7 +447,7 @@ def _parsed(parts: tuple[str, ...], kinds: list[pa.DataType], tags: frozenset):
     return run
 
 
-def parsed(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None, parts: tuple[str, ...] = tuple(PARTS), tags=KEPT) -> DataFrame:
+def parsed(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None, parts: tuple[str, ...] = ("elements", "blocks", "evidence", "structures"), tags=KEPT) -> DataFrame:
     """One row per page with the id, the columns carried along and the parts asked for, each an array of structs:
     the one Python stage of page analysis. Null pages have empty parts; of elements those with one of the tags."""
     keep = [id_col, *(carry or [])]

@@ -41,6 +41,35 @@ def segments(found: DataFrame, id_col: str = "page_id") -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(id_col, "ord", "tag", "text", "segment_key")
 
 
+#: Times of day, and segments that mean nothing; segments from which no sentences are added, sentences at most; fixed values.
+CLOCK = r"(?i)\b\d{1,2}:\d{2}(?::\d{2})?\s?(?:am|pm)?\b"
+USELESS = (
+    r"(?i)^(accept|reject|allow all|manage cookies|cookie settings|privacy policy|terms|terms of service|all rights reserved)$", r"(?i)^(facebook|twitter|x|linkedin|instagram|youtube|github|discord|slack)$",
+    r"(?i)^(privacy|legal|security|status|careers|jobs)$", r"(?i)^©|\bcopyright\b|\ball rights reserved\b",
+)
+ENOUGH, MOST_SENTENCES = 8, 40
+
+
+def meaningful(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(page, place, text) of what a page's parsed `meaningful` texts say: each once, without clock times and segments that
+    mean nothing; pages with fewer than eight also get the first forty sentences of their body."""
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[\u200b-\u200d\ufeff]", ""), T.ascii_words(CLOCK), " "), r"\s+", " "))
+    useful = lambda x: (F.char_length(x) >= 2) & ~x.rlike(USELESS[0]) & ~x.rlike(USELESS[1]) & ~x.rlike(USELESS[2]) & ~x.rlike(USELESS[3])
+
+    def each_once(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("text", plain(F.col("text"))).withColumn("_key", T.segment_key(F.col("text"))).filter((F.col("_key") != "") & useful(F.col("text")))
+        first = W.partitionBy(id_col, "_key").orderBy("_at")
+        return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+    texts = pages.select(id_col, F.posexplode("meaningful").alias("_at", "_m")).select(id_col, F.col("_at").cast("long").alias("_at"), "_m.kind", "_m.text")
+    own = each_once(texts.filter("kind = 'segment'").drop("kind"))
+    few = pages.select(id_col).join(own.groupBy(id_col).agg(F.count("*").alias("_n")), id_col, "left").filter(F.coalesce("_n", F.lit(0)) < ENOUGH).select(id_col)
+    cut = F.slice(F.split("text", r"[\n\r]+|(?<=[.!?])\s+(?=[A-Z0-9])"), 1, MOST_SENTENCES)
+    more = texts.filter("kind = 'body'").join(few, id_col).select(id_col, F.posexplode(cut).alias("_i", "text")).select(id_col, (F.col("_i") + F.lit(1 << 40)).alias("_at"), "text")
+    every = each_once(own.select(id_col, "_at", "text").unionByName(more))
+    return every.select(id_col, F.row_number().over(W.partitionBy(id_col).orderBy("_at")).alias("place"), "text")
+
+
 def metadata(found: DataFrame, id_col: str = "page_id") -> DataFrame:
     """First title, description (or the one for sharing) and main heading of each page."""
     first = lambda when, value: F.min_by(F.when(when, value), F.when(when, F.col("ord")))
