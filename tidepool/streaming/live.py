@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,56 +35,99 @@ def new_jobs(jobs: DataFrame, keys: list[str], ts: str, late: str = "1 hour") ->
     return jobs.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _compare(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_at, last_id, last_hash = state.get if state.exists else (None, None, None)
-    rows = pd.concat(list(frames)).sort_values(["at", "id"])
-    out = []
-    for at, i, h in zip(rows["at"], rows["id"], rows["hash"]):
-        if last_at is not None and (at, i) <= (pd.Timestamp(last_at), last_id):
-            continue
-        kind = "first" if last_hash is None else "same" if h == last_hash else "changed"
-        out.append((key[0], i, last_id, kind))
-        last_at, last_id, last_hash = at.isoformat(), i, h
-        last_at = pd.Timestamp(last_at)
-    if out:
-        state.update((pd.Timestamp(last_at).isoformat(), int(last_id), last_hash))
-    yield pd.DataFrame(out, columns=["page_id", "snapshot_id", "prev_snapshot_id", "change"]).astype({"prev_snapshot_id": "Int64"})
+#: Keys whose state is kept and read together: a group for each single key costs milliseconds of overhead, whatever it
+#: holds. Rows, state and work of a group are its share of a trigger; fixed values. Times that are null come last.
+GROUPS, NO_TIME = 2048, (1 << 63) - 1
+
+
+def _grouped(rows: DataFrame, key: str):
+    """Rows dealt to groups of keys; a key is always in the same one."""
+    return rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int")).groupBy("_group")
+
+
+def _time(at: str) -> Column:
+    return F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(NO_TIME))
+
+
+def _named(key: str) -> list[Column]:
+    """A key as a number that is never null, so that none is read as a float, and whether it is there."""
+    key = F.col(key).cast("long")
+    return [key.isNotNull().alias("named"), F.coalesce(key, F.lit(0)).alias("key")]
+
+
+def _keys(named: np.ndarray, keys: np.ndarray) -> pd.Series:
+    return pd.Series(keys, dtype="Int64").where(pd.Series(named, dtype=bool))
+
+
+def _compare(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).assign(fresh=True)
+    if state.exists:
+        kept = pd.DataFrame(dict(zip(("named", "key", "at", "id", "hash"), state.get)))
+        rows = pd.concat([kept.astype({"named": bool, "key": "int64", "at": "int64", "id": "int64", "hash": object}).assign(fresh=False), rows])
+    rows = rows.sort_values(["named", "key", "fresh", "at", "id"], kind="stable")
+    named, keys, fresh, at, ids, hashes = (rows[c].to_numpy() for c in ("named", "key", "fresh", "at", "id", "hash"))
+
+    def starts() -> np.ndarray:
+        return np.r_[True, (keys[1:] != keys[:-1]) | (named[1:] != named[:-1])]
+
+    begins = starts()
+    first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    #: Late ones are not after the key's last one; a last one without a time makes late only what has none either.
+    late = fresh & ~fresh[first] & ((at < at[first]) | ((at == at[first]) & (ids <= ids[first]))) & ((at[first] != NO_TIME) | (at == NO_TIME))
+    again = np.r_[False, ~begins[1:] & fresh[:-1] & (at[1:] == at[:-1]) & (ids[1:] == ids[:-1])]
+    named, keys, fresh, at, ids, hashes = (x[~late & ~again] for x in (named, keys, fresh, at, ids, hashes))
+    begins = starts()
+    before = np.r_[None, hashes[:-1]]
+    none = begins | pd.isna(before)
+    change = np.where(none, "first", np.where(hashes == before, "same", "changed"))
+    last = np.r_[begins[1:], True]
+    state.update(tuple(x[last].tolist() for x in (named, keys, at, ids, hashes)))
+    previous = pd.Series(np.r_[0, ids[:-1]], dtype="Int64").where(pd.Series(~begins))
+    out = pd.DataFrame({"page_id": _keys(named, keys), "snapshot_id": ids, "prev_snapshot_id": previous, "change": change})
+    yield out[fresh]
 
 
 def version_changes(snapshots: DataFrame, page: str, snapshot: str, at: str, content: Column) -> DataFrame:
     """Each snapshot against the page's last one, which is kept as keyed state: first, same or changed."""
-    rows = snapshots.select(F.col(page).cast("long").alias("page_id"), F.col(snapshot).cast("long").alias("id"), F.col(at).cast("timestamp").alias("at"), F.md5(content).alias("hash"))
-    return rows.groupBy("page_id").applyInPandasWithState(
-        _compare, "page_id long, snapshot_id long, prev_snapshot_id long, change string", "at string, id long, hash string", "append", GroupStateTimeout.NoTimeout
+    rows = snapshots.select(*_named(page), F.col(snapshot).cast("long").alias("id"), _time(at).alias("at"), F.md5(content).alias("hash"))
+    return _grouped(rows, "key").applyInPandasWithState(
+        _compare, "page_id long, snapshot_id long, prev_snapshot_id long, change string", "named array<boolean>, key array<long>, at array<long>, id array<long>, hash array<string>", "append", GroupStateTimeout.NoTimeout
     )
 
 
-def _streaks(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    run, longest = state.get if state.exists else (0, 0)
+def _streaks(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    known = {(named, key): (run, longest) for named, key, run, longest in zip(*state.get)} if state.exists else {}
     rows = pd.concat(list(frames)).sort_values(["at", "id"])
-    for failed in rows["failed"]:
+    touched = {}
+    for named, key, failed in zip(rows["named"].tolist(), rows["key"].tolist(), rows["failed"].tolist()):
+        run, longest = known.get((named, key), (0, 0))
         run = run + 1 if failed else 0
-        longest = max(longest, run)
-    state.update((run, longest))
-    yield pd.DataFrame([(key[0], run, longest)], columns=["key", "current", "longest"])
+        known[named, key] = touched[named, key] = run, max(longest, run)
+    state.update(tuple(map(list, zip(*((*key, *of) for key, of in known.items())))))
+    named, keys = map(np.array, zip(*touched))
+    current, longest = zip(*touched.values())
+    yield pd.DataFrame({"key": _keys(named, keys), "current": current, "longest": longest})
 
 
 def failure_streaks(events: DataFrame, key: str, event: str, at: str, failed: Column) -> DataFrame:
     """Failures in a row of each key, now and at most, updated at each trigger; a success sets them to 0."""
-    rows = events.select(F.col(key).cast("long").alias("key"), F.col(event).cast("long").alias("id"), F.col(at).cast("timestamp").alias("at"), failed.alias("failed"))
-    return rows.groupBy("key").applyInPandasWithState(_streaks, "key long, current long, longest long", "run long, longest long", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select(*_named(key), F.col(event).cast("long").alias("id"), _time(at).alias("at"), F.coalesce(failed, F.lit(False)).alias("failed"))
+    return _grouped(rows, "key").applyInPandasWithState(
+        _streaks, "key long, current long, longest long", "named array<boolean>, key array<long>, run array<long>, longest array<long>", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def _cached(ttl_us: int):
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fetched = state.get[0] if state.exists else None
+    def run(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fetched = dict(zip(*state.get)) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
         cached = []
-        for at in rows["at"]:
-            hit = fetched is not None and at - fetched < ttl_us
+        for key, at in zip(rows["key"].tolist(), rows["at"].tolist()):
+            hit = key in fetched and at - fetched[key] < ttl_us
             cached.append(hit)
-            fetched = fetched if hit else at
-        state.update((int(fetched),))
+            if not hit:
+                fetched[key] = at
+        state.update((list(fetched), list(fetched.values())))
         yield pd.DataFrame({"event_id": rows["id"].to_numpy(), "cached": cached})
 
     return run
@@ -94,4 +138,4 @@ def cache_hits(fetches: DataFrame, keys: list[str], event: str, at: str, ttl_us:
     keyed state. A row that comes late finds the later answer."""
     named = F.to_json(F.struct(*keys)).alias("key")
     rows = fetches.select(named, F.col(event).cast("long").alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("at")).filter("at is not null")
-    return rows.groupBy("key").applyInPandasWithState(_cached(ttl_us), "event_id long, cached boolean", "fetched long", "append", GroupStateTimeout.NoTimeout)
+    return _grouped(rows, "key").applyInPandasWithState(_cached(ttl_us), "event_id long, cached boolean", "key array<string>, fetched array<long>", "append", GroupStateTimeout.NoTimeout)
