@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import money, urls
 from tidepool.operators import display, extract
+from tidepool.operators.sinks import stored
 from tidepool.plans.registry import query, table
 from tidepool.plans.web import UNESCAPED
 from tidepool.sources import html
@@ -45,8 +46,9 @@ def _blocks(spark, sf_dir, raised: int = 0):
 
 
 def _models(spark, sf_dir, raised: int = 0):
-    blocks = _blocks(spark, sf_dir, raised)
-    found = extract.prices(blocks)
+    #: Written once: plans, models and prices read them again and again.
+    blocks = stored(_blocks(spark, sf_dir, raised), "evidence")
+    found = stored(extract.prices(blocks), "prices")
     return extract.pricing_models(blocks, found, extract.plans(blocks, found))
 
 
