@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import money, urls
 from tidepool.operators import display, extract
 from tidepool.operators.sinks import stored
-from tidepool.plans.registry import query, table
+from tidepool.plans.registry import dealt, query, table
 from tidepool.plans.web import UNESCAPED
 from tidepool.sources import html
 
@@ -34,7 +34,7 @@ def product_pages(spark, sf_dir, raised: int = 0) -> DataFrame:
         "<section><h2>Changelog</h2><p>Changelog: March ", number(key % 28 + 1), ", 2024 faster search</p></section><footer><p>All rights reserved</p></footer></body></html>",
     )
     status = F.when(key % 11 == 7, 403).when(key % 11 == 8, 404).otherwise(200)
-    return table(spark, sf_dir, "supplier").select(key.alias("page_id"), _said("https://s", number(key), ".example.com/pricing").alias("url"), F.lit("pricing").alias("page_type"), status.alias("status_code"), F.when(status == 404, "").otherwise(markup).alias("html"))
+    return dealt(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey").select(key.alias("page_id"), _said("https://s", number(key), ".example.com/pricing").alias("url"), F.lit("pricing").alias("page_type"), status.alias("status_code"), F.when(status == 404, "").otherwise(markup).alias("html"))
 
 
 #: DuckDB's side of the pages that show something.
