@@ -39,3 +39,11 @@ def test_a_deep_page_goes_out_in_batches(spark):
     out = list(dom._rows("blocks", dom._arrow(dom.BLOCK))([batch]))
     assert sum(b.num_rows for b in out) == 1501 and sum(b.nbytes for b in out) > 100_000_000 and max(b.nbytes for b in out) < 4_000_000
     assert [i for b in out for i in b.column("page_id").to_pylist()] == [1] * 1500 + [4] and sum(b.num_rows for b in dom._rows("blocks", dom._arrow(dom.BLOCK))([batch.slice(0, 0)])) == 0
+
+
+def test_every_block_has_a_context(spark, tmp_path):
+    late = '<div class="card"><h3>Pro</h3><p>Our plans: $9 a month</p></div>'
+    got = _query(spark, tmp_path, "block_price_contexts", f"<body><main>{CARDS}{late}</main></body>", "<body>Nothing</body>", None).orderBy("page_id", "place").collect()
+    assert [(r.page_id, r.place) for r in got] == [(0, k) for k in range(402)] + [(1, 0)]
+    assert {(r.classification, r.accepted) for r in got[1:401]} == {("billing_toggle", True)}
+    assert [(r.classification, r.accepted) for r in got[401:]] == [("plan_card", True), ("unknown", False)]
