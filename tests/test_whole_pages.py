@@ -47,3 +47,15 @@ def test_every_block_has_a_context(spark, tmp_path):
     assert [(r.page_id, r.place) for r in got] == [(0, k) for k in range(402)] + [(1, 0)]
     assert {(r.classification, r.accepted) for r in got[1:401]} == {("billing_toggle", True)}
     assert [(r.classification, r.accepted) for r in got[401:]] == [("plan_card", True), ("unknown", False)]
+
+
+def test_every_text_is_told(spark, tmp_path):
+    parts = "".join(f'<div class="plan">Plan {k}<br>has<span> all </span>of it</div><div role="button">Act {k}</div>' for k in range(300))
+    rows = "".join(f"<tr><td>Cell {k}</td><td>{k} more</td></tr>" for k in range(300))
+    deep = "".join(f"<details>Deep {k} " for k in range(250))
+    got = {}
+    for r in _query(spark, tmp_path, "page_texts", f"<body>{parts}</body>", f"<body><table>{rows}</table></body>", f"<body>{deep}</body>", None).orderBy("page_id", "place").collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert got[0] == [x for k in range(300) for x in (f"Plan {k} has all of it", f"Act {k}")]
+    assert got[1] == [x for k in range(300) for x in (f"Cell {k} {k} more", f"Cell {k}", f"{k} more")]
+    assert got[2] == [" ".join(f"Deep {j}" for j in range(k, 250)) for k in range(250)] and set(got) == {0, 1, 2}
