@@ -59,3 +59,8 @@ def test_every_text_is_told(spark, tmp_path):
     assert got[0] == [x for k in range(300) for x in (f"Plan {k} has all of it", f"Act {k}")]
     assert got[1] == [x for k in range(300) for x in (f"Cell {k} {k} more", f"Cell {k}", f"{k} more")]
     assert got[2] == [" ".join(f"Deep {j}" for j in range(k, 250)) for k in range(250)] and set(got) == {0, 1, 2}
+
+
+def test_texts_are_cleaned_once(spark, tmp_path):
+    plan = _query(spark, tmp_path, "page_texts", "<p>One</p>")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("am|pm") == 1 + plan.split("Generate explode")[0].count("am|pm")
